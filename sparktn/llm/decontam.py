@@ -20,6 +20,10 @@ WINDOW, SHARE, EXACT = 13, 0.8, 8
 SENT = 500_000
 
 
+# Arrays are exploded with _outer: for a plain explode, Spark filters by the array's size below the projections
+# that make it, so words would be split anew for every window. Joins drop the nulls.
+
+
 def hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
 
@@ -37,14 +41,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, column: str = "text", item_c
     short = sorted(r[0] for r in items.where(F.size("b") < span).select(F.size("b")).distinct().collect())  # fewer than a window's words
     masks = [*MASKS, *(tuple(range(n)) for n in short)]
     texts = items.groupBy("b").agg(F.min("item_id").alias("first"))  # equal items are searched once
-    posted = [texts.where(F.size("b") >= span if k < len(MASKS) else F.size("b") == len(m)).select("first", F.size("b").alias("m"), F.lit(k).alias("mask"), F.posexplode(seeds(F.col("b"), m, k)).alias("ipos", "seed")) for k, m in enumerate(masks)]
+    posted = [texts.where(F.size("b") >= span if k < len(MASKS) else F.size("b") == len(m)).select("first", F.size("b").alias("m"), F.lit(k).alias("mask"), F.posexplode_outer(seeds(F.col("b"), m, k)).alias("ipos", "seed")) for k, m in enumerate(masks)]
     index = posted[0]
     for p in posted[1:]:
         index = index.unionByName(p)
     index = small(index.distinct(), SENT)
     rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(column), F.lit(""))).alias("raw"), hashes(F.col(column)).alias("h"))
     rows = rows.select("doc_id", "raw", F.size("h").alias("nw"), F.concat(*(seeds(F.col("h"), m, k) for k, m in enumerate(masks))).alias("seeds"))
-    hits = rows.select("doc_id", "raw", "nw", F.posexplode("seeds").alias("at", "seed")).join(index, "seed")
+    hits = rows.select("doc_id", "raw", "nw", F.posexplode_outer("seeds").alias("at", "seed")).join(index, "seed")
     before = F.lit(0)
     for k in range(1, len(masks)):
         upto = sum((F.greatest(F.col("nw") - m[-1], F.lit(0)) for m in masks[:k]), F.lit(0))
@@ -56,7 +60,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, column: str = "text", item_c
     met = held.join(small(asked, 100_000), held["doc_id"].eqNullSafe(F.col("__doc")) & (held["raw"] == F.col("__raw")))
     met = met.select("doc_id", "raw", hashes(F.col("text")).alias("h"), "asked")
     cut = F.transform("asked", lambda a: F.struct(a["first"].alias("first"), F.greatest(-a["diag"], F.lit(0)).alias("skip"), F.slice(F.col("h"), F.greatest(a["diag"], F.lit(0)) + 1, F.greatest(a["m"] - F.greatest(-a["diag"], F.lit(0)), F.lit(0))).alias("d")))
-    aligned = met.select("doc_id", "raw", F.explode(cut).alias("a")).select("doc_id", "raw", F.col("a.first").alias("first"), F.col("a.skip").alias("skip"), F.col("a.d").alias("d"))
+    aligned = met.select("doc_id", "raw", F.explode_outer(cut).alias("a")).select("doc_id", "raw", F.col("a.first").alias("first"), F.col("a.skip").alias("skip"), F.col("a.d").alias("d"))
     aligned = aligned.join(small(texts, 50_000), "first")
     aligned = aligned.select("doc_id", "raw", "first", F.size("b").alias("m"), F.zip_with("d", F.slice(F.col("b"), F.col("skip") + 1, F.size("d")), lambda x, y: (x == y).cast("int")).alias("same"))
     w = F.least(F.col("m"), F.lit(WINDOW))

@@ -62,7 +62,7 @@ def valid(kind: str, h: Column) -> Column:
         part = lambda p: F.regexp_replace(p, "^0+", "")
         return F.forall(F.split(h, r"\."), lambda p: (F.length(part(p)) <= 3) & (F.coalesce(F.when(F.length(part(p)) <= 3, part(p)).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
-        return F.length(digits(h)).between(16, 19) & F.luhn_check(digits(h))
+        return F.length(digits(h)).between(16, 19) & F.call_function("luhn_check", digits(h))
     if kind == "phone":
         return F.length(digits(h)).between(8, 15)
     if kind == "iban":
@@ -71,6 +71,14 @@ def valid(kind: str, h: Column) -> Column:
     return F.lit(True)
 
 
+def check(kind: str):
+    return lambda h: valid(kind, h)
+
+
+def of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def found(docs: DataFrame, column: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and spans: (kind, start, stop, score), of every row, base kinds as the contract has them first."""
     kinds = {k: r for k, r in BASE.items()} | {k: r for k, (r, _, _) in EXTRA.items()}
@@ -79,7 +87,7 @@ def found(docs: DataFrame, column: str = "text", keep: tuple[str, ...] = ("doc_i
     none = F.array().cast("array<string>")
     # a kind's proposals, and what lies between them only where there are any
     df = df.select("*", *(F.when(F.contains(t, F.lit(NEEDS[k])), F.regexp_extract_all(t, F.lit(r), F.lit(0))).otherwise(none).alias(f"__h_{k}") if k in NEEDS else F.regexp_extract_all(t, F.lit(r), F.lit(0)).alias(f"__h_{k}") for k, r in kinds.items()))
-    df = df.select("*", *(F.when(F.exists(F.col(f"__h_{k}"), lambda h, k=k: valid(k, h)), F.split(t, r, -1)).otherwise(none).alias(f"__g_{k}") for k, r in kinds.items()))
+    df = df.select("*", *(F.when(F.exists(F.col(f"__h_{k}"), check(k)), F.split(t, r, -1)).otherwise(none).alias(f"__g_{k}") for k, r in kinds.items()))
     df = df.select("*", *(F.when(F.size(f"__g_{k}") > 0, placed(t, F.col(f"__h_{k}"), F.col(f"__g_{k}"))).otherwise(F.array().cast("array<struct<start:bigint,stop:bigint,h:string>>")).alias(f"__s_{k}") for k in kinds))
 
     def spans(k: str) -> Column:
@@ -106,6 +114,6 @@ def pii(docs: DataFrame, column: str = "text") -> DataFrame:
     joined = lambda s: F.concat_ws(",", F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return df.select(
-        "doc_id", *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE),
+        "doc_id", *(F.size(F.filter("spans", of_kind(k))).cast("bigint").alias(f"n_{k}") for k in BASE),
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
     )
