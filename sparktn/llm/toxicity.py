@@ -1,10 +1,10 @@
 """Toxicity by a support vector machine with a subsequence string kernel and Nyström landmarks.
 
 The kernel counts common subsequences of letters, each weighted by the decay to the power of the length it
-spans, so an insult with gaps or inserted characters still resembles itself. A sentence is compared to a
-landmark by its most similar token; the Nyström map turns the similarities to all landmarks into features of
-a linear machine, trained on sentences: those of clean texts, and of each toxic text the ones that the machine
-finds worst, as only the text is labelled. A text is as toxic as its worst sentence.
+spans, so an insult with gaps or inserted characters still resembles itself. The Nyström map turns a token's
+similarities to some landmarks into features of a linear machine. It is trained on sentences, of which each is
+as toxic as its worst token: all sentences of clean texts, and of each toxic text the one that the machine finds
+worst, as only the text is labelled. A text's score is that of its worst sentence.
 """
 
 from __future__ import annotations
@@ -20,48 +20,39 @@ from pyspark.sql import functions as F
 
 from .common import fold, labelled_sample, platt, sigmoid
 
-#: Length of the subsequences and the decay of a place that they span.
-ORDER, DECAY = 3, 0.5
+#: The kernel's subsequences have three letters that span at most SPAN places, each place with this decay.
+SPAN, DECAY = 6, 0.5
+THRESHOLD = 0.3
+#: Power of the normalised kernel, itself a kernel that falls off more sharply.
+SHARPEN = 3
 #: Landmarks from words that toxic texts favour and from others, and how alike two landmarks may be.
-TOXIC, OTHER, ALIKE = 24, 6, 0.7
+TOXIC, OTHER, ALIKE = 32, 6, 0.4
 #: Training texts of each class and their characters at most.
 SAMPLE, CHARS = 2000, 6000
 #: Characters of a piece of a long token; pieces overlap by half.
 PIECE = 24
-CACHE = 250_000
+CACHE = 300_000
 SENTENCE = re.compile(r"[.!?]\s|\n")
 SINGLES = re.compile(r"(?:(?<=\s)|^)(?:\S[ \t]){3,}\S(?=\s|$)")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Unnormalised kernel of each row of s with each of t: arrays of character codes padded by zeros in s and by -1 in t."""
-    match = (s[:, None, :, None] == t[None, :, None, :]) * np.float32(DECAY * DECAY)
-    p = match
-    for _ in range(ORDER - 1):
-        q = np.zeros_like(p)
-        for i in range(1, p.shape[2]):  # decayed sums over the places before, along s and then along t
-            q[:, :, i] = DECAY * q[:, :, i - 1] + p[:, :, i - 1]
-        r = np.zeros_like(q)
-        for j in range(1, p.shape[3]):
-            r[:, :, :, j] = DECAY * r[:, :, :, j - 1] + q[:, :, :, j - 1]
-        p = match * r
-    return p.sum(axis=(2, 3))
-
-
-def codes(words: list[str], pad: int) -> np.ndarray:
-    n = max(map(len, words), default=1)
-    out = np.full((len(words), n), pad, np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = list(map(ord, w))
-    return out
+def places(n: int) -> np.ndarray:
+    """Places i < j < k of a word of n letters that span at most SPAN."""
+    return np.array([(i, j, k) for i in range(n) for j in range(i + 1, min(n, i + SPAN - 1)) for k in range(j + 1, min(n, i + SPAN))], np.int64).reshape(-1, 3)
+
+
+def weights(p: np.ndarray) -> np.ndarray:
+    return (DECAY ** (p[:, 2] - p[:, 0] + 1)).astype(np.float32)
 
 
-def self_kernel(words: list[str]) -> np.ndarray:
-    out = np.empty(len(words), np.float32)
-    for i, w in enumerate(words):
-        c = codes([w], 0)
-        out[i] = kernel(c, c)[0, 0]
+def subsequences(word: str) -> dict[tuple[str, str, str], float]:
+    """The kernel's features of a word of letters."""
+    out: dict[tuple[str, str, str], float] = {}
+    p = places(len(word))
+    for (i, j, k), w in zip(p.tolist(), weights(p).tolist()):
+        u = (word[i], word[j], word[k])
+        out[u] = out.get(u, 0.0) + w
     return out
 
 
@@ -70,149 +61,149 @@ def letters(token: str) -> str:
     return NOT_LETTERS.sub("", token) if not token.isalpha() else token
 
 
-def sentences(text: str) -> list[list[str]]:
-    """The tokens of each sentence; runs of single characters also count as the word that they spell."""
-    out = []
-    for s in SENTENCE.split(text.lower()):
-        tokens = s.split()
-        if len(tokens) > 3 and (spelled := SINGLES.findall(s)):
-            tokens += ["".join(x.split()) for x in spelled]
-        if tokens:
-            out.append(tokens)
+def tokens(text: str) -> list[str]:
+    """The tokens of a lower-cased text; a run of single characters also counts as the word that it spells."""
+    out = text.split()
+    if list(map(len, out)).count(1) > 3:
+        out += ["".join(x.split()) for x in SINGLES.findall(text)]
     return out
 
 
+def sentences(text: str) -> list[list[str]]:
+    return [t for s in SENTENCE.split(text.lower()) if (t := tokens(s))]
+
+
 class Similar:
-    """Normalised similarities of tokens to the landmarks, kept for tokens seen before."""
+    """Sharpened normalised similarities of tokens to the landmarks, kept for tokens seen before."""
 
     def __init__(self, landmarks: list[str]):
-        self.t = codes(landmarks, -1)
-        self.norm = np.sqrt(np.maximum(self_kernel(landmarks), 1e-12))
-        self.reset()
-
-    def reset(self) -> None:
-        self.known, self.rows, self.n = {}, np.zeros((4096, len(self.norm)), np.float32), 0
+        features = [subsequences(w) for w in landmarks]
+        alphabet = sorted({c for f in features for u in f for c in u})
+        self.letter = {ord(c): i + 1 for i, c in enumerate(alphabet)}  # 0: in no landmark
+        n = len(alphabet) + 1
+        self.table = np.zeros((n, n, n, len(landmarks)), np.float32)
+        for m, f in enumerate(features):
+            norm = np.sqrt(sum(x * x for x in f.values())) or 1.0
+            for (a, b, c), x in f.items():
+                self.table[self.letter[ord(a)], self.letter[ord(b)], self.letter[ord(c)], m] = x / norm
+        self.table = self.table.reshape(n**3, len(landmarks))
+        self.size, self.width = n, len(landmarks)
 
     def of(self, words: list[str]) -> np.ndarray:
-        """Of words of letters, 0 for those with fewer than ORDER."""
-        out = np.zeros((len(words), len(self.norm)), np.float32)
+        """Of words of letters, 0 for those with fewer than three."""
+        out = np.zeros((len(words), self.width), np.float32)
         by: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            if len(w) >= ORDER:
+            if len(w) >= 3:
                 by.setdefault(len(w) if len(w) <= PIECE else 0, []).append(i)
         for n, rows in by.items():
             if n == 0:
                 for i in rows:
                     w = words[i]
                     pieces = [w[k : k + PIECE] for k in range(0, len(w) - PIECE // 2, PIECE // 2)]
-                    out[i] = self.of(pieces).max(axis=0)
+                    out[i] = np.max([self.of(pieces[k : k + 1000]).max(axis=0) for k in range(0, len(pieces), 1000)], axis=0)
                 continue
-            for lo in range(0, len(rows), 512):
-                own = rows[lo : lo + 512]
-                s = codes([words[i] for i in own], 0)
-                out[own] = kernel(s, self.t) / self.norm / np.sqrt(np.maximum(own_kernel(s), 1e-12))[:, None]
-        return out
-
-    def numbers(self, tokens: list[str]) -> list[int]:
-        """Row numbers of the tokens' similarities."""
-        if self.n > CACHE:
-            self.reset()
-        known = self.known
-        new = list(set(tokens) - known.keys())
-        if new:
-            words = [letters(t) for t in new]
-            distinct = list(set(words))
-            got = self.of(distinct)
-            while self.n + len(distinct) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[self.n : self.n + len(distinct)] = got
-            at = {w: self.n + i for i, w in enumerate(distinct)}
-            self.n += len(distinct)
-            known.update((t, at[w]) for t, w in zip(new, words))
-        return list(map(known.__getitem__, tokens))
-
-    def of_sentences(self, parts: list[list[str]]) -> np.ndarray:
-        """The largest similarity of each sentence's tokens to each landmark."""
-        at = np.array(self.numbers([t for p in parts for t in p]))
-        starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-        out = np.empty((len(parts), len(self.norm)), np.float32)
-        step = 2000
-        for lo in range(0, len(parts), step):  # bounds the gathered rows
-            a = starts[lo]
-            b = starts[lo + step] if lo + step < len(parts) else len(at)
-            out[lo : lo + step] = np.maximum.reduceat(self.rows[at[a:b]], starts[lo : lo + step] - a, axis=0)
+            p = places(n)
+            weight = weights(p)
+            for lo in range(0, len(rows), 256):
+                own = rows[lo : lo + 256]
+                s = np.array([list(map(ord, words[i])) for i in own], np.int64)
+                c = np.array([[self.letter.get(x, 0) for x in row] for row in s.tolist()], np.int64)
+                at = (c[:, p[:, 0]] * self.size + c[:, p[:, 1]]) * self.size + c[:, p[:, 2]]
+                k = np.einsum("bpm,p->bm", self.table[at], weight)
+                out[own] = (k / np.sqrt(self_kernel(s, p, weight))[:, None]) ** SHARPEN
         return out
 
 
-def own_kernel(s: np.ndarray) -> np.ndarray:
-    """The kernel of each row with itself; rows have one length."""
-    match = (s[:, :, None] == s[:, None, :]) * np.float32(DECAY * DECAY)
-    p = match
-    for _ in range(ORDER - 1):
-        q, r = np.zeros_like(p), np.zeros_like(p)
-        for i in range(1, p.shape[1]):
-            q[:, i] = DECAY * q[:, i - 1] + p[:, i - 1]
-        for j in range(1, p.shape[2]):
-            r[:, :, j] = DECAY * r[:, :, j - 1] + q[:, :, j - 1]
-        p = match * r
-    return p.sum(axis=(1, 2))
+def self_kernel(s: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The kernel of each row of character codes with itself."""
+    u = (s[:, p[:, 0]] * 0x110000 + s[:, p[:, 1]]) * 0x110000 + s[:, p[:, 2]]
+    order = np.argsort(u, axis=1)
+    u, w = np.take_along_axis(u, order, 1), weight[order]
+    first = np.ones(u.shape, bool)
+    first[:, 1:] = u[:, 1:] != u[:, :-1]
+    first[:, 0] = True
+    group = np.cumsum(first.ravel()) - 1
+    sums = np.bincount(group, w.ravel())
+    return np.add.reduceat(sums * sums, group.reshape(u.shape)[:, 0])
 
 
-def choose_landmarks(texts: list[str], y: np.ndarray) -> list[str]:
-    """Words by how much toxic texts favour them, none too like one before, and the commonest long words of clean texts."""
+def choose_landmarks(texts: list[str], y: np.ndarray) -> tuple[list[str], int]:
+    """Words by how much toxic texts favour them, none too like one before, and common long words of clean texts; how many are toxic."""
     seen = [Counter(), Counter()]
     for text, label in zip(texts, y):
-        seen[int(label)].update({w for s in sentences(text) for t in s if ORDER <= len(w := letters(t)) <= PIECE})
+        seen[int(label)].update({w for s in sentences(text) for t in s if 3 <= len(w := letters(t)) <= PIECE})
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    lift = {w: c / n1 - 2 * seen[0][w] / n0 for w, c in seen[1].items() if c > 1}
-    ranked = [w for w in sorted(lift, key=lambda w: (-lift[w], w)) if lift[w] > 0][:600]
-    norms, rows, picked = self_kernel(ranked), codes(ranked, -1), []
-    for i, w in enumerate(ranked):
+    lift = {w: c / n1 - 3 * seen[0][w] / n0 for w, c in seen[1].items() if c > 1}
+    ranked = [w for w in sorted(lift, key=lambda w: (-lift[w], w)) if lift[w] > 0][:400]
+    picked: list[str] = []
+    for w in ranked:
         if len(picked) == TOXIC:
             break
-        like = kernel(codes([w], 0), rows[picked])[0] / np.sqrt(norms[i] * norms[picked]) if picked else np.zeros(1)
-        if like.max() < ALIKE:
-            picked.append(i)
+        if not picked or Similar(picked).of([w]).max() < ALIKE:
+            picked.append(w)
     clean = [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if len(w) >= 5 and w not in seen[1]][:OTHER]
-    return [ranked[i] for i in picked] + (clean or ["none"])
+    picked = picked or ["none"]
+    return picked + (clean or ["none"]), len(picked)
 
 
 class Machine:
     """Weights on similarities to landmarks: the linear machine's weights through the Nyström map."""
 
-    def __init__(self, texts: list[str], y: np.ndarray, rounds: int = 4, seed: int = 3):
-        self.landmarks = choose_landmarks(texts, y)
+    def __init__(self, texts: list[str], y: np.ndarray, rounds: int = 4):
+        self.landmarks, toxic = choose_landmarks(texts, y)
         similar = Similar(self.landmarks)
-        values, vectors = np.linalg.eigh(similar.of(self.landmarks).astype(np.float64) + 1e-6 * np.eye(len(self.landmarks)))
-        root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-        split = [sentences(t) or [[""]] for t in texts]
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in split])[:-1]])
-        x = similar.of_sentences([s for parts in split for s in parts]).astype(np.float64)
-        phi, owner = x @ root, np.repeat(np.arange(len(texts)), [len(p) for p in split])
-        clean = y[owner] == 0
-        bad = np.zeros(len(x), bool)
-        toxic_marks = x[:, : max(1, len(self.landmarks) - OTHER)].max(axis=1)
-        f = toxic_marks  # at first the sentence nearest to a toxic landmark is taken for the bad one
+        values, vectors = np.linalg.eigh(similar.of(self.landmarks).astype(np.float64))
+        root = vectors / np.sqrt(np.maximum(values, 0.05)) @ vectors.T
+        words: dict[str, int] = {}
+        split = [[[words.setdefault(w, len(words)) for w in {letters(t) for t in s}] for s in sentences(t)] or [[words.setdefault("", len(words))]] for t in texts]
+        x = similar.of(list(words)).astype(np.float64)
+        phi = x @ root
+        clean = [np.array(s) for parts, label in zip(split, y) if not label for s in parts]
+        bad = [np.array([w for s in parts for w in s]) for parts, label in zip(split, y) if label]
+        known = np.array([words[w] for w in self.landmarks[:toxic] if w in words], np.int64)
+        f = x[:, :toxic].max(axis=1)  # at first, what is nearest to a toxic landmark is taken for the worst
+        negative = np.empty(0, np.int64)
         for _ in range(rounds):
-            worst = np.maximum.reduceat(f, starts)
-            bad = (y[owner] == 1) & (f >= worst[owner] - 1e-12)
-            rows = np.flatnonzero(clean | bad)
-            w, b = svm(phi[rows], np.where(bad[rows], 1.0, -1.0), seed)
+            positive = np.unique(np.concatenate([[s[f[s].argmax()] for s in bad], known]).astype(np.int64))
+            negative = np.unique(np.concatenate([negative, [s[f[s].argmax()] for s in clean]]).astype(np.int64))
+            negative = np.setdiff1d(negative, known)
+            rows = np.concatenate([positive, negative])
+            w, b = svm(phi[rows], np.concatenate([np.ones(len(positive)), -np.ones(len(negative))]))
             f = phi @ w + b
-        self.weights, self.b0 = root @ w, b
-        best = np.maximum.reduceat(f, starts)
+        self.weights, self.offset = root @ w, b
+        best = np.array([max(f[w] for s in parts for w in s) for parts in split])
         self.a, self.b = platt(best, y)
-
-    def decisions(self, similar: Similar, texts: list[str | None]) -> np.ndarray:
-        split = [sentences(t or "") or [[""]] for t in texts]
-        f = similar.of_sentences([s for parts in split for s in parts]) @ self.weights + self.b0
-        return np.maximum.reduceat(f, np.concatenate([[0], np.cumsum([len(x) for x in split])[:-1]]))
+        high, low = np.quantile(best[y == 0], 0.995), np.quantile(best[y == 1], 0.03)
+        if low > high:  # the threshold's score goes to the middle of the gap
+            self.b = float(np.log(THRESHOLD / (1 - THRESHOLD)) - self.a * (high + low) / 2)
 
     def score(self, f: np.ndarray) -> np.ndarray:
         return sigmoid(self.a * f + self.b)
 
 
-def svm(x: np.ndarray, y: np.ndarray, seed: int, steps: int = 1500, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+class Scorer:
+    """Decisions of texts, with those of tokens seen before kept."""
+
+    def __init__(self, machine: Machine):
+        self.machine, self.similar, self.known, self.old = machine, Similar(machine.landmarks), {}, {}
+
+    def decisions(self, texts: list[str | None]) -> np.ndarray:
+        parts = [set(tokens(t.lower())) if t else set() for t in texts]
+        if len(self.known) > CACHE:
+            self.known, self.old = {}, self.known
+        new, old = set().union(*parts) - self.known.keys(), self.old
+        self.known.update({t: old[t] for t in new & old.keys()})
+        new = list(new - self.known.keys())
+        if new:
+            words = [letters(t) for t in new]
+            distinct = list(set(words))
+            f = dict(zip(distinct, (self.similar.of(distinct) @ self.machine.weights + self.machine.offset).tolist()))
+            self.known.update((t, f[w]) for t, w in zip(new, words))
+        return np.array([max(map(self.known.__getitem__, p), default=self.machine.offset) for p in parts])
+
+
+def svm(x: np.ndarray, y: np.ndarray, steps: int = 1500, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """A linear machine by the squared hinge loss, each class with equal weight, and accelerated gradients."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
@@ -231,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, n_folds: int = 4, held_out: int =
     return Machine([r[0] for r in got], y) if 0 < y.sum() < len(y) else None
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, n_folds: int = 4, held_out: int = 2, threshold: float = 0.3, column: str = "text", sample: int = SAMPLE, keep: bool = False) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, n_folds: int = 4, held_out: int = 2, threshold: float = THRESHOLD, column: str = "text", sample: int = SAMPLE, keep: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; with keep, the columns of docs, score and predicted.
 
     Null and empty texts have no token and get the score of a sentence unlike any landmark. Without labels of
@@ -245,7 +236,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, n_folds: int = 4, held_out: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        similar = Similar(m.landmarks) if m else None
+        scorer = Scorer(m) if m else None
         for batch in batches:
             texts = batch.column(read).to_pylist()
             score = np.zeros(len(texts))
@@ -255,7 +246,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, n_folds: int = 4, held_out: int
                 while hi < len(texts) and (hi == lo or size < 1 << 20):
                     size += len(texts[hi] or "")
                     hi += 1
-                score[lo:hi] = m.score(m.decisions(similar, texts[lo:hi]))
+                score[lo:hi] = m.score(scorer.decisions(texts[lo:hi]))
                 lo = hi
             predicted = pa.array((score >= threshold).astype(np.int32))
             first = [batch.column(c) for c in own] + ([] if keep else [batch.column("held_out")])
@@ -266,6 +257,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, n_folds: int = 4, held_out: int
     return rows.mapInArrow(run, schema)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows predicted to be toxic; columns as they are."""
     return toxicity(docs, labels, threshold=threshold, keep=True).where("__predicted = 0").drop("__score", "__predicted")
