@@ -2,9 +2,9 @@
 
 The kernel counts common subsequences of letters, each weighted by the decay to the power of the length it
 spans, so an insult with gaps or inserted characters still resembles itself. The Nyström map turns a token's
-similarities to some landmarks into features of a linear machine. It is trained on sentences, of which each is
-as toxic as its worst token: all sentences of clean texts, and of each toxic text the one that the machine finds
-worst, as only the text is labelled. A text's score is that of its worst sentence.
+similarities to some landmarks into features of a linear machine, trained on sentences, of which each counts by its
+worst token: all sentences of clean texts, and of each toxic text the one that the machine finds worst, as only
+the text is labelled. A text's score is a logistic function of its worst tokens and its length.
 """
 
 from __future__ import annotations
@@ -18,15 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, platt, sigmoid
+from .common import fold, labelled_sample, sigmoid
 
 #: The kernel's subsequences have three letters that span at most SPAN places, each place with this decay.
 SPAN, DECAY = 6, 0.5
 THRESHOLD = 0.3
 #: Power of the normalised kernel, itself a kernel that falls off more sharply.
 SHARPEN = 3
-#: Landmarks from words that toxic texts favour and from others, and how alike two landmarks may be.
-TOXIC, OTHER, ALIKE = 32, 6, 0.4
+#: Landmarks from words that toxic texts favour and from clean words that a first machine takes for them, and how alike two landmarks may be.
+TOXIC, OTHER, ALIKE = 40, 20, 0.6
+#: Least deviation of a word's count in toxic texts from the expected one, in its standard deviations.
+DEVIATION = 2.5
+#: Worst tokens of a text that its score is made of.
+WORST = 5
 #: Training texts of each class and their characters at most.
 SAMPLE, CHARS = 2000, 6000
 #: Characters of a piece of a long token; pieces overlap by half.
@@ -57,8 +61,8 @@ def subsequences(word: str) -> dict[tuple[str, str, str], float]:
 
 
 def letters(token: str) -> str:
-    """What the kernel sees of a token: its letters, so marks inserted in a word don't count."""
-    return NOT_LETTERS.sub("", token) if not token.isalpha() else token
+    """What the kernel sees of a token: where it begins and its letters, so marks inserted in a word don't count."""
+    return "^" + (NOT_LETTERS.sub("", token) if not token.isalpha() else token)
 
 
 def tokens(text: str) -> list[str]:
@@ -128,58 +132,73 @@ def self_kernel(s: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.add.reduceat(sums * sums, group.reshape(u.shape)[:, 0])
 
 
-def choose_landmarks(texts: list[str], y: np.ndarray) -> tuple[list[str], int]:
-    """Words by how much toxic texts favour them, none too like one before, and common long words of clean texts; how many are toxic."""
+def favoured(texts: list[str], y: np.ndarray) -> list[str]:
+    """Words that are in more toxic texts than chance explains, the most telling first."""
     seen = [Counter(), Counter()]
     for text, label in zip(texts, y):
-        seen[int(label)].update({w for s in sentences(text) for t in s if 3 <= len(w := letters(t)) <= PIECE})
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    lift = {w: c / n1 - 3 * seen[0][w] / n0 for w, c in seen[1].items() if c > 1}
-    ranked = [w for w in sorted(lift, key=lambda w: (-lift[w], w)) if lift[w] > 0][:400]
-    picked: list[str] = []
-    for w in ranked:
-        if len(picked) == TOXIC:
-            break
-        if not picked or Similar(picked).of([w]).max() < ALIKE:
-            picked.append(w)
-    clean = [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if len(w) >= 5 and w not in seen[1]][:OTHER]
-    picked = picked or ["none"]
-    return picked + (clean or ["none"]), len(picked)
+        seen[int(label)].update({w for t in set(tokens(text.lower())) if 3 < len(w := letters(t)) <= PIECE})
+    share = float(y.mean())
+    z = {w: (c - e) / (e + 1) ** 0.5 for w, c in seen[1].items() if c > 1 for e in [share * (c + seen[0][w])]}
+    ranked = sorted(z, key=lambda w: (-z[w], w))[:1000]
+    return [w for i, w in enumerate(ranked) if z[w] >= DEVIATION or i < 5] or ["^none"]
+
+
+def unlike(ranked: list[str], most: int) -> list[str]:
+    """The first words of a ranking of which none is too like one before."""
+    like, picked = Similar(ranked[:1000]).of(ranked[:1000]), []
+    for i in range(len(like)):
+        if len(picked) < most and (not picked or like[i, picked].max() < ALIKE):
+            picked.append(i)
+    return [ranked[i] for i in picked]
 
 
 class Machine:
     """Weights on similarities to landmarks: the linear machine's weights through the Nyström map."""
 
-    def __init__(self, texts: list[str], y: np.ndarray, rounds: int = 4):
-        self.landmarks, toxic = choose_landmarks(texts, y)
-        similar = Similar(self.landmarks)
-        values, vectors = np.linalg.eigh(similar.of(self.landmarks).astype(np.float64))
-        root = vectors / np.sqrt(np.maximum(values, 0.05)) @ vectors.T
+    def __init__(self, texts: list[str], y: np.ndarray, rounds: int = 3):
+        bad_words = favoured(texts, y)
         words: dict[str, int] = {}
-        split = [[[words.setdefault(w, len(words)) for w in {letters(t) for t in s}] for s in sentences(t)] or [[words.setdefault("", len(words))]] for t in texts]
-        x = similar.of(list(words)).astype(np.float64)
-        phi = x @ root
+        split = [[[words.setdefault(w, len(words)) for w in {letters(t) for t in s}] for s in sentences(t)] or [[words.setdefault("^", len(words))]] for t in texts]
         clean = [np.array(s) for parts, label in zip(split, y) if not label for s in parts]
         bad = [np.array([w for s in parts for w in s]) for parts, label in zip(split, y) if label]
-        known = np.array([words[w] for w in self.landmarks[:toxic] if w in words], np.int64)
-        f = x[:, :toxic].max(axis=1)  # at first, what is nearest to a toxic landmark is taken for the worst
-        negative = np.empty(0, np.int64)
-        for _ in range(rounds):
+        known = np.array([words[w] for w in bad_words if w in words], np.int64)
+        toxic = unlike(bad_words, TOXIC)
+        self.landmarks = toxic
+        x = Similar(toxic).of(list(words)).astype(np.float64)
+        f, names, negative = x.max(axis=1), list(words), np.empty(0, np.int64)
+        for k in range(rounds):  # at first, what is nearest to a toxic landmark is taken for the worst
             positive = np.unique(np.concatenate([[s[f[s].argmax()] for s in bad], known]).astype(np.int64))
-            negative = np.unique(np.concatenate([negative, [s[f[s].argmax()] for s in clean]]).astype(np.int64))
-            negative = np.setdiff1d(negative, known)
+            negative = np.setdiff1d(np.unique(np.concatenate([negative, [s[f[s].argmax()] for s in clean]]).astype(np.int64)), known)
+            if k == 0:
+                hard = [names[i] for i in negative[np.argsort(-f[negative], kind="stable")][:600]]
+                self.landmarks = toxic + unlike(hard, OTHER)
+                x = Similar(self.landmarks).of(names).astype(np.float64)
+                values, vectors = np.linalg.eigh(Similar(self.landmarks).of(self.landmarks).astype(np.float64))
+                root = vectors / np.sqrt(np.maximum(values, 0.05)) @ vectors.T
+                phi = x @ root
+            positive = positive if k else known
             rows = np.concatenate([positive, negative])
             w, b = svm(phi[rows], np.concatenate([np.ones(len(positive)), -np.ones(len(negative))]))
             f = phi @ w + b
         self.weights, self.offset = root @ w, b
-        best = np.array([max(f[w] for s in parts for w in s) for parts in split])
-        self.a, self.b = platt(best, y)
-        high, low = np.quantile(best[y == 0], 0.995), np.quantile(best[y == 1], 0.03)
-        if low > high:  # the threshold's score goes to the middle of the gap
-            self.b = float(np.log(THRESHOLD / (1 - THRESHOLD)) - self.a * (high + low) / 2)
+        g = np.array([self.features(np.unique(np.concatenate(parts)).size, f[np.unique(np.concatenate(parts))]) for parts in split])
+        self.mean, self.scale = g.mean(axis=0), g.std(axis=0) + 1e-6
+        z = (g - self.mean) / self.scale
+        self.v, self.b = logistic(z, y)
+        d = z @ self.v + self.b
+        self.b += float(np.log(THRESHOLD / (1 - THRESHOLD))) - best_cut(d, y)
+
+    def features(self, n: int, f: np.ndarray) -> np.ndarray:
+        """Of a text of n different words with these decisions: the worst ones, how many are bad, the length."""
+        f = np.clip(f, -2, 2)
+        worst = -np.sort(-np.partition(f, len(f) - WORST)[len(f) - WORST :]) if len(f) > WORST else np.concatenate([-np.sort(-f), np.full(WORST - len(f), -2.0)])
+        return np.array([*worst, np.log1p(np.maximum(f, 0).sum()), np.log1p(n)])
+
+    def decision(self, n: int, f: np.ndarray) -> float:
+        return float((self.features(n, f) - self.mean) / self.scale @ self.v + self.b)
 
     def score(self, f: np.ndarray) -> np.ndarray:
-        return sigmoid(self.a * f + self.b)
+        return sigmoid(f)
 
 
 class Scorer:
@@ -200,7 +219,28 @@ class Scorer:
             distinct = list(set(words))
             f = dict(zip(distinct, (self.similar.of(distinct) @ self.machine.weights + self.machine.offset).tolist()))
             self.known.update((t, f[w]) for t, w in zip(new, words))
-        return np.array([max(map(self.known.__getitem__, p), default=self.machine.offset) for p in parts])
+        return np.array([self.machine.decision(len(p), np.array(list(map(self.known.__getitem__, p)) or [-2.0])) for p in parts])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """A logistic regression by Newton's method, each class with equal weight."""
+    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    w = np.zeros(z.shape[1])
+    for _ in range(steps):
+        p = sigmoid(z @ w)
+        w -= np.linalg.solve((z.T * (weight * p * (1 - p))) @ z + penalty * np.eye(len(w)), z.T @ (weight * (p - y)) + penalty * w)
+    return w[:-1], float(w[-1])
+
+
+def best_cut(d: np.ndarray, y: np.ndarray) -> float:
+    """The cut of the decisions with the best F-measure, in the middle between two of them."""
+    order = np.argsort(-d, kind="stable")
+    hit = np.cumsum(y[order] == 1)
+    f = 2 * hit / (np.arange(1, len(d) + 1) + (y == 1).sum())
+    k = int(f.argmax())
+    s = d[order]
+    return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k] - 1)
 
 
 def svm(x: np.ndarray, y: np.ndarray, steps: int = 1500, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
