@@ -21,7 +21,7 @@ from .common import stored
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt int"
 PLAN = "length bigint, lo bigint, hi bigint, uses bigint, first bigint, base bigint"
 #: Pieces that one rank group (a length and a salt) has on average.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 2_000
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, column: str = "text") -> DataFrame:

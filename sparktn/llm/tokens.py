@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 
 import numpy as np
 
 #: Entries after which a generation of a worker's cache ends; what the next one doesn't use is forgotten.
 CACHE = 250_000
+#: Characters from which texts are encoded in several parts.
+PART = 1 << 20
 #: ASCII marks that make one piece when they close a word; an apostrophe may begin a contraction, so it is none of them.
 MARKS = ".,;:!?$%&*#|)"
 CONTROL = re.compile("[\x1c-\x1f]")
@@ -31,23 +34,38 @@ class Encoder:
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(n)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        out, lo = [], 0
+        while lo < len(texts):  # a part of bounded text at a time: its pieces stay in the processor's cache
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size < PART):
+                size += len(texts[hi] or "")
+                hi += 1
+            out += self.encode_part(texts[lo:hi])
+            lo = hi
+        return out
+
+    def encode_part(self, texts: list[str | None]) -> list[bytes]:
         # str.split() takes four control characters for white space that the tokenizer keeps
         parts = [t.split(" ") if CONTROL.search(t) else t.split() for t in (t or "" for t in texts)]
         if len(self.known) > CACHE:
             self.known, self.old = {}, self.known
         known = self.known
-        new = set().union(*parts) - known.keys()
-        self.recall(new)
-        new = list(new - known.keys())
+        new = self.recalled(p for p in set().union(*parts) if p not in known)
         split = [self.split(p) for p in new]
-        self.learn({q for x in split for q in x} - known.keys())
+        self.learn({q for x in split for q in x if q not in known})
         for p, x in zip(new, split):
             known[p] = known[x[0]] if len(x) == 1 else known[x[0]] + known[x[1]]
         return [b"".join(map(known.__getitem__, x)) for x in parts]
 
-    def recall(self, parts: set[str]) -> None:
-        old = self.old
-        self.known.update({p: old[p] for p in parts & old.keys()})
+    def recalled(self, parts: Iterable[str]) -> list[str]:
+        """Takes over what the last generation knows; the parts that it doesn't."""
+        known, old, new = self.known, self.old, []
+        for p in parts:
+            if (ids := old.get(p)) is None:
+                new.append(p)
+            else:
+                known[p] = ids
+        return new
 
     @staticmethod
     def split(part: str) -> tuple[str, ...]:
@@ -58,8 +76,7 @@ class Encoder:
         return (word.lower(),) if word == part else (word.lower(), part[len(word) :])
 
     def learn(self, new: set[str]) -> None:
-        self.recall(new)
-        new -= self.known.keys()
+        new = self.recalled(new)
         words = [p for p in new if p.isalpha()]
         rest = [p for p in new if not p.isalpha()]
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)

@@ -211,15 +211,19 @@ class Scorer:
         parts = [set(tokens(t.lower())) if t else set() for t in texts]
         if len(self.known) > CACHE:
             self.known, self.old = {}, self.known
-        new, old = set().union(*parts) - self.known.keys(), self.old
-        self.known.update({t: old[t] for t in new & old.keys()})
-        new = list(new - self.known.keys())
+        known, old, new = self.known, self.old, []
+        for t in set().union(*parts):
+            if t not in known:
+                if (f := old.get(t)) is None:
+                    new.append(t)
+                else:
+                    known[t] = f
         if new:
             words = [letters(t) for t in new]
             distinct = list(set(words))
             f = dict(zip(distinct, (self.similar.of(distinct) @ self.machine.weights + self.machine.offset).tolist()))
-            self.known.update((t, f[w]) for t, w in zip(new, words))
-        return np.array([self.machine.decision(len(p), np.array(list(map(self.known.__getitem__, p)) or [-2.0])) for p in parts])
+            known.update((t, f[w]) for t, w in zip(new, words))
+        return np.array([self.machine.decision(len(p), np.array(list(map(known.__getitem__, p)) or [-2.0])) for p in parts])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
