@@ -142,17 +142,17 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from .tokens import Encoder
+        from .tokens import encoder
 
         context = TaskContext.get()
         shard, attempt = context.partitionId(), str(context.taskAttemptId())
-        encoder, end = Encoder(tokenizer), end_id.to_bytes(4, "little")
+        own, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         keys, starts, lengths, docs, total, repeat = [], [], [], [], 0, 0
 
         def payload() -> Iterator[bytes]:
             nonlocal total, repeat
             for batch in batches:
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+                for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist())):
                     ids += end
                     repeat = repeat + 1 if docs and docs[-1] == doc else 0
                     docs.append(doc)

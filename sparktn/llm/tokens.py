@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
@@ -93,3 +94,9 @@ class Encoder:
             some = rest[at : at + 10_000]
             for p, e in zip(some, encode(some, add_special_tokens=False)):
                 self.known[p] = np.asarray(e.ids, dtype="<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """A worker process keeps its encoder from task to task."""
+    return Encoder(path)

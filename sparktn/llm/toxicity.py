@@ -119,6 +119,18 @@ class Similar:
         return out
 
 
+SCORERS: dict[bytes, Scorer] = {}
+
+
+def scorer_of(machine: Machine) -> Scorer:
+    """A worker process keeps the scorer of the last machine from task to task."""
+    key = machine.weights.tobytes()
+    if key not in SCORERS:
+        SCORERS.clear()
+        SCORERS[key] = Scorer(machine)
+    return SCORERS[key]
+
+
 def self_kernel(s: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The kernel of each row of character codes with itself."""
     u = (s[:, p[:, 0]] * 0x110000 + s[:, p[:, 1]]) * 0x110000 + s[:, p[:, 2]]
@@ -280,7 +292,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, n_folds: int = 4, held_out: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        scorer = Scorer(m) if m else None
+        scorer = scorer_of(m) if m else None
         for batch in batches:
             texts = batch.column(read).to_pylist()
             score = np.zeros(len(texts))
