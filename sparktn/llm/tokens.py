@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 
 #: Entries after which a generation of a worker's cache ends; what the next one doesn't use is forgotten.
-CACHE = 250_000
+CACHE = 600_000
+#: Below are no marks that combine, so texts are in normal form.
+PLAIN = "\u0300"
 #: Characters from which texts are encoded in several parts.
 PART = 1 << 20
 #: ASCII marks that make one piece when they close a word; an apostrophe may begin a contraction, so it is none of them.
@@ -28,9 +29,13 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        # lower-cased words of letters below PLAIN need no normalising and only white space splits them
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         n = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(n)])
 
@@ -50,23 +55,19 @@ class Encoder:
         parts = [t.split(" ") if CONTROL.search(t) else t.split() for t in (t or "" for t in texts)]
         if len(self.known) > CACHE:
             self.known, self.old = {}, self.known
-        known = self.known
-        new = self.recalled(p for p in set().union(*parts) if p not in known)
-        split = [self.split(p) for p in new]
+        known, old, here, new = self.known, self.old, {}, []
+        for p in set().union(*parts):  # looked up once in the large tables and then in a small one
+            if (ids := known.get(p)) is None:
+                if (ids := old.get(p)) is None:
+                    new.append(p)
+                    continue
+                known[p] = ids
+            here[p] = ids
+        split = list(map(self.split, new))
         self.learn({q for x in split for q in x if q not in known})
         for p, x in zip(new, split):
-            known[p] = known[x[0]] if len(x) == 1 else known[x[0]] + known[x[1]]
-        return [b"".join(map(known.__getitem__, x)) for x in parts]
-
-    def recalled(self, parts: Iterable[str]) -> list[str]:
-        """Takes over what the last generation knows; the parts that it doesn't."""
-        known, old, new = self.known, self.old, []
-        for p in parts:
-            if (ids := old.get(p)) is None:
-                new.append(p)
-            else:
-                known[p] = ids
-        return new
+            here[p] = known[p] = known[x[0]] if len(x) == 1 else known[x[0]] + known[x[1]]
+        return [b"".join(map(here.__getitem__, x)) for x in parts]
 
     @staticmethod
     def split(part: str) -> tuple[str, ...]:
@@ -77,13 +78,15 @@ class Encoder:
         return (word.lower(),) if word == part else (word.lower(), part[len(word) :])
 
     def learn(self, new: set[str]) -> None:
-        new = self.recalled(new)
-        words = [p for p in new if p.isalpha()]
-        rest = [p for p in new if not p.isalpha()]
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.known.update({p: self.old[p] for p in new if p in self.old})
+        words, rest = [], []
+        for p in new:
+            if p not in self.old:
+                (words if p.isalpha() and (p.isascii() or max(p) < PLAIN) else rest).append(p)
+        encode, plain = self.tokenizer.encode_batch_fast, self.plain.encode_batch_fast
         for at in range(0, len(words), 10_000):  # a word's last id, and no other, ends a word
             some = words[at : at + 10_000]
-            ids = np.asarray(encode([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.asarray(plain([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(cuts) != len(some):
                 rest += some
