@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, n_partitions, stored
@@ -29,12 +29,18 @@ TO_SPACE = bytes(32 if i in SPACES else i for i in range(256))
 U1 = np.uint64(1)
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
+def words_of(text: bytes) -> list[bytes]:
+    return [w for w in text.translate(ASCII_LOWER).translate(TO_SPACE).split(b" ") if w]
+
+
+def fingerprint(words: list[bytes], shingle: int) -> int:
+    """Of the words' shingles with repeats; shingle 0 takes each different word once."""
     from xxhash import xxh64_intdigest as h
 
-    words = [w for w in text.translate(ASCII_LOWER).translate(TO_SPACE).split(b" ") if w]
     if not words:
         return 0
+    if not shingle:
+        words, shingle = list(set(words)), 1
     if len(words) <= shingle:
         return h(b" ".join(words), 42)  # one hash: each of its bits is set in over half of them or in none
     joined = b" ".join(words)
@@ -49,19 +55,20 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, column: str = "text") -> DataFrame:
-    """doc_id, raw (XXH64 of the text) and fp (the fingerprint's bits as a bigint) for every row."""
+def fingerprints(docs: DataFrame, shingle: int = 4, column: str = "text", also: int | None = None) -> DataFrame:
+    """doc_id, raw (XXH64 of the text), fp (the fingerprint's bits as a bigint) and other (that of another length of shingles, or 0) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            words = map(words_of, texts)
+            fps = np.array([(fingerprint(w, shingle), 0 if also is None else fingerprint(w, also)) for w in words], np.uint64).reshape(-1, 2).view(np.int64)
             raw = np.array([xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw), pa.array(fps)], ["doc_id", "raw", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy())], ["doc_id", "raw", "fp", "other"])
 
-    return docs.select("doc_id", F.coalesce(F.col(column), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, raw bigint, fp bigint")
+    return docs.select("doc_id", F.coalesce(F.col(column), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, raw bigint, fp bigint, other bigint")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -84,13 +91,16 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def grouped(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """gid, fixed (the bits that a group's members share) and fp, for every choice of blocks that must agree."""
+    """gid, fixed (the bits that a group's members share), fp and other, for every choice of blocks that must agree.
+
+    So many blocks are fixed that a group has some sixteen nodes on average if fingerprints are spread evenly.
+    """
     n = nodes.count()
-    blocks = limit + (2 if n <= 1 << 23 else 3 if n <= 1 << 29 else 4)
+    blocks = next((limit + k for k in range(2, 5) if n >> 4 <= 1 << 64 * k // (limit + k)), limit + 5)
     parts = masks((1 << 64) - 1, blocks)
     fixed = [sum(c) for c in combinations(parts, blocks - limit)]
     long = [m - (1 << 64) if m >> 63 else m for m in fixed]
-    return nodes.select(F.explode(F.array(*(F.lit(m).cast("bigint") for m in long))).alias("fixed"), "fp").select(F.xxhash64("fixed", F.col("fp").bitwiseAND(F.col("fixed"))).alias("gid"), "fixed", "fp")
+    return nodes.select(F.explode(F.array(*(F.lit(m).cast("bigint") for m in long))).alias("fixed"), "fp", "other").select(F.xxhash64("fixed", F.col("fp").bitwiseAND(F.col("fixed"))).alias("gid"), "fixed", "fp", "other")
 
 
 def split(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -98,17 +108,17 @@ def split(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gid, fixed, fp = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
+            gid, fixed, fp, other = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(4))
             out = []
             for f in np.unique(fixed):
                 own = fixed == f
                 for k, m in enumerate(masks(~int(f) & (1 << 64) - 1, limit + 1)):
                     m = np.uint64(m)
-                    out.append((mixed(mixed(gid[own], np.full(own.sum(), k + 1, np.uint64)), fp[own] & m), np.full(own.sum(), f | m), fp[own]))
+                    out.append((mixed(mixed(gid[own], np.full(own.sum(), k + 1, np.uint64)), fp[own] & m), np.full(own.sum(), f | m), fp[own], other[own]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*out)], ["gid", "fixed", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*out)], ["gid", "fixed", "fp", "other"])
 
-    return rows.mapInArrow(run, "gid bigint, fixed bigint, fp bigint")
+    return rows.mapInArrow(run, "gid bigint, fixed bigint, fp bigint, other bigint")
 
 
 class Forest:
@@ -137,13 +147,13 @@ class Forest:
                 self.edges.append((int(a[i]), int(b[i])))
 
 
-def linked(fps: np.ndarray, limit: int = LIMIT, block: int = 256) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of different fingerprints at most `limit` bits apart, as positions."""
+def linked(fps: np.ndarray, others: np.ndarray, limit: int = LIMIT, apart: int = 64, block: int = 256) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of nodes at most `limit` bits apart, and `apart` in the other fingerprint, as positions."""
     n = len(fps)
     order = np.argsort(gray_rank(fps), kind="stable")
-    s = fps[order]
+    s, o = fps[order], others[order]
     forest = Forest(n)
-    near = np.flatnonzero(np.bitwise_count(s[1:] ^ s[:-1]) <= limit)
+    near = np.flatnonzero((np.bitwise_count(s[1:] ^ s[:-1]) <= limit) & (np.bitwise_count(o[1:] ^ o[:-1]) <= apart))
     if len(near):
         forest.link(near, near + 1)
     levels = [(s, np.full(n, ~np.uint64(0)))]  # from the leaves up: shared pattern and mask
@@ -176,47 +186,47 @@ def linked(fps: np.ndarray, limit: int = LIMIT, block: int = 256) -> list[tuple[
                 q, node = np.repeat(q, FANOUT), (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 keep = node < below
                 q, node = q[keep], node[keep]
-        keep = node > q
+        keep = (node > q) & (np.bitwise_count(o[q] ^ o[node]) <= apart)
         if keep.any():
             forest.link(q[keep], node[keep])
     return [(int(order[a]), int(order[b])) for a, b in forest.edges]
 
 
-def group_edges(rows: DataFrame, partitions: int, limit: int = LIMIT) -> DataFrame:
-    """a, b: edges between fingerprints of one group, enough to connect what is linked in it."""
+def group_edges(rows: DataFrame, partitions: int, limit: int = LIMIT, apart: int = 64) -> DataFrame:
+    """a, a2, b, b2: edges between nodes of one group, enough to connect what is linked in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_g, rest_f = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        rest = [np.empty(0, np.uint64)] * 3
 
-        def edges(gid: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def edges(gid: np.ndarray, fp: np.ndarray, other: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]])) if len(gid) else np.empty(0, int)
             sizes = np.diff([*starts, len(gid)])
             two = starts[sizes == 2]
-            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= limit]
-            a, b = [fp[two]], [fp[two + 1]]
+            two = two[(np.bitwise_count(fp[two] ^ fp[two + 1]) <= limit) & (np.bitwise_count(other[two] ^ other[two + 1]) <= apart)]
+            a, b = [two], [two + 1]
             for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                own = np.unique(fp[at : at + n])
-                found = linked(own, limit)
+                found = linked(fp[at : at + n], other[at : at + n], limit, apart)
                 if found:
                     i, j = np.array(found).T
-                    a.append(own[i])
-                    b.append(own[j])
+                    a.append(i + at)
+                    b.append(j + at)
             a, b = np.concatenate(a), np.concatenate(b)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fp[a], other[a], fp[b], other[b])], ["a", "a2", "b", "b2"])
 
         for batch in batches:
-            gid, fp = (np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64)]) for r, i in ((rest_g, 0), (rest_f, 1)))
+            now = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64)]) for i, r in enumerate(rest)]
+            gid = now[0]
             whole = int(np.flatnonzero(gid != gid[-1])[-1]) + 1 if len(gid) and gid[0] != gid[-1] else 0
-            yield from edges(gid[:whole], fp[:whole])
-            rest_g, rest_f = gid[whole:], fp[whole:]
-        yield from edges(rest_g, rest_f)
+            yield from edges(*(x[:whole] for x in now))
+            rest = [x[whole:] for x in now]
+        yield from edges(*rest)
 
-    return rows.select("gid", "fp").repartition(partitions, "gid").sortWithinPartitions("gid").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("gid", "fp", "other").repartition(partitions, "gid").sortWithinPartitions("gid").mapInArrow(run, "a bigint, a2 bigint, b bigint, b2 bigint")
 
 
-def edges(nodes: DataFrame, limit: int = LIMIT, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """a, b: edges that connect all fingerprints at most `limit` bits apart."""
+def edges(nodes: DataFrame, limit: int = LIMIT, group_rows: int = GROUP_ROWS, apart: int = 64) -> DataFrame:
+    """a, b: edges, by node number, that connect all nodes at most `limit` bits apart, and `apart` in the other fingerprint."""
     spark, parts = nodes.sparkSession, n_partitions(nodes.sparkSession)
     rows, found = grouped(nodes, limit), None
     while True:
@@ -224,11 +234,11 @@ def edges(nodes: DataFrame, limit: int = LIMIT, group_rows: int = GROUP_ROWS) ->
         hot = spark.createDataFrame(over.limit(100_000).collect(), "gid bigint")  # groups over the cap, a tenth of a million at a time
         some = not hot.isEmpty()
         calm = rows.join(F.broadcast(hot), "gid", "left_anti") if some else rows
-        new = group_edges(calm, parts, limit)
+        new = group_edges(calm, parts, limit, apart)
         found = new if found is None else found.unionByName(new)
         if not some:
-            return found.distinct()
-        rows = stored(split(rows.join(F.broadcast(hot), "gid", "left_semi").select("gid", "fixed", "fp"), limit), "groups")
+            return found.select(node_of("a", "a2").alias("a"), node_of("b", "b2").alias("b")).distinct()
+        rows = stored(split(rows.join(F.broadcast(hot), "gid", "left_semi").select("gid", "fixed", "fp", "other"), limit), "groups")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -248,25 +258,37 @@ def components(pairs: DataFrame) -> DataFrame:
         mark = (got["n"], got["h"])
 
 
-def near_groups(docs: DataFrame, shingle: int = 4, limit: int = LIMIT, column: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
+def node_of(fp: str, other: str) -> Column:
+    """A node's number: the fingerprint, or a hash of both where there is another."""
+    return F.when(F.col(other) == 0, F.col(fp)).otherwise(F.xxhash64(fp, other))
+
+
+def near_groups(docs: DataFrame, shingle: int = 4, limit: int = LIMIT, column: str = "text", group_rows: int = GROUP_ROWS, also: int | None = None, apart: int = 64) -> DataFrame:
     """doc_id, raw, fingerprint, component_id for every row.
 
+    With `also`, links are checked: fingerprints of that length of shingles must differ in at most `apart` bits.
+
     Null and empty texts and those without words have fingerprint zero, which links as any other. The
     component_id is the smallest doc_id that links reach; null keys count for it only where a component
     has no other, which then is null. Repeated rows share their node. An empty table gives no rows.
     """
-    prints = stored(fingerprints(docs, shingle, column), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    root = components(edges(nodes.select("fp"), limit, group_rows))
-    joined = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints = stored(fingerprints(docs, shingle, column, also).withColumn("node", node_of("fp", "other")), "fingerprints")
+    nodes = stored(prints.groupBy("node", "fp", "other").agg(F.min("doc_id").alias("least")), "nodes")
+    root = components(edges(nodes.select("fp", "other"), limit, group_rows, apart)).withColumnRenamed("node", "__node")
+    joined = nodes.join(root, F.col("node") == F.col("__node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = joined.join(ids, "root").select(F.col("fp").alias("node"), "component_id")
-    return prints.join(member, prints["fp"] == member["node"]).select("doc_id", "raw", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    member = joined.join(ids, "root").select(F.col("node").alias("__node"), "component_id")
+    return prints.join(member, F.col("node") == F.col("__node")).select("doc_id", "raw", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: For copies whose five-word shingles are similar to 0.8 or more: bits of the fingerprint of different words, which an
+#: edit changes little, and of that of five-word shingles, which tells texts of the same words apart.
+NEAR, SHINGLE, APART = 7, 5, 14
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, limit: int = LIMIT, column: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, column: str = "text") -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id; columns as they are."""
-    found = near_groups(docs, shingle, limit, column)
+    found = near_groups(docs, 0, NEAR, column, also=SHINGLE, apart=APART)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("raw").alias("__kept")).select(F.col("component_id").alias("__keep"), "__kept")
     marked = docs.withColumn("__raw", F.xxhash64(F.coalesce(F.col(column), F.lit(""))))
     return marked.join(kept, marked["doc_id"].eqNullSafe(kept["__keep"]) & (F.col("__raw") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__raw"]).drop("__raw")
