@@ -15,6 +15,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTER = re.compile(r"[^\W\d_]")
 
 
+#: What a worker process keeps from task to task: one helper at a time, so that stages don't add up.
+KEPT: dict[object, object] = {}
+
+
+def kept(key: object = None, make=lambda: None):
+    """The worker's helper of this key, made anew if it last had another; without a key, the last one is freed."""
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = make()
+    return KEPT[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

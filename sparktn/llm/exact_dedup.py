@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, UPPER, n_partitions, stored
+from .common import LOWER, UPPER, kept, n_partitions, stored
 
 #: Bytes of different text from which a bucket is split, unless that would make more than MOST_BUCKETS.
 BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 8192
 #: Directory bits that one pass over the counts can add.
 STEP = 12
 #: Bytes of text that a map task holds while it aggregates.
-HELD_BYTES = 48 << 20
+HELD_BYTES = 24 << 20
 ROW = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("sha", pa.string()), ("raw", pa.int64()), ("bytes", pa.int64())])
 ENTRY = pa.schema([("key", pa.int64()), ("sha", pa.string()), ("norm", pa.binary()), ("keep_id", pa.int64()), ("at_keep", pa.int64()), ("n", pa.int64())])
 PAGE = pa.schema([("bucket", pa.int64()), ("key", pa.int64()), ("chain", pa.int32()), ("sha", pa.string()), ("keep_id", pa.int64()), ("at_keep", pa.int64()), ("group_size", pa.int64())])
@@ -46,6 +46,7 @@ def digest(docs: DataFrame, column: str = "text") -> DataFrame:
     """doc_id, key and sha of the normalised text, raw (XXH64 of the text as it is) and bytes, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
@@ -68,6 +69,7 @@ def preaggregated(docs: DataFrame, column: str = "text") -> DataFrame:
     """Different texts of each map task with their counts; a task flushes what it holds when that grows too large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         held: dict[bytes, list] = {}
         size = 0
 
@@ -186,6 +188,6 @@ def exact_groups(docs: DataFrame, column: str = "text") -> DataFrame:
 
 def keep_one(docs: DataFrame, column: str = "text") -> DataFrame:
     """docs without the rows whose normalised text equals that of a kept one; columns as they are."""
-    kept = decided(docs, column).where("kept").select(F.col("doc_id").alias("__keep"), F.col("raw").alias("__kept"))
+    stay = decided(docs, column).where("kept").select(F.col("doc_id").alias("__keep"), F.col("raw").alias("__kept"))
     marked = docs.withColumn("__raw", F.xxhash64(F.coalesce(F.col(column), F.lit(""))))
-    return marked.join(kept, marked["doc_id"].eqNullSafe(kept["__keep"]) & (F.col("__raw") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__raw"]).drop("__raw")
+    return marked.join(stay, marked["doc_id"].eqNullSafe(stay["__keep"]) & (F.col("__raw") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__raw"]).drop("__raw")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, n_partitions, stored
+from .common import LOWER, UPPER, kept, n_partitions, stored
 
 LIMIT, FANOUT = 4, 8
 #: Nodes of a group from which it is split by further blocks.
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, column: str = "text", also:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        kept()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             words = map(words_of, texts)
@@ -289,6 +290,6 @@ NEAR, SHINGLE, APART = 7, 5, 14
 def keep_one(docs: DataFrame, column: str = "text") -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id; columns as they are."""
     found = near_groups(docs, 0, NEAR, column, also=SHINGLE, apart=APART)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("raw").alias("__kept")).select(F.col("component_id").alias("__keep"), "__kept")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("raw").alias("__kept")).select(F.col("component_id").alias("__keep"), "__kept")
     marked = docs.withColumn("__raw", F.xxhash64(F.coalesce(F.col(column), F.lit(""))))
-    return marked.join(kept, marked["doc_id"].eqNullSafe(kept["__keep"]) & (F.col("__raw") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__raw"]).drop("__raw")
+    return marked.join(stay, marked["doc_id"].eqNullSafe(stay["__keep"]) & (F.col("__raw") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__raw"]).drop("__raw")

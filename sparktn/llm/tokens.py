@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from .common import kept
+
 #: Entries after which a generation of a worker's cache ends; what the next one doesn't use is forgotten.
-CACHE = 600_000
+CACHE = 400_000
 #: Below are no marks that combine, so texts are in normal form.
 PLAIN = "\u0300"
 #: Characters from which texts are encoded in several parts.
@@ -99,7 +100,6 @@ class Encoder:
                 self.known[p] = np.asarray(e.ids, dtype="<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """A worker process keeps its encoder from task to task."""
-    return Encoder(path)
+    return kept(path, lambda: Encoder(path))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, sigmoid
+from .common import fold, kept, labelled_sample, sigmoid
 
 #: The kernel's subsequences have three letters that span at most SPAN places, each place with this decay.
 SPAN, DECAY = 6, 0.5
@@ -35,7 +35,7 @@ WORST = 5
 SAMPLE, CHARS = 2000, 6000
 #: Characters of a piece of a long token; pieces overlap by half.
 PIECE = 24
-CACHE = 300_000
+CACHE = 200_000
 SENTENCE = re.compile(r"[.!?]\s|\n")
 SINGLES = re.compile(r"(?:(?<=\s)|^)(?:\S[ \t]){3,}\S(?=\s|$)")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -119,16 +119,8 @@ class Similar:
         return out
 
 
-SCORERS: dict[bytes, Scorer] = {}
-
-
 def scorer_of(machine: Machine) -> Scorer:
-    """A worker process keeps the scorer of the last machine from task to task."""
-    key = machine.weights.tobytes()
-    if key not in SCORERS:
-        SCORERS.clear()
-        SCORERS[key] = Scorer(machine)
-    return SCORERS[key]
+    return kept(machine.weights.tobytes(), lambda: Scorer(machine))
 
 
 def self_kernel(s: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
