@@ -23,6 +23,8 @@ from .common import LOWER, UPPER, kept, n_partitions, stored
 LIMIT, FANOUT = 4, 8
 #: Nodes of a group from which it is split by further blocks.
 GROUP_ROWS = 20_000
+#: Times that a group is split; what is still large then is searched in one task, 24 bytes a node, where whole linked subtrees are passed over.
+SPLITS = 2
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SPACES = bytes([32, 9, 10, 11, 12, 13])
 TO_SPACE = bytes(32 if i in SPACES else i for i in range(256))
@@ -230,10 +232,10 @@ def edges(nodes: DataFrame, limit: int = LIMIT, group_rows: int = GROUP_ROWS, ap
     """a, b: edges, by node number, that connect all nodes at most `limit` bits apart, and `apart` in the other fingerprint."""
     spark, parts = nodes.sparkSession, n_partitions(nodes.sparkSession)
     rows, found = grouped(nodes, limit), None
-    while True:
+    for level in range(SPLITS + 1):
         over = rows.groupBy("gid").agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("gid")
         hot = spark.createDataFrame(over.limit(100_000).collect(), "gid bigint")  # groups over the cap, a tenth of a million at a time
-        some = not hot.isEmpty()
+        some = level < SPLITS and not hot.isEmpty()
         calm = rows.join(F.broadcast(hot), "gid", "left_anti") if some else rows
         new = group_edges(calm, parts, limit, apart)
         found = new if found is None else found.unionByName(new)

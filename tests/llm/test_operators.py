@@ -360,7 +360,7 @@ def test_perfect_hash():
     assert sum(index.find(token_output.key_bytes(i, 1)) is not None for i in range(2000)) == 0
     assert token_output.Index(token_output.index_bytes([], [], [], 2)).find(b"x") is None
     with pytest.raises(ValueError):
-        token_output.Index(b"TNIDX001" + bytes(31))
+        token_output.Index(b"TNIDX002" + bytes(32))
 
 
 def test_pipeline(spark, tmp_path):
