@@ -27,6 +27,8 @@ MAGIC = b"TNIDX001"
 HEADER = struct.Struct("<8sQQQQ")
 SLOT = np.dtype([("print", "<u4"), ("start", "<u8"), ("n", "<u8")])
 KEYS_A_BUCKET = 4
+#: Pieces of text in a generation of the encoder's cache: about 200 bytes each, two generations a worker.
+CACHED = 800_000
 MASK = (1 << 64) - 1
 
 
@@ -146,7 +148,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
 
         context = TaskContext.get()
         shard, attempt = context.partitionId(), str(context.taskAttemptId())
-        own, end = encoder(tokenizer), end_id.to_bytes(4, "little")
+        own, end = encoder(tokenizer, CACHED), end_id.to_bytes(4, "little")
         keys, starts, lengths, docs, total, repeat = [], [], [], [], 0, 0
 
         def payload() -> Iterator[bytes]:

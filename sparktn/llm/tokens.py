@@ -28,7 +28,8 @@ class Encoder:
     another; parts repeat, so they are encoded once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -54,7 +55,7 @@ class Encoder:
     def encode_part(self, texts: list[str | None]) -> list[bytes]:
         # str.split() takes four control characters for white space that the tokenizer keeps
         parts = [t.split(" ") if CONTROL.search(t) else t.split() for t in (t or "" for t in texts)]
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known, self.old = {}, self.known
         known, old, here, new = self.known, self.old, {}, []
         for p in set().union(*parts):  # looked up once in the large tables and then in a small one
@@ -100,6 +101,6 @@ class Encoder:
                 self.known[p] = np.asarray(e.ids, dtype="<u4").tobytes()
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """A worker process keeps its encoder from task to task."""
-    return kept(path, lambda: Encoder(path))
+    return kept((path, cache), lambda: Encoder(path, cache))
