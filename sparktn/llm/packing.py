@@ -37,7 +37,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         own, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1))):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]

@@ -154,7 +154,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
         def payload() -> Iterator[bytes]:
             nonlocal total, repeat
             for batch in batches:
-                for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist())):
+                for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1))):
                     ids += end
                     repeat = repeat + 1 if docs and docs[-1] == doc else 0
                     docs.append(doc)
