@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, kept, n_partitions, stored
+from .common import LOWER, UPPER, kept, n_partitions, small, stored
 
 LIMIT, FANOUT = 4, 8
 #: Nodes of a group from which it is split by further blocks.
@@ -35,6 +35,16 @@ def words_of(text: bytes) -> list[bytes]:
     return [w for w in text.translate(ASCII_LOWER).translate(TO_SPACE).split(b" ") if w]
 
 
+def shingled(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of all runs of so many words, one after the other."""
+    from xxhash import xxh64_intdigest as h
+
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = (ends[: len(words) - shingle + 1] - [len(w) + 1 for w in words[: len(words) - shingle + 1]]).tolist()
+    return np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())), np.uint64, len(starts))
+
+
 def fingerprint(words: list[bytes], shingle: int) -> int:
     """Of the words' shingles with repeats; shingle 0 takes each different word once."""
     from xxhash import xxh64_intdigest as h
@@ -45,10 +55,7 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
         words, shingle = list(set(words)), 1
     if len(words) <= shingle:
         return h(b" ".join(words), 42)  # one hash: each of its bits is set in over half of them or in none
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends[: len(words) - shingle + 1] - [len(w) + 1 for w in words[: len(words) - shingle + 1]]).tolist()
-    hashes = np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())), np.uint64, len(starts))
+    hashes = shingled(words, shingle)
     n = len(hashes)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 65_536):
@@ -284,14 +291,156 @@ def near_groups(docs: DataFrame, shingle: int = 4, limit: int = LIMIT, column: s
     return prints.join(member, F.col("node") == F.col("__node")).select("doc_id", "raw", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For copies whose five-word shingles are similar to 0.8 or more: bits of the fingerprint of different words, which an
-#: edit changes little, and of that of five-word shingles, which tells texts of the same words apart.
-NEAR, SHINGLE, APART = 7, 5, 14
+#: Near copies of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more.
+#: Candidates agree in all ROWS minima of one of BANDS bands: of pairs at 0.8, 1 - (1 - 0.8^5)^24 = 99.99 %, whatever the edit.
+SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 5
+#: Share of equal minima from which a candidate is checked (0.8 less three deviations), and partners checked for each member of a band's group.
+LIKELY, PARTNERS = 0.69, 3
+#: Members of a band's group from which those with TIGHT equal minima are searched through one of them.
+DENSE, TIGHT = 2_000, 0.9
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + U1
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Different hashes of the five-word shingles; a shorter text, or one without words, is one shingle."""
+    from xxhash import xxh64_intdigest as h
+
+    words = words_of(text)
+    return np.unique(shingled(words, SHINGLE)) if len(words) > SHINGLE else np.array([h(b" ".join(words), 42)], np.uint64)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    least = np.full(len(FACTORS), ~np.uint64(0))
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, np.multiply.outer(hashes[at : at + 512], FACTORS).min(axis=0), out=least)
+    return least
+
+
+def sketches(docs: DataFrame, column: str = "text") -> DataFrame:
+    """doc_id, raw (XXH64 of the text), keys (a hash of each band) and sketch (the low byte of each minimum) for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        kept()
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            raw = np.array([xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
+            least = np.array([minima(shingle_set(t)) for t in texts], np.uint64).reshape(-1, BANDS, ROWS)
+            keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(texts), 1))
+            for r in range(ROWS):
+                keys = mixed(keys, least[:, :, r])
+            sketch = [x.tobytes() for x in least.reshape(len(texts), -1).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "raw", "keys", "sketch"])
+
+    return docs.select("doc_id", F.coalesce(F.col(column), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, raw bigint, keys array<bigint>, sketch binary")
+
+
+def likely(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs to check in a group, at most 1 + PARTNERS for each member: a spanning forest of the most equal minima and each member's best partners.
+
+    Cut at a threshold, a greatest spanning forest has the components of all pairs; partners make up for
+    what minima misjudge. It holds a few numbers a member at a time, never all pairs.
+    """
+    n, floor = len(sketch), LIKELY * sketch.shape[1]
+    a, b, left = [], [], np.arange(n)
+    heads = left
+    if n > DENSE:
+        chosen = []
+        while len(left):
+            head = left[0]
+            tight = (sketch[left] == sketch[head]).sum(axis=1) >= TIGHT * sketch.shape[1]
+            tight[0] = True
+            chosen.append(head)
+            a.append(np.full(int(tight.sum()) - 1, head))
+            b.append(left[tight][1:])
+            left = left[~tight]
+        heads = np.array(chosen)
+    own = sketch[heads]
+    k = len(heads)
+    best, at, out = np.full(k, -1), np.zeros(k, int), np.ones(k, bool)
+    now = 0
+    for _ in range(k):
+        out[now] = False
+        if best[now] >= floor:
+            a.append(heads[[at[now]]])
+            b.append(heads[[now]])
+        equal = (own == own[now]).sum(axis=1)
+        equal[now] = -1
+        top = np.argpartition(equal, -PARTNERS)[-PARTNERS:] if k > PARTNERS else np.arange(k)
+        top = top[equal[top] >= floor]
+        a.append(np.full(len(top), heads[now]))
+        b.append(heads[top])
+        nearer = out & (equal > best)
+        best[nearer], at[nearer] = equal[nearer], now
+        now = int(np.argmax(np.where(out, best, -2)))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """a, b: pairs of raw, a < b, whose shingles are to be compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, BANDS * ROWS), np.uint8)]
+
+        def pairs(gid: np.ndarray, raw: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]])) if len(gid) else np.empty(0, int)
+            sizes = np.diff([*starts, len(gid)])
+            two = starts[sizes == 2]
+            two = two[(sketch[two] == sketch[two + 1]).sum(axis=1) >= LIKELY * sketch.shape[1]]
+            a, b = [two], [two + 1]
+            for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                i, j = likely(sketch[at : at + n])
+                a.append(i + at)
+                b.append(j + at)
+            x, y = raw[np.concatenate(a)], raw[np.concatenate(b)]
+            if len(x):
+                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0].copy()), pa.array(both[1].copy())], ["a", "b"])
+
+        for batch in batches:
+            sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+            now = [np.concatenate([r, x]) for r, x in zip(rest, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), sketch))]
+            gid = now[0]
+            whole = int(np.flatnonzero(gid != gid[-1])[-1]) + 1 if len(gid) and gid[0] != gid[-1] else 0
+            yield from pairs(*(x[:whole] for x in now))
+            rest = [x[whole:] for x in now]
+        yield from pairs(*rest)
+
+    rows = prints.select("raw", F.explode("keys").alias("gid")).distinct()
+    shared = rows.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select("gid")
+    members = rows.join(shared, "gid").join(prints.select("raw", "sketch").dropDuplicates(["raw"]), "raw")
+    dealt = members.select("gid", "raw", "sketch").repartition(n_partitions(prints.sparkSession), "gid")
+    return dealt.sortWithinPartitions("gid", F.xxhash64("gid", "raw")).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def alike(docs: DataFrame, pairs: DataFrame, column: str = "text") -> DataFrame:
+    """The pairs whose sets of shingles have a Jaccard similarity of SIMILAR or more, all shingles compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["raw", "shingles"])
+
+    text = F.coalesce(F.col(column), F.lit(""))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("raw")).distinct()
+    sets = docs.select(F.xxhash64(text).alias("raw"), text.alias("text")).join(small(asked, 500_000), "raw", "left_semi").mapInArrow(run, "raw bigint, shingles array<bigint>")
+    sets = stored(sets.dropDuplicates(["raw"]), "shingles")
+    joined = pairs.join(sets.select(F.col("raw").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("raw").alias("b"), F.col("shingles").alias("t")), "b")
+    met = joined.select("a", "b", F.size(F.array_intersect("s", "t")).alias("met"), (F.size("s") + F.size("t")).alias("all"))
+    return met.where(F.col("met") >= SIMILAR * (F.col("all") - F.col("met"))).select("a", "b")
 
 
 def keep_one(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id; columns as they are."""
-    found = near_groups(docs, 0, NEAR, column, also=SHINGLE, apart=APART)
+    """docs with one row of each component of near copies, that of the smallest doc_id; columns as they are.
+
+    Equal texts are one node. Rows without a doc_id stay only where a component has no other.
+    """
+    prints = stored(sketches(docs, column), "sketches")
+    pairs = stored(candidates(prints), "candidates")
+    root = components(alike(docs, pairs, column)).withColumnRenamed("node", "__node")
+    joined = prints.select("doc_id", "raw").join(root, F.col("raw") == F.col("__node"), "left").select("doc_id", "raw", F.coalesce("root", "raw").alias("root"))
+    found = joined.join(joined.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("raw").alias("__kept")).select(F.col("component_id").alias("__keep"), "__kept")
     marked = docs.withColumn("__raw", F.xxhash64(F.coalesce(F.col(column), F.lit(""))))
     return marked.join(stay, marked["doc_id"].eqNullSafe(stay["__keep"]) & (F.col("__raw") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__raw"]).drop("__raw")
