@@ -440,7 +440,6 @@ def keep_one(docs: DataFrame, column: str = "text") -> DataFrame:
     pairs = stored(candidates(prints), "candidates")
     root = components(alike(docs, pairs, column)).withColumnRenamed("node", "__node")
     joined = prints.select("doc_id", "raw").join(root, F.col("raw") == F.col("__node"), "left").select("doc_id", "raw", F.coalesce("root", "raw").alias("root"))
-    found = joined.join(joined.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("raw").alias("__kept")).select(F.col("component_id").alias("__keep"), "__kept")
+    stay = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("s")).select(F.col("s.doc_id").alias("__keep"), F.col("s.raw").alias("__kept"))
     marked = docs.withColumn("__raw", F.xxhash64(F.coalesce(F.col(column), F.lit(""))))
     return marked.join(stay, marked["doc_id"].eqNullSafe(stay["__keep"]) & (F.col("__raw") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__raw"]).drop("__raw")

@@ -56,3 +56,10 @@ def test_dense_groups_give_few_pairs():
     for x, y in zip(a, b):
         up[up == up[y]] = up[x]
     assert len(set(up.tolist())) == 1 and len(a) <= (1 + simhash.PARTNERS) * len(sketch)
+
+
+def test_one_survivor_of_each_component_whatever_its_keys(spark):
+    a, b, c, d = (" ".join(text(40)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (None, c + " more")]
+    got = sorted(simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), key=str)
+    assert got == sorted([(None, a), (None, b), (7, c), (7, d)], key=str)
