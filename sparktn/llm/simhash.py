@@ -28,6 +28,8 @@ SPLITS = 2
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SPACES = bytes([32, 9, 10, 11, 12, 13])
 TO_SPACE = bytes(32 if i in SPACES else i for i in range(256))
+#: Candidate pairs that the search of a group holds at a time, unless it has more nodes.
+PAIRS = 1 << 22
 U1 = np.uint64(1)
 
 
@@ -160,6 +162,7 @@ class Forest:
 def linked(fps: np.ndarray, others: np.ndarray, limit: int = LIMIT, apart: int = 64, block: int = 256) -> list[tuple[int, int]]:
     """Edges of a spanning forest of nodes at most `limit` bits apart, and `apart` in the other fingerprint, as positions."""
     n = len(fps)
+    block = max(1, min(block, PAIRS // max(1, n)))
     order = np.argsort(gray_rank(fps), kind="stable")
     s, o = fps[order], others[order]
     forest = Forest(n)

@@ -63,3 +63,16 @@ def test_one_survivor_of_each_component_whatever_its_keys(spark):
     rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (None, c + " more")]
     got = sorted(simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), key=str)
     assert got == sorted([(None, a), (None, b), (7, c), (7, d)], key=str)
+
+
+def test_search_of_a_group_holds_few_pairs(monkeypatch):
+    """Equal fingerprints that the second one tells apart: all pairs are candidates and none is linked."""
+    import tracemalloc
+
+    monkeypatch.setattr(simhash, "PAIRS", 30_000, raising=False)
+    others = RNG.integers(0, 1 << 63, 3000).astype(np.uint64)
+    tracemalloc.start()
+    assert simhash.linked(np.full(3000, 5, np.uint64), others, 7, 2) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6
