@@ -12,10 +12,18 @@ from pyspark.sql import functions as F
 
 from .common import small, stored
 
-#: Places of a window that a mask looks at.
-MASKS = ((0, 1, 3, 6, 7, 9), (0, 2, 3, 4, 8, 10))
 #: Words over which a verified overlap is measured (the item's if fewer), the share that must be equal, and words below which all must be.
 WINDOW, SHARE, EXACT = 13, 0.8, 8
+#: Places that the masks of an item look at, by its words (13 and more alike). Whichever words of a verified overlap are
+#: changed within the share allowed, one of the masks has a placement that looks at none of them.
+MASKS = {
+    13: ((0, 1, 3, 6, 7, 9), (0, 2, 3, 4, 8, 10), (0, 1, 4, 6, 7, 10)),
+    12: ((0, 1, 3, 6, 7, 9), (0, 2, 3, 4, 8, 10), (0, 1, 2, 4, 5, 6), (0, 1, 2, 3, 4, 5)),
+    11: ((0, 1, 3, 6, 7, 9), (0, 2, 3, 4, 8, 10), (0, 3, 4, 5, 7, 8), (0, 1, 2, 3, 5, 8)),
+    10: ((0, 1, 2, 3, 5, 6), (0, 1, 4, 5, 6, 7), (0, 1, 2, 4, 8, 9), (0, 1, 3, 5, 7, 9), (0, 2, 3, 5, 6, 7)),
+    9: ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 5, 6)),
+    8: ((0, 1, 2, 3, 4, 5), (0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 5, 6)),
+} | {n: (tuple(range(n)),) for n in range(1, EXACT)}
 #: Rows of benchmark hashes up to which they are sent to all tasks; more are joined by a shuffle.
 SENT = 500_000
 
@@ -37,11 +45,10 @@ def seeds(words: Column, mask: tuple[int, ...], number: int) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame, column: str = "text", item_column: str = "text") -> DataFrame:
     """doc_id, raw (XXH64 of the text), item_id, equal and n: verified overlaps of documents with items."""
     items = benchmark.select("item_id", hashes(F.col(item_column)).alias("b")).where("size(b) > 0")
-    span = max(m[-1] for m in MASKS) + 1
-    short = sorted(r[0] for r in items.where(F.size("b") < span).select(F.size("b")).distinct().collect())  # fewer than a window's words
-    masks = [*MASKS, *(tuple(range(n)) for n in short)]
+    sizes = sorted(r[0] for r in items.select(F.least(F.size("b"), F.lit(WINDOW))).distinct().collect()) or [WINDOW]
+    masks = list(dict.fromkeys(m for n in sizes for m in MASKS[n]))
     texts = items.groupBy("b").agg(F.min("item_id").alias("first"))  # equal items are searched once
-    posted = [texts.where(F.size("b") >= span if k < len(MASKS) else F.size("b") == len(m)).select("first", F.size("b").alias("m"), F.lit(k).alias("mask"), F.posexplode_outer(seeds(F.col("b"), m, k)).alias("ipos", "seed")) for k, m in enumerate(masks)]
+    posted = [texts.where(F.least(F.size("b"), F.lit(WINDOW)).isin([n for n in sizes if m in MASKS[n]])).select("first", F.size("b").alias("m"), F.lit(k).alias("mask"), F.posexplode_outer(seeds(F.col("b"), m, k)).alias("ipos", "seed")) for k, m in enumerate(masks)]
     index = posted[0]
     for p in posted[1:]:
         index = index.unionByName(p)
