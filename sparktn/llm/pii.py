@@ -22,9 +22,15 @@ BASE = {
 NEEDS = {"email": "@", "phone": "+"}
 #: Kinds that the method adds, the validator's part of the score and what words nearby add.
 EXTRA = {
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.7, r"\b(iban|account|bank|konto|compte|cuenta)\b"),
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", 0.7, r"\b(iban|account|bank|konto|compte|cuenta)\b"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, r"\b(ssn|social|security|taxpayer)\b"),
 }
+#: An IBAN's expression takes its first four characters only, so that each start is tried; what may follow is its group.
+#: Lengths that the registry of IBANs fixes by country.
+IBAN_LENGTHS = {k: int(n) for k, n in (x.split(":") for x in (
+    "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 "
+    "GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 NO:15 "
+    "OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20 YE:30").split())}
 NEARBY, CONTEXT, LEAST = 40, 0.3, 0.5
 BLOCK = 256
 SPAN = "array<struct<kind:string,start:bigint,stop:bigint,score:double>>"
@@ -71,6 +77,25 @@ def valid(kind: str, h: Column) -> Column:
     return F.lit(True)
 
 
+def iban(proposed: Column) -> Column:
+    """The part of a proposed text, to the end of one of its groups, that is an IBAN, or an empty text.
+
+    Of several, that of the country's length, or else the longest.
+    """
+    groups = F.split(proposed, " ")
+    code = lambda h: F.replace(h, F.lit(" "), F.lit(""))
+    parts = F.filter(F.transform(F.sequence(F.size(groups), F.lit(1)), lambda k: F.array_join(F.slice(groups, 1, k), " ")), lambda h: F.rlike(h, F.lit("^[A-Z0-9 ]+$")) & valid("iban", h))
+    fixed = F.create_map(*(F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv))
+    sized = F.filter(parts, lambda h: F.length(code(h)) == F.try_element_at(fixed, F.substring(h, 1, 2)))
+    return F.coalesce(F.get(F.concat(sized, parts), F.lit(0)), F.lit(""))
+
+
+def apart(spans: Column) -> Column:
+    """The spans that begin behind the one kept before."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint,h:string>>").alias("all"))
+    return F.aggregate(spans, start, lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["stop"].alias("at"), F.concat(a["all"], F.array(s)).alias("all"))).otherwise(a), lambda a: a["all"])
+
+
 def check(kind: str):
     return lambda h: valid(kind, h)
 
@@ -87,11 +112,16 @@ def found(docs: DataFrame, column: str = "text", keep: tuple[str, ...] = ("doc_i
     none = F.array().cast("array<string>")
     # a kind's proposals, and what lies between them only where there are any
     df = df.select("*", *(F.when(F.contains(t, F.lit(NEEDS[k])), F.regexp_extract_all(t, F.lit(r), F.lit(0))).otherwise(none).alias(f"__h_{k}") if k in NEEDS else F.regexp_extract_all(t, F.lit(r), F.lit(0)).alias(f"__h_{k}") for k, r in kinds.items()))
-    df = df.select("*", *(F.when(F.exists(F.col(f"__h_{k}"), check(k)), F.split(t, r, -1)).otherwise(none).alias(f"__g_{k}") for k, r in kinds.items()))
+    heads, tails = F.col("__h_iban"), F.regexp_extract_all(t, F.lit(EXTRA["iban"][0]), F.lit(1))
+    df = df.select("*", F.when(F.size(heads) > 0, F.transform(F.zip_with(heads, tails, lambda a, b: F.concat(a, b)), iban)).otherwise(none).alias("__i"))
+    any_of = lambda k: F.exists("__i", lambda h: h != "") if k == "iban" else F.exists(F.col(f"__h_{k}"), check(k))
+    df = df.select("*", *(F.when(any_of(k), F.split(t, r, -1)).otherwise(none).alias(f"__g_{k}") for k, r in kinds.items()))
     df = df.select("*", *(F.when(F.size(f"__g_{k}") > 0, placed(t, F.col(f"__h_{k}"), F.col(f"__g_{k}"))).otherwise(F.array().cast("array<struct<start:bigint,stop:bigint,h:string>>")).alias(f"__s_{k}") for k in kinds))
+    long = F.zip_with("__s_iban", "__i", lambda s, h: F.struct(s["start"].alias("start"), (s["start"] + F.length(h)).alias("stop"), h.alias("h")))
+    df = df.withColumn("__s_iban", F.when(F.size("__s_iban") > 0, apart(F.filter(long, lambda s: s["h"] != ""))).otherwise(F.col("__s_iban")))
 
     def spans(k: str) -> Column:
-        sure = F.filter(F.col(f"__s_{k}"), lambda s: valid(k, s["h"]))
+        sure = F.col("__s_iban") if k == "iban" else F.filter(F.col(f"__s_{k}"), lambda s: valid(k, s["h"]))
         if k in BASE:
             score = lambda s: F.lit(1.0)
         else:
