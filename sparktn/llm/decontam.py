@@ -7,10 +7,10 @@ two texts are aligned, and a verification counts equal words over the aligned it
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import rows_of, small, stored
 
 #: Words over which a verified overlap is measured (the item's if fewer), the share that must be equal, and words below which all must be.
 WINDOW, SHARE, EXACT = 13, 0.8, 8
@@ -26,6 +26,8 @@ MASKS = {
 } | {n: (tuple(range(n)),) for n in range(1, EXACT)}
 #: Rows of benchmark hashes up to which they are sent to all tasks; more are joined by a shuffle.
 SENT = 500_000
+#: Words of items that a row verifies; a document with more hits is verified in several rows.
+ASKED = 100_000
 
 
 # Arrays are exploded with _outer: for a plain explode, Spark filters by the array's size below the projections
@@ -61,14 +63,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, column: str = "text", item_c
         upto = sum((F.greatest(F.col("nw") - m[-1], F.lit(0)) for m in masks[:k]), F.lit(0))
         before = F.when(F.col("mask") == k, upto).otherwise(before)
     found = hits.select("doc_id", "raw", "first", "m", (F.col("at") - before - F.col("ipos")).alias("diag")).distinct()
-    asked = found.groupBy("doc_id", "raw").agg(F.collect_list(F.struct("first", "m", "diag")).alias("asked")).withColumnsRenamed({"doc_id": "__doc", "raw": "__raw"})
+    words = F.sum("m").over(Window.partitionBy("doc_id", "raw").orderBy("first", "diag"))
+    asked = found.withColumn("part", F.floor(words / ASKED)).groupBy("doc_id", "raw", "part").agg(F.collect_list(F.struct("first", "m", "diag")).alias("asked")).drop("part").withColumnsRenamed({"doc_id": "__doc", "raw": "__raw"})
     asked = stored(asked, "hits")
     held = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(column), F.lit(""))).alias("raw"), F.col(column).alias("text"))
-    met = held.join(small(asked, 100_000), held["doc_id"].eqNullSafe(F.col("__doc")) & (held["raw"] == F.col("__raw")))
+    met = held.join(small(asked, 100_000, 32 * F.size("asked")), held["doc_id"].eqNullSafe(F.col("__doc")) & (held["raw"] == F.col("__raw")))
     met = met.select("doc_id", "raw", hashes(F.col("text")).alias("h"), "asked")
     cut = F.transform("asked", lambda a: F.struct(a["first"].alias("first"), F.greatest(-a["diag"], F.lit(0)).alias("skip"), F.slice(F.col("h"), F.greatest(a["diag"], F.lit(0)) + 1, F.greatest(a["m"] - F.greatest(-a["diag"], F.lit(0)), F.lit(0))).alias("d")))
     aligned = met.select("doc_id", "raw", F.explode_outer(cut).alias("a")).select("doc_id", "raw", F.col("a.first").alias("first"), F.col("a.skip").alias("skip"), F.col("a.d").alias("d"))
-    aligned = aligned.join(small(texts, 50_000), "first")
+    aligned = aligned.join(small(texts, 50_000, 8 * F.size("b")), "first")
     aligned = aligned.select("doc_id", "raw", "first", F.size("b").alias("m"), F.zip_with("d", F.slice(F.col("b"), F.col("skip") + 1, F.size("d")), lambda x, y: (x == y).cast("int")).alias("same"))
     w = F.least(F.col("m"), F.lit(WINDOW))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("same") - w), lambda i: F.aggregate(F.slice(F.col("same"), i + 1, w), F.lit(0), lambda a, x: a + x)))
@@ -82,7 +85,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, column: str = "text") ->
     """doc_id, contaminated, n_items, item_ids, share for every row.
 
     Null texts and texts without words never overlap; an empty benchmark marks nothing; items without words
-    are passed over. Rows that repeat a key and text get the same answer. An empty table gives no rows.
+    are passed over. Rows that repeat a key and text get the same answer; long texts are searched whole, equally
+    good overlaps all count. An empty table gives no rows.
     """
     found = overlaps(docs, benchmark, column).groupBy("doc_id", "raw").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max(F.col("equal") / F.col("n")).alias("share")).withColumnsRenamed({"doc_id": "__doc", "raw": "__raw"})
     keys = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(column), F.lit(""))).alias("raw"))
@@ -91,7 +95,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, column: str = "text") ->
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, column: str = "text") -> DataFrame:
-    """docs without the rows that overlap a benchmark item; columns as they are."""
-    found = stored(overlaps(docs, benchmark, column).select(F.col("doc_id").alias("__doc"), F.col("raw").alias("__hit")).distinct(), "overlaps")
-    marked = docs.withColumn("__raw", F.xxhash64(F.coalesce(F.col(column), F.lit(""))))
-    return marked.join(small(found, 200_000), marked["doc_id"].eqNullSafe(F.col("__doc")) & (F.col("__raw") == F.col("__hit")), "left_anti").drop("__raw")
+    """docs without the rows that overlap a benchmark item; columns as they are, whatever their names.
+
+    Rows with null, empty or wordless texts stay; rows that repeat a key and text stay or go together. An empty
+    table stays empty, and an empty benchmark removes nothing.
+    """
+    found = stored(overlaps(docs, benchmark, column).select("doc_id", "raw").distinct(), "overlaps")
+    return rows_of(docs, found, column, kept=False)

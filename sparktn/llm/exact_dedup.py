@@ -8,24 +8,26 @@ their bytes. The pages that the owners write hold a row for each different text.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, UPPER, kept, n_partitions, stored
+from .common import LOWER, UPPER, joined_by_key, kept, n_partitions, rows_of, stored
 
 #: Bytes of different text from which a bucket is split, unless that would make more than MOST_BUCKETS.
 BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 8192
-#: Directory bits that one pass over the counts can add.
+#: Directory bits that a pass over the counts adds at most; fewer where many buckets are overfull, so that it counts no more than 2 * MOST_BUCKETS cells.
 STEP = 12
 #: Bytes of text that a map task holds while it aggregates.
 HELD_BYTES = 24 << 20
 ROW = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("sha", pa.string()), ("raw", pa.int64()), ("bytes", pa.int64())])
-ENTRY = pa.schema([("key", pa.int64()), ("sha", pa.string()), ("norm", pa.binary()), ("keep_id", pa.int64()), ("at_keep", pa.int64()), ("n", pa.int64())])
+ENTRY = pa.schema([("bucket", pa.int64()), ("key", pa.int64()), ("sha", pa.string()), ("norm", pa.binary()), ("keep_id", pa.int64()), ("at_keep", pa.int64()), ("n", pa.int64())])
 PAGE = pa.schema([("bucket", pa.int64()), ("key", pa.int64()), ("chain", pa.int32()), ("sha", pa.string()), ("keep_id", pa.int64()), ("at_keep", pa.int64()), ("group_size", pa.int64())])
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -65,8 +67,8 @@ def merge(entry: list, doc: int | None, at_keep: int, n: int) -> None:
     entry[2] += n
 
 
-def preaggregated(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Different texts of each map task with their counts; a task flushes what it holds when that grows too large."""
+def preaggregated(docs: DataFrame, column: str, starts: np.ndarray) -> DataFrame:
+    """Different texts of each map task with their counts and buckets; a task flushes what it holds when that grows too large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept()
@@ -74,7 +76,9 @@ def preaggregated(docs: DataFrame, column: str = "text") -> DataFrame:
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = [(signed(xxh64_intdigest(norm, 42)), sha256(norm).hexdigest(), norm, *e) for norm, e in held.items()]
+            hashes = np.array([xxh64_intdigest(norm, 42) for norm in held], np.uint64)
+            buckets = (np.searchsorted(starts, hashes, "right") - 1).tolist()
+            rows = [(bucket, key, sha256(norm).hexdigest(), norm, *e) for bucket, key, (norm, e) in zip(buckets, hashes.view(np.int64).tolist(), held.items())]
             for at in range(0, len(rows), 500):
                 yield batch_of(rows[at : at + 500], ENTRY)
 
@@ -91,7 +95,7 @@ def preaggregated(docs: DataFrame, column: str = "text") -> DataFrame:
                     merge(entry, doc, 1, 1)
         yield from flush()
 
-    return texts_of(docs, column).mapInArrow(run, "key bigint, sha string, norm binary, keep_id bigint, at_keep bigint, n bigint")
+    return texts_of(docs, column).mapInArrow(run, "bucket bigint, key bigint, sha string, norm binary, keep_id bigint, at_keep bigint, n bigint")
 
 
 def prefix(key: Column, bits: int) -> Column:
@@ -102,40 +106,41 @@ def directory(sizes: DataFrame, capacity: int = BUCKET_BYTES) -> dict[tuple[int,
     """Buckets as {(depth, prefix): bytes}, from the table (key, bytes) of different keys.
 
     Starts as one bucket; an overfull one is split by its next bit, doubling the directory when its depth
-    reaches the directory's. A pass counts the bytes below every overfull bucket for the next STEP bits, a
-    bounded table, and splits are decided on these counts; the next pass takes what is still overfull. A
-    bucket of one key is never split.
+    reaches the directory's. A pass counts the bytes below every overfull bucket for some next bits, and splits
+    are decided on these counts; the next pass takes what is still overfull. With a capacity of a share of all
+    bytes, no more than that many buckets are ever overfull, so the counts that reach the driver are as bounded
+    as the directory. A bucket of one key is never split.
     """
-    buckets, over, depth = {}, [(0, 0)], 0
+    spark, buckets, over, depth, step = sizes.sparkSession, {}, [0], 0, STEP
     while over and depth < 60:
-        deeper = depth + STEP
+        deeper = min(60, depth + step)
         counts = sizes
         if depth:
-            counts = counts.where(prefix(F.col("key"), depth).isin([p for _, p in over]))
-        found = counts.groupBy(prefix(F.col("key"), deeper).alias("p")).agg(F.sum("bytes").alias("b"), (F.min("key") == F.max("key")).alias("one")).collect()
-        todo = {(depth, p): [(r["p"], r["b"], r["one"]) for r in found if r["p"] >> STEP == p] for _, p in over}
+            hot = spark.createDataFrame([(p,) for p in over], "up bigint")
+            counts = sizes.join(F.broadcast(hot), prefix(F.col("key"), depth) == F.col("up"), "left_semi")
+        below = defaultdict(list)
+        for r in counts.groupBy(prefix(F.col("key"), deeper).alias("p")).agg(F.sum("bytes").alias("b"), (F.min("key") == F.max("key")).alias("one")).collect():
+            below[r["p"] >> deeper - depth].append((r["p"], r["b"], r["one"]))
+        todo = [(depth, p, below[p]) for p in over]
         over = []
         while todo:
-            (d, p), rows = todo.popitem()
+            d, p, rows = todo.pop()
             total = sum(r[1] for r in rows)
             if total <= capacity or len(rows) == 1 and rows[0][2]:
                 buckets[d, p] = total
             elif d == deeper:
-                over.append((d, p))
+                over.append(p)
             else:
-                for bit in (0, 1):
-                    child = 2 * p + bit
-                    todo[d + 1, child] = [r for r in rows if r[0] >> (deeper - d - 1) == child]
+                for child in (2 * p, 2 * p + 1):
+                    todo.append((d + 1, child, [r for r in rows if r[0] >> deeper - d - 1 == child]))
         depth = deeper
-    return buckets | {x: 0 for x in over}
+        step = max(1, min(STEP, (2 * MOST_BUCKETS // max(1, len(over))).bit_length() - 1))
+    return buckets | {(depth, p): 0 for p in over}
 
 
-def bucket_of(key: Column, buckets: dict[tuple[int, int], int]) -> Column:
-    """The number of a key's bucket: the first cell of its range in a directory of the greatest depth."""
-    depth, at = max(d for d, _ in buckets), F.lit(None).cast("bigint")
-    for d in sorted({d for d, _ in buckets}):
-        at = F.when(prefix(key, d).isin([p for x, p in buckets if x == d]), F.shiftleft(prefix(key, d), depth - d)).otherwise(at)
-    return at
+def bucket_starts(buckets: dict[tuple[int, int], int]) -> np.ndarray:
+    """Where each bucket's range of keys begins, as unsigned numbers in order; a bucket's number is its place."""
+    return np.array(sorted(p << 64 - d for d, p in buckets), np.uint64)
 
 
 def index_pages(docs: DataFrame, rows: DataFrame, column: str = "text", capacity: int | None = None) -> DataFrame:
@@ -144,7 +149,7 @@ def index_pages(docs: DataFrame, rows: DataFrame, column: str = "text", capacity
     sizes = rows.groupBy("key").agg(F.max("bytes").alias("bytes"))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     buckets = directory(sizes, capacity or max(BUCKET_BYTES, total // MOST_BUCKETS))
-    owned = preaggregated(docs, column).withColumn("bucket", bucket_of(F.col("key"), buckets)).repartition(n_partitions(spark), "bucket").sortWithinPartitions("bucket", "key")
+    owned = preaggregated(docs, column, bucket_starts(buckets)).repartition(n_partitions(spark), "bucket").sortWithinPartitions("bucket", "key")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, chain = None, []  # the key being read, and [norm, sha, [keep_id, at_keep, n]] of its different texts
@@ -168,11 +173,14 @@ def index_pages(docs: DataFrame, rows: DataFrame, column: str = "text", capacity
 
 def decided(docs: DataFrame, column: str = "text") -> DataFrame:
     """The digest of every row with keep_id, group_size and kept."""
-    rows = stored(digest(docs, column), "digests")
-    pages = index_pages(docs, rows, column).select(F.col("key").alias("__key"), F.col("sha").alias("__sha"), "keep_id", "at_keep", "group_size")
-    joined = rows.join(pages, (F.col("key") == F.col("__key")) & (F.col("sha") == F.col("__sha"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    rows = stored(digest(docs, column).withColumn("row", F.monotonically_increasing_id()), "digests")
+    pages = index_pages(docs, rows, column).select("key", "sha", "keep_id", "at_keep", "group_size")
+    joined = joined_by_key(rows, pages, ["key", "sha"], "group_size", rows.count()).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    if pages.where("at_keep > 1").isEmpty():
+        return joined
     tied = F.col("kept") & (F.col("at_keep") > 1)
-    one = joined.where(tied).withColumn("kept", F.row_number().over(Window.partitionBy("key", "sha").orderBy("raw")) == 1)
+    first = joined.where(tied).groupBy("key", "sha").agg(F.min("row").alias("first")).select("first")
+    one = joined.where(tied).join(first, F.col("row") == F.col("first"), "left").withColumn("kept", F.col("first").isNotNull()).drop("first")
     return joined.where(~tied).unionByName(one)
 
 
@@ -180,14 +188,16 @@ def exact_groups(docs: DataFrame, column: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The row with the largest
-    doc_id stays; null keys are below any other, and of rows that share the kept key one stays. An empty
-    table gives no rows. Other columns are not read.
+    doc_id stays; null keys are below any other, and of rows that share the kept key any one stays. Long texts
+    are hashed and compared whole. An empty table gives no rows. Other columns are not read.
     """
     return decided(docs, column).select("doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs without the rows whose normalised text equals that of a kept one; columns as they are."""
-    stay = decided(docs, column).where("kept").select(F.col("doc_id").alias("__keep"), F.col("raw").alias("__kept"))
-    marked = docs.withColumn("__raw", F.xxhash64(F.coalesce(F.col(column), F.lit(""))))
-    return marked.join(stay, marked["doc_id"].eqNullSafe(stay["__keep"]) & (F.col("__raw") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__raw"]).drop("__raw")
+    """docs without the rows whose normalised text equals that of a kept one; columns as they are, whatever their names.
+
+    Decided as by exact_groups: null texts are empty, the largest doc_id stays, null keys only where there is no
+    other; of rows with one key and text any one stays. An empty table stays empty.
+    """
+    return rows_of(docs, decided(docs, column).where("kept").select("doc_id", "raw"), column)

@@ -11,14 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LETTER, fold
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 192
-#: Training windows of each language at most, one a text, from the rows with the smallest hashes of the key.
+#: Training windows of each language at most, one a text, from the rows with the smallest hashes of key and text.
 SAMPLE = 600
+#: Languages that are learned at most, those with the most rows; of equally frequent ones the first by name.
+LANGUAGES = 1000
 BATCH = 256
 
 
@@ -97,16 +99,26 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, n_folds: int = 5, held_out: int = 0, column: str = "text", sample: int = SAMPLE) -> ByteCnn | None:
-    """Fitted on at most `sample` windows of each language; None if no row is labelled."""
-    rows = docs.select("doc_id", F.col(column).alias("text"), "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & (fold(F.col("doc_id"), n_folds) != held_out))
+    """Fitted on at most `sample` windows of each of at most LANGUAGES languages; None if no row is labelled.
+
+    Rows are counted by language first, so that a second pass takes only those whose hash is below a bound that
+    some four samples of each language pass.
+    """
+    rows = docs.select("doc_id", F.col(column).alias("text"), "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), n_folds) != held_out))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
+    if not found:
+        return None
+    top = (1 << 63) - 1
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], min(top, int(-top + 2 * top * min(1.0, 4 * sample / r["n"])))) for r in found], "lang string, bound bigint")
     at = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - WINDOW, F.lit(1)))
-    cut = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(2)).alias("h"), F.substr("text", at.cast("int"), F.lit(WINDOW)).alias("w"))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(1000).collect())
-    if not langs:
+    near = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(bounds), "lang").where((F.col("h") <= F.col("bound")) & (F.length("text") > 0))
+    cut = near.select("doc_id", "lang", "h", F.substr("text", at.cast("int"), F.lit(WINDOW)).alias("w"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "w"))
+    got = cut.withColumn("r", first).where(F.col("r") <= sample).orderBy("lang", "r").collect()
+    if not got:
         return None
-    tops = [cut.where(F.col("lang") == lang).orderBy("h", "doc_id").limit(sample) for lang in langs]
-    got = [r for t in tops for r in t.collect()]
-    x, counts = windows([r["w"].encode()[:WINDOW] for r in got])
+    langs = sorted({r["lang"] for r in got})
+    x, _ = windows([r["w"].encode()[:WINDOW] for r in got])
     y = np.array([langs.index(r["lang"]) for r in got])
     return ByteCnn(langs).fit(x, y).paired()
 
@@ -115,7 +127,8 @@ def languages(docs: DataFrame, column: str = "text", n_folds: int = 5, held_out:
     """doc_id, held_out, lang_pred, score for every row.
 
     Texts that are null or have no letter are `und` with score 1, and so is every row where no label is
-    known. Null keys hash as empty text; repeated rows get the same answer. An empty table gives no rows.
+    known. Null keys hash as empty text; repeated rows get the same answer. Long texts are read whole, window by
+    window; of equally likely languages the first by name is given. An empty table gives no rows.
     """
     model = train(docs, n_folds, held_out, column, sample)
     net = docs.sparkSession.sparkContext.broadcast(model)  # a bounded model, about a megabyte

@@ -20,10 +20,20 @@ BASE = {
 }
 #: A text without this can't hold the kind.
 NEEDS = {"email": "@", "phone": "+"}
+#: What a base kind's checks are worth, the words nearby that add to it and those that speak against it. Base spans stay whatever their score.
+BASE_SCORES = {
+    "email": (0.8, r"\b(e-?mail|contact|write to|mailto)\b", r"\b(example|placeholder)\b"),
+    "ip": (0.5, r"\b(ip|host|server|address|login|client)\b", r"\b(version|release|section|chapter)\b"),
+    "card": (0.8, r"\b(card|visa|mastercard|credit|payment)\b", r"\b(order|invoice|serial|isbn|tracking)\b"),
+    "phone": (0.6, r"\b(phone|call|tel|mobile|fax)\b", r"\b(version|score|range)\b"),
+}
+#: Published forms of access keys and tokens, each of which tells its issuer, and runs of hexadecimal digits as long as a key's.
+ISSUED = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
 #: Kinds that the method adds, the validator's part of the score and what words nearby add.
 EXTRA = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", 0.7, r"\b(iban|account|bank|konto|compte|cuenta)\b"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, r"\b(ssn|social|security|taxpayer)\b"),
+    "secret": (rf"(?<![A-Za-z0-9_-])(?:{ISSUED}|[A-Fa-f0-9]{{32,128}}+)(?![A-Za-z0-9_-])", 0.3, r"(token|secret|password|passwd|credential|bearer|private.?key|(api|access).?key)"),
 }
 #: An IBAN's expression takes its first four characters only, so that each start is tried; what may follow is its group.
 #: Lengths that the registry of IBANs fixes by country.
@@ -74,6 +84,8 @@ def valid(kind: str, h: Column) -> Column:
     if kind == "iban":
         code = F.replace(h, F.lit(" "), F.lit(""))
         return F.length(code).between(15, 34) & (mod_97(code) == 1)
+    if kind == "secret":
+        return F.rlike(h, F.lit("[0-9]")) & F.rlike(h, F.lit("[A-Za-z]"))
     return F.lit(True)
 
 
@@ -122,28 +134,33 @@ def found(docs: DataFrame, column: str = "text", keep: tuple[str, ...] = ("doc_i
 
     def spans(k: str) -> Column:
         sure = F.col("__s_iban") if k == "iban" else F.filter(F.col(f"__s_{k}"), lambda s: valid(k, s["h"]))
-        if k in BASE:
-            score = lambda s: F.lit(1.0)
-        else:
-            _, base, words = EXTRA[k]
-            near = lambda s: F.lower(F.substr(t, F.greatest(s["start"] + 1 - NEARBY, F.lit(1)).cast("int"), (s["stop"] - s["start"] + 2 * NEARBY).cast("int")))
-            score = lambda s: F.lit(base) + F.when(F.rlike(near(s), F.lit(words)), CONTEXT).otherwise(0.0)
+        base, words, *against = BASE_SCORES[k] if k in BASE else EXTRA[k][1:]
+        near = lambda s: F.lower(F.substr(t, F.greatest(s["start"] + 1 - NEARBY, F.lit(1)).cast("int"), (s["stop"] - s["start"] + 2 * NEARBY).cast("int")))
+
+        def score(s: Column) -> Column:
+            worth = F.when(F.rlike(s["h"], F.lit(f"^(?:{ISSUED})$")), 0.8).otherwise(base) if k == "secret" else F.lit(base)
+            for sign, found in ((CONTEXT, words), *((-CONTEXT, w) for w in against)):
+                worth = worth + F.when(F.rlike(near(s), F.lit(found)), sign).otherwise(0.0)
+            return F.round(F.least(F.lit(1.0), worth), 2)
+
         scored = F.transform(sure, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), score(s).cast("double").alias("score")))
-        return F.filter(scored, lambda s: s["score"] >= LEAST)
+        return scored if k in BASE else F.filter(scored, lambda s: s["score"] >= LEAST)
 
     return df.select(*keep, F.concat(*(spans(k) for k in kinds)).cast(SPAN).alias("spans"))
 
 
 def pii(docs: DataFrame, column: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores for every row.
 
     Null texts count as empty; texts without personal data have counts of zero, an empty spans string and
-    the digest of it. Repeated and null keys each give a row. An empty table gives no rows.
+    the digest of it. scores are those of the spans, in their order: what the kind's checks are worth and what the
+    words nearby add or take; spans of added kinds are given from a score of LEAST. Long texts are searched whole.
+    Repeated and null keys each give a row. An empty table gives no rows.
     """
     df = found(docs, column)
     joined = lambda s: F.concat_ws(",", F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return df.select(
         "doc_id", *(F.size(F.filter("spans", of_kind(k))).cast("bigint").alias(f"n_{k}") for k in BASE),
-        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.concat_ws(",", F.transform("spans", lambda x: x["score"].cast("string"))).alias("scores"),
     )

@@ -20,6 +20,8 @@ from .common import fold, labelled_sample, platt, sigmoid
 
 #: Buckets for hashed words, factors, and training texts of each class and their characters at most.
 BUCKETS, FACTORS, SAMPLE, CHARS = 1 << 13, 8, 2500, 20_000
+#: Features of texts that are scored together.
+PART = 1 << 20
 #: A structure statistic falls in one of so many bins, each a feature.
 BINS = 8
 MARK = re.compile(r"[^\w\s]")
@@ -64,22 +66,34 @@ class Features:
 
 
 class FactorisationMachine:
-    def __init__(self, n: int, factors: int = FACTORS, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.w0, self.w, self.v = 0.0, np.zeros(n, np.float32), rng.normal(0, 0.02, (n, factors)).astype(np.float32)
+    def __init__(self, n: int, factors: int = FACTORS):
+        self.w0, self.w, self.v = 0.0, np.zeros(n, np.float32), np.zeros((n, factors), np.float32)
         self.a, self.b = 1.0, 0.0
 
-    def raw(self, ids: np.ndarray, x: np.ndarray) -> float:
-        vx = self.v[ids] * x[:, None]
-        s = vx.sum(axis=0)
-        return float(self.w0 + self.w[ids] @ x + 0.5 * (s @ s - (vx * vx).sum()))
-
-    def score(self, ids: np.ndarray, x: np.ndarray) -> float:
-        return float(sigmoid(np.float64(self.a * self.raw(ids, x) + self.b)))
+    def raws(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of many texts at once, each of which has features."""
+        out = np.zeros(len(rows))
+        lo = 0
+        while lo < len(rows):  # a part of bounded size at a time
+            hi, size = lo, 0
+            while hi < len(rows) and (hi == lo or size < PART):
+                size += len(rows[hi][0])
+                hi += 1
+            ids, x = (np.concatenate(c) for c in zip(*rows[lo:hi]))
+            starts = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows[lo:hi]])[:-1]])
+            vx = self.v[ids] * x[:, None]
+            s = np.add.reduceat(vx, starts, axis=0)
+            out[lo:hi] = self.w0 + np.add.reduceat(self.w[ids] * x + -0.5 * (vx * vx).sum(axis=1), starts) + 0.5 * (s * s).sum(axis=1)
+            lo = hi
+        return out
+
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return sigmoid(self.a * self.raws(rows) + self.b)
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8, rate: float = 0.1, decay: float = 1e-5, seed: int = 11) -> FactorisationMachine:
         """By AdaGrad on the logistic loss, each class with equal weight."""
         rng = np.random.default_rng(seed)
+        self.v = rng.normal(0, 0.02, self.v.shape).astype(np.float32)
         gw, gv, g0 = np.full_like(self.w, 1e-4), np.full_like(self.v, 1e-4), 1e-4
         share = max(1e-3, min(1 - 1e-3, y.mean()))
         for _ in range(epochs):
@@ -96,7 +110,7 @@ class FactorisationMachine:
                 self.w[ids] -= rate * dw / np.sqrt(gw[ids])
                 self.v[ids] -= 0.3 * rate * dv / np.sqrt(gv[ids])
                 self.w0 -= rate * g / np.sqrt(g0)
-        self.a, self.b = platt(np.array([self.raw(*r) for r in rows]), y)
+        self.a, self.b = platt(self.raws(rows), y)
         return self
 
 
@@ -110,16 +124,16 @@ def train(docs: DataFrame, labels: DataFrame, n_folds: int = 3, held_out: int =
 def quality(docs: DataFrame, labels: DataFrame, n_folds: int = 3, held_out: int = 1, threshold: float = 0.5, column: str = "text", sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row.
 
-    Null counts as empty text, which has statistics and so a score. Without labels of both classes every
-    score is 0.5. Null keys hash as empty text; repeated rows get the same score. An empty table gives no rows.
+    Null counts as empty text, which has statistics and so a score; long texts are scored whole. Without labels
+    of both classes nothing is learned and every score is 0.5. Null keys hash as empty text; repeated rows get the same score. An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, n_folds, held_out, column, sample))  # bounded by BUCKETS and FACTORS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, m = Features(), model.value
         for batch in batches:
-            score = [m.score(*make(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            score = m.scores([make(t) for t in batch.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", (fold(F.col("doc_id"), n_folds) == held_out).alias("held_out"), F.col(column).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, kept, n_partitions, small, stored
+from .common import LOWER, UPPER, joined_by_key, kept, n_partitions, rows_of, small, stored
 
 LIMIT, FANOUT = 4, 8
 #: Nodes of a group from which it is split by further blocks.
@@ -255,20 +255,20 @@ def edges(nodes: DataFrame, limit: int = LIMIT, group_rows: int = GROUP_ROWS, ap
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """node, root: the least node of each component of the edges a, b."""
+    """node, root: the least node of each component of the edges a, b. Nodes with many edges are no single task's."""
     now = stored(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
-        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        now = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
         got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (got["n"], got["h"]):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = (got["n"], got["h"])
+        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = joined_by_key(both, least, ["a"], "n", 2 * got["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = joined_by_key(large, low, ["a"], "n", got["n"])
+        now = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
 
 
 def node_of(fp: str, other: str) -> Column:
@@ -286,12 +286,13 @@ def near_groups(docs: DataFrame, shingle: int = 4, limit: int = LIMIT, column: s
     has no other, which then is null. Repeated rows share their node. An empty table gives no rows.
     """
     prints = stored(fingerprints(docs, shingle, column, also).withColumn("node", node_of("fp", "other")), "fingerprints")
-    nodes = stored(prints.groupBy("node", "fp", "other").agg(F.min("doc_id").alias("least")), "nodes")
-    root = components(edges(nodes.select("fp", "other"), limit, group_rows, apart)).withColumnRenamed("node", "__node")
-    joined = nodes.join(root, F.col("node") == F.col("__node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = joined.join(ids, "root").select(F.col("node").alias("__node"), "component_id")
-    return prints.join(member, F.col("node") == F.col("__node")).select("doc_id", "raw", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    nodes = stored(prints.groupBy("node", "fp", "other").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    size = nodes.agg(F.count("*").alias("nodes"), F.sum("n").alias("rows")).first()
+    root = components(edges(nodes.select("fp", "other"), limit, group_rows, apart))
+    joined = nodes.join(root, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
+    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    member = joined_by_key(joined, ids, ["root"], "m", size["nodes"] or 0).select("node", "n", "component_id")
+    return joined_by_key(prints, member, ["node"], "n", size["rows"] or 0).select("doc_id", "raw", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: Near copies of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more.
@@ -299,8 +300,9 @@ def near_groups(docs: DataFrame, shingle: int = 4, limit: int = LIMIT, column: s
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 5
 #: Share of equal minima from which a candidate is checked (0.8 less three deviations), and partners checked for each member of a band's group.
 LIKELY, PARTNERS = 0.69, 3
-#: Members of a band's group from which those with TIGHT equal minima are searched through one of them.
-DENSE, TIGHT = 2_000, 0.9
+#: Members of a band's group that one task compares. Of a larger group, members with TIGHT equal minima are searched through
+#: one of them, in parts of this size; groups that hardly shrink so are dealt by a further band, up to so many times.
+DENSE, TIGHT, LEVELS = 2_000, 0.9, 6
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + U1
 
 
@@ -339,6 +341,20 @@ def sketches(docs: DataFrame, column: str = "text") -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col(column), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, raw bigint, keys array<bigint>, sketch binary")
 
 
+def heads(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of which none has TIGHT equal minima with another, and pairs of such a member and one that it stands for."""
+    a, b, chosen, left = [np.empty(0, int)], [np.empty(0, int)], [], np.arange(len(sketch))
+    while len(left):
+        head = left[0]
+        tight = (sketch[left] == sketch[head]).sum(axis=1) >= TIGHT * sketch.shape[1]
+        tight[0] = True
+        chosen.append(head)
+        a.append(np.full(int(tight.sum()) - 1, head))
+        b.append(left[tight][1:])
+        left = left[~tight]
+    return np.array(chosen, int), np.concatenate(a), np.concatenate(b)
+
+
 def likely(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs to check in a group, at most 1 + PARTNERS for each member: a spanning forest of the most equal minima and each member's best partners.
 
@@ -346,75 +362,102 @@ def likely(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     what minima misjudge. It holds a few numbers a member at a time, never all pairs.
     """
     n, floor = len(sketch), LIKELY * sketch.shape[1]
-    a, b, left = [], [], np.arange(n)
-    heads = left
-    if n > DENSE:
-        chosen = []
-        while len(left):
-            head = left[0]
-            tight = (sketch[left] == sketch[head]).sum(axis=1) >= TIGHT * sketch.shape[1]
-            tight[0] = True
-            chosen.append(head)
-            a.append(np.full(int(tight.sum()) - 1, head))
-            b.append(left[tight][1:])
-            left = left[~tight]
-        heads = np.array(chosen)
-    own = sketch[heads]
-    k = len(heads)
+    chosen, *pairs = heads(sketch) if n > DENSE else (np.arange(n), np.empty(0, int), np.empty(0, int))
+    a, b = [pairs[0]], [pairs[1]]
+    own = sketch[chosen]
+    k = len(chosen)
     best, at, out = np.full(k, -1), np.zeros(k, int), np.ones(k, bool)
     now = 0
     for _ in range(k):
         out[now] = False
         if best[now] >= floor:
-            a.append(heads[[at[now]]])
-            b.append(heads[[now]])
+            a.append(chosen[[at[now]]])
+            b.append(chosen[[now]])
         equal = (own == own[now]).sum(axis=1)
         equal[now] = -1
         top = np.argpartition(equal, -PARTNERS)[-PARTNERS:] if k > PARTNERS else np.arange(k)
         top = top[equal[top] >= floor]
-        a.append(np.full(len(top), heads[now]))
-        b.append(heads[top])
+        a.append(np.full(len(top), chosen[now]))
+        b.append(chosen[top])
         nearer = out & (equal > best)
         best[nearer], at[nearer] = equal[nearer], now
         now = int(np.argmax(np.where(out, best, -2)))
     return np.concatenate(a), np.concatenate(b)
 
 
-def candidates(prints: DataFrame) -> DataFrame:
-    """a, b: pairs of raw, a < b, whose shingles are to be compared."""
+def compared(members: DataFrame, partitions: int) -> DataFrame:
+    """a, b: pairs of raw to check; and of parts of large groups, the members that stand for others as gid, band and raw in a.
+
+    From gid, band, part (-1: the group is whole), raw and sketch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, BANDS * ROWS), np.uint8)]
+        rest = [np.empty(0, np.int64)] * 4 + [np.empty((0, BANDS * ROWS), np.uint8)]
 
-        def pairs(gid: np.ndarray, raw: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-            starts = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]])) if len(gid) else np.empty(0, int)
+        def pairs(gid: np.ndarray, part: np.ndarray, band: np.ndarray, raw: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.concatenate([[True], (gid[1:] != gid[:-1]) | (part[1:] != part[:-1])])) if len(gid) else np.empty(0, int)
             sizes = np.diff([*starts, len(gid)])
-            two = starts[sizes == 2]
+            whole = part[starts] < 0
+            two = starts[whole & (sizes == 2)]
             two = two[(sketch[two] == sketch[two + 1]).sum(axis=1) >= LIKELY * sketch.shape[1]]
-            a, b = [two], [two + 1]
-            for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                i, j = likely(sketch[at : at + n])
+            a, b, stay = [two], [two + 1], [np.empty(0, int)]
+            more = whole & (sizes > 2) | ~whole
+            for at, n, all_of_it in zip(starts[more].tolist(), sizes[more].tolist(), whole[more].tolist()):
+                if all_of_it:
+                    i, j = likely(sketch[at : at + n])
+                else:
+                    k, i, j = heads(sketch[at : at + n])
+                    stay.append(k + at)
                 a.append(i + at)
                 b.append(j + at)
-            x, y = raw[np.concatenate(a)], raw[np.concatenate(b)]
-            if len(x):
+            x, y, k = raw[np.concatenate(a)], raw[np.concatenate(b)], np.concatenate(stay)
+            if len(x) or len(k):
                 both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0].copy()), pa.array(both[1].copy())], ["a", "b"])
+                none = pa.nulls(both.shape[1], pa.int64())
+                edges = [pa.array(both[0].copy()), pa.array(both[1].copy()), none, none]
+                standing = [pa.array(raw[k]), pa.nulls(len(k), pa.int64()), pa.array(gid[k]), pa.array(band[k])]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(edges, standing)], ["a", "b", "gid", "band"])
 
         for batch in batches:
-            sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-            now = [np.concatenate([r, x]) for r, x in zip(rest, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), sketch))]
-            gid = now[0]
-            whole = int(np.flatnonzero(gid != gid[-1])[-1]) + 1 if len(gid) and gid[0] != gid[-1] else 0
+            sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+            now = [np.concatenate([r, x]) for r, x in zip(rest, (*(batch.column(i).to_numpy() for i in range(4)), sketch))]
+            gid, part = now[:2]
+            whole = int(np.flatnonzero((gid != gid[-1]) | (part != part[-1]))[-1]) + 1 if len(gid) and (gid[0], part[0]) != (gid[-1], part[-1]) else 0
             yield from pairs(*(x[:whole] for x in now))
             rest = [x[whole:] for x in now]
         yield from pairs(*rest)
 
-    rows = prints.select("raw", F.explode("keys").alias("gid")).distinct()
-    shared = rows.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select("gid")
-    members = rows.join(shared, "gid").join(prints.select("raw", "sketch").dropDuplicates(["raw"]), "raw")
-    dealt = members.select("gid", "raw", "sketch").repartition(n_partitions(prints.sparkSession), "gid")
-    return dealt.sortWithinPartitions("gid", F.xxhash64("gid", "raw")).mapInArrow(run, "a bigint, b bigint").distinct()
+    dealt = members.select("gid", "part", "band", "raw", "sketch").repartition(partitions, "gid", "part")
+    return dealt.sortWithinPartitions("gid", "part", F.xxhash64("gid", "raw")).mapInArrow(run, "a bigint, b bigint, gid bigint, band bigint")
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """a, b: pairs of raw, a < b, whose shingles are to be compared.
+
+    Texts that share a band's key are a group. A task compares DENSE members at most: larger groups are dealt in
+    parts, of which those that stand for others are dealt again, by a further band if they are still many.
+    """
+    parts = n_partitions(prints.sparkSession)
+    one = stored(prints.select("raw", "keys", "sketch").dropDuplicates(["raw"]), "texts")
+    rows, found = one.select("raw", F.posexplode("keys").alias("band", "gid")).withColumn("band", F.col("band").cast("bigint")), None
+    for level in range(LEVELS):
+        counts = rows.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1")
+        counts = stored(counts, "groups")
+        size = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+        members = joined_by_key(rows, counts, ["gid"], "n", size["total"] or 0).join(one.select("raw", "sketch"), "raw")
+        part = F.when(F.col("n") > DENSE, F.pmod(F.xxhash64("raw", F.lit(level)), F.ceil(F.col("n") / DENSE))).otherwise(-1)
+        out = stored(compared(members.withColumn("part", part.cast("bigint")), parts), "candidates")
+        new = out.where("gid is null").select("a", "b")
+        found = new if found is None else found.unionByName(new)
+        if (size["most"] or 0) <= DENSE:
+            break
+        left = out.where("gid is not null").select(F.col("a").alias("raw"), "band", "gid")
+        after = left.groupBy("gid").agg(F.count("*").alias("m")).where(F.col("m") > DENSE)
+        slow = counts.join(after, "gid").where("m > n / 2").select("gid")
+        slow = stored(slow, "groups")
+        further = left.join(small(slow, 200_000), "gid", "left_semi").join(one.select("raw", "keys"), "raw").select("raw", "gid", "band", F.posexplode("keys").alias("next", "key")).where("next > band")
+        rows = left.join(small(slow, 200_000), "gid", "left_anti").select("raw", "band", "gid").unionByName(further.select("raw", F.col("next").cast("bigint").alias("band"), F.xxhash64("gid", "key").alias("gid")))
+    return found.distinct()
 
 
 def alike(docs: DataFrame, pairs: DataFrame, column: str = "text") -> DataFrame:
@@ -435,14 +478,15 @@ def alike(docs: DataFrame, pairs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs with one row of each component of near copies, that of the smallest doc_id; columns as they are.
+    """docs with one row of each component of near copies, that of the smallest doc_id; columns as they are, whatever their names.
 
-    Equal texts are one node. Rows without a doc_id stay only where a component has no other.
+    Equal texts are one node; null, empty and wordless texts are equal to the text of no word. Rows without a
+    doc_id stay only where a component has no other; of rows with one key and text any one stays. Long texts are
+    compared whole. An empty table stays empty.
     """
     prints = stored(sketches(docs, column), "sketches")
     pairs = stored(candidates(prints), "candidates")
-    root = components(alike(docs, pairs, column)).withColumnRenamed("node", "__node")
-    joined = prints.select("doc_id", "raw").join(root, F.col("raw") == F.col("__node"), "left").select("doc_id", "raw", F.coalesce("root", "raw").alias("root"))
-    stay = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("s")).select(F.col("s.doc_id").alias("__keep"), F.col("s.raw").alias("__kept"))
-    marked = docs.withColumn("__raw", F.xxhash64(F.coalesce(F.col(column), F.lit(""))))
-    return marked.join(stay, marked["doc_id"].eqNullSafe(stay["__keep"]) & (F.col("__raw") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__raw"]).drop("__raw")
+    root = components(alike(docs, pairs, column)).withColumnRenamed("node", "raw")
+    least = prints.groupBy("raw").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("s"))
+    stay = least.join(root, "raw", "left").groupBy(F.coalesce("root", "raw").alias("root")).agg(F.min("s").alias("s"))
+    return rows_of(docs, stay.select("s.doc_id", "s.raw"), column)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, kept, labelled_sample, sigmoid
+from .common import fold, kept, labelled_sample, sigmoid, spare
 
 #: The kernel's subsequences have three letters that span at most SPAN places, each place with this decay.
 SPAN, DECAY = 6, 0.5
@@ -185,8 +185,9 @@ class Machine:
             w, b = svm(phi[rows], np.concatenate([np.ones(len(positive)), -np.ones(len(negative))]))
             f = phi @ w + b
         self.weights, self.offset = root @ w, b
-        g = np.array([self.features(np.unique(np.concatenate(parts)).size, f[np.unique(np.concatenate(parts))]) for parts in split])
-        self.mean, self.scale = g.mean(axis=0), g.std(axis=0) + 1e-6
+        g = Scorer(self).features(texts)
+        self.mean, spread = g.mean(axis=0), g.std(axis=0)
+        self.scale = np.where(spread < 1e-3, 1.0, spread)  # what doesn't vary in the sample has no say
         z = (g - self.mean) / self.scale
         self.v, self.b = logistic(z, y)
         d = z @ self.v + self.b
@@ -198,9 +199,6 @@ class Machine:
         worst = -np.sort(-np.partition(f, len(f) - WORST)[len(f) - WORST :]) if len(f) > WORST else np.concatenate([-np.sort(-f), np.full(WORST - len(f), -2.0)])
         return np.array([*worst, np.log1p(np.maximum(f, 0).sum()), np.log1p(n)])
 
-    def decision(self, n: int, f: np.ndarray) -> float:
-        return float((self.features(n, f) - self.mean) / self.scale @ self.v + self.b)
-
     def score(self, f: np.ndarray) -> np.ndarray:
         return sigmoid(f)
 
@@ -212,6 +210,10 @@ class Scorer:
         self.machine, self.similar, self.known, self.old = machine, Similar(machine.landmarks), {}, {}
 
     def decisions(self, texts: list[str | None]) -> np.ndarray:
+        return (self.features(texts) - self.machine.mean) / self.machine.scale @ self.machine.v + self.machine.b
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """Those of the second machine, a row for each text."""
         parts = [set(tokens(t.lower())) if t else set() for t in texts]
         if len(self.known) > CACHE:
             self.known, self.old = {}, self.known
@@ -227,7 +229,7 @@ class Scorer:
             distinct = list(set(words))
             f = dict(zip(distinct, (self.similar.of(distinct) @ self.machine.weights + self.machine.offset).tolist()))
             known.update((t, f[w]) for t, w in zip(new, words))
-        return np.array([self.machine.decision(len(p), np.array(list(map(known.__getitem__, p)) or [-2.0])) for p in parts])
+        return np.array([self.machine.features(len(p), np.array(list(map(known.__getitem__, p)) or [-2.0])) for p in parts]).reshape(len(parts), -1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -271,11 +273,11 @@ def train(docs: DataFrame, labels: DataFrame, n_folds: int = 4, held_out: int =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, n_folds: int = 4, held_out: int = 2, threshold: float = THRESHOLD, column: str = "text", sample: int = SAMPLE, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; with keep, the columns of docs, score and predicted.
+    """doc_id, held_out, score, predicted for every row; with keep, the columns of docs, and score and predicted under names that docs doesn't have.
 
     Null and empty texts have no token and get the score of a sentence unlike any landmark. Without labels of
-    both classes every score is 0. Null keys hash as empty text; repeated rows get the same score. An empty
-    table gives no rows.
+    both classes every score is 0. Null keys hash as empty text; repeated rows get the same score. Long texts are
+    scored whole, a long token by overlapping pieces. An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, n_folds, held_out, column, sample))  # some dozen words and weights
     own = docs.columns if keep else ["doc_id"]
@@ -300,11 +302,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, n_folds: int = 4, held_out: int
             first = [batch.column(c) for c in own] + ([] if keep else [batch.column("held_out")])
             yield pa.RecordBatch.from_arrays([*first, pa.array(score), predicted], [*own, *([] if keep else ["held_out"]), score_name, predicted_name])
 
-    score_name, predicted_name = ("__score", "__predicted") if keep else ("score", "predicted")
+    score_name, predicted_name = spare(docs.columns if keep else [], "score", "predicted")
     schema = (docs if keep else rows.select("doc_id", "held_out")).select("*", F.lit(0.0).alias(score_name), F.lit(0).alias(predicted_name)).schema
     return rows.mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows predicted to be toxic; columns as they are."""
-    return toxicity(docs, labels, threshold=threshold, keep=True).where("__predicted = 0").drop("__score", "__predicted")
+    """docs without the rows predicted to be toxic; columns as they are, whatever their names.
+
+    Null and empty texts are scored as texts without tokens; rows that repeat a text stay or go together; without
+    labels of both classes all rows stay. An empty table stays empty.
+    """
+    scored = toxicity(docs, labels, threshold=threshold, keep=True)
+    return scored.where(F.col(scored.columns[-1]) == 0).select(*docs.columns)

@@ -76,3 +76,17 @@ def test_search_of_a_group_holds_few_pairs(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 12e6
+
+
+def test_large_groups_are_dealt_in_parts(spark, monkeypatch):
+    """Groups far over what a task compares: many near copies of one text, and many texts that share half their words."""
+    monkeypatch.setattr(simhash, "DENSE", 12)
+    base, half = text(120), text(60)
+    copies = [base[: k % 100] + ["new"] + base[k % 100 :] + [f"tail{k}"] for k in range(90)]
+    sharing = [half + text(60) for _ in range(60)]
+    pairs = [(w, edits(w, "scattered")) for w in (half + text(140) for _ in range(10))]
+    rows = copies + sharing + [x for p in pairs for x in p]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    want = {i for i, x in enumerate(rows) if all(jaccard(x, y) < simhash.SIMILAR for y in rows[:i])}
+    assert got == want
