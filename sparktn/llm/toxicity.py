@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,30 +162,38 @@ class Machine:
     def __init__(self, texts: list[str], y: np.ndarray, rounds: int = 3):
         bad_words = favoured(texts, y)
         words: dict[str, int] = {}
-        split = [[[words.setdefault(w, len(words)) for w in {letters(t) for t in s}] for s in sentences(t)] or [[words.setdefault("^", len(words))]] for t in texts]
-        clean = [np.array(s) for parts, label in zip(split, y) if not label for s in parts]
-        bad = [np.array([w for s in parts for w in s]) for parts, label in zip(split, y) if label]
+
+        def numbers(some: Iterable[str]) -> np.ndarray:
+            return np.array([words.setdefault(w, len(words)) for w in some], np.int32)
+
+        clean, bad, whole = [], [], []
+        for text, label in zip(texts, y):
+            parts = [numbers({letters(t) for t in s}) for s in sentences(text)] or [numbers({"^"})]
+            if label:
+                bad.append(np.concatenate(parts))
+            else:
+                clean += parts
+            whole.append(numbers(letters(t) for t in set(tokens(text.lower()))))
         known = np.array([words[w] for w in bad_words if w in words], np.int64)
         toxic = unlike(bad_words, TOXIC)
         self.landmarks = toxic
-        x = Similar(toxic).of(list(words)).astype(np.float64)
-        f, names, negative = x.max(axis=1), list(words), np.empty(0, np.int64)
+        names, negative = list(words), np.empty(0, np.int64)
+        f = Similar(toxic).of(names).max(axis=1)
         for k in range(rounds):  # at first, what is nearest to a toxic landmark is taken for the worst
             positive = np.unique(np.concatenate([[s[f[s].argmax()] for s in bad], known]).astype(np.int64))
             negative = np.setdiff1d(np.unique(np.concatenate([negative, [s[f[s].argmax()] for s in clean]]).astype(np.int64)), known)
             if k == 0:
                 hard = [names[i] for i in negative[np.argsort(-f[negative], kind="stable")][:600]]
                 self.landmarks = toxic + unlike(hard, OTHER)
-                x = Similar(self.landmarks).of(names).astype(np.float64)
                 values, vectors = np.linalg.eigh(Similar(self.landmarks).of(self.landmarks).astype(np.float64))
                 root = vectors / np.sqrt(np.maximum(values, 0.05)) @ vectors.T
-                phi = x @ root
+                phi = Similar(self.landmarks).of(names) @ root.astype(np.float32)
             positive = positive if k else known
             rows = np.concatenate([positive, negative])
-            w, b = svm(phi[rows], np.concatenate([np.ones(len(positive)), -np.ones(len(negative))]))
-            f = phi @ w + b
+            w, b = svm(phi[rows].astype(np.float64), np.concatenate([np.ones(len(positive)), -np.ones(len(negative))]))
+            f = phi @ w.astype(np.float32) + np.float32(b)
         self.weights, self.offset = root @ w, b
-        g = Scorer(self).features(texts)
+        g = np.array([self.features(len(t), f[t] if len(t) else np.array([-2.0])) for t in whole])
         self.mean, spread = g.mean(axis=0), g.std(axis=0)
         self.scale = np.where(spread < 1e-3, 1.0, spread)  # what doesn't vary in the sample has no say
         z = (g - self.mean) / self.scale
@@ -199,6 +207,9 @@ class Machine:
         worst = -np.sort(-np.partition(f, len(f) - WORST)[len(f) - WORST :]) if len(f) > WORST else np.concatenate([-np.sort(-f), np.full(WORST - len(f), -2.0)])
         return np.array([*worst, np.log1p(np.maximum(f, 0).sum()), np.log1p(n)])
 
+    def decision(self, n: int, f: np.ndarray) -> float:
+        return float((self.features(n, f) - self.mean) / self.scale @ self.v + self.b)
+
     def score(self, f: np.ndarray) -> np.ndarray:
         return sigmoid(f)
 
@@ -210,10 +221,6 @@ class Scorer:
         self.machine, self.similar, self.known, self.old = machine, Similar(machine.landmarks), {}, {}
 
     def decisions(self, texts: list[str | None]) -> np.ndarray:
-        return (self.features(texts) - self.machine.mean) / self.machine.scale @ self.machine.v + self.machine.b
-
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """Those of the second machine, a row for each text."""
         parts = [set(tokens(t.lower())) if t else set() for t in texts]
         if len(self.known) > CACHE:
             self.known, self.old = {}, self.known
@@ -229,7 +236,7 @@ class Scorer:
             distinct = list(set(words))
             f = dict(zip(distinct, (self.similar.of(distinct) @ self.machine.weights + self.machine.offset).tolist()))
             known.update((t, f[w]) for t, w in zip(new, words))
-        return np.array([self.machine.features(len(p), np.array(list(map(known.__getitem__, p)) or [-2.0])) for p in parts]).reshape(len(parts), -1)
+        return np.array([self.machine.decision(len(p), np.array(list(map(known.__getitem__, p)) or [-2.0])) for p in parts])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
