@@ -23,3 +23,15 @@ def dual(kind: str, q: Column) -> Column:
 def directed(kind: str, q: Column, direction: int) -> Column:
     """The sector as it counts for the flux: its dual on a leg that points inward."""
     return q if direction > 0 else dual(kind, q)
+
+
+def checked(kind: str, q: Column) -> Column:
+    """The sector, or an error where it isn't one: Z2 has 0 and 1, and U1 charges are 32-bit."""
+    ok = q.isin(0, 1) if kind == "z2" else q.between(-(1 << 31), (1 << 31) - 1)
+    return F.when(ok, q).otherwise(F.raise_error(F.lit(f"no sector of {kind}")).cast("bigint"))
+
+
+def fuse_pairs(kinds: tuple[str, str], parts: list[tuple[Column, Column]]) -> tuple[Column, Column]:
+    """Of sectors that are pairs, each of its own kind: fused part by part."""
+    first, second = (fuse(kind, [p[k] for p in parts]) for k, kind in enumerate(kinds))
+    return first, second

@@ -7,13 +7,18 @@ the joins of blocks that don't exist never happen.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import BlockError
 from ..functions.sectors import directed, fuse
+from . import factorize
+
+#: Blocks up to which their list is sent to all tasks; longer ones are joined by a shuffle.
+SENT = 100_000
 
 
 @dataclass(frozen=True)
@@ -44,6 +49,10 @@ class BlockTensor:
         return [f"{c}{k}" for c in "bi" for k in range(self.rank)]
 
 
+def sent(blocks: DataFrame) -> DataFrame:
+    return F.broadcast(blocks) if blocks.limit(SENT + 1).count() <= SENT else blocks
+
+
 def leg_table(spark: SparkSession, leg: Leg, axis: int) -> DataFrame:
     if list(leg.sectors) != sorted(set(leg.sectors)) or len(leg.sectors) != len(leg.dims) or min(leg.dims, default=1) < 1:
         raise BlockError("sectors ascend without repeats and have positive sizes")
@@ -78,7 +87,50 @@ def from_elements(df: DataFrame, legs: tuple[Leg, ...], flux: int = 0, kind: str
     """Of rows b0, .., i0, .., v; rows of blocks that the flux forbids are left out."""
     names = [f"b{k}" for k in range(len(legs))]
     blocks = allowed_blocks(df.sparkSession, legs, flux, kind).select(*names)
-    return BlockTensor(df.join(F.broadcast(blocks), names, "left_semi"), legs, flux, kind)
+    return BlockTensor(df.join(sent(blocks), names, "left_semi"), legs, flux, kind)
+
+
+def from_block_fn(spark: SparkSession, legs: tuple[Leg, ...], value: Callable[..., Column], flux: int = 0, kind: str = "u1") -> BlockTensor:
+    """Every element of every allowed block, as the function of its coordinates b0, .., i0, .. gives it."""
+    rank = len(legs)
+    df = allowed_blocks(spark, legs, flux, kind).withColumn("at", F.explode(F.expr("sequence(0l, size - 1)")))
+    inner, step = [], F.lit(1).cast("bigint")
+    for k in reversed(range(rank)):
+        inner.append(F.pmod(F.floor(F.col("at") / step), F.col(f"d{k}")).cast("bigint").alias(f"i{k}"))
+        step = step * F.col(f"d{k}")
+    df = df.select(*(f"b{k}" for k in range(rank)), *reversed(inner))
+    return BlockTensor(df.withColumn("v", value(*(F.col(f"{c}{k}") for c in "bi" for k in range(rank)))), legs, flux, kind)
+
+
+def zeros(spark: SparkSession, legs: tuple[Leg, ...], flux: int = 0, kind: str = "u1") -> BlockTensor:
+    return from_block_fn(spark, legs, lambda *_: F.lit(0.0), flux, kind)
+
+
+def random(spark: SparkSession, legs: tuple[Leg, ...], seed: int, flux: int = 0, kind: str = "u1") -> BlockTensor:
+    """Uniform in [0, 1), the same for a seed at any partitioning."""
+    return from_block_fn(spark, legs, lambda *at: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *at), 11) / float(1 << 53), flux, kind)
+
+
+def checked_blocks(t: BlockTensor) -> BlockTensor:
+    """t whose rows are errors where the flux forbids their block or they lie outside it."""
+    names = [f"b{k}" for k in range(t.rank)]
+    sizes = allowed_blocks(t.df.sparkSession, t.legs, t.flux, t.kind).select(*names, *(f"d{k}" for k in range(t.rank)))
+    joined = t.df.join(sent(sizes), names, "left")
+    inside = F.lit(True)
+    for k in range(t.rank):
+        inside = inside & F.col(f"d{k}").isNotNull() & (F.col(f"i{k}") >= 0) & (F.col(f"i{k}") < F.col(f"d{k}"))
+    v = F.when(inside, F.col("v")).otherwise(F.raise_error(F.lit("an element is outside the allowed blocks")).cast("double"))
+    return replace(t, df=joined.select(*t.coords, v.alias("v")))
+
+
+def block(t: BlockTensor, at: tuple[int, ...]) -> DataFrame:
+    """The elements i0, .., v of one block."""
+    if len(at) != t.rank or any(not 0 <= b < len(leg.sectors) for b, leg in zip(at, t.legs)):
+        raise BlockError(f"no block {at}")
+    df = t.df
+    for k, b in enumerate(at):
+        df = df.where(F.col(f"b{k}") == b)
+    return df.select(*(f"i{k}" for k in range(t.rank)), "v")
 
 
 def contract(a: BlockTensor, b: BlockTensor, axes_a: list[int], axes_b: list[int]) -> BlockTensor:
@@ -124,17 +176,18 @@ def dagger(t: BlockTensor) -> BlockTensor:
 
 
 def diagonal_scale(t: BlockTensor, axis: int, weights: DataFrame) -> BlockTensor:
-    """Weights (sector, i, w) of each sector along the axis."""
+    """Weights (sector, i, w) of each sector along the axis; an element without a weight is an error."""
     leg = t.legs[axis]
     sector = F.element_at(F.lit(list(leg.sectors)), (F.col(f"b{axis}") + 1).cast("int"))
-    df = t.df.withColumn("sector", sector).join(weights.withColumnRenamed("i", f"i{axis}"), ["sector", f"i{axis}"])
-    return replace(t, df=df.select(*t.coords, (F.col("v") * F.col("w")).alias("v")))
+    df = t.df.withColumn("sector", sector).join(weights.withColumnRenamed("i", f"i{axis}"), ["sector", f"i{axis}"], "left")
+    w = F.when(F.col("w").isNotNull(), F.col("w")).otherwise(F.raise_error(F.lit("a sector or place has no weight")).cast("double"))
+    return replace(t, df=df.select(*t.coords, (F.col("v") * w).alias("v")))
 
 
 def fused_leg(t: BlockTensor, first: int, count: int, direction: int = 1) -> tuple[Leg, DataFrame]:
     """The leg that neighbouring legs fuse to, and where each combination of their blocks lies in it."""
-    if count < 2 or not 0 <= first <= t.rank - count:
-        raise BlockError("two or more neighbouring legs fuse")
+    if count < 1 or not 0 <= first <= t.rank - count:
+        raise BlockError("neighbouring legs fuse")
     spark, legs = t.df.sparkSession, t.legs[first : first + count]
     df = leg_table(spark, legs[0], 0)
     for k, leg in enumerate(legs[1:], 1):
@@ -147,7 +200,7 @@ def fused_leg(t: BlockTensor, first: int, count: int, direction: int = 1) -> tup
     df = df.withColumn("q", directed(t.kind, q, direction)).withColumn("size", size)
     df = df.withColumn("start", F.sum("size").over(Window.partitionBy("q").orderBy(*b)) - F.col("size")).withColumn("block", F.dense_rank().over(Window.orderBy("q")) - 1)
     found = df.groupBy("q").agg(F.sum("size").alias("n")).orderBy("q").collect()  # a row for each sector of a leg
-    return Leg(direction, tuple(r["q"] for r in found), tuple(r["n"] for r in found)), df.select(*b, *(f"d{k}" for k in range(count)), "block", "start")
+    return Leg(direction, tuple(r["q"] for r in found), tuple(r["n"] for r in found)), df.select(*b, *(f"d{k}" for k in range(count)), "q", "size", "block", "start")
 
 
 def fuse_legs(t: BlockTensor, first: int, count: int, direction: int = 1) -> BlockTensor:
@@ -156,15 +209,81 @@ def fuse_legs(t: BlockTensor, first: int, count: int, direction: int = 1) -> Blo
     at = F.lit(0)
     for k in range(first, first + count):
         at = at * F.col(f"d{k}") + F.col(f"i{k}")
-    joined = t.df.join(F.broadcast(where), [f"b{k}" for k in range(first, first + count)])
+    joined = t.df.join(sent(where), [f"b{k}" for k in range(first, first + count)])
     legs = (*t.legs[:first], leg, *t.legs[first + count :])
     rest = [*range(first), None, *range(first + count, t.rank)]
     df = joined.select(*((F.col("block") if k is None else F.col(f"b{k}")).alias(f"b{n}") for n, k in enumerate(rest)), *((F.col("start") + at if k is None else F.col(f"i{k}")).alias(f"i{n}") for n, k in enumerate(rest)), "v")
     return replace(t, df=df, legs=legs)
 
 
-def sector_matrices(t: BlockTensor) -> DataFrame:
-    """id (the block of the row leg), i, j, v of a matrix, whose blocks then are factored each on its own."""
-    if t.rank != 2:
-        raise BlockError("fuse the legs to rows and columns first")
-    return t.df.select(F.col("b0").cast("bigint").alias("id"), F.col("i0").cast("bigint").alias("i"), F.col("i1").cast("bigint").alias("j"), F.col("v").cast("double").alias("v"))
+@dataclass(frozen=True)
+class SectorMatrices:
+    """The matrices of a tensor whose first legs are rows and whose others are columns, one for each row sector.
+
+    df has id (the row sector), i, j, v; sizes has id, m, n. A row sector without its column sector has no matrix.
+    """
+
+    df: DataFrame
+    sizes: DataFrame
+    rows: Leg
+    where_rows: DataFrame
+    where_columns: DataFrame
+    ranks: dict[int, int]
+
+
+def sector_matrices(t: BlockTensor, nrow: int) -> SectorMatrices:
+    """Row sectors q meet column sectors that fuse with them to the flux, so each pair is a matrix of its own size."""
+    if not 0 < nrow < t.rank:
+        raise BlockError(f"{nrow} row legs of {t.rank}")
+    row, where_rows = fused_leg(t, 0, nrow, 1)
+    column, where_columns = fused_leg(t, nrow, t.rank - nrow, -1)
+    partner = {q: (q - t.flux if t.kind == "u1" else q ^ t.flux) for q in row.sectors}
+    size = dict(zip(column.sectors, column.dims))
+    found = [(q, m, size[partner[q]]) for q, m in zip(row.sectors, row.dims) if partner[q] in size]
+    spark = t.df.sparkSession
+    sizes = spark.createDataFrame(found, "id bigint, m int, n int")
+    df = t.df
+    for where, first, count, at in ((where_rows, 0, nrow, "i"), (where_columns, nrow, t.rank - nrow, "j")):
+        place = F.lit(0)
+        for k in range(count):
+            place = place * F.col(f"d{k}") + F.col(f"i{first + k}")
+        on = where.select(*(F.col(f"b{k}").alias(f"b{first + k}") for k in range(count)), *(f"d{k}" for k in range(count)), "start", F.col("q").alias(f"q_{at}"))
+        df = df.join(sent(on), [f"b{first + k}" for k in range(count)]).withColumn(f"at_{at}", F.col("start") + place).drop("start", *(f"d{k}" for k in range(count)))
+    df = df.select(F.col("q_i").cast("bigint").alias("id"), F.col("at_i").cast("bigint").alias("i"), F.col("at_j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v"))
+    return SectorMatrices(df, sizes, row, where_rows, where_columns, {q: min(m, n) for q, m, n in found})
+
+
+def to_legs(part: DataFrame, where: DataFrame, count: int, axis: str, first: int, bond: Leg, flux: int, kind: str) -> DataFrame:
+    """A factor's elements (id, i, j, v) with the fused axis split in its legs' blocks and places again, numbered from `first`."""
+    q = F.col("id") if axis == "i" else (F.col("id") - flux if kind == "u1" else F.col("id").bitwiseXOR(F.lit(flux)))
+    inside = (q == F.col("q")) & (F.col(axis) >= F.col("start")) & (F.col(axis) < F.col("start") + F.col("size"))
+    df = part.join(sent(where), inside).withColumn("at", F.col(axis) - F.col("start"))
+    inner, step = [], F.lit(1).cast("bigint")
+    for k in reversed(range(count)):
+        inner.append(F.pmod(F.floor(F.col("at") / step), F.col(f"d{k}")).cast("bigint").alias(f"i{first + k}"))
+        step = step * F.col(f"d{k}")
+    number = F.array_position(F.lit(list(bond.sectors)), F.col("id").cast("int")).cast("int") - 1
+    k, other = (count, "j") if axis == "i" else (0, "i")
+    return df.select(*(F.col(f"b{n}").alias(f"b{first + n}") for n in range(count)), number.alias(f"b{k}"), *inner, F.col(other).alias(f"i{k}"), "v")
+
+
+def svd(t: BlockTensor, nrow: int) -> tuple[BlockTensor, DataFrame, BlockTensor]:
+    """U (row legs and a bond), the values (sector, i, w) and V (the bond and column legs) of every sector's matrix at once."""
+    m = sector_matrices(t, nrow)
+    parts = factorize.svd(m.df, m.sizes)
+    sectors = tuple(sorted(m.ranks))
+    bond = Leg(-1, sectors, tuple(m.ranks[q] for q in sectors))
+    u = to_legs(parts.where("part = 'u'"), m.where_rows, nrow, "i", 0, bond, t.flux, t.kind)
+    v = to_legs(parts.where("part = 'vt'"), m.where_columns, t.rank - nrow, "j", 1, bond, t.flux, t.kind)
+    values = parts.where("part = 's'").select(F.col("id").cast("int").alias("sector"), "i", F.col("v").alias("w"))
+    left = BlockTensor(u, (*t.legs[:nrow], bond), 0, t.kind)
+    right = BlockTensor(v, (bond.dual(), *t.legs[nrow:]), t.flux, t.kind)
+    return replace(left, df=left.df.select(*left.coords, "v")), values, replace(right, df=right.df.select(*right.coords, "v"))
+
+
+def square_sectors(t: BlockTensor, nrow: int) -> None:
+    """An error unless every row sector meets a column sector of its size."""
+    m = sector_matrices(t, nrow)
+    found = {r["id"]: (r["m"], r["n"]) for r in m.sizes.collect()}  # a row for each sector
+    if set(found) != set(m.rows.sectors) or any(a != b for a, b in found.values()):
+        raise BlockError("row and column sectors differ")

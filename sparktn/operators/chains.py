@@ -7,9 +7,50 @@ and bond; the number of stages follows the length of a chain, not how many there
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import TensorError
+from ..sources.tables import stored
+
+#: Sites after which a fold's environment is written, so that plans stay short however long a chain is.
+STORED = 8
+
+
+def from_sites(sites: list[DataFrame], bonds: list[int] | None = None, kind: str = "state") -> DataFrame:
+    """A table of chains from one table (chain, l, p, r, v), or (chain, l, ket, bra, r, v), for each site.
+
+    With bonds (one more than sites, from edge to edge), an element beyond its bond is an error.
+    """
+    names = ["l", "p", "r"] if kind == "state" else ["l", "ket", "bra", "r"]
+    if not sites or bonds is not None and len(bonds) != len(sites) + 1:
+        raise TensorError("a chain has sites, and bonds at both sides of each")
+    out = None
+    for k, df in enumerate(sites):
+        if set(df.columns) != {"chain", *names, "v"}:
+            raise TensorError(f"columns {df.columns} of site {k} aren't those of a chain's {kind}")
+        own = df.select("chain", F.lit(k).cast("bigint").alias("site"), *names, "v")
+        if bonds is not None:
+            inside = (F.col("l") >= 0) & (F.col("l") < bonds[k]) & (F.col("r") >= 0) & (F.col("r") < bonds[k + 1])
+            own = own.withColumn("v", F.when(inside, F.col("v")).otherwise(F.raise_error(F.lit(f"an element of site {k} is beyond its bond")).cast(df.schema["v"].dataType)))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def bond_dims(chains: DataFrame) -> DataFrame:
+    """chain, site, left, right: the bonds that the stored elements reach; the largest is their maximum."""
+    return chains.groupBy("chain", "site").agg((F.max("l") + 1).alias("left"), (F.max("r") + 1).alias("right"))
+
+
+def not_finite(chains: DataFrame) -> DataFrame:
+    """chain, site and how many of its elements are null, NaN or infinite; no rows if all are numbers."""
+    v = F.col("v").cast("double")
+    return chains.where(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).groupBy("chain", "site").agg(F.count("*").alias("n"))
+
+
+def short(env: DataFrame, k: int) -> DataFrame:
+    return stored(env, "environment") if k % STORED == STORED - 1 else env
+
 
 def inner(bra: DataFrame, ket: DataFrame, n: int) -> DataFrame:
     """chain and overlap of real states with n sites; chains whose overlap has no term are 0."""
@@ -18,31 +59,68 @@ def inner(bra: DataFrame, ket: DataFrame, n: int) -> DataFrame:
         left = bra.where(F.col("site") == k).select("chain", F.col("l").alias("a"), "p", F.col("r").alias("c"), F.col("v").alias("x"))
         right = ket.where(F.col("site") == k).select("chain", F.col("l").alias("b"), "p", F.col("r").alias("d"), F.col("v").alias("y"))
         half = env.join(left, ["chain", "a"]).groupBy("chain", "b", "p", "c").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
-        env = half.join(right, ["chain", "b", "p"]).groupBy("chain", F.col("c").alias("a"), F.col("d").alias("b")).agg(F.sum(F.col("v") * F.col("y")).alias("v"))
+        env = short(half.join(right, ["chain", "b", "p"]).groupBy("chain", F.col("c").alias("a"), F.col("d").alias("b")).agg(F.sum(F.col("v") * F.col("y")).alias("v")), k)
+    return closed(bra, env, "overlap")
+
+
+def norm(state: DataFrame, n: int) -> DataFrame:
+    """chain and norm of real states."""
+    return inner(state, state, n).select("chain", F.sqrt("overlap").alias("norm"))
+
+
+def closed(bra: DataFrame, env: DataFrame, name: str) -> DataFrame:
     chains = bra.select("chain").distinct()
-    return chains.join(env.groupBy("chain").agg(F.sum("v").alias("v")), "chain", "left").select("chain", F.coalesce("v", F.lit(0)).alias("overlap"))
+    return chains.join(env.groupBy("chain").agg(F.sum("v").alias("v")), "chain", "left").select("chain", F.coalesce("v", F.lit(0)).alias(name))
+
+
+def edge(bra: DataFrame) -> DataFrame:
+    one = F.lit(0).cast("bigint")
+    return bra.select("chain").distinct().select("chain", one.alias("a"), one.alias("w"), one.alias("b"), F.lit(1).cast("bigint").alias("v"))
+
+
+def step(env: DataFrame, bra: DataFrame, op: DataFrame, ket: DataFrame, k: int, near: str = "l", far: str = "r") -> DataFrame:
+    """The environment (chain, a, w, b, v) carried over site k: from the bonds `near` to the bonds `far`."""
+    left = bra.where(F.col("site") == k).select("chain", F.col(near).alias("a"), F.col("p").alias("bra"), F.col(far).alias("a2"), F.col("v").alias("x"))
+    mid = op.where(F.col("site") == k).select(F.col(near).alias("w"), "ket", "bra", F.col(far).alias("w2"), F.col("v").alias("o"))
+    right = ket.where(F.col("site") == k).select("chain", F.col(near).alias("b"), F.col("p").alias("ket"), F.col(far).alias("b2"), F.col("v").alias("y"))
+    env = env.join(left, ["chain", "a"]).groupBy("chain", "w", "b", "bra", "a2").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+    env = env.join(mid, ["w", "bra"]).groupBy("chain", "b", "a2", "ket", "w2").agg(F.sum(F.col("v") * F.col("o")).alias("v"))
+    return env.join(right, ["chain", "b", "ket"]).groupBy("chain", F.col("a2").alias("a"), F.col("w2").alias("w"), F.col("b2").alias("b")).agg(F.sum(F.col("v") * F.col("y")).alias("v"))
 
 
 def braket(bra: DataFrame, op: DataFrame, ket: DataFrame, n: int) -> DataFrame:
     """chain and value of the operator between two states."""
-    one = F.lit(0).cast("bigint")
-    env = bra.select("chain").distinct().select("chain", one.alias("a"), one.alias("w"), one.alias("b"), F.lit(1).alias("v"))
+    env = edge(bra)
     for k in range(n):
-        left = bra.where(F.col("site") == k).select("chain", F.col("l").alias("a"), F.col("p").alias("bra"), F.col("r").alias("a2"), F.col("v").alias("x"))
-        mid = op.where(F.col("site") == k).select(F.col("l").alias("w"), "ket", "bra", F.col("r").alias("w2"), F.col("v").alias("o"))
-        right = ket.where(F.col("site") == k).select("chain", F.col("l").alias("b"), F.col("p").alias("ket"), F.col("r").alias("b2"), F.col("v").alias("y"))
-        env = env.join(left, ["chain", "a"]).groupBy("chain", "w", "b", "bra", "a2").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
-        env = env.join(mid, ["w", "bra"]).groupBy("chain", "b", "a2", "ket", "w2").agg(F.sum(F.col("v") * F.col("o")).alias("v"))
-        env = env.join(right, ["chain", "b", "ket"]).groupBy("chain", F.col("a2").alias("a"), F.col("w2").alias("w"), F.col("b2").alias("b")).agg(F.sum(F.col("v") * F.col("y")).alias("v"))
-    chains = bra.select("chain").distinct()
-    return chains.join(env.groupBy("chain").agg(F.sum("v").alias("v")), "chain", "left").select("chain", F.coalesce("v", F.lit(0)).alias("value"))
+        env = short(step(env, bra, op, ket, k), k)
+    return closed(bra, env, "value")
+
+
+def environments(bra: DataFrame, op: DataFrame, ket: DataFrame, n: int) -> DataFrame:
+    """chain, site, side, a, w, b, v: what lies left of every site (`left`) and right of it (`right`), contracted.
+
+    Two folds, each of whose steps is written once, so that all 2 n environments take as many joins as two products.
+    """
+    if n < 1:
+        raise TensorError("an empty chain has no environments")
+    out = None
+    for side, sites, near, far in (("left", range(n), "l", "r"), ("right", range(n - 1, -1, -1), "r", "l")):
+        env = edge(bra)
+        for k in sites:
+            own = env.select("chain", F.lit(k).cast("bigint").alias("site"), F.lit(side).alias("side"), "a", "w", "b", F.col("v").cast("double").alias("v"))
+            out = own if out is None else out.unionByName(own)
+            if k != sites[-1]:
+                env = stored(step(env, bra, op, ket, k, near, far), "environment")
+    return out
 
 
 def apply(op: DataFrame, state: DataFrame, bonds: int) -> DataFrame:
     """The operator on every chain, exact: site products with fused bonds; `bonds` is the operator's largest bond.
 
-    One join on site and physical index, with no order among sites.
+    One join on site and physical index, with no order among sites. A bond of the operator beyond `bonds` is an error.
     """
+    inside: Column = (F.col("l") < bonds) & (F.col("r") < bonds)
+    op = op.withColumn("v", F.when(inside, F.col("v")).otherwise(F.raise_error(F.lit("a bond of the operator is larger than stated")).cast(op.schema["v"].dataType)))
     o = op.select("site", F.col("l").alias("ol"), "ket", "bra", F.col("r").alias("orr"), F.col("v").alias("o"))
     s = state.select("chain", "site", "l", F.col("p").alias("ket"), "r", "v")
     joined = s.join(o, ["site", "ket"])

@@ -1,6 +1,6 @@
 """Contractions are equi-joins on shared indices and sums by the free ones; traces are filters and sums.
 
-An expression of several operands is evaluated from the left, and each step sums what no later operand and not
+An expression of several operands is evaluated pair by pair, connected operands first, and each step sums what no later operand and not
 the output needs, which Catalyst doesn't do for joins under one aggregation.
 """
 
@@ -35,8 +35,19 @@ def labels_of(notation: str, tensors: list[Tensor]) -> tuple[list[str], str]:
     return parts, out
 
 
+def connected(parts: list[str], tensors: list[Tensor]) -> tuple[list[str], list[Tensor]]:
+    """The operands in an order in which each shares an index with those before, as far as there is one."""
+    left, order, have = list(range(len(parts))), [], set()
+    while left:
+        k = next((i for i in left if have & set(parts[i])), left[0])
+        left.remove(k)
+        order.append(k)
+        have |= set(parts[k])
+    return [parts[k] for k in order], [tensors[k] for k in order]
+
+
 def einsum(notation: str, *tensors: Tensor) -> Tensor:
-    """Absent elements of the result are zero. One operand: traces and permutations; more: pairs from the left."""
+    """Absent elements of the result are zero. One operand: traces and permutations; more: pairs, connected ones first."""
     parts, out = labels_of(notation, list(tensors))
     sizes = {c: n for p, t in zip(parts, tensors) for c, n in zip(p, t.shape)}
     if len(parts) == 1:
@@ -51,6 +62,7 @@ def einsum(notation: str, *tensors: Tensor) -> Tensor:
         raise ContractionError("an operand repeats an index")
     named: DataFrame | None = None
     have: list[str] = []
+    parts, tensors = connected(parts, list(tensors))
     for k, (p, t) in enumerate(zip(parts, tensors)):
         right = t.df.select(*(F.col(a).alias(f"x_{c}") for a, c in zip(t.axes, p)), F.col("v").alias("w"))
         if named is None:
@@ -68,6 +80,27 @@ def einsum(notation: str, *tensors: Tensor) -> Tensor:
     return Tensor(named.select(*(F.col(f"x_{c}").alias(a) for c, a in zip(out, axes(len(out)))), F.coalesce("v", F.lit(0)).alias("v")), tuple(sizes[c] for c in out))
 
 
+def gram(rows: DataFrame, column: str, n: int) -> Tensor:
+    """The products of n columns with each other, summed over rows that hold whole numbers as an array.
+
+    Every batch is multiplied in its task and every task adds up its batches, so n x n sums leave a task,
+    not n x n products a row. Exact while a batch's sums are below 2^53.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        total = np.zeros((n, n), np.int64)
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, n)
+            total += np.rint(x.T @ x).astype(np.int64)
+        i, j = np.indices((n, n)).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i0", "i1", "v"])
+
+    parts = rows.select(column).where(F.size(column) == n).mapInArrow(run, "i0 bigint, i1 bigint, v bigint")
+    return Tensor(parts.groupBy("i0", "i1").agg(F.sum("v").alias("v")), (n, n))
+
+
 def contract(a: Tensor, b: Tensor, notation: str) -> Tensor:
     """Two operands; an index in both is summed and can't be in the output."""
     (p, q), out = labels_of(notation, [a, b])
@@ -101,18 +134,29 @@ def trace(t: Tensor, pairs: list[tuple[int, int]]) -> Tensor:
     return Tensor(summed.select(*axes(len(free)), F.coalesce("v", F.lit(0)).alias("v")), tuple(t.shape[k] for k in free))
 
 
-def norm(t: Tensor) -> float:
-    """The Frobenius norm without overflow: a pass for the largest magnitude, one for the sum of scaled squares.
+def norm_parts(t: Tensor) -> DataFrame:
+    """exponent and sumsq: sums of squares of the elements, each scaled by its binary exponent, a row for each exponent.
 
-    NaN wins over infinity; an empty tensor has norm 0.
+    One pass whose partial sums merge across partitions; no more rows than exponents of a double. NaN and
+    infinity have exponents beyond all others.
     """
-    got = t.df.agg(F.max(F.when(~F.isnan("v"), F.abs("v"))).alias("m"), F.max(F.isnan("v")).alias("nan")).first()
-    if got["nan"]:
+    v = F.abs(F.col("v").cast("double"))
+    wild = F.isnan(v) | (v == float("inf"))
+    e = F.when(F.isnan(v), 3000).when(v == float("inf"), 2000).otherwise(F.greatest(F.floor(F.log2(v)), F.lit(-1000)))
+    half = F.floor(e / 2)  # two powers of two, as one may be out of range
+    return t.df.where("v <> 0").select(e.cast("int").alias("exponent"), F.when(wild, 1.0).otherwise(F.pow(v * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - e), 2)).alias("q")).groupBy("exponent").agg(F.sum("q").alias("sumsq"))
+
+
+def norm(t: Tensor) -> float:
+    """The Frobenius norm without overflow. NaN wins over infinity; an empty tensor has norm 0."""
+    parts = {r["exponent"]: r["sumsq"] for r in norm_parts(t).collect()}
+    if 3000 in parts:
         return math.nan
-    m = got["m"] or 0.0
-    if m == 0 or math.isinf(m):
-        return float(m)
-    return m * math.sqrt(t.df.agg(F.sum(F.pow(F.col("v") / F.lit(m), 2))).first()[0])
+    if 2000 in parts or not parts:
+        return math.inf if parts else 0.0
+    top = max(parts)
+    root = math.sqrt(math.fsum(math.ldexp(q, max(2 * (e - top), -1074)) for e, q in parts.items()))
+    return math.inf if math.log2(root) + top >= 1024 else math.ldexp(root, top)
 
 
 def combine_norms(a: float, b: float) -> float:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import FactorizationError
@@ -51,17 +51,20 @@ def rows(number: int, **parts: np.ndarray) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def per_matrix(df: DataFrame, m: int, n: int, f: Callable[[np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
-    """f's parts for each matrix of m rows and n columns, as ENTRY."""
+def per_matrix(df: DataFrame, m: int | DataFrame, n: int | None, f: Callable[[np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+    """f's parts for each matrix, as ENTRY, of m rows and n columns; matrices of different sizes come with a table (id, m, n)."""
+    if isinstance(m, DataFrame):
+        return df.join(m, "id").groupBy("id").applyInPandas(lambda key, pdf: rows(key[0], **f(dense(pdf, int(pdf["m"].iloc[0]), int(pdf["n"].iloc[0])))), ENTRY)
     return df.groupBy("id").applyInPandas(lambda key, pdf: rows(key[0], **f(dense(pdf, m, n))), ENTRY)
 
 
-def square(m: int, n: int) -> None:
-    if m != n:
+def square(m: int | DataFrame, n: int | None) -> None:
+    """Of sizes by id, a matrix that isn't square is an error in its task."""
+    if not isinstance(m, DataFrame) and m != n:
         raise FactorizationError(f"{m} x {n} is not square")
 
 
-def svd(df: DataFrame, m: int, n: int) -> DataFrame:
+def svd(df: DataFrame, m: int | DataFrame, n: int | None = None) -> DataFrame:
     """Parts u, s (descending) and vt of the thin decomposition."""
     return per_matrix(df, m, n, lambda a: dict(zip(("u", "s", "vt"), np.linalg.svd(a, full_matrices=False))))
 
@@ -103,10 +106,13 @@ def tridiagonal_eigh(df: DataFrame, n: int) -> DataFrame:
 def solve(a: DataFrame, b: DataFrame, n: int, k: int) -> DataFrame:
     """Part x of a x = b for matrices with equal ids; b has k columns."""
 
-    def f(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return rows(key[0], x=np.linalg.solve(dense(left, n, n), dense(right, n, k))) if len(left) else rows(key[0], x=np.zeros((0, k)))
+    def f(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        return rows(key[0], x=np.linalg.solve(dense(left, n, n), dense(right, n, k)) if len(left) else np.zeros((0, k)))
 
-    return a.groupBy("id").cogroup(b.groupBy("id")).applyInPandas(f, ENTRY)
+    # a union and not a cogroup, whose sides get mixed up where they share columns of one table
+    both = a.select("id", F.lit(0).alias("side"), "i", "j", "v").unionByName(b.select("id", F.lit(1).alias("side"), "i", "j", "v"))
+    return both.groupBy("id").applyInPandas(f, ENTRY)
 
 
 def inverse(df: DataFrame, m: int, n: int) -> DataFrame:
@@ -146,15 +152,18 @@ def expm_symmetric(df: DataFrame, m: int, n: int) -> DataFrame:
     return per_matrix(df, m, n, f)
 
 
-def truncated(spectrum: DataFrame, chi_max: int | None = None, target: float | None = None, by: tuple[str, ...] = ("id",)) -> DataFrame:
+def truncated(spectrum: DataFrame, chi_max: int | None = None, target: float | None = None, by: tuple[str, ...] = ("id",), kept_only: bool = False) -> DataFrame:
     """The spectrum (by, sector, s) with rank, discarded and kept: which values survive a truncation.
 
     Values are ranked across sectors, larger first and the smaller sector before. With a target, the smallest
     are dropped for as long as the norm of what is dropped is at most the target, and one stays; chi_max bounds
-    how many stay.
+    how many stay. With kept_only, what a bound drops isn't returned and never reaches the task that ranks.
     """
     if chi_max is not None and chi_max < 1:
         raise FactorizationError("chi_max must be at least 1")
+    if chi_max is not None and target is None and kept_only:  # parts first, so that no task ranks a whole spectrum
+        part = Window.partitionBy(*by, F.pmod(F.xxhash64("sector", "k"), F.lit(256))).orderBy(F.col("s").desc(), "sector", "k")
+        spectrum = spectrum.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= chi_max).drop("rank")
     order = Window.partitionBy(*by).orderBy(F.col("s").desc(), "sector", "k")
     tail = F.sqrt(F.sum(F.col("s") * F.col("s")).over(order.rowsBetween(0, Window.unboundedFollowing)))
     out = spectrum.withColumn("rank", F.row_number().over(order)).withColumn("discarded", tail)
@@ -163,7 +172,43 @@ def truncated(spectrum: DataFrame, chi_max: int | None = None, target: float | N
         kept = (F.col("discarded") > target) | (F.col("rank") == 1)
     if chi_max is not None:
         kept = kept & (F.col("rank") <= chi_max)
-    return out.withColumn("kept", kept)
+    out = out.withColumn("kept", kept)
+    return out.where("kept").drop("discarded") if kept_only else out
+
+
+def tall_svd(rows: DataFrame, key: str, column: str, n: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Of one tall matrix whose rows of n whole numbers are arrays: left vectors (key, u array), values and right vectors.
+
+    The n x n products are summed in Spark and factored on the driver, n * n numbers however many rows there are;
+    left vectors are rows times a small matrix, without a shuffle. Values below 1e-7 of the largest are dropped, as
+    products square the condition.
+    """
+    from .contract import gram
+
+    g = np.zeros((n, n))
+    for r in gram(rows, column, n).df.collect():  # n * n numbers
+        g[r["i0"], r["i1"]] = r["v"]
+    w, v = np.linalg.eigh(g)
+    s = np.sqrt(np.maximum(w[::-1], 0))
+    keep = s > 1e-7 * max(s[0], 1e-300)
+    s, v = s[keep], v[:, ::-1][:, keep]
+    small = v / s
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x @ small), pa.list_(pa.float64()))], [key, "u"])
+
+    whole = rows.where(F.size(column) == n).select(key, column)
+    schema = f"{key} {whole.schema[key].dataType.simpleString()}, u array<double>"
+    return whole.mapInArrow(run, schema), s, v
+
+
+def map_values(spectrum: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
+    """A spectrum (sector, k, s) with f of every value."""
+    return spectrum.withColumn("s", f(F.col("s")))
 
 
 def product(df: DataFrame, left: str, right: str, diagonal: str | None = None) -> DataFrame:

@@ -5,20 +5,11 @@ Vectors are tables (i, v) written out at every step; only the few numbers of the
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def stored(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparktn-")
-    path = f"{base.rstrip('/')}/krylov-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.tables import stored
 
 
 def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
@@ -26,34 +17,55 @@ def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
     return a.join(x.select(F.col("i").alias("j"), F.col("v").alias("x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
 
 
-def dot(x: DataFrame, y: DataFrame) -> float:
-    return x.join(y.withColumnRenamed("v", "w"), "i").agg(F.coalesce(F.sum(F.col("v") * F.col("w")), F.lit(0.0))).first()[0]
+def dots(basis: DataFrame, w: DataFrame) -> dict[int, float]:
+    """The products of w with every vector of the basis (k, i, v) at once; as many numbers as vectors."""
+    rows = basis.join(w.select("i", F.col("v").alias("w")), "i").groupBy("k").agg(F.sum(F.col("v") * F.col("w")).alias("d")).collect()
+    return {r["k"]: r["d"] for r in rows}
 
 
-def combination(parts: list[tuple[DataFrame, float]]) -> DataFrame:
-    out = None
-    for df, c in parts:
-        own = df.select("i", (F.col("v") * F.lit(float(c))).alias("v"))
-        out = own if out is None else out.unionByName(own)
-    return out.groupBy("i").agg(F.sum("v").alias("v"))
+def size_of(w: DataFrame) -> float:
+    return float(np.sqrt(w.agg(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0))).first()[0]))
 
 
-def lanczos_smallest(a: DataFrame, n: int, steps: int = 12, tol: float = 1e-10, seed: int = 0) -> tuple[float, bool]:
-    """The value and whether the residual's bound is at most tol; each new vector is made orthogonal to all before."""
+def without(w: DataFrame, basis: DataFrame, factors: dict[int, float]) -> DataFrame:
+    """w less its shares in the vectors of the basis: one union and one sum, however many vectors there are."""
+    spark = w.sparkSession
+    f = F.broadcast(spark.createDataFrame(list(factors.items()), "k int, f double"))  # a row for each step
+    parts = basis.join(f, "k").select("i", (-F.col("v") * F.col("f")).alias("v"))
+    return w.select("i", "v").unionByName(parts).groupBy("i").agg(F.sum("v").alias("v"))
+
+
+def ritz(alpha: list[float], beta: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    return np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
+
+
+def lanczos(a: DataFrame, n: int, steps: int = 12, tol: float = 1e-10, seed: int = 0) -> tuple[float, bool, DataFrame]:
+    """The smallest value, whether the residual's bound is at most tol, and its vector (i, v).
+
+    The basis is one table (k, i, v), to which every step adds a vector made orthogonal to all before.
+    """
     spark = a.sparkSession
     start = spark.range(n).select(F.col("id").alias("i"), (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / float(1 << 53) - 0.5).alias("v"))
-    v = stored(combination([(start, 1 / np.sqrt(dot(start, start)))]))
-    basis, alpha, beta = [v], [], []
+    v = stored(start.withColumn("v", F.col("v") / F.lit(size_of(start))).select(F.lit(0).alias("k"), "i", "v"), "krylov")
+    basis, alpha, beta = v, [], []
     while True:
-        w = stored(matvec(a, basis[-1]))
-        alpha.append(dot(w, basis[-1]))
-        for _ in range(2):
-            w = stored(combination([(w, 1.0), *((b, -dot(w, b)) for b in basis)]))
-        size = float(np.sqrt(max(0.0, dot(w, w))))
-        t = np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1)
-        values, vectors = np.linalg.eigh(t)
+        k = len(alpha)
+        w = stored(matvec(a, v), "krylov")
+        shares = dots(basis, w)
+        alpha.append(shares.get(k, 0.0))
+        w = stored(without(w, basis, shares), "krylov")
+        w = stored(without(w, basis, dots(basis, w)), "krylov")  # once more, for what rounding left
+        size = size_of(w)
+        values, vectors = ritz(alpha, beta)
         residual = size * abs(vectors[-1, 0])
         if residual <= tol or len(alpha) == min(steps, n):
-            return float(values[0]), bool(residual <= tol)
+            weights = spark.createDataFrame([(j, float(x)) for j, x in enumerate(vectors[:, 0])], "k int, f double")
+            vector = basis.join(F.broadcast(weights), "k").groupBy("i").agg(F.sum(F.col("v") * F.col("f")).alias("v"))
+            return float(values[0]), bool(residual <= tol), vector
         beta.append(size)
-        basis.append(stored(combination([(w, 1 / size)])))
+        v = stored(w.select(F.lit(k + 1).alias("k"), "i", (F.col("v") / F.lit(size)).alias("v")), "krylov")
+        basis = basis.unionByName(v)
+
+
+def lanczos_smallest(a: DataFrame, n: int, steps: int = 12, tol: float = 1e-10, seed: int = 0) -> tuple[float, bool]:
+    return lanczos(a, n, steps, tol, seed)[:2]

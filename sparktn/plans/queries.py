@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, chains, contract, elementwise, factorize, krylov, structural
-from ..sources.tables import load, quantities, read, save
+from ..functions.site_ops import applied, site_operator
+from ..operators import blocks, chains, complexes, contract, elementwise, factorize, krylov, structural
+from ..sources.tables import load, load_blocks, quantities, read, save, save_blocks, shared_path
 from ..streaming.running import windowed_sums
 from ..tensor import Tensor, from_table, from_values
 
@@ -54,35 +55,108 @@ def einsum_matmul(spark: SparkSession, d: str) -> DataFrame:
     return out(contract.einsum("ij,jk->ik", Tensor(a, (n, n)), Tensor(b, (n, 8))))
 
 
+#: A matrix for each supplier: lines by seven classes of parts.
+BATCH = "b as (select l_suppkey as id, l_linenumber - 1 as i, l_partkey % 7 as j, sum(cast(l_quantity as bigint))::bigint as v from lineitem group by all)"
+
+
+def batch(spark: SparkSession, d: str) -> DataFrame:
+    df = read(spark, d, "lineitem").select(F.col("l_suppkey").cast("bigint").alias("id"), (F.col("l_linenumber") - 1).cast("bigint").alias("i"), (F.col("l_partkey") % 7).alias("j"), F.col("l_quantity").cast("bigint").alias("q"))
+    return df.groupBy("id", "i", "j").agg(F.sum("q").cast("double").alias("v"))
+
+
+def regular(spark: SparkSession, d: str) -> DataFrame:
+    """The batch with ten million more on the diagonals, so that every matrix has an inverse."""
+    own = batch(spark, d)
+    more = own.select("id").distinct().select("id", F.expr("explode(sequence(0l, 6l))").alias("i")).select("id", "i", F.col("i").alias("j"), F.lit(1e7).alias("v"))
+    return own.unionByName(more).groupBy("id", "i", "j").agg(F.sum("v").alias("v"))
+
+
+def stated(df: DataFrame) -> DataFrame:
+    """Elements that aren't zero, as whole numbers."""
+    return whole(df).where("v <> 0")
+
+
 def rebuilt(spark: SparkSession, d: str, f: Callable, left: str, right: str, diagonal: str | None = None) -> DataFrame:
-    m = factorize.matrices(square(spark, d), 1)
-    return whole(factorize.product(f(m, 8, 8), left, right, diagonal)).select(F.col("i").alias("i0"), F.col("j").alias("i1"), "v")
+    return stated(factorize.product(f(batch(spark, d), 7, 7), left, right, diagonal))
 
 
 def eigh_reconstruct(spark: SparkSession, d: str) -> DataFrame:
-    parts = factorize.eigh(factorize.matrices(symmetric(spark, d), 1), 8, 8)
+    own = batch(spark, d)
+    both = own.unionByName(own.select("id", F.col("j").alias("i"), F.col("i").alias("j"), "v")).groupBy("id", "i", "j").agg(F.sum("v").alias("v"))
+    parts = factorize.eigh(both, 7, 7)
     parts = parts.unionByName(parts.where("part = 'v'").select("id", F.lit("vt").alias("part"), F.col("j").alias("i"), F.col("i").alias("j"), "v"))
-    return whole(factorize.product(parts, "v", "vt", "w")).select(F.col("i").alias("i0"), F.col("j").alias("i1"), "v")
+    return stated(factorize.product(parts, "v", "vt", "w"))
 
 
-def part_of(df: DataFrame, part: str) -> DataFrame:
-    return whole(df.where(F.col("part") == part)).select("i", "j", "v")
+def solve_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Regular matrices, their products with x = (1, .., 7), and x again."""
+    a = regular(spark, d)
+    b = a.groupBy("id", "i").agg(F.sum(F.col("v") * (F.col("j") + 1)).alias("v")).select("id", "i", F.lit(0).cast("bigint").alias("j"), "v")
+    return whole(factorize.solve(a, b, 7, 1)).select("id", "i", "v")
 
 
-def solve_planted(spark: SparkSession, d: str) -> DataFrame:
-    """A regular matrix, its product with x = (1, .., 8), and x again."""
-    a = elementwise.linear_combine([square(spark, d), Tensor(spark.range(8).select(F.col("id").alias("i0"), F.col("id").alias("i1"), F.lit(10**7).alias("v")), (8, 8))], [1, 1])
-    x = from_values(spark, list(range(1, 9)), (8,))
-    b = contract.einsum("ij,j->i", a, x).df.select(F.lit(0).cast("bigint").alias("id"), F.col("i0").alias("i"), F.lit(0).cast("bigint").alias("j"), "v")
-    return part_of(factorize.solve(factorize.matrices(a, 1), b, 8, 1), "x").select("i", "v")
+def inverse_identity(spark: SparkSession, d: str) -> DataFrame:
+    """Regular matrices times their inverses."""
+    a = regular(spark, d)
+    x = factorize.inverse(a, 7, 7)
+    both = x.unionByName(a.select("id", F.lit("a").alias("part"), "i", "j", "v"))
+    return stated(factorize.product(both, "a", "x"))
 
 
 def expm_nilpotent(spark: SparkSession, d: str) -> DataFrame:
-    """Of the part above the diagonal of the first 3 x 3 block: 1 + n + n n / 2, doubled to be whole."""
-    s = square(spark, d)
-    df = s.df.where("i0 < i1 and i1 < 3").select(F.lit(0).cast("bigint").alias("id"), F.col("i0").alias("i"), F.col("i1").alias("j"), "v")
-    x = factorize.expm(df, 3, 3)
-    return x.select("i", "j", F.round(F.col("v") * 2).cast("bigint").alias("v")).where("v <> 0")
+    """Of the parts above the first diagonal beside the main one, without further terms: 1 + n + n n / 2, doubled to be whole.
+
+    Lines 0 to 2 lead to classes 3 and 4, and lines 3 and 4 to classes 5 and 6, so three factors are zero.
+    """
+    n = batch(spark, d).where("i < 3 and j in (3, 4) or i in (3, 4) and j > 4")
+    return stated(factorize.expm(n, 7, 7).withColumn("v", F.col("v") * 2)).select("id", "i", "j", "v")
+
+
+NILPOTENT = f"{BATCH}, n as (select * from b where i < 3 and j in (3, 4) or i in (3, 4) and j > 4)"
+
+
+def svd_tall(spark: SparkSession, d: str) -> DataFrame:
+    """All embeddings as one tall matrix of whole thousandths, rebuilt from its factors."""
+    u, s, v = factorize.tall_svd(thousandths(spark, d), "vec_id", "x", 64)
+    right = F.lit([[float(y) for y in row] for row in (v * s)])
+    row = F.transform(right, lambda r: F.round(F.aggregate(F.zip_with("u", r, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)).cast("bigint"))
+    return u.select(F.col("vec_id").cast("bigint").alias("i0"), F.posexplode(row).alias("i1", "v")).select("i0", F.col("i1").cast("bigint").alias("i1"), "v")
+
+
+def bsp_svd(spark: SparkSession, d: str) -> DataFrame:
+    """A tensor whose row sectors are sums of two charges, factored by sector and contracted again."""
+    t = charged(spark, d)
+    u, values, v = blocks.svd(t, 2)
+    back = blocks.contract(blocks.diagonal_scale(u, 2, values), v, [2], [0])
+    return stated(back.df).select(*(F.col(c).cast("bigint").alias(c) for c in back.coords), "v")
+
+
+def charged(spark: SparkSession, d: str) -> blocks.BlockTensor:
+    """Quantities by flag and line, status and part, and the sum of their charges and supplier: sectors of different sizes."""
+    df = read(spark, d, "lineitem").select(F.expr(FLAG).alias("b0"), F.expr(STATUS).alias("b1"), (F.col("l_linenumber") - 1).cast("bigint").alias("i0"), (F.col("l_partkey") % 3).alias("i1"), "l_suppkey", F.col("l_quantity").cast("bigint").alias("v"))
+    df = df.withColumn("b2", F.col("b0") + F.col("b1")).withColumn("i2", F.col("l_suppkey") % (F.col("b2") + 2))
+    legs = blocks.Leg(1, Q["u1"], (7, 7, 7)), blocks.Leg(1, Q["z2"], (3, 3)), blocks.Leg(-1, (-1, 0, 1, 2), (2, 3, 4, 5))
+    return blocks.from_elements(df.groupBy("b0", "b1", "b2", "i0", "i1", "i2").agg(F.sum("v").alias("v")), legs)
+
+
+CHARGED = f"c as (select {FLAG} as b0, {STATUS} as b1, {FLAG} + {STATUS} as b2, l_linenumber - 1 as i0, l_partkey % 3 as i1, l_suppkey % ({FLAG} + {STATUS} + 2) as i2, sum(cast(l_quantity as bigint))::bigint as v from lineitem group by all)"
+
+
+def bsp_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "blocks")
+    save_blocks(charged(spark, d), path)
+    t = load_blocks(spark, path)
+    return whole(t.df).select(*(F.col(c).cast("bigint").alias(c) for c in t.coords), "v")
+
+
+def complex_square(spark: SparkSession, d: str) -> complexes.ComplexTensor:
+    """Quantities as real parts and line numbers as imaginary ones."""
+    df = read(spark, d, "lineitem").select((F.col("l_suppkey") % 8).alias("i0"), (F.col("l_partkey") % 8).alias("i1"), F.col("l_quantity").cast("bigint").alias("q"), F.col("l_linenumber").cast("bigint").alias("n"))
+    summed = df.groupBy("i0", "i1").agg(F.sum("q").alias("re"), F.sum("n").alias("im"))
+    return complexes.to_complex(Tensor(summed.select("i0", "i1", F.col("re").alias("v")), (8, 8)), Tensor(summed.select("i0", "i1", F.col("im").alias("v")), (8, 8)))
+
+
+CSQ = "q as (select l_suppkey % 8 as i0, l_partkey % 8 as i1, sum(cast(l_quantity as bigint))::bigint as re, sum(l_linenumber)::bigint as im from lineitem group by all)"
 
 
 def spectrum(spark: SparkSession, d: str) -> DataFrame:
@@ -94,13 +168,13 @@ def leg(kind: str, direction: int, dims: tuple[int, ...]) -> blocks.Leg:
 
 
 def flagged(spark: SparkSession, d: str, direction: int = 1) -> blocks.BlockTensor:
-    """Quantities by flag (charge), line in it, status and supplier: legs that allow blocks with equal charges only."""
-    df = read(spark, d, "lineitem").select(F.expr(FLAG).alias("b0"), (F.col("l_partkey") % 3).cast("int").alias("b1"), (F.col("l_linenumber") - 1).cast("bigint").alias("i0"), (F.col("l_suppkey") % 4).alias("i1"), F.col("l_quantity").cast("bigint").alias("v"))
+    """Quantities by flag (the charge of both legs), line and supplier: every row is in an allowed block."""
+    df = read(spark, d, "lineitem").select(F.expr(FLAG).alias("b0"), F.expr(FLAG).alias("b1"), (F.col("l_linenumber") - 1).cast("bigint").alias("i0"), (F.col("l_suppkey") % 4).alias("i1"), F.col("l_quantity").cast("bigint").alias("v"))
     summed = df.groupBy("b0", "b1", "i0", "i1").agg(F.sum("v").alias("v"))
     return blocks.from_elements(summed, (blocks.Leg(direction, Q["u1"], (7, 7, 7)), blocks.Leg(-direction, Q["u1"], (4, 4, 4))))
 
 
-FLAGGED = f"f as (select {FLAG} as b0, l_partkey % 3 as b1, l_linenumber - 1 as i0, l_suppkey % 4 as i1, sum(cast(l_quantity as bigint))::bigint as v from lineitem where {FLAG} = l_partkey % 3 group by all)"
+FLAGGED = f"f as (select {FLAG} as b0, {FLAG} as b1, l_linenumber - 1 as i0, l_suppkey % 4 as i1, sum(cast(l_quantity as bigint))::bigint as v from lineitem group by all)"
 
 
 def bsp_contract(spark: SparkSession, d: str) -> DataFrame:
@@ -127,38 +201,62 @@ def flux_sql(kind: str) -> str:
         select b0, b1, b2, size::bigint as size, (sum(size) over (order by b0, b1, b2) - size)::bigint as "offset" from b"""
 
 
+SITES = 7
+
+
 def states(spark: SparkSession, d: str) -> DataFrame:
-    """A chain of three sites for each flag: bonds of one, two and one, elements from line quantities."""
-    base = read(spark, d, "lineitem").select(F.expr(FLAG).cast("bigint").alias("chain"), F.col("l_linenumber").cast("bigint").alias("site"), (F.col("l_partkey") % 2).alias("l"), (F.col("l_suppkey") % 2).alias("p"), (F.col("l_orderkey") % 2).alias("r"), F.lit(1).cast("bigint").alias("v")).where("site <= 3")
-    base = base.select("chain", (F.col("site") - 1).alias("site"), F.when(F.col("site") == 1, 0).otherwise(F.col("l")).cast("bigint").alias("l"), "p", F.when(F.col("site") == 3, 0).otherwise(F.col("r")).cast("bigint").alias("r"), "v")
-    return base.groupBy("chain", "site", "l", "p", "r").agg((F.sum("v") % 7).alias("v"))
+    """A chain of seven sites, one for each line number, for each supplier: bonds of one at the ends and two between, elements from counts of lines."""
+    base = read(spark, d, "lineitem").select(F.col("l_suppkey").cast("bigint").alias("chain"), (F.col("l_linenumber") - 1).cast("bigint").alias("site"), (F.col("l_partkey") % 2).alias("l"), (F.col("l_orderkey") % 2).alias("p"), F.expr(STATUS).cast("bigint").alias("r"))
+    base = base.select("chain", "site", F.when(F.col("site") == 0, 0).otherwise(F.col("l")).cast("bigint").alias("l"), "p", F.when(F.col("site") == SITES - 1, 0).otherwise(F.col("r")).cast("bigint").alias("r"))
+    return base.groupBy("chain", "site", "l", "p", "r").agg((F.count("*") % 3).alias("v"))
 
 
-STATES = f"m as (select {FLAG}::bigint as chain, l_linenumber - 1 as site, case when l_linenumber = 1 then 0 else l_partkey % 2 end as l, l_suppkey % 2 as p, case when l_linenumber = 3 then 0 else l_orderkey % 2 end as r, count(*) % 7 as v from lineitem where l_linenumber <= 3 group by all)"
-AMPLITUDES = f"{STATES}, z as (select a.chain, a.p as p0, b.p as p1, c.p as p2, sum(a.v * b.v * c.v)::bigint as v from m a join m b on a.chain = b.chain and b.site = 1 and a.r = b.l join m c on c.chain = a.chain and c.site = 2 and b.r = c.l where a.site = 0 group by all)"
+STATES = f"m as (select l_suppkey::bigint as chain, l_linenumber - 1 as site, case when l_linenumber = 1 then 0 else l_partkey % 2 end as l, l_orderkey % 2 as p, case when l_linenumber = {SITES} then 0 else {STATUS} end as r, (count(*) % 3)::bigint as v from lineitem group by all)"
+AMPLITUDES = (
+    f"{STATES}, z as (select m0.chain, " + ", ".join(f"m{k}.p as p{k}" for k in range(SITES)) + ", sum(" + " * ".join(f"m{k}.v" for k in range(SITES)) + ")::bigint as v from m m0 "
+    + " ".join(f"join m m{k} on m{k}.chain = m0.chain and m{k}.site = {k} and m{k}.l = m{k - 1}.r" for k in range(1, SITES)) + " where m0.site = 0 group by all)"
+)
+COUNTED = " + ".join(f"p{k}" for k in range(SITES))
 
 
-def container_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    import tempfile
-    import uuid
+def environment_products(spark: SparkSession, d: str) -> DataFrame:
+    """For every bond, the environment left of it times that right of it: each gives the whole value again."""
+    m = states(spark, d)
+    e = chains.environments(m, chains.total_number(spark, SITES, 2), m, SITES)
+    left = e.where("side = 'left' and site > 0").select("chain", "site", "a", "w", "b", F.col("v").alias("x"))
+    right = e.where("side = 'right'").select("chain", (F.col("site") + 1).alias("site"), "a", "w", "b", F.col("v").alias("y"))
+    joined = left.join(right, ["chain", "site", "a", "w", "b"])
+    return joined.groupBy("chain", "site").agg(F.sum(F.col("x") * F.col("y")).cast("bigint").alias("v")).where("v <> 0")
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparktn-")
-    path = f"{base.rstrip('/')}/tensor-{uuid.uuid4().hex}"
+
+def flipped(spark: SparkSession, d: str) -> DataFrame:
+    """Every site of every chain by the qubit operator y: states trade places and values become imaginary."""
+    m = states(spark, d).select("chain", "site", "l", "p", "r", F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    out = applied(m, site_operator(spark, "qubit", "y"))
+    return out.select("chain", "site", "l", "p", "r", F.col("im").cast("bigint").alias("v"))
+
+
+def container_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "tensor")
     save(t3(spark, d), path)
     return out(load(spark, path))
 
 
 def lanczos_min(spark: SparkSession, d: str) -> DataFrame:
-    """The least of the diagonal of region-sized counts: a matrix whose spectrum is known."""
-    a = read(spark, d, "nation").groupBy(F.col("n_regionkey").cast("bigint").alias("i")).agg((F.count("*") + F.max("n_nationkey")).cast("double").alias("v")).select("i", F.col("i").alias("j"), "v")
-    value, _ = krylov.lanczos_smallest(a, 5, 5)
-    return spark.createDataFrame([(round(value),)], "v bigint")
+    """The smallest eigenvalue of the Laplacian of customers' and nations' links plus one, over the whole table: 1, as every part is connected."""
+    c = read(spark, d, "customer").select((F.col("c_custkey") + 24).cast("bigint").alias("x"), F.col("c_nationkey").cast("bigint").alias("y"))
+    n = c.agg(F.max("x")).first()[0] + 1
+    links = c.select(F.col("x").alias("i"), F.col("y").alias("j")).unionByName(c.select(F.col("y").alias("i"), F.col("x").alias("j")))
+    ends = links.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
+    ones = spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
+    a = links.withColumn("v", F.lit(-1.0)).unionByName(ends).unionByName(ones).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    value, _ = krylov.lanczos_smallest(a, n, steps=8, tol=1e-6)
+    return spark.createDataFrame([(round(value, 2),)], "v double")
 
 
-def embeddings(spark: SparkSession, d: str) -> DataFrame:
-    """Elements as whole thousandths: i0 vector, i1 place."""
-    e = read(spark, d, "embeddings").select(F.col("vec_id").cast("bigint").alias("i0"), F.posexplode("embedding").alias("i1", "x"))
-    return e.select("i0", F.col("i1").cast("bigint").alias("i1"), F.round(F.col("x").cast("double") * 1000).cast("bigint").alias("v"))
+def thousandths(spark: SparkSession, d: str) -> DataFrame:
+    """vec_id and x: embeddings as whole thousandths."""
+    return read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000)).alias("x"))
 
 
 C = contract
@@ -198,28 +296,46 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "add_all": (lambda s, d: out(symmetric(s, d)), f"with {SQ}, u as (select i0, i1, v from s union all select i1, i0, v from s) select i0::bigint as i0, i1::bigint as i1, sum(v)::bigint as v from u group by all"),
     "diagonal_scale": (lambda s, d: out(E.diagonal_scale(square(s, d), 1, from_values(s, list(range(8)), (8,)))), f"with {SQ} select i0::bigint as i0, i1::bigint as i1, v * i1 as v from s"),
     "normalize": (lambda s, d: E.normalize(square(s, d)).df.withColumn("v", F.round(F.col("v"), 9)), f"with {SQ} select i0::bigint as i0, i1::bigint as i1, round(v / (select sqrt(sum(v * v)::double) from s), 9) as v from s"),
-    "gram_embeddings": (lambda s, d: out(C.einsum("ni,nj->ij", Tensor(embeddings(s, d), (1 << 40, 64)), Tensor(embeddings(s, d), (1 << 40, 64)))), "with e as (select vec_id, generate_subscripts(embedding, 1) - 1 as k, round(unnest(embedding)::double * 1000)::bigint as v from embeddings) select a.k::bigint as i0, b.k::bigint as i1, sum(a.v * b.v)::bigint as v from e a join e b using (vec_id) group by all"),
-    "svd_reconstruct": (lambda s, d: rebuilt(s, d, factorize.svd, "u", "vt", "s"), f"with {SQ} select i0::bigint as i0, i1::bigint as i1, v from s"),
-    "qr_reconstruct": (lambda s, d: rebuilt(s, d, factorize.qr, "q", "r"), f"with {SQ} select i0::bigint as i0, i1::bigint as i1, v from s"),
-    "lq_reconstruct": (lambda s, d: rebuilt(s, d, factorize.lq, "l", "q"), f"with {SQ} select i0::bigint as i0, i1::bigint as i1, v from s"),
-    "eigh_reconstruct": (eigh_reconstruct, f"with {SQ}, u as (select i0, i1, v from s union all select i1, i0, v from s) select i0::bigint as i0, i1::bigint as i1, sum(v)::bigint as v from u group by all"),
-    "eig_trace": (lambda s, d: factorize.eigvals(factorize.matrices(square(s, d), 1), 8, 8).where("part = 're'").agg(F.round(F.sum("v")).cast("bigint").alias("v")), f"with {SQ} select sum(v)::bigint as v from s where i0 = i1"),
-    "solve_planted": (solve_planted, "select range::bigint as i, (range + 1)::bigint as v from range(8)"),
-    "inverse_identity": (lambda s, d: part_of(factorize.inverse(s.range(8).select(F.lit(0).cast("bigint").alias("id"), F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.5).alias("v")), 8, 8), "x").where("v <> 0"), "select range::bigint as i, range::bigint as j, 2::bigint as v from range(8)"),
-    "expm_nilpotent": (expm_nilpotent, f"with {SQ}, n as (select i0, i1, v from s where i0 < i1 and i1 < 3) select i0::bigint as i, i1::bigint as j, sum(v)::bigint as v from (select range as i0, range as i1, 2 as v from range(3) union all select i0, i1, 2 * v from n union all select a.i0, b.i1, a.v * b.v from n a join n b on a.i1 = b.i0) group by all"),
-    "truncated_spectrum": (lambda s, d: factorize.truncated(spectrum(s, d), chi_max=50).where("kept").select("sector", "k", "s", F.col("rank").cast("bigint").alias("rank")), "select (p_size % 5)::int as sector, p_partkey as k, p_size::bigint as s, row_number() over (order by p_size desc, p_size % 5, p_partkey) as rank from part qualify rank <= 50"),
+    "gram_embeddings": (lambda s, d: out(C.gram(thousandths(s, d), "x", 64)), "with e as (select vec_id, generate_subscripts(embedding, 1) - 1 as k, round(unnest(embedding)::double * 1000)::bigint as v from embeddings) select a.k::bigint as i0, b.k::bigint as i1, sum(a.v * b.v)::bigint as v from e a join e b using (vec_id) group by all"),
+    "svd_tall": (svd_tall, "select vec_id::bigint as i0, (generate_subscripts(embedding, 1) - 1)::bigint as i1, round(unnest(embedding)::double * 1000)::bigint as v from embeddings"),
+    "svd_reconstruct": (lambda s, d: rebuilt(s, d, factorize.svd, "u", "vt", "s"), f"with {BATCH} select id::bigint as id, i::bigint as i, j::bigint as j, v from b"),
+    "qr_reconstruct": (lambda s, d: rebuilt(s, d, factorize.qr, "q", "r"), f"with {BATCH} select id::bigint as id, i::bigint as i, j::bigint as j, v from b"),
+    "lq_reconstruct": (lambda s, d: rebuilt(s, d, factorize.lq, "l", "q"), f"with {BATCH} select id::bigint as id, i::bigint as i, j::bigint as j, v from b"),
+    "eigh_reconstruct": (eigh_reconstruct, f"with {BATCH}, u as (select id, i, j, v from b union all select id, j, i, v from b) select id::bigint as id, i::bigint as i, j::bigint as j, sum(v)::bigint as v from u group by all"),
+    "eig_trace": (lambda s, d: factorize.eigvals(batch(s, d), 7, 7).where("part = 're'").groupBy("id").agg(F.round(F.sum("v")).cast("bigint").alias("v")), f"with {BATCH} select id::bigint as id, coalesce(sum(v) filter (where i = j), 0)::bigint as v from b group by id"),
+    "solve_planted": (solve_planted, f"with {BATCH} select distinct id::bigint as id, range::bigint as i, (range + 1)::bigint as v from b, range(7)"),
+    "inverse_identity": (inverse_identity, f"with {BATCH} select distinct id::bigint as id, range::bigint as i, range::bigint as j, 1::bigint as v from b, range(7)"),
+    "expm_nilpotent": (expm_nilpotent, f"with {NILPOTENT} select id::bigint as id, i::bigint as i, j::bigint as j, sum(v)::bigint as v from (select distinct id, range as i, range as j, 2 as v from n, range(7) union all select id, i, j, 2 * v from n union all select a.id, a.i, b.j, a.v * b.v from n a join n b on a.id = b.id and a.j = b.i) group by all"),
+    "truncated_spectrum": (lambda s, d: factorize.truncated(spectrum(s, d), chi_max=50, kept_only=True).select("sector", "k", "s", F.col("rank").cast("bigint").alias("rank")), "select (p_size % 5)::int as sector, p_partkey as k, p_size::bigint as s, row_number() over (order by p_size desc, p_size % 5, p_partkey) as rank from part qualify rank <= 50"),
+    "spectrum_map": (lambda s, d: factorize.map_values(spectrum(s, d), lambda v: v * v + 1).select("sector", "k", "s"), "select (p_size % 5)::int as sector, p_partkey as k, (p_size * p_size + 1)::bigint as s from part"),
     "flux_blocks_u1": (lambda s, d: flux_blocks(s, "u1"), flux_sql("u1")),
     "flux_blocks_z2": (lambda s, d: flux_blocks(s, "z2"), flux_sql("z2")),
     "bsp_contract": (lambda s, d: bsp_contract(s, d).select(*(F.col(c).cast("bigint").alias(c) for c in ("b0", "b1", "i0", "i1", "v"))), f"with {FLAGGED} select a.b0::bigint as b0, b.b0::bigint as b1, a.i0::bigint as i0, b.i0::bigint as i1, sum(a.v * b.v)::bigint as v from f a join f b on a.b1 = b.b1 and a.i1 = b.i1 group by all"),
     "bsp_trace": (bsp_trace, f"with {FLAGGED} select sum(v * v)::bigint as v from f"),
     "bsp_scale": (lambda s, d: blocks.scale(flagged(s, d), 2).df.select(*(F.col(c).cast("bigint").alias(c) for c in ("b0", "b1", "i0", "i1", "v"))), f"with {FLAGGED} select b0::bigint as b0, b1::bigint as b1, i0::bigint as i0, i1::bigint as i1, 2 * v as v from f"),
-    "bsp_fuse": (lambda s, d: blocks.fuse_legs(flagged(s, d), 0, 2).df.groupBy(F.col("b0").cast("bigint").alias("b0")).agg(F.sum("v").alias("v"), F.countDistinct("i0").alias("n")), f"with {FLAGGED} select 2::bigint as b0, sum(v)::bigint as v, count(*) as n from f"),
-    "mps_inner": (lambda s, d: chains.inner(states(s, d), states(s, d), 3).select("chain", F.col("overlap").cast("bigint").alias("v")), f"with {AMPLITUDES} select chain, sum(v * v)::bigint as v from z group by all"),
-    "mps_amplitudes": (lambda s, d: chains.amplitudes(states(s, d), 3), f"with {AMPLITUDES} select * from z"),
-    "mps_total_number": (lambda s, d: chains.braket(states(s, d), chains.total_number(s, 3, 2), states(s, d), 3).select("chain", F.col("value").cast("bigint").alias("v")), f"with {AMPLITUDES} select chain, sum(v * v * (p0 + p1 + p2))::bigint as v from z group by all"),
-    "mps_apply_number": (lambda s, d: chains.amplitudes(chains.apply(chains.total_number(s, 3, 2), states(s, d), 2), 3), f"with {AMPLITUDES} select chain, p0, p1, p2, (v * (p0 + p1 + p2))::bigint as v from z where p0 + p1 + p2 > 0"),
-    "mps_apply_identity": (lambda s, d: chains.amplitudes(chains.apply(chains.identity(s, 3, 2), states(s, d), 1), 3), f"with {AMPLITUDES} select * from z"),
-    "lanczos_min": (lanczos_min, "select min(v)::bigint as v from (select count(*) + max(n_nationkey) as v from nation group by n_regionkey)"),
+    "bsp_fuse": (lambda s, d: blocks.fuse_legs(charged(s, d), 0, 2).df.select(*(F.col(c).cast("bigint").alias(c) for c in ("b0", "b1", "i0", "i1", "v"))), f"with {CHARGED} select b2::bigint as b0, b2::bigint as b1, (case b2 when 1 then case b0 when 0 then 0 else 21 end when 2 then case b0 when 1 then 0 else 21 end else 0 end + i0 * 3 + i1)::bigint as i0, i2::bigint as i1, v from c"),
+    "bsp_svd_reconstruct": (bsp_svd, f"with {CHARGED} select b0::bigint as b0, b1::bigint as b1, b2::bigint as b2, i0::bigint as i0, i1::bigint as i1, i2::bigint as i2, v from c"),
+    "bsp_roundtrip": (bsp_roundtrip, f"with {CHARGED} select b0::bigint as b0, b1::bigint as b1, b2::bigint as b2, i0::bigint as i0, i1::bigint as i1, i2::bigint as i2, v from c"),
+    "bsp_zeros": (lambda s, d: blocks.zeros(s, charged(s, d).legs).df.groupBy(*(F.col(f"b{k}").cast("bigint").alias(f"b{k}") for k in range(3))).agg(F.count("*").alias("n"), F.sum("v").cast("bigint").alias("v")), "select a.range as b0, b.range as b1, a.range + b.range as b2, (21 * (a.range + b.range + 2))::bigint as n, 0::bigint as v from range(3) a, range(2) b"),
+    "bsp_diagonal_scale": (lambda s, d: blocks.diagonal_scale(charged(s, d), 1, s.range(6).select(F.floor(F.col("id") / 3).cast("int").alias("sector"), (F.col("id") % 3).alias("i"), (F.col("id") + 1).alias("w"))).df.groupBy(F.col("b1").cast("bigint").alias("b1"), "i1").agg(F.sum("v").cast("bigint").alias("v")), f"with {CHARGED} select b1::bigint as b1, i1, sum(v * (3 * b1 + i1 + 1))::bigint as v from c group by all"),
+    "complex_contract": (lambda s, d: complexes.contract(complex_square(s, d), complexes.conj(complex_square(s, d)), "ij,kj->ik").df, f"with {CSQ} select a.i0::bigint as i0, b.i0::bigint as i1, sum(a.re * b.re + a.im * b.im)::bigint as re, sum(a.im * b.re - a.re * b.im)::bigint as im from q a join q b using (i1) group by all"),
+    "conjugate_transpose": (lambda s, d: complexes.conjugate_transpose(complex_square(s, d)).df, f"with {CSQ} select i1::bigint as i0, i0::bigint as i1, re, -im as im from q"),
+    "complex_inner": (lambda s, d: complexes.inner(complex_square(s, d), complexes.conjugate_transpose(complex_square(s, d))), f"with {CSQ} select sum(a.re * b.re - a.im * b.im)::bigint as re, sum(-a.re * b.im - a.im * b.re)::bigint as im from q a join q b on a.i0 = b.i1 and a.i1 = b.i0"),
+    "complex_parts": (lambda s, d: complexes.real(complexes.scale(complex_square(s, d), 2, 3)).df.join(complexes.imag(complexes.scale(complex_square(s, d), 2, 3)).df.withColumnRenamed("v", "w"), ["i0", "i1"]), f"with {CSQ} select i0::bigint as i0, i1::bigint as i1, 2 * re - 3 * im as v, 3 * re + 2 * im as w from q"),
+    "map_values": (lambda s, d: out(E.map_values(square(s, d), lambda v: v * v)), f"with {SQ} select i0::bigint as i0, i1::bigint as i1, v * v as v from s"),
+    "fill": (lambda s, d: out(E.fill(t3(s, d), 4)), "select a.range as i0, b.range as i1, c.range as i2, 4::bigint as v from range(7) a, range(3) b, range(2) c"),
+    "flat_order": (lambda s, d: out(E.flat_order(t3(s, d), "F")), f"with {T3} select (i0 + 7 * (i1 + 3 * i2))::bigint as i0, v from t"),
+    "mps_inner": (lambda s, d: chains.inner(states(s, d), states(s, d), SITES).select("chain", F.col("overlap").cast("bigint").alias("v")), f"with {AMPLITUDES} select chain, coalesce(sum(v * v), 0)::bigint as v from (select distinct chain from m) left join z using (chain) group by all"),
+    "mps_norm": (lambda s, d: chains.norm(states(s, d), SITES).select("chain", F.round("norm", 6).alias("v")), f"with {AMPLITUDES} select chain, round(sqrt(coalesce(sum(v * v), 0)::double), 6) as v from (select distinct chain from m) left join z using (chain) group by all"),
+    "mps_bond_dims": (lambda s, d: chains.bond_dims(states(s, d)), f"with {STATES} select chain, site::bigint as site, (max(l) + 1)::bigint as left, (max(r) + 1)::bigint as right from m group by all"),
+    "mps_not_finite": (lambda s, d: chains.not_finite(states(s, d).withColumn("v", F.when(F.col("v") == 0, float("nan")).otherwise(F.col("v")))), f"with {STATES} select chain, site::bigint as site, count(*) as n from m where v = 0 group by all"),
+    "mps_environments": (environment_products, f"with {AMPLITUDES}, x as (select chain, sum(v * v * ({COUNTED}))::bigint as v from z group by all) select chain, range::bigint as site, v from x, range(1, {SITES}) where v <> 0"),
+    "site_operator_y": (flipped, f"with {STATES} select chain, site::bigint as site, l::bigint as l, (1 - p)::bigint as p, r::bigint as r, case p when 0 then v else -v end::bigint as v from m"),
+    "mps_amplitudes": (lambda s, d: chains.amplitudes(states(s, d), SITES), f"with {AMPLITUDES} select * from z"),
+    "mps_total_number": (lambda s, d: chains.braket(states(s, d), chains.total_number(s, SITES, 2), states(s, d), SITES).select("chain", F.col("value").cast("bigint").alias("v")), f"with {AMPLITUDES} select chain, coalesce(sum(v * v * ({COUNTED})), 0)::bigint as v from (select distinct chain from m) left join z using (chain) group by all"),
+    "mps_apply_number": (lambda s, d: chains.amplitudes(chains.apply(chains.total_number(s, SITES, 2), states(s, d), 2), SITES).where("v <> 0"), f"with {AMPLITUDES} select chain, {', '.join(f'p{k}' for k in range(SITES))}, (v * ({COUNTED}))::bigint as v from z where v * ({COUNTED}) <> 0"),
+    "mps_apply_identity": (lambda s, d: chains.amplitudes(chains.apply(chains.identity(s, SITES, 2), states(s, d), 1), SITES), f"with {AMPLITUDES} select * from z"),
+    "lanczos_min": (lanczos_min, "select 1::double as v"),
     "container_roundtrip": (container_roundtrip, f"with {T3} select i0::bigint as i0, i1::bigint as i1, i2::bigint as i2, v from t"),
     "windowed_sums": (lambda s, d: windowed_sums(read(s, d, "events").withColumn("n", F.lit(1).cast("bigint")), ["event_type"], "n").select(F.col("start").cast("date").alias("day"), "event_type", "v"), "select ts::date as day, event_type, count(*)::bigint as v from events group by all"),
 }

@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import TensorError
+from ..operators.blocks import BlockTensor, Leg, checked_blocks
 from ..tensor import Tensor, axes
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir; where that is unset, a local session gets a temporary folder and a cluster an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="sparktn-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save(t: Tensor, path: str) -> None:
-    """Elements under path/elements and the shape under path/shape; Spark's commit makes each appear whole or not at all."""
+    """Elements under path/elements, then the shape under path/shape; without a shape there is no tensor."""
     t.df.select(*t.axes, F.col("v").cast("double").alias("v")).write.parquet(f"{path}/elements")
     t.df.sparkSession.createDataFrame([(list(map(int, t.shape)),)], "shape array<bigint>").write.parquet(f"{path}/shape")
 
 
 def load(spark: SparkSession, path: str) -> Tensor:
-    """Rejects elements outside the shape and a number of axes that doesn't fit it."""
+    """Rejects elements outside the shape, repeated coordinates and a number of axes that doesn't fit; a tensor half saved isn't one."""
     shape = tuple(spark.read.parquet(f"{path}/shape").first()["shape"])
     df = spark.read.parquet(f"{path}/elements")
     if df.columns != [*axes(len(shape)), "v"]:
@@ -25,7 +47,26 @@ def load(spark: SparkSession, path: str) -> Tensor:
     for a, n in zip(axes(len(shape)), shape):
         inside = inside & (F.col(a) >= 0) & (F.col(a) < n)
     checked = F.when(inside, F.col("v")).otherwise(F.raise_error(F.lit("an element is outside the shape")).cast("double"))
-    return Tensor(df.select(*axes(len(shape)), checked.alias("v")), shape)
+    once = df.select(*axes(len(shape)), checked.alias("v")).groupBy(*axes(len(shape))).agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    single = F.when(F.col("n") == 1, F.col("v")).otherwise(F.raise_error(F.lit("coordinates are repeated")).cast("double"))
+    return Tensor(once.select(*axes(len(shape)), single.alias("v")), shape)
+
+
+def save_blocks(t: BlockTensor, path: str) -> None:
+    """Elements under path/elements, then legs with their sectors, the flux and the kind under path/legs."""
+    t.df.select(*t.coords, F.col("v").cast("double").alias("v")).write.parquet(f"{path}/elements")
+    rows = [(axis, leg.direction, list(leg.sectors), list(leg.dims), t.flux, t.kind) for axis, leg in enumerate(t.legs)]
+    t.df.sparkSession.createDataFrame(rows, "axis int, direction int, sectors array<int>, dims array<int>, flux int, kind string").coalesce(1).write.parquet(f"{path}/legs")
+
+
+def load_blocks(spark: SparkSession, path: str) -> BlockTensor:
+    """Rejects elements of blocks that the flux forbids or outside their block, and columns that don't fit the legs."""
+    rows = spark.read.parquet(f"{path}/legs").orderBy("axis").collect()  # a row for each leg
+    legs = tuple(Leg(r["direction"], tuple(r["sectors"]), tuple(r["dims"])) for r in rows)
+    t = BlockTensor(spark.read.parquet(f"{path}/elements"), legs, rows[0]["flux"], rows[0]["kind"])
+    if t.df.columns != [*t.coords, "v"]:
+        raise TensorError(f"columns {t.df.columns} don't fit {len(legs)} legs")
+    return checked_blocks(t)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
