@@ -301,8 +301,8 @@ SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 5
 #: Share of equal minima from which a candidate is checked (0.8 less three deviations), and partners checked for each member of a band's group.
 LIKELY, PARTNERS = 0.69, 3
 #: Members of a band's group that one task compares. Of a larger group, members with TIGHT equal minima are searched through
-#: one of them, in parts of this size; groups that hardly shrink so are dealt by a further band, up to so many times.
-DENSE, TIGHT, LEVELS = 2_000, 0.9, 6
+#: one of them, in parts of this size, for as long as it shrinks; then any two of its members meet in a block of this size.
+DENSE, TIGHT = 2_000, 0.9
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + U1
 
 
@@ -427,37 +427,48 @@ def compared(members: DataFrame, partitions: int) -> DataFrame:
             rest = [x[whole:] for x in now]
         yield from pairs(*rest)
 
-    dealt = members.select("gid", "part", "band", "raw", "sketch").repartition(partitions, "gid", "part")
-    return dealt.sortWithinPartitions("gid", "part", F.xxhash64("gid", "raw")).mapInArrow(run, "a bigint, b bigint, gid bigint, band bigint")
+    rows = members.select("gid", "part", "band", "raw", "sketch").repartition(partitions, "gid", "part")
+    return rows.sortWithinPartitions("gid", "part", F.xxhash64("gid", "raw")).mapInArrow(run, "a bigint, b bigint, gid bigint, band bigint")
+
+
+def dealt(members: DataFrame, level: int) -> DataFrame:
+    """members with the part of their group: whole groups of DENSE at most, random parts of others, and of `final` groups blocks in which any two members meet."""
+    large, own = F.col("n") > DENSE, F.xxhash64("raw", F.lit(level))
+    parts, halves = F.ceil(F.col("n") / DENSE), F.ceil(2 * F.col("n") / DENSE)
+    whole = members.where(~(large & F.col("final"))).withColumn("part", F.when(large, F.pmod(own, parts)).otherwise(-1))
+    met = members.where(large & F.col("final")).withColumn("own", F.pmod(own, halves)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), halves - 1))).where("own <> other")
+    blocks = met.withColumn("gid", F.xxhash64("gid", F.least("own", "other"), F.greatest("own", "other"))).withColumn("part", F.lit(-1))
+    return whole.unionByName(blocks.drop("own", "other")).withColumn("part", F.col("part").cast("bigint"))
 
 
 def candidates(prints: DataFrame) -> DataFrame:
     """a, b: pairs of raw, a < b, whose shingles are to be compared.
 
     Texts that share a band's key are a group. A task compares DENSE members at most: larger groups are dealt in
-    parts, of which those that stand for others are dealt again, by a further band if they are still many.
+    parts, of which those that stand for others are dealt again. A group that this doesn't halve is dealt by a
+    further band the first time; after that all its members are compared, in blocks.
     """
     parts = n_partitions(prints.sparkSession)
     one = stored(prints.select("raw", "keys", "sketch").dropDuplicates(["raw"]), "texts")
-    rows, found = one.select("raw", F.posexplode("keys").alias("band", "gid")).withColumn("band", F.col("band").cast("bigint")), None
-    for level in range(LEVELS):
-        counts = rows.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1")
-        counts = stored(counts, "groups")
+    rows = one.select("raw", F.posexplode("keys").alias("band", "gid")).select("raw", F.col("band").cast("bigint").alias("band"), "gid", F.lit(False).alias("final"))
+    found, level = None, 0
+    while True:
+        counts = stored(rows.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1"), "groups")
         size = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
         members = joined_by_key(rows, counts, ["gid"], "n", size["total"] or 0).join(one.select("raw", "sketch"), "raw")
-        part = F.when(F.col("n") > DENSE, F.pmod(F.xxhash64("raw", F.lit(level)), F.ceil(F.col("n") / DENSE))).otherwise(-1)
-        out = stored(compared(members.withColumn("part", part.cast("bigint")), parts), "candidates")
+        out = stored(compared(dealt(members, level), parts), "candidates")
         new = out.where("gid is null").select("a", "b")
         found = new if found is None else found.unionByName(new)
         if (size["most"] or 0) <= DENSE:
-            break
+            return found.distinct()
         left = out.where("gid is not null").select(F.col("a").alias("raw"), "band", "gid")
         after = left.groupBy("gid").agg(F.count("*").alias("m")).where(F.col("m") > DENSE)
-        slow = counts.join(after, "gid").where("m > n / 2").select("gid")
-        slow = stored(slow, "groups")
-        further = left.join(small(slow, 200_000), "gid", "left_semi").join(one.select("raw", "keys"), "raw").select("raw", "gid", "band", F.posexplode("keys").alias("next", "key")).where("next > band")
-        rows = left.join(small(slow, 200_000), "gid", "left_anti").select("raw", "band", "gid").unionByName(further.select("raw", F.col("next").cast("bigint").alias("band"), F.xxhash64("gid", "key").alias("gid")))
-    return found.distinct()
+        slow = small(stored(counts.join(after, "gid").where("m > n / 2").select("gid"), "groups"), 200_000)
+        rows, again = left.join(slow, "gid", "left_anti").withColumn("final", F.lit(False)), left.join(slow, "gid", "left_semi")
+        if level == 0:
+            further = again.join(one.select("raw", "keys"), "raw").select("raw", "gid", "band", F.posexplode("keys").alias("next", "key")).where("next > band")
+            again = further.select("raw", F.col("next").cast("bigint").alias("band"), F.xxhash64("gid", "key").alias("gid"))
+        rows, level = rows.unionByName(again.withColumn("final", F.lit(level > 0))), level + 1
 
 
 def alike(docs: DataFrame, pairs: DataFrame, column: str = "text") -> DataFrame:

@@ -90,3 +90,15 @@ def test_large_groups_are_dealt_in_parts(spark, monkeypatch):
     got = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
     want = {i for i, x in enumerate(rows) if all(jaccard(x, y) < simhash.SIMILAR for y in rows[:i])}
     assert got == want
+
+
+def test_large_groups_that_do_not_shrink_are_compared_whole(spark, monkeypatch):
+    """A form that many texts fill in: they share most bands, no two of them are alike enough, and some have near copies."""
+    monkeypatch.setattr(simhash, "DENSE", 12)
+    form = text(160)
+    filled = [form + text(24) for _ in range(90)]
+    rows = filled + [edits(w, "scattered") for w in filled[::6]]
+    alike = {(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i], rows[j]) >= simhash.SIMILAR}
+    assert alike == {(90 + k, 6 * k) for k in range(15)}
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id bigint, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(range(90))
