@@ -50,19 +50,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, column: str = "text", item_c
     sizes = sorted(r[0] for r in items.select(F.least(F.size("b"), F.lit(WINDOW))).distinct().collect()) or [WINDOW]
     masks = list(dict.fromkeys(m for n in sizes for m in MASKS[n]))
     texts = items.groupBy("b").agg(F.min("item_id").alias("first"))  # equal items are searched once
-    posted = [texts.where(F.least(F.size("b"), F.lit(WINDOW)).isin([n for n in sizes if m in MASKS[n]])).select("first", F.size("b").alias("m"), F.lit(k).alias("mask"), F.posexplode_outer(seeds(F.col("b"), m, k)).alias("ipos", "seed")) for k, m in enumerate(masks)]
+    posted = [texts.where(F.least(F.size("b"), F.lit(WINDOW)).isin([n for n in sizes if m in MASKS[n]])).select("first", F.size("b").alias("m"), F.posexplode_outer(seeds(F.col("b"), m, k)).alias("ipos", "seed")) for k, m in enumerate(masks)]
     index = posted[0]
     for p in posted[1:]:
         index = index.unionByName(p)
     index = small(index.distinct(), SENT)
     rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(column), F.lit(""))).alias("raw"), hashes(F.col(column)).alias("h"))
-    rows = rows.select("doc_id", "raw", F.size("h").alias("nw"), F.concat(*(seeds(F.col("h"), m, k) for k, m in enumerate(masks))).alias("seeds"))
-    hits = rows.select("doc_id", "raw", "nw", F.posexplode_outer("seeds").alias("at", "seed")).join(index, "seed")
-    before = F.lit(0)
-    for k in range(1, len(masks)):
-        upto = sum((F.greatest(F.col("nw") - m[-1], F.lit(0)) for m in masks[:k]), F.lit(0))
-        before = F.when(F.col("mask") == k, upto).otherwise(before)
-    found = hits.select("doc_id", "raw", "first", "m", (F.col("at") - before - F.col("ipos")).alias("diag")).distinct()
+    offsets = sorted({o for m in masks for o in m})
+    # The words at all the masks' places side by side, so that generated code hashes them, not an interpreted lambda.
+    beside = F.arrays_zip(*(F.slice("h", o + 1, F.size("h")).alias(f"w{o}") for o in offsets))
+    rows = rows.select("doc_id", "raw", F.posexplode_outer(beside).alias("at", "w"))
+    seen = [F.when(F.col(f"w.w{m[-1]}").isNotNull(), F.xxhash64(F.lit(k), *(F.col(f"w.w{o}") for o in m))) for k, m in enumerate(masks)]
+    hits = rows.select("doc_id", "raw", "at", F.explode_outer(F.array(*seen)).alias("seed")).join(index, "seed")
+    found = hits.select("doc_id", "raw", "first", "m", (F.col("at") - F.col("ipos")).alias("diag")).distinct()
     words = F.sum("m").over(Window.partitionBy("doc_id", "raw").orderBy("first", "diag"))
     asked = found.withColumn("part", F.floor(words / ASKED)).groupBy("doc_id", "raw", "part").agg(F.collect_list(F.struct("first", "m", "diag")).alias("asked")).drop("part").withColumnsRenamed({"doc_id": "__doc", "raw": "__raw"})
     asked = stored(asked, "hits")
