@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, filter_audit, langid, packing, pii, quality, simhash, token_output, toxicity, url_filter
+from . import decontam, exact_dedup, filter_audit, langid, mixing, packing, pii, quality, simhash, token_output, toxicity, url_filter
 from .common import table
 
 #: The known rules of op8: verdict, host and path.
@@ -63,8 +63,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_best_fit_packing, op2_toxicity, op3_exact_dedup, op4_decontamination, op5_simhash, op6_language_id, op7_quality, op8_url_filter, op9_token_output, op10_pii, op12_filter_audit)
+    own = (op1_best_fit_packing, op2_toxicity, op3_exact_dedup, op4_decontamination, op5_simhash, op6_language_id, op7_quality, op8_url_filter, op9_token_output, op10_pii, op12_filter_audit, op13_mixing)
     return {f.__name__: f for f in own}
 
 
@@ -72,6 +76,7 @@ NORM = f"translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWE
 
 ORACLE_SQL = {
     "op12_filter_audit": filter_audit.SQL,
+    "op13_mixing": mixing.sql(),
     "op3_exact_dedup": f"""
         with n as (select doc_id, sha256({NORM}) as text_sha256 from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, text_sha256
