@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, filter_audit, langid, mixing, packing, pii, quality, simhash, token_output, toxicity, url_filter
+from . import decontam, exact_dedup, filter_audit, langid, mixing, packing, pii, quality, simhash, token_output, toxicity, url_filter, whitening
 from .common import table
 
 #: The known rules of op8: verdict, host and path.
@@ -59,6 +59,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -68,7 +72,7 @@ def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_best_fit_packing, op2_toxicity, op3_exact_dedup, op4_decontamination, op5_simhash, op6_language_id, op7_quality, op8_url_filter, op9_token_output, op10_pii, op12_filter_audit, op13_mixing)
+    own = (op1_best_fit_packing, op2_toxicity, op3_exact_dedup, op4_decontamination, op5_simhash, op6_language_id, op7_quality, op8_url_filter, op9_token_output, op10_pii, op11_whitening, op12_filter_audit, op13_mixing)
     return {f.__name__: f for f in own}
 
 
