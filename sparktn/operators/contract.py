@@ -1,7 +1,7 @@
 """Contractions are equi-joins on shared indices and sums by the free ones; traces are filters and sums.
 
-An expression of several operands is evaluated pair by pair, connected operands first, and each step sums what no later operand and not
-the output needs, which Catalyst doesn't do for joins under one aggregation.
+An expression of several operands is evaluated pair by pair, in the order whose joins make the fewest rows, and each
+step sums what no later operand and not the output needs, which Catalyst doesn't do for joins under one aggregation.
 """
 
 from __future__ import annotations
@@ -35,19 +35,69 @@ def labels_of(notation: str, tensors: list[Tensor]) -> tuple[list[str], str]:
     return parts, out
 
 
-def connected(parts: list[str], tensors: list[Tensor]) -> tuple[list[str], list[Tensor]]:
-    """The operands in an order in which each shares an index with those before, as far as there is one."""
-    left, order, have = list(range(len(parts))), [], set()
-    while left:
-        k = next((i for i in left if have & set(parts[i])), left[0])
-        left.remove(k)
-        order.append(k)
-        have |= set(parts[k])
-    return [parts[k] for k in order], [tensors[k] for k in order]
+def order_by_cost(parts: list[str], out: str, sizes: dict[str, int], rows: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """Which two operands to contract, and under which number the result goes on, step by step.
 
-
-def einsum(notation: str, *tensors: Tensor) -> Tensor:
-    """Absent elements of the result are zero. One operand: traces and permutations; more: pairs, connected ones first."""
+    The cost of an order is the sum of the rows that its joins are estimated to make: the rows of both sides over the
+    sizes of what they share; a result has no more rows than its indices have values. Without counts of rows, operands are
+    full. All orders are compared, by subsets, of ten operands at most; of more, the cheapest pair comes next each time. Of
+    equal orders the one that takes earlier operands first counts.
+    """
+    n = len(parts)
+    size_of = lambda labels: math.prod(sizes[c] for c in labels)
+    count = rows or [size_of(p) for p in parts]
+    bits = [1 << k for k in range(n)]
+
+    def labels(s: int) -> set[str]:
+        """What a later operand or the output needs of the operands in s."""
+        inside = set().union(*(parts[k] for k in range(n) if s & bits[k]))
+        later = set(out).union(*(parts[k] for k in range(n) if not s & bits[k]))
+        return inside & later if s & (s - 1) else inside
+
+    def join(s: int, t: int, at: dict[int, float]) -> float:
+        shared = labels(s) & labels(t)
+        return max(1.0, at[s] * at[t] / size_of(shared))
+
+    if n > 10:
+        at, names, steps = {b: float(c) for b, c in zip(bits, count)}, dict(zip(bits, range(n))), []
+        while len(names) > 1:
+            s, t = min(((s, t) for s in names for t in names if s < t), key=lambda x: join(*x, at))
+            at[s | t] = min(join(s, t, at), float(size_of(labels(s | t))))
+            steps.append((names.pop(s), names.pop(t), n + len(steps)))
+            names[s | t] = steps[-1][2]
+        return steps
+    best: dict[int, tuple[float, int]] = {b: (0.0, 0) for b in bits}
+    at = {b: float(c) for b, c in zip(bits, count)}
+    for s in range(1, 1 << n):
+        if s in best:
+            continue
+        choices, sub, lowest = [], (s - 1) & s, s & -s
+        while sub:
+            if sub & lowest:  # each split once
+                choices.append((best[sub][0] + best[s ^ sub][0] + join(sub, s ^ sub, at), -sub, sub))
+            sub = (sub - 1) & s
+        cost, _, left = min(choices)
+        at[s] = min(join(left, s ^ left, at), float(size_of(labels(s))))
+        best[s] = cost, left
+    steps = []
+
+    def walk(s: int) -> int:
+        if not s & (s - 1):
+            return s.bit_length() - 1
+        left = best[s][1]
+        a, b = walk(left), walk(s ^ left)
+        steps.append((a, b, n + len(steps)))
+        return steps[-1][2]
+
+    walk((1 << n) - 1)
+    return steps
+
+
+def einsum(notation: str, *tensors: Tensor, rows: list[int] | None = None) -> Tensor:
+    """Absent elements of the result are zero. One operand: traces and permutations; more: pairs, in the cheapest order.
+
+    rows: how many elements each operand has, where that is known; without it operands count as full.
+    """
     parts, out = labels_of(notation, list(tensors))
     sizes = {c: n for p, t in zip(parts, tensors) for c, n in zip(p, t.shape)}
     if len(parts) == 1:
@@ -60,47 +110,57 @@ def einsum(notation: str, *tensors: Tensor) -> Tensor:
         return Tensor(t.df.select(*(F.col(f"i{rest.index(c)}").alias(a) for c, a in zip(out, axes(len(out)))), "v"), tuple(sizes[c] for c in out))
     if any(len(set(p)) != len(p) for p in parts):
         raise ContractionError("an operand repeats an index")
-    named: DataFrame | None = None
-    have: list[str] = []
-    parts, tensors = connected(parts, list(tensors))
-    for k, (p, t) in enumerate(zip(parts, tensors)):
-        right = t.df.select(*(F.col(a).alias(f"x_{c}") for a, c in zip(t.axes, p)), F.col("v").alias("w"))
-        if named is None:
-            named, have = right.withColumnRenamed("w", "v"), list(p)
-            continue
-        later = set("".join(parts[k + 1 :])) | set(out)
-        shared = [c for c in p if c in have]
-        lone = [c for c in {*have, *p} if c not in later and c not in shared]
-        if lone:
-            raise ContractionError(f"index {lone[0]} is in one operand and not in the output")
-        keep = [c for c in dict.fromkeys([*have, *p]) if c in later]
-        joined = named.join(right, [f"x_{c}" for c in shared]) if shared else named.crossJoin(right)
-        named = joined.groupBy(*[f"x_{c}" for c in keep]).agg(F.sum(F.col("v") * F.col("w")).alias("v")) if set(keep) != {*have, *p} else joined.select(*[f"x_{c}" for c in keep], (F.col("v") * F.col("w")).alias("v"))
-        have = keep
+    lone = [c for c in sizes if c not in out and sum(c in p for p in parts) < 2]
+    if lone:
+        raise ContractionError(f"index {lone[0]} is in one operand and not in the output")
+    have = {k: (list(p), t.df.select(*(F.col(a).alias(f"x_{c}") for a, c in zip(t.axes, p)), "v")) for k, (p, t) in enumerate(zip(parts, tensors))}
+    for a, b, to in order_by_cost(parts, out, sizes, rows):
+        (p, left), (q, right) = have.pop(a), have.pop(b)
+        later = set(out).union(*(r for r, _ in have.values()))
+        shared = [c for c in p if c in q]
+        keep = [c for c in dict.fromkeys([*p, *q]) if c in later]
+        right = right.withColumnRenamed("v", "w")
+        joined = left.join(right, [f"x_{c}" for c in shared]) if shared else left.crossJoin(right)
+        product = F.col("v") * F.col("w")
+        summed = joined.groupBy(*[f"x_{c}" for c in keep]).agg(F.sum(product).alias("v")) if set(keep) != {*p, *q} else joined.select(*[f"x_{c}" for c in keep], product.alias("v"))
+        have[to] = keep, summed
+    ((_, named),) = have.values()
     return Tensor(named.select(*(F.col(f"x_{c}").alias(a) for c, a in zip(out, axes(len(out)))), F.coalesce("v", F.lit(0)).alias("v")), tuple(sizes[c] for c in out))
 
 
 def gram(rows: DataFrame, column: str, n: int) -> Tensor:
-    """The products of n columns with each other, summed over rows that hold whole numbers as an array.
+    """The products of n columns with each other, summed over rows that hold n numbers each as an array.
 
-    Every batch is multiplied in its task and every task adds up its batches, so n x n sums leave a task,
-    not n x n products a row. Exact while a batch's sums are below 2^53.
+    Every batch is multiplied in its task and every task adds up its batches, so n x n sums leave a task, not n x n
+    products a row. Sums of whole numbers are exact below 2^53. A row of another length or with a null is an error.
     """
     import numpy as np
     import pyarrow as pa
 
     def run(batches):
-        total = np.zeros((n, n), np.int64)
+        total = np.zeros((n, n))
         for batch in batches:
-            x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, n)
-            total += np.rint(x.T @ x).astype(np.int64)
+            x = vectors(batch.column(0), n)
+            total += x.T @ x
         i, j = np.indices((n, n)).reshape(2, -1)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i0", "i1", "v"])
 
-    parts = rows.select(column).where(F.size(column) == n).mapInArrow(run, "i0 bigint, i1 bigint, v bigint")
+    parts = rows.select(whole_rows(column, n).alias("x")).mapInArrow(run, "i0 bigint, i1 bigint, v double")
     return Tensor(parts.groupBy("i0", "i1").agg(F.sum("v").alias("v")), (n, n))
 
 
+def whole_rows(column: str, n: int):
+    """The column's arrays as doubles; one that is null, has a null or another length than n is an error."""
+    x = F.col(column)
+    whole = x.isNotNull() & (F.size(x) == n) & ~F.exists(x, lambda v: v.isNull())
+    return F.when(whole, x.cast("array<double>")).otherwise(F.raise_error(F.lit(f"a row of {column} isn't {n} numbers")).cast("array<double>"))
+
+
+def vectors(column, n: int):
+    """An Arrow column of arrays of n doubles as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
 def contract(a: Tensor, b: Tensor, notation: str) -> Tensor:
     """Two operands; an index in both is summed and can't be in the output."""
     (p, q), out = labels_of(notation, [a, b])
