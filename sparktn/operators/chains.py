@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import TensorError
+from ..functions.prefix import prefix_sums
 from ..sources.tables import stored
 
 #: Sites after which a fold's environment is written, so that plans stay short however long a chain is.
@@ -151,3 +152,29 @@ def amplitudes(state: DataFrame, n: int) -> DataFrame:
         s = state.where(F.col("site") == k).select("chain", F.col("l").alias("b"), F.col("p").alias(f"p{k}"), "r", F.col("v").alias("w"))
         env = env.join(s, ["chain", "b"]).groupBy("chain", *(f"p{j}" for j in range(k + 1)), F.col("r").alias("b")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
     return env.groupBy("chain", *(f"p{j}" for j in range(n))).agg(F.sum("v").alias("v"))
+
+
+def weighted_sum(terms: DataFrame, weights: DataFrame, n: int) -> DataFrame:
+    """The weighted sum of the terms of each chain, exact: bonds side by side, the edges merged.
+
+    terms has chain, term, site, l, p, r, v and weights chain, term, weight (one row each; a term without a weight has none).
+    Every inner bond of a chain is as wide as its terms' bonds together; a term's place in a bond is the sum of the widths of
+    the terms before it, so chains may have any number of terms. A bond at an edge other than 0 is an error.
+    """
+    if n < 1:
+        raise TensorError("a chain has sites")
+    edge_only = ((F.col("site") > 0) | (F.col("l") == 0)) & ((F.col("site") < n - 1) | (F.col("r") == 0))
+    v = F.when(edge_only, F.col("v")).otherwise(F.raise_error(F.lit("a chain's edges have bonds of one")).cast(terms.schema["v"].dataType))
+    own = stored(terms.select("chain", "term", "site", "l", "p", "r", v.alias("v")), "terms")
+    # bond k is right of site k
+    ends = own.select("chain", "term", F.explode(F.array(F.struct((F.col("site") - 1).alias("bond"), F.col("l").alias("at")), F.struct(F.col("site").alias("bond"), F.col("r").alias("at")))).alias("e"))
+    widths = ends.select("chain", "term", "e.*").where(F.col("bond").between(0, n - 2)).groupBy("chain", "term", "bond").agg((F.max("at") + 1).alias("width"))
+    places = prefix_sums(widths, [F.col("term")], {"place": F.col("width")}, by=["chain", "bond"]).drop("width")
+    left = places.select("chain", "term", (F.col("bond") + 1).alias("site"), F.col("place").alias("left"))
+    right = places.select("chain", "term", F.col("bond").alias("site"), F.col("place").alias("right"))
+    joined = own.join(left, ["chain", "term", "site"], "left").join(right, ["chain", "term", "site"], "left")
+    weighted = joined.join(weights.select("chain", "term", "weight"), ["chain", "term"])
+    zero = F.lit(0).cast("bigint")
+    value = F.when(F.col("site") == 0, F.col("v") * F.col("weight")).otherwise(F.col("v"))
+    moved = weighted.select("chain", "site", (F.col("l") + F.coalesce("left", zero)).alias("l"), "p", (F.col("r") + F.coalesce("right", zero)).alias("r"), value.alias("v"))
+    return moved.groupBy("chain", "site", "l", "p", "r").agg(F.sum("v").alias("v")) if n == 1 else moved

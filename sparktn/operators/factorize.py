@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import FactorizationError
+from ..functions.prefix import prefix_sums
 from ..tensor import Tensor
 
 ENTRY = "id bigint, part string, i bigint, j bigint, v double"
@@ -157,16 +158,19 @@ def truncated(spectrum: DataFrame, chi_max: int | None = None, target: float | N
 
     Values are ranked across sectors, larger first and the smaller sector before. With a target, the smallest
     are dropped for as long as the norm of what is dropped is at most the target, and one stays; chi_max bounds
-    how many stay. With kept_only, what a bound drops isn't returned and never reaches the task that ranks.
+    how many stay. Squares are summed from the smallest up, in two levels, so that no task ranks a whole spectrum and small
+    values aren't lost beside large ones. With kept_only, what a bound drops isn't returned and, without a target, is dropped
+    part by part before any value is ranked.
     """
     if chi_max is not None and chi_max < 1:
         raise FactorizationError("chi_max must be at least 1")
-    if chi_max is not None and target is None and kept_only:  # parts first, so that no task ranks a whole spectrum
+    if chi_max is not None and target is None and kept_only:
         part = Window.partitionBy(*by, F.pmod(F.xxhash64("sector", "k"), F.lit(256))).orderBy(F.col("s").desc(), "sector", "k")
         spectrum = spectrum.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= chi_max).drop("rank")
-    order = Window.partitionBy(*by).orderBy(F.col("s").desc(), "sector", "k")
-    tail = F.sqrt(F.sum(F.col("s") * F.col("s")).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    out = spectrum.withColumn("rank", F.row_number().over(order)).withColumn("discarded", tail)
+    square = F.col("s").cast("double") * F.col("s").cast("double")
+    order = [F.col("s").asc(), F.col("sector").desc(), F.col("k").desc()]
+    summed = prefix_sums(spectrum, order, {"below": F.lit(1).cast("bigint"), "squares": square}, by=list(by), whole=True)
+    out = summed.withColumn("rank", F.col("below_all") - F.col("below")).withColumn("discarded", F.sqrt(F.col("squares") + square)).select(*spectrum.columns, "rank", "discarded")
     kept = F.lit(True)
     if target is not None:
         kept = (F.col("discarded") > target) | (F.col("rank") == 1)
@@ -176,36 +180,6 @@ def truncated(spectrum: DataFrame, chi_max: int | None = None, target: float | N
     return out.where("kept").drop("discarded") if kept_only else out
 
 
-def tall_svd(rows: DataFrame, key: str, column: str, n: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Of one tall matrix whose rows of n whole numbers are arrays: left vectors (key, u array), values and right vectors.
-
-    The n x n products are summed in Spark and factored on the driver, n * n numbers however many rows there are;
-    left vectors are rows times a small matrix, without a shuffle. Values below 1e-7 of the largest are dropped, as
-    products square the condition.
-    """
-    from .contract import gram
-
-    g = np.zeros((n, n))
-    for r in gram(rows, column, n).df.collect():  # n * n numbers
-        g[r["i0"], r["i1"]] = r["v"]
-    w, v = np.linalg.eigh(g)
-    s = np.sqrt(np.maximum(w[::-1], 0))
-    keep = s > 1e-7 * max(s[0], 1e-300)
-    s, v = s[keep], v[:, ::-1][:, keep]
-    small = v / s
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x @ small), pa.list_(pa.float64()))], [key, "u"])
-
-    whole = rows.where(F.size(column) == n).select(key, column)
-    schema = f"{key} {whole.schema[key].dataType.simpleString()}, u array<double>"
-    return whole.mapInArrow(run, schema), s, v
-
-
 def map_values(spectrum: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
     """A spectrum (sector, k, s) with f of every value."""
     return spectrum.withColumn("s", f(F.col("s")))

@@ -1,15 +1,23 @@
-"""The smallest eigenvalue of a large sparse symmetric matrix: Lanczos whose products with the matrix are Spark joins.
+"""Krylov methods on vectors too large for a task: tables (i, v), without rows for zeros.
 
-Vectors are tables (i, v) written out at every step; only the few numbers of the tridiagonal matrix come to the driver.
+An operator is a function of a vector table, so nothing of it need be stored: a sparse matrix by a join, or a sum of site
+operators by moving every row. The basis is one table (k, i, v); only its small matrix of products comes to the driver. A
+step of the basis writes three tables and makes two collects of a number for each vector of the basis.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import stored
+from ..errors import TensorError
+from ..sources.storage import stored
+from .factorize import exponential
+
+Operator = Callable[[DataFrame], DataFrame]
 
 
 def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
@@ -17,55 +25,185 @@ def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
     return a.join(x.select(F.col("i").alias("j"), F.col("v").alias("x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
 
 
-def dots(basis: DataFrame, w: DataFrame) -> dict[int, float]:
-    """The products of w with every vector of the basis (k, i, v) at once; as many numbers as vectors."""
-    rows = basis.join(w.select("i", F.col("v").alias("w")), "i").groupBy("k").agg(F.sum(F.col("v") * F.col("w")).alias("d")).collect()
-    return {r["k"]: r["d"] for r in rows}
+def matrix(a: DataFrame) -> Operator:
+    return lambda x: matvec(a, x)
 
 
-def size_of(w: DataFrame) -> float:
-    return float(np.sqrt(w.agg(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0))).first()[0]))
+def site_sum(terms: list[tuple[int, int, float]]) -> Operator:
+    """A sum of products of site operators on states numbered by bits: terms of flipped bits, bits that give a sign, and a factor.
 
+    (1 << s, 0, c) is c times X of site s, (0, 1 << s, c) is c times Z of it, and several bits are products over sites
+    (signs first, then flips). Every row of a vector becomes a row a term, which are summed; terms that flip alike are one.
+    """
+    if not terms:
+        raise TensorError("a sum of no terms")
+    by_flip: dict[int, list[tuple[int, float]]] = {}
+    for flip, sign, c in terms:
+        by_flip.setdefault(flip, []).append((sign, float(c)))
 
-def without(w: DataFrame, basis: DataFrame, factors: dict[int, float]) -> DataFrame:
-    """w less its shares in the vectors of the basis: one union and one sum, however many vectors there are."""
-    spark = w.sparkSession
-    f = F.broadcast(spark.createDataFrame(list(factors.items()), "k int, f double"))  # a row for each step
-    parts = basis.join(f, "k").select("i", (-F.col("v") * F.col("f")).alias("v"))
-    return w.select("i", "v").unionByName(parts).groupBy("i").agg(F.sum("v").alias("v"))
+    def apply(x: DataFrame) -> DataFrame:
+        moved = []
+        for flip, own in by_flip.items():
+            factor = sum((F.lit(c) * (1 - 2 * (F.bit_count(F.col("i").bitwiseAND(F.lit(sign))) % 2)) for sign, c in own), F.lit(0.0))
+            moved.append(F.struct(F.col("i").bitwiseXOR(F.lit(flip)).alias("i"), (F.col("v") * factor).alias("v")))
+        return x.select(F.explode(F.array(*moved)).alias("t")).groupBy(F.col("t.i").alias("i")).agg(F.sum("t.v").alias("v"))
 
+    return apply
 
-def ritz(alpha: list[float], beta: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    return np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
 
+def random_vector(spark, n: int, seed: int = 0) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("i"), (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / float(1 << 53) - 0.5).alias("v"))
+
+
+def measured(basis: DataFrame, w: DataFrame) -> tuple[dict[int, float], float]:
+    """The products of w with every vector of the basis, and with itself; as many numbers as vectors, in one job."""
+    both = basis.select("k", "i", "v").unionByName(w.select(F.lit(-1).alias("k"), "i", "v"))
+    rows = both.join(w.select("i", F.col("v").alias("w")), "i").groupBy("k").agg(F.sum(F.col("v") * F.col("w")).alias("d")).collect()
+    got = {r["k"]: float(r["d"]) for r in rows}
+    return {k: d for k, d in got.items() if k >= 0}, got.get(-1, 0.0)
+
+
+def size_of(w: DataFrame) -> float:
+    return float(np.sqrt(w.agg(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0))).first()[0]))
 
-def lanczos(a: DataFrame, n: int, steps: int = 12, tol: float = 1e-10, seed: int = 0) -> tuple[float, bool, DataFrame]:
-    """The smallest value, whether the residual's bound is at most tol, and its vector (i, v).
 
-    The basis is one table (k, i, v), to which every step adds a vector made orthogonal to all before.
+def without(w: DataFrame, basis: DataFrame, factors: dict[int, float]) -> DataFrame:
+    """w less its shares in the vectors of the basis: one union and one sum, however many vectors there are."""
+    return w.select("i", "v").unionByName(combined(basis, {k: -f for k, f in factors.items()})).groupBy("i").agg(F.sum("v").alias("v"))
+
+
+def combined(basis: DataFrame, factors: dict[int, float]) -> DataFrame:
+    """i and v: the basis' rows times their vector's factor, not yet summed."""
+    f = F.broadcast(basis.sparkSession.createDataFrame([(k, float(x)) for k, x in factors.items()], "k int, f double"))  # a row for each vector
+    return basis.join(f, "k").select("i", (F.col("v") * F.col("f")).alias("v"))
+
+
+def extended(op: Operator, basis: DataFrame, newest: DataFrame) -> tuple[np.ndarray, float, DataFrame]:
+    """The operator on the newest vector: its shares in the basis, the size of the rest and the rest, of size 1, made orthogonal twice."""
+    w = stored(op(newest.select("i", "v")), "krylov")
+    shares, before = measured(basis, w)
+    once = stored(without(w, basis, shares), "krylov")
+    left, size = measured(basis, once)
+    size = float(np.sqrt(max(0.0, size - sum(d * d for d in left.values()))))
+    n = 1 + max(shares, default=-1) if not left else 1 + max(*shares, *left)
+    column = np.zeros(n)
+    for part in (shares, left):
+        for k, d in part.items():
+            column[k] += d
+    # what rounding alone leaves is no direction
+    size = 0.0 if size <= 1e-14 * np.sqrt(before) else size
+    rest = without(once, basis, left).select("i", (F.col("v") / F.lit(size or 1.0)).alias("v"))
+    return column, size, rest
+
+
+def lowest(op: Operator, start: DataFrame, steps: int = 60, basis_size: int = 16, keep: int = 5, tol: float = 1e-10) -> tuple[float, float, DataFrame]:
+    """The smallest eigenvalue of a symmetric operator, the residual of its vector, and the vector (i, v) of size 1.
+
+    Lanczos with restarts: where the basis has basis_size vectors, the `keep` lowest approximations and the newest vector
+    take its place, so the basis never has more. Ends where the residual's bound is at most tol, at an invariant space that
+    the start lies in, or after so many steps.
     """
-    spark = a.sparkSession
-    start = spark.range(n).select(F.col("id").alias("i"), (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / float(1 << 53) - 0.5).alias("v"))
-    v = stored(start.withColumn("v", F.col("v") / F.lit(size_of(start))).select(F.lit(0).alias("k"), "i", "v"), "krylov")
-    basis, alpha, beta = v, [], []
-    while True:
-        k = len(alpha)
-        w = stored(matvec(a, v), "krylov")
-        shares = dots(basis, w)
-        alpha.append(shares.get(k, 0.0))
-        w = stored(without(w, basis, shares), "krylov")
-        w = stored(without(w, basis, dots(basis, w)), "krylov")  # once more, for what rounding left
-        size = size_of(w)
-        values, vectors = ritz(alpha, beta)
+    if not 0 < keep < basis_size - 1:
+        raise TensorError(f"{keep} vectors kept of {basis_size}")
+    spark = start.sparkSession
+    size = size_of(start)
+    if not size > 0:
+        raise TensorError("a start of zeros")
+    newest = stored(start.select(F.lit(0).alias("k"), "i", (F.col("v") / F.lit(size)).alias("v")), "krylov")
+    basis, h, m = newest, np.zeros((basis_size, basis_size)), 0
+    for step in range(1, steps + 1):
+        column, size, rest = extended(op, basis, newest)
+        column = np.pad(column, (0, m + 1 - len(column)))
+        h[: m + 1, m] = h[m, : m + 1] = column
+        m += 1
+        values, vectors = np.linalg.eigh(h[:m, :m])
         residual = size * abs(vectors[-1, 0])
-        if residual <= tol or len(alpha) == min(steps, n):
-            weights = spark.createDataFrame([(j, float(x)) for j, x in enumerate(vectors[:, 0])], "k int, f double")
-            vector = basis.join(F.broadcast(weights), "k").groupBy("i").agg(F.sum(F.col("v") * F.col("f")).alias("v"))
-            return float(values[0]), bool(residual <= tol), vector
-        beta.append(size)
-        v = stored(w.select(F.lit(k + 1).alias("k"), "i", (F.col("v") / F.lit(size)).alias("v")), "krylov")
-        basis = basis.unionByName(v)
+        if residual <= tol or step == steps:
+            vector = combined(basis, dict(enumerate(vectors[:, 0]))).groupBy("i").agg(F.sum("v").alias("v"))
+            return float(values[0]), float(residual), vector
+        if m == basis_size:
+            weights = spark.createDataFrame([(k, j, float(vectors[k, j])) for k in range(m) for j in range(keep)], "k int, to int, f double")  # a few numbers for each vector
+            kept = basis.join(F.broadcast(weights), "k").groupBy(F.col("to").alias("k"), "i").agg(F.sum(F.col("v") * F.col("f")).alias("v"))
+            basis, m = stored(kept, "krylov"), keep
+            h[:] = 0
+            h[range(keep), range(keep)] = values[:keep]
+        newest = stored(rest.select(F.lit(m).alias("k"), "i", "v"), "krylov")
+        basis = basis.unionByName(newest)
+    raise TensorError("no steps")
+
+
+def lanczos(a: DataFrame, n: int, steps: int = 12, tol: float = 1e-10, seed: int = 0) -> tuple[float, bool, DataFrame]:
+    """The smallest value of a stored symmetric matrix, whether the residual's bound is at most tol, and its vector (i, v)."""
+    steps = min(steps, n)
+    value, residual, vector = lowest(matrix(a), random_vector(a.sparkSession, n, seed), steps, basis_size=max(steps, 4), keep=2 if steps < 8 else 5, tol=tol)
+    return value, residual <= tol, vector
 
 
 def lanczos_smallest(a: DataFrame, n: int, steps: int = 12, tol: float = 1e-10, seed: int = 0) -> tuple[float, bool]:
     return lanczos(a, n, steps, tol, seed)[:2]
+
+
+def exponential_action(op: Operator, b: DataFrame, t: float = 1.0, steps: int = 30, tol: float = 1e-12) -> tuple[DataFrame, float]:
+    """exp(t A) b as (i, v), and an estimate of its error: the exponential of the basis' small matrix, through the basis.
+
+    The operator needn't be symmetric. The estimate is the first term that the basis leaves out; the basis grows until that is
+    at most tol times the size of b, or until it is an invariant space, where the result is exact but for rounding.
+    """
+    size = size_of(b)
+    if not size > 0:
+        return b.select("i", F.col("v").cast("double").alias("v")).where("v <> 0"), 0.0
+    newest = stored(b.groupBy("i").agg((F.sum("v") / F.lit(size)).alias("v")).select(F.lit(0).alias("k"), "i", "v"), "krylov")
+    basis, h = newest, np.zeros((steps + 1, steps + 1))
+    for m in range(1, steps + 1):
+        column, rest_size, rest = extended(op, basis, newest)
+        h[: len(column), m - 1] = column
+        # with a row and a column more, the exponential also holds the integral that the error's first term has
+        big = np.zeros((m + 1, m + 1))
+        big[:m, :m] = t * h[:m, :m]
+        big[0, m] = 1.0
+        e = exponential(big)
+        error = size * abs(t) * rest_size * abs(e[m - 1, m])
+        if error <= tol * size or rest_size == 0 or m == steps:
+            factors = size * exponential(t * h[:m, :m])[:, 0]
+            return combined(basis, dict(enumerate(factors))).groupBy("i").agg(F.sum("v").alias("v")), error
+        h[m, m - 1] = rest_size
+        newest = stored(rest.select(F.lit(m).alias("k"), "i", "v"), "krylov")
+        basis = basis.unionByName(newest)
+    raise TensorError("no steps")
+
+
+def solve(op: Operator, b: DataFrame, diagonal: DataFrame | None = None, steps: int = 100, tol: float = 1e-12) -> tuple[DataFrame, int, float]:
+    """x of A x = b by conjugate gradients, the steps taken and the residual's size over that of b; A is symmetric and positive.
+
+    With its diagonal (i, v), residuals are weighed by it. One table (i, x, r, p, q, m) is written a step, and four
+    numbers come to the driver. An operator that isn't positive is an error.
+    """
+    own = b.groupBy("i").agg(F.sum(F.col("v").cast("double")).alias("r"))
+    size = size_of(own.select(F.col("r").alias("v")))
+    if not size > 0:
+        return b.sparkSession.createDataFrame([], own.select("i", F.col("r").alias("v")).schema), 0, 0.0
+    weights = diagonal.select("i", F.col("v").alias("m")) if diagonal is not None else None
+
+    def direction(state: DataFrame) -> DataFrame:
+        """The state with q, the operator on p; rows that p reaches first have no residual yet."""
+        q = op(state.select("i", F.col("p").alias("v"))).select("i", F.col("v").alias("q"))
+        joined = state.drop("q").join(q, "i", "full_outer")
+        joined = joined.select("i", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("x", "r", "p", "q")))
+        joined = joined.join(weights, "i", "left") if weights is not None else joined.withColumn("m", F.lit(1.0))
+        return stored(joined.withColumn("m", F.coalesce("m", F.lit(1.0))), "conjugate")
+
+    z = F.col("r") / F.col("m")
+    first = own.join(weights, "i", "left").withColumn("m", F.coalesce("m", F.lit(1.0))) if weights is not None else own.withColumn("m", F.lit(1.0))
+    state = direction(first.select("i", F.lit(0.0).alias("x"), "r", z.alias("p")))
+    for step in range(1, steps + 1):
+        rz, pq = state.agg(F.sum(F.col("r") * z), F.sum(F.col("p") * F.col("q"))).first()
+        if not pq > 0:
+            raise TensorError("the operator isn't positive")
+        alpha = F.lit(rz / pq)
+        moved = state.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p", "m")
+        rest, rr = moved.agg(F.sum(F.col("r") * z), F.sum(F.col("r") * F.col("r"))).first()
+        residual = float(np.sqrt(rr)) / size
+        if residual <= tol or step == steps:
+            return moved.select("i", F.col("x").alias("v")), step, residual
+        state = direction(moved.select("i", "x", "r", (z + F.lit(rest / rz) * F.col("p")).alias("p")))
+    raise TensorError("no steps")
