@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.site_ops import applied, site_operator
-from ..operators import blocks, chains, complexes, contract, elementwise, factorize, krylov, structural
+from ..operators import blocks, chains, complexes, contract, elementwise, factorize, krylov, sketch, structural, tall, tiles
+from ..sources.storage import stored
 from ..sources.tables import load, load_blocks, quantities, read, save, save_blocks, shared_path
 from ..streaming.running import windowed_sums
 from ..tensor import Tensor, from_table, from_values
@@ -117,7 +118,7 @@ NILPOTENT = f"{BATCH}, n as (select * from b where i < 3 and j in (3, 4) or i in
 
 def svd_tall(spark: SparkSession, d: str) -> DataFrame:
     """All embeddings as one tall matrix of whole thousandths, rebuilt from its factors."""
-    u, s, v = factorize.tall_svd(thousandths(spark, d), "vec_id", "x", 64)
+    u, s, v = tall.tall_svd(thousandths(spark, d), "vec_id", "x", 64)
     right = F.lit([[float(y) for y in row] for row in (v * s)])
     row = F.transform(right, lambda r: F.round(F.aggregate(F.zip_with("u", r, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)).cast("bigint"))
     return u.select(F.col("vec_id").cast("bigint").alias("i0"), F.posexplode(row).alias("i1", "v")).select("i0", F.col("i1").cast("bigint").alias("i1"), "v")
@@ -243,15 +244,111 @@ def container_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lanczos_min(spark: SparkSession, d: str) -> DataFrame:
-    """The smallest eigenvalue of the Laplacian of customers' and nations' links plus one, over the whole table: 1, as every part is connected."""
-    c = read(spark, d, "customer").select((F.col("c_custkey") + 24).cast("bigint").alias("x"), F.col("c_nationkey").cast("bigint").alias("y"))
+    """The smallest eigenvalue of the links of customers and regions: a region with n customers gives the values of the root of n, of either sign."""
+    nation = read(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("bigint").alias("y"))
+    c = read(spark, d, "customer").join(F.broadcast(nation), "c_nationkey").select((F.col("c_custkey") + 5).cast("bigint").alias("x"), "y")
     n = c.agg(F.max("x")).first()[0] + 1
     links = c.select(F.col("x").alias("i"), F.col("y").alias("j")).unionByName(c.select(F.col("y").alias("i"), F.col("x").alias("j")))
-    ends = links.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
-    ones = spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
-    a = links.withColumn("v", F.lit(-1.0)).unionByName(ends).unionByName(ones).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    value, _ = krylov.lanczos_smallest(a, n, steps=8, tol=1e-6)
-    return spark.createDataFrame([(round(value, 2),)], "v double")
+    value, _ = krylov.lanczos_smallest(links.withColumn("v", F.lit(1.0)), n, steps=12, tol=1e-8)
+    return spark.createDataFrame([(round(value, 6),)], "v double")
+
+
+def ground_state(spark: SparkSession, d: str) -> DataFrame:
+    """The lowest state of a site for each order priority, in a field along z of its filled orders and along x of its open ones.
+
+    The operator is a sum of terms and never stored; the second row is the residual of the vector, by joins.
+    """
+    status = F.col("o_orderstatus")
+    got = read(spark, d, "orders").groupBy("o_orderpriority").agg(F.sum((status == "F").cast("int")).alias("z"), F.sum((status == "O").cast("int")).alias("x")).orderBy("o_orderpriority").collect()  # a row for each site
+    total = sum(r["z"] + r["x"] for r in got)
+    h = krylov.site_sum([t for s, r in enumerate(got) for t in ((0, 1 << s, r["z"] / total), (1 << s, 0, r["x"] / total))])
+    value, _, vector = krylov.lowest(h, krylov.random_vector(spark, 1 << len(got)), steps=40, basis_size=10, keep=4, tol=1e-9)
+    vector = stored(vector, "state")
+    rest = h(vector).unionByName(vector.select("i", (F.col("v") * -value).alias("v"))).groupBy("i").agg(F.sum("v").alias("v"))
+    return spark.createDataFrame([("energy", round(value, 6)), ("residual", round(krylov.size_of(rest), 6))], "part string, v double")
+
+
+def expm_action(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of customers, carried to nations and on to regions by the exponential of the links: 1, 1 and 1/2 of the sums, doubled to be whole."""
+    b = read(spark, d, "orders").groupBy((F.col("o_custkey") + 30).cast("bigint").alias("i")).agg(F.count("*").cast("double").alias("v"))
+    up = read(spark, d, "customer").select((F.col("c_nationkey") + 5).cast("bigint").alias("i"), (F.col("c_custkey") + 30).cast("bigint").alias("j"))
+    up = up.unionByName(read(spark, d, "nation").select(F.col("n_regionkey").cast("bigint").alias("i"), (F.col("n_nationkey") + 5).cast("bigint").alias("j")))
+    y, _ = krylov.exponential_action(krylov.matrix(stored(up.withColumn("v", F.lit(1.0)), "links")), b, steps=6)
+    return whole(y.withColumn("v", F.col("v") * 2)).where("v <> 0")
+
+
+def solve_sparse(spark: SparkSession, d: str) -> DataFrame:
+    """The Laplacian of customers' and nations' links plus one, its product with a planted vector, and the vector again."""
+    c = read(spark, d, "customer").select((F.col("c_custkey") + 25).cast("bigint").alias("x"), F.col("c_nationkey").cast("bigint").alias("y"))
+    links = c.select(F.col("x").alias("i"), F.col("y").alias("j")).unionByName(c.select(F.col("y").alias("i"), F.col("x").alias("j")))
+    nodes = c.select(F.col("x").alias("i")).unionByName(read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("i")))
+    diagonal = nodes.join(links.groupBy("i").count(), "i", "left").select("i", (F.coalesce("count", F.lit(0)) + 1).cast("double").alias("v"))
+    a = stored(links.withColumn("v", F.lit(-1.0)).unionByName(diagonal.select("i", F.col("i").alias("j"), "v")), "laplacian")
+    planted = nodes.select("i", (F.col("i") % 10 + 1).cast("double").alias("v"))
+    x, _, _ = krylov.solve(krylov.matrix(a), krylov.matvec(a, planted), diagonal, tol=1e-11)
+    return whole(x)
+
+
+def einsum_tiled(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of einsum_matmul by tiles of 64 suppliers, 256 parts and 8 lines; sums of doubles, nothing rounded."""
+    top = read(spark, d, "lineitem").agg(F.max("l_suppkey"), F.max("l_partkey")).first()
+    m, n = top[0] + 1, top[1] + 1
+    a = tiles.tiled(Tensor(quantities(spark, d, ("l_suppkey", "l_partkey")), (m, n)), (64, 256))
+    b = tiles.tiled(Tensor(quantities(spark, d, ("l_partkey", "l_linenumber")), (n, 8)), (256, 8))
+    return tiles.untiled(tiles.einsum("ij,jk->ik", a, b)).df
+
+
+def rounded(v, digits: int):
+    """Rounded, and zero without a sign."""
+    return F.round(v, digits) + F.lit(0.0)
+
+
+def qr_tall(spark: SparkSession, d: str) -> DataFrame:
+    """The embeddings as they are: Q times R is the table, Q's columns are orthonormal, and R's products are the table's."""
+    rows = read(spark, d, "embeddings").select("vec_id", "embedding")
+    q, r = tall.tall_qr(rows, "vec_id", "embedding", 64)
+    q = stored(q, "q")
+    back = tall.times(q, "vec_id", "q", 64, r, name="x").select(F.lit("x").alias("part"), F.col("vec_id").cast("bigint").alias("i0"), F.posexplode("x").alias("i1", "v"))
+    one = C.gram(q, "q", 64).df.select(F.lit("q").alias("part"), "i0", "i1", "v")
+    rr = spark.createDataFrame([("r", i, j, float(x)) for i, row in enumerate(r.T @ r) for j, x in enumerate(row)], "part string, i0 bigint, i1 bigint, v double")
+    return back.unionByName(one).unionByName(rr).select("part", "i0", F.col("i1").cast("bigint").alias("i1"), rounded("v", 6).alias("v"))
+
+
+def nation_parts(spark: SparkSession, d: str) -> DataFrame:
+    supplier = read(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("bigint").alias("i"))
+    rows = read(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("j"), F.col("l_quantity").alias("v")).join(supplier, "l_suppkey")
+    return rows.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def svd_sparse(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities by suppliers' nation and part, a matrix of rank 25 at most, at its elements from its factors; the squares of its values sum up to its own."""
+    a = nation_parts(spark, d)
+    u, s, w = sketch.sparse_svd(a, 25, more=7, powers=1)
+    scaled = F.zip_with("u", F.lit([float(x) for x in s]), lambda x, y: x * y)
+    value = F.aggregate(F.zip_with("su", "w", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    at = a.select("i", "j").join(u.select("i", scaled.alias("su")), "i").join(w, "j").select(F.col("i").alias("i0"), F.col("j").alias("i1"), F.round(value).cast("bigint").alias("v"))
+    return at.unionByName(spark.createDataFrame([(-1, -1, round(float((s * s).sum())))], "i0 bigint, i1 bigint, v bigint"))
+
+
+def svd_leading(spark: SparkSession, d: str) -> DataFrame:
+    """The five largest values of quantities by supplier and part, to four digits of the largest."""
+    a = quantities(spark, d, ("l_suppkey", "l_partkey")).select(F.col("i0").alias("i"), F.col("i1").alias("j"), "v")
+    _, s, _ = sketch.sparse_svd(a, 5, more=15, powers=3)
+    return spark.createDataFrame([(k, float(f"{x:.4g}")) for k, x in enumerate(s)], "k int, v double")
+
+
+def truncated_target(spark: SparkSession, d: str) -> DataFrame:
+    """The sizes of all parts, of which the smallest go while the norm of what goes is at most 300."""
+    return factorize.truncated(spectrum(spark, d), target=300.0).select("sector", "k", "s", F.col("rank").cast("bigint").alias("rank"), "kept")
+
+
+def mps_sum(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of suppliers that share a number without its last bit, once and twice: the amplitudes of their sums."""
+    m = states(spark, d)
+    chain, term = F.shiftright("chain", 1), F.col("chain").bitwiseAND(F.lit(1))
+    terms = m.select(chain.alias("chain"), term.alias("term"), "site", "l", "p", "r", "v")
+    weights = terms.select("chain", "term").distinct().withColumn("weight", F.col("term") + 1)
+    return chains.amplitudes(chains.weighted_sum(terms, weights, SITES), SITES).where("v <> 0")
 
 
 def thousandths(spark: SparkSession, d: str) -> DataFrame:
@@ -335,7 +432,23 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "mps_total_number": (lambda s, d: chains.braket(states(s, d), chains.total_number(s, SITES, 2), states(s, d), SITES).select("chain", F.col("value").cast("bigint").alias("v")), f"with {AMPLITUDES} select chain, coalesce(sum(v * v * ({COUNTED})), 0)::bigint as v from (select distinct chain from m) left join z using (chain) group by all"),
     "mps_apply_number": (lambda s, d: chains.amplitudes(chains.apply(chains.total_number(s, SITES, 2), states(s, d), 2), SITES).where("v <> 0"), f"with {AMPLITUDES} select chain, {', '.join(f'p{k}' for k in range(SITES))}, (v * ({COUNTED}))::bigint as v from z where v * ({COUNTED}) <> 0"),
     "mps_apply_identity": (lambda s, d: chains.amplitudes(chains.apply(chains.identity(s, SITES, 2), states(s, d), 1), SITES), f"with {AMPLITUDES} select * from z"),
-    "lanczos_min": (lanczos_min, "select 1::double as v"),
+    "lanczos_min": (lanczos_min, "select round(-sqrt(max(n)), 6) as v from (select count(*) as n from customer join nation on c_nationkey = n_nationkey group by n_regionkey)"),
+    "ground_state": (ground_state, """with p as (select o_orderpriority, count(*) filter (o_orderstatus = 'F') as z, count(*) filter (o_orderstatus = 'O') as x from orders group by o_orderpriority)
+        select 'energy' as part, round(-sum(sqrt(z * z + x * x)) / sum(z + x), 6) as v from p union all select 'residual', 0.0"""),
+    "expm_action": (expm_action, """with b as (select o_custkey, count(*) as n from orders group by all), j as (select * from b join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)
+        select o_custkey::bigint + 30 as i, (2 * n)::bigint as v from b union all select c_nationkey::bigint + 5, (2 * sum(n))::bigint from j group by c_nationkey union all select n_regionkey::bigint, sum(n)::bigint from j group by n_regionkey"""),
+    "solve_sparse": (solve_sparse, "select n_nationkey::bigint as i, (n_nationkey % 10 + 1)::bigint as v from nation union all select c_custkey + 25, (c_custkey + 25) % 10 + 1 from customer"),
+    "einsum_tiled": (einsum_tiled, "with a as (select l_suppkey i, l_partkey j, sum(l_quantity) v from lineitem group by all), b as (select l_partkey j, l_linenumber k, sum(l_quantity) v from lineitem group by all) select i::bigint as i0, k::bigint as i1, sum(a.v * b.v) as v from a join b using (j) group by all"),
+    "qr_tall": (qr_tall, """with e as (select vec_id::bigint as i0, (generate_subscripts(embedding, 1) - 1)::bigint as i1, unnest(embedding)::double as v from embeddings)
+        select 'x' as part, i0, i1, round(v, 6) + 0.0::double as v from e union all select 'q', a.range, b.range, case when a.range = b.range then 1.0 else 0.0 end from range(64) a, range(64) b
+        union all select 'r', a.i1, b.i1, round(sum(a.v * b.v), 6) + 0.0::double from e a join e b using (i0) group by all"""),
+    "svd_sparse": (svd_sparse, """with a as (select s_nationkey::bigint as i0, l_partkey::bigint as i1, sum(l_quantity)::bigint as v from lineitem join supplier on l_suppkey = s_suppkey group by all)
+        select * from a union all select -1, -1, sum(v * v)::bigint from a"""),
+    "svd_leading": (svd_leading, None),
+    "truncated_target": (truncated_target, """with s as (select (p_size % 5)::int as sector, p_partkey as k, p_size::bigint as s from part)
+        select sector, k, s, row_number() over (order by s desc, sector, k) as rank,
+            sum(s * s) over (order by s, sector desc, k desc rows unbounded preceding) > 90000 or row_number() over (order by s desc, sector, k) = 1 as kept from s"""),
+    "mps_sum": (mps_sum, f"with {AMPLITUDES} select chain // 2 as chain, {', '.join(f'p{k}' for k in range(SITES))}, sum(v * (1 + chain % 2))::bigint as v from z group by all having sum(v * (1 + chain % 2)) <> 0"),
     "container_roundtrip": (container_roundtrip, f"with {T3} select i0::bigint as i0, i1::bigint as i1, i2::bigint as i2, v from t"),
     "windowed_sums": (lambda s, d: windowed_sums(read(s, d, "events").withColumn("n", F.lit(1).cast("bigint")), ["event_type"], "n").select(F.col("start").cast("date").alias("day"), "event_type", "v"), "select ts::date as day, event_type, count(*)::bigint as v from events group by all"),
 }

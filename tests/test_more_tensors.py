@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparktn.errors import BlockError, TensorError
 from sparktn.functions import sectors, site_ops
-from sparktn.operators import blocks, chains, complexes, contract, elementwise, factorize
+from sparktn.operators import blocks, chains, complexes, contract, elementwise, factorize, tall
 from sparktn.sources.tables import load, load_blocks, save_blocks
 from sparktn.tensor import from_values
 
@@ -96,7 +96,7 @@ def test_tall_svd_and_elementwise(spark):
     rng = np.random.default_rng(2)
     a = rng.integers(-50, 50, (300, 5)).astype(float)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(a)], "k bigint, x array<double>").repartition(3)
-    u, s, v = factorize.tall_svd(df, "k", "x", 5)
+    u, s, v = tall.tall_svd(df, "k", "x", 5)
     left = np.array([r["u"] for r in u.orderBy("k").collect()])
     assert np.allclose(left * s @ v.T, a) and np.allclose(left.T @ left, np.eye(5)) and np.allclose(s, np.linalg.svd(a)[1])
     t = from_values(spark, [1.0, 0.0, 2.0], (3,))
