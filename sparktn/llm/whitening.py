@@ -167,7 +167,7 @@ def leading(v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
             x /= np.linalg.norm(x)
             quotient = float(x @ v @ x)
             residual = np.linalg.norm(v @ x - quotient * x)
-            if residual <= close and low - close <= quotient <= high + close:
+            if residual <= close and low - floor / 2 <= quotient <= high + floor / 2:
                 return quotient, x
             if step >= 3 and low <= quotient <= high:
                 rho = quotient
