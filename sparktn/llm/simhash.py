@@ -303,6 +303,9 @@ LIKELY, PARTNERS = 0.69, 3
 #: Members of a band's group that one task compares. Of a larger group, members with TIGHT equal minima are searched through
 #: one of them, in parts of this size, for as long as it shrinks; then any two of its members meet in a block of this size.
 DENSE, TIGHT = 2_000, 0.9
+#: Members of a group whose shingles a task holds at once on either side, and pairs for each member that the first round of
+#: `settled` checks (each later round checks four times as many).
+TILE, CROSSING = 64, 16
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + U1
 
 
@@ -358,8 +361,8 @@ def heads(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def likely(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs to check in a group, at most 1 + PARTNERS for each member: a spanning forest of the most equal minima and each member's best partners.
 
-    Cut at a threshold, a greatest spanning forest has the components of all pairs; partners make up for
-    what minima misjudge. It holds a few numbers a member at a time, never all pairs.
+    These are the first pairs to check; what they leave apart, `settled` goes through. It holds a few numbers a member at a
+    time, never all pairs.
     """
     n, floor = len(sketch), LIKELY * sketch.shape[1]
     chosen, *pairs = heads(sketch) if n > DENSE else (np.arange(n), np.empty(0, int), np.empty(0, int))
@@ -385,8 +388,23 @@ def likely(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
+def pair_columns(i: np.ndarray, j: np.ndarray, raw: np.ndarray, gid: np.ndarray, start: np.ndarray) -> list[pa.Array]:
+    """a, b, home and tile of the pairs of places i and j, each once; start is where a place's group starts."""
+    x, y = raw[i], raw[j]
+    both, first = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1, return_index=True)
+    i, j = i[first], j[first]
+    p, q = (i - start[i]) // TILE, (j - start[j]) // TILE
+    return [pa.array(np.ascontiguousarray(c)) for c in (both[0], both[1], gid[i], np.minimum(p, q) << 32 | np.maximum(p, q))]
+
+
+def once(pairs: DataFrame) -> DataFrame:
+    """a, b, home, tile: every pair in one of the groups that found it, the same for pairs that share it."""
+    return pairs.groupBy("a", "b").agg(F.min(F.struct("home", "tile")).alias("at")).select("a", "b", "at.home", "at.tile")
+
+
 def compared(members: DataFrame, partitions: int) -> DataFrame:
-    """a, b: pairs of raw to check; and of parts of large groups, the members that stand for others as gid, band and raw in a.
+    """a, b: pairs of raw to check, with the group (home) and the tile of it they are from; and of parts of large groups, the
+    members that stand for others as gid, band and raw in a.
 
     From gid, band, part (-1: the group is whole), raw and sketch.
     """
@@ -410,13 +428,14 @@ def compared(members: DataFrame, partitions: int) -> DataFrame:
                     stay.append(k + at)
                 a.append(i + at)
                 b.append(j + at)
-            x, y, k = raw[np.concatenate(a)], raw[np.concatenate(b)], np.concatenate(stay)
-            if len(x) or len(k):
-                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                none = pa.nulls(both.shape[1], pa.int64())
-                edges = [pa.array(both[0].copy()), pa.array(both[1].copy()), none, none]
-                standing = [pa.array(raw[k]), pa.nulls(len(k), pa.int64()), pa.array(gid[k]), pa.array(band[k])]
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(edges, standing)], ["a", "b", "gid", "band"])
+            i, j, k = np.concatenate(a), np.concatenate(b), np.concatenate(stay)
+            if len(i) or len(k):
+                edges = pair_columns(i, j, raw, gid, np.repeat(starts, sizes))
+                none = pa.nulls(len(edges[0]), pa.int64())
+                edges = [*edges[:2], none, none, *edges[2:]]
+                empty = pa.nulls(len(k), pa.int64())
+                standing = [pa.array(raw[k]), empty, pa.array(gid[k]), pa.array(band[k]), empty, empty]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(edges, standing)], ["a", "b", "gid", "band", "home", "tile"])
 
         for batch in batches:
             sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
@@ -428,7 +447,7 @@ def compared(members: DataFrame, partitions: int) -> DataFrame:
         yield from pairs(*rest)
 
     rows = members.select("gid", "part", "band", "raw", "sketch").repartition(partitions, "gid", "part")
-    return rows.sortWithinPartitions("gid", "part", F.xxhash64("gid", "raw")).mapInArrow(run, "a bigint, b bigint, gid bigint, band bigint")
+    return rows.sortWithinPartitions("gid", "part", F.xxhash64("gid", "raw")).mapInArrow(run, "a bigint, b bigint, gid bigint, band bigint, home bigint, tile bigint")
 
 
 def dealt(members: DataFrame, level: int) -> DataFrame:
@@ -442,11 +461,12 @@ def dealt(members: DataFrame, level: int) -> DataFrame:
 
 
 def candidates(prints: DataFrame) -> DataFrame:
-    """a, b: pairs of raw, a < b, whose shingles are to be compared.
+    """a, b, home, tile: pairs of raw, a < b, whose shingles are to be compared first.
 
     Texts that share a band's key are a group. A task compares DENSE members at most: larger groups are dealt in
     parts, of which those that stand for others are dealt again. A group that this doesn't halve is dealt by a
-    further band the first time; after that all its members are compared, in blocks.
+    further band the first time; after that all its members are compared, in blocks. Whatever this leaves apart within
+    a group is for `settled`.
     """
     parts = n_partitions(prints.sparkSession)
     one = stored(prints.select("raw", "keys", "sketch").dropDuplicates(["raw"]), "texts")
@@ -457,10 +477,10 @@ def candidates(prints: DataFrame) -> DataFrame:
         size = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
         members = joined_by_key(rows, counts, ["gid"], "n", size["total"] or 0).join(one.select("raw", "sketch"), "raw")
         out = stored(compared(dealt(members, level), parts), "candidates")
-        new = out.where("gid is null").select("a", "b")
+        new = out.where("gid is null").select("a", "b", "home", "tile")
         found = new if found is None else found.unionByName(new)
         if (size["most"] or 0) <= DENSE:
-            return found.distinct()
+            return once(found)
         left = out.where("gid is not null").select(F.col("a").alias("raw"), "band", "gid")
         after = left.groupBy("gid").agg(F.count("*").alias("m")).where(F.col("m") > DENSE)
         slow = small(stored(counts.join(after, "gid").where("m > n / 2").select("gid"), "groups"), 200_000)
@@ -471,8 +491,8 @@ def candidates(prints: DataFrame) -> DataFrame:
         rows, level = rows.unionByName(again.withColumn("final", F.lit(level > 0))), level + 1
 
 
-def alike(docs: DataFrame, pairs: DataFrame, column: str = "text") -> DataFrame:
-    """The pairs whose sets of shingles have a Jaccard similarity of SIMILAR or more, all shingles compared."""
+def shingle_sets(docs: DataFrame, asked: DataFrame, column: str = "text") -> DataFrame:
+    """raw and shingles of the texts asked for, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -480,12 +500,140 @@ def alike(docs: DataFrame, pairs: DataFrame, column: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["raw", "shingles"])
 
     text = F.coalesce(F.col(column), F.lit(""))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("raw")).distinct()
-    sets = docs.select(F.xxhash64(text).alias("raw"), text.alias("text")).join(small(asked, 500_000), "raw", "left_semi").mapInArrow(run, "raw bigint, shingles array<bigint>")
-    sets = stored(sets.dropDuplicates(["raw"]), "shingles")
-    joined = pairs.join(sets.select(F.col("raw").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("raw").alias("b"), F.col("shingles").alias("t")), "b")
-    met = joined.select("a", "b", F.size(F.array_intersect("s", "t")).alias("met"), (F.size("s") + F.size("t")).alias("all"))
-    return met.where(F.col("met") >= SIMILAR * (F.col("all") - F.col("met"))).select("a", "b")
+    own = docs.select(F.xxhash64(text).alias("raw"), text.alias("text")).join(small(asked, 500_000), "raw", "left_semi")
+    return stored(own.mapInArrow(run, "raw bigint, shingles array<bigint>").dropDuplicates(["raw"]), "shingles")
+
+
+def asked_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("raw")).distinct()
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, home, tile) whose sets of shingles have a Jaccard similarity of SIMILAR or more, all shingles compared.
+
+    A text's shingles are sent to each tile that asks for it, once, and not to each of its pairs, so a text in thousands of
+    pairs is no hot key; a task holds the texts of one tile, 2 TILE at most.
+    """
+    parts = n_partitions(pairs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+        for batch in batches:
+            home, tile, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            sets, found = batch.column(4), []
+            for k in range(batch.num_rows):
+                if (home[k], tile[k]) != at:
+                    at, held = (home[k], tile[k]), {}
+                if sets[k].is_valid:
+                    held[a[k]] = sets.slice(k, 1).flatten().to_numpy(zero_copy_only=False)
+                else:
+                    x, y = held[a[k]], held[b[k]]
+                    # of sets whose sizes alone forbid it, nothing is met
+                    if min(len(x), len(y)) >= SIMILAR * max(len(x), len(y)):
+                        met = len(np.intersect1d(x, y, assume_unique=True))
+                        if met >= SIMILAR * (len(x) + len(y) - met):
+                            found.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(a[found], pa.int64()), pa.array(b[found], pa.int64())], ["a", "b"])
+
+    wanted = pairs.select("home", "tile", F.explode(F.array("a", "b")).alias("raw")).distinct()
+    texts = wanted.join(sets, "raw").select("home", "tile", F.col("raw").alias("a"), F.lit(0).cast("bigint").alias("b"), "shingles")
+    rows = texts.unionByName(pairs.select("home", "tile", "a", "b", F.lit(None).cast("array<bigint>").alias("shingles")))
+    return rows.repartition(parts, "home", "tile").sortWithinPartitions("home", "tile", F.col("shingles").isNull()).mapInArrow(run, "a bigint, b bigint")
+
+
+def crossing(members: DataFrame, partitions: int, share: int) -> DataFrame:
+    """a, b, home, tile: in each group, pairs of likely members of different components; and the groups (gid) that aren't through, with how far they are (at).
+
+    A group's likely pairs come in one order, most equal minima first, which no round changes, and `at` says how many
+    of them are settled. From gid (of DENSE members or so), raw, root, at and sketch; at most `share` pairs a member.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, np.int64)] * 4 + [np.empty((0, BANDS * ROWS), np.uint8)]
+
+        def of_group(gid, raw, root, settled_, sketch) -> Iterator[pa.RecordBatch]:
+            n, floor, i, j, equal = len(raw), LIKELY * sketch.shape[1], [], [], []
+            for k in range(n - 1):
+                same = (sketch[k + 1 :] == sketch[k]).sum(axis=1)
+                hit = np.flatnonzero(same >= floor)
+                i.append(np.full(len(hit), k, np.int32))
+                j.append((hit + k + 1).astype(np.int32))
+                equal.append(same[hit].astype(np.int16))
+            i, j, equal = (np.concatenate(x) if x else np.empty(0, int) for x in (i, j, equal))
+            order = np.argsort(-equal, kind="stable")[settled_[0] :]
+            i, j = i[order], j[order]
+            apart = np.flatnonzero(root[i] != root[j])
+            now, later = apart[: share * n], apart[share * n :]
+            if len(now):
+                edges = pair_columns(i[now].astype(int), j[now].astype(int), raw, gid, np.zeros(n, int))
+                none = pa.nulls(len(edges[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays([*edges, none, none], ["a", "b", "home", "tile", "gid", "at"])
+            if len(later):
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(gid[:1]), pa.array([int(settled_[0] + later[0])])], ["a", "b", "home", "tile", "gid", "at"])
+
+        def groups(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            gid = columns[0]
+            starts = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]])) if len(gid) else []
+            for start, end in zip(starts, [*starts[1:], len(gid)]):
+                yield from of_group(*(x[start:end] for x in columns))
+
+        for batch in batches:
+            sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+            now = [np.concatenate([r, x]) for r, x in zip(rest, (*(batch.column(k).to_numpy() for k in range(4)), sketch))]
+            gid = now[0]
+            whole = int(np.flatnonzero(gid != gid[-1])[-1]) + 1 if len(gid) and gid[0] != gid[-1] else 0
+            yield from groups([x[:whole] for x in now])
+            rest = [x[whole:] for x in now]
+        yield from groups(rest)
+
+    rows = members.select("gid", "raw", "root", "at", "sketch").repartition(partitions, "gid").sortWithinPartitions("gid", "raw")
+    return rows.mapInArrow(run, "a bigint, b bigint, home bigint, tile bigint, gid bigint, at bigint")
+
+
+def settled(docs: DataFrame, prints: DataFrame, pairs: DataFrame, column: str = "text") -> DataFrame:
+    """node, root: the components of all likely pairs that the exact check confirms.
+
+    First the pairs given are checked. Then, while a band's group has likely members of different components, more of its
+    pairs that join two of them are checked, so that in the end every likely pair is confirmed, refuted, or within one
+    component. Groups of one component, and groups so small that all their pairs are among those given, are left out.
+    Large groups are gone through in blocks in which any two members meet.
+    """
+    parts = n_partitions(prints.sparkSession)
+    sets = shingle_sets(docs, asked_of(pairs), column)
+    found = stored(alike(pairs, sets), "alike")
+    root = components(found)
+    one = prints.select("raw", "keys", "sketch").dropDuplicates(["raw"])
+    rows = one.select("raw", F.explode("keys").alias("gid"))
+    counts = stored(rows.groupBy("gid").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS + 1), "groups")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    members = stored(joined_by_key(rows, counts, ["gid"], "n", total), "members")
+
+    def rooted(df: DataFrame) -> DataFrame:
+        return df.join(root.withColumnRenamed("node", "raw"), "raw", "left").withColumn("root", F.coalesce("root", "raw"))
+
+    ends = rooted(members).groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("n"), F.bit_xor(F.xxhash64("raw")).alias("same"))
+    apart = ends.where("low <> high").groupBy("n", "low", "high", "same").agg(F.min("gid").alias("gid"))  # groups of the same members are one
+    again = joined_by_key(members.drop("n"), stored(apart.select("gid", "n"), "groups"), ["gid"], "n", total)
+    blocks = stored(dealt(again.withColumn("band", F.lit(0)).withColumn("final", F.lit(True)), 0).select("gid", "raw", F.lit(0).cast("bigint").alias("at")), "blocks")
+    share = CROSSING
+    while True:
+        own = stored(rooted(blocks), "rooted")
+        live = own.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gid")
+        out = stored(crossing(own.join(live, "gid", "left_semi").join(one.select("raw", "sketch"), "raw"), parts, share), "crossing")
+        more = stored(once(out.where("a is not null").select("a", "b", "home", "tile")), "candidates")
+        if more.isEmpty():
+            return root
+        new = stored(asked_of(more).join(sets.select("raw"), "raw", "left_anti"), "asked")
+        if not new.isEmpty():
+            sets = sets.unionByName(shingle_sets(docs, new, column))
+        links = stored(alike(more, sets), "alike")
+        if not links.isEmpty():
+            found = found.unionByName(links)
+            root = components(found)
+        left = out.where("gid is not null").select("gid", F.col("at").alias("to"))
+        blocks = stored(blocks.join(left, "gid").select("gid", "raw", F.col("to").alias("at")), "blocks")
+        share *= 4
 
 
 def keep_one(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -497,7 +645,7 @@ def keep_one(docs: DataFrame, column: str = "text") -> DataFrame:
     """
     prints = stored(sketches(docs, column), "sketches")
     pairs = stored(candidates(prints), "candidates")
-    root = components(alike(docs, pairs, column)).withColumnRenamed("node", "raw")
+    root = settled(docs, prints, pairs, column).withColumnRenamed("node", "raw")
     least = prints.groupBy("raw").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("s"))
     stay = least.join(root, "raw", "left").groupBy(F.coalesce("root", "raw").alias("root")).agg(F.min("s").alias("s"))
     return rows_of(docs, stay.select("s.doc_id", "s.raw"), column)

@@ -102,3 +102,43 @@ def test_large_groups_that_do_not_shrink_are_compared_whole(spark, monkeypatch):
     assert alike == {(90 + k, 6 * k) for k in range(15)}
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id bigint, text string").repartition(3)
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(range(90))
+
+
+def families(texts, words, changed, seed):
+    """Copies of one text, each with words of its own in some places."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in rng.integers(0, 3000, words)]
+    out = []
+    for k in range(texts):
+        own = list(base)
+        for at in rng.choice(words, rng.integers(*changed), replace=False):
+            own[at] = f"x{k}y{at}"
+        out.append(own)
+    return out
+
+
+def components_of(rows):
+    sets = [set(simhash.shingle_set(" ".join(x).encode()).tolist()) for x in rows]
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            met = len(a & sets[j])
+            if met >= simhash.SIMILAR * (len(a) + len(sets[j]) - met):
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    return {i for i in range(len(rows)) if top(i) == i}
+
+
+@pytest.mark.parametrize(("texts", "changed", "dense"), [(600, (3, 6), 2000), (500, (5, 7), 2000), (200, (3, 7), 40)])
+def test_families_near_the_threshold_lose_no_link(spark, monkeypatch, texts, changed, dense):
+    """Families in which estimates crowd out true links: as many stay as there are true components, also of groups in blocks."""
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "CROSSING", 2)  # so that several rounds are needed
+    rows = families(texts, 300, changed, 21)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id bigint, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == components_of(rows)
