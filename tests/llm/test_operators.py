@@ -8,6 +8,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparktn.llm import decontam, exact_dedup, langid, packing, pii, quality, simhash, token_output, toxicity, url_filter
 from sparktn.llm.queries import URL_RULES, tokenizer_path
@@ -377,6 +378,26 @@ def test_mining_matches_brute_force(spark):
     assert got == want
 
 
+def test_rules_have_true_confidences_beyond_the_basket(spark):
+    """A token that is telling in few of the URLs that hold it, and rows of 30 tokens, counted over whole sets."""
+    from itertools import combinations
+
+    rows = [(["z"], "block")] * 20 + [(["z", *(f"a{i}" for i in range(12))], "allow")] * 40 + [([f"a{i}" for i in range(12)], "allow")] * 40 + [(["q"], "block")] * 30
+    got = {tuple(r["tokens"]) for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, known string")).collect()}
+    assert ("z",) not in got and ("q",) in got
+    rng = np.random.default_rng(9)
+    rows = [(sorted({f"t{x:02}" for x in rng.integers(0, 45, 60)})[:30], "block" if rng.random() < 0.5 else "allow") for _ in range(80)]
+    rules = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, known string"), 0.1, 0.6).collect()
+    assert rules
+    for r in rules:
+        own = [v for t, v in rows if set(r["tokens"]) <= set(t)]
+        assert abs(r["confidence"] - own.count(r["verdict"]) / len(own)) < 1e-9 and abs(r["support"] - own.count(r["verdict"]) / 80) < 1e-9
+        for k in range(1, len(r["tokens"])):  # no part of it is a rule that is as sure
+            for c in combinations(r["tokens"], k):
+                part = [v for t, v in rows if set(c) <= set(t)]
+                assert not any(set(x["tokens"]) == set(c) and x["verdict"] == r["verdict"] for x in rules) or part.count(r["verdict"]) / len(part) < r["confidence"]
+
+
 def test_mined_rules_generalise(spark):
     pages = spark.createDataFrame([(i, f"http://h{i % 7}.{'com' if i % 2 else 'net'}/{'de' if i % 3 else 'en'}/spam{i % 2}") for i in range(200)], "page_id bigint, url string")
     got = {r["page_id"]: r for r in url_filter.url_verdicts(pages, [("block", "com", "/de/spam1"), ("allow", "com", "/en/")]).collect()}
@@ -384,6 +405,25 @@ def test_mined_rules_generalise(spark):
     assert {r["verdict"] for i, r in got.items() if not i % 2 and i % 3} == {"block"}
 
 
+def test_signs_and_numbers_are_no_letters(spark):
+    rows = [(k, t, "en") for k, t in enumerate(["\u00bd \u00b2 \u2460 \u2167 12 _ !", "\u00bd x", "word " * 40, "another text of words " * 10, None])]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert got[0] == "und" and got[1] != "und" and got[4] == "und"
+
+
+def test_words_of_a_span_are_not_near_it(spark):
+    texts = ["reach me: card@example.org", "example: card@words.org", "card@words.org is a placeholder", "x" * 60 + " a@b.cc"]
+    got = [r["scores"] for r in pii.pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    assert got == ["0.8", "0.5", "0.5", "0.8"]
+
+
+def test_shards_follow_rows_too(spark, monkeypatch):
+    monkeypatch.setattr(token_output, "SHARD_BYTES", 1 << 20)
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    shards = token_output.write_shards(docs, tokenizer_path(), token_output.shared_dir(spark, "shards")).collect()
+    assert len(shards) >= 15 and sum(r["docs"] for r in shards) == 20_000
+
+
 def test_token_output(docs, none):
     from tokenizers import Tokenizer
 
