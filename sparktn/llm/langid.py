@@ -138,7 +138,7 @@ def languages(docs: DataFrame, column: str = "text", n_folds: int = 5, held_out:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             pred, score = ["und"] * len(texts), [1.0] * len(texts)
-            lettered = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if m else []
+            lettered = [i for i, t in enumerate(texts) if t and any(x[0].isalpha() for x in LETTER.finditer(t))] if m else []
             for part in parts(lettered, texts):
                 x, counts = windows([texts[i].encode() for i in part])
                 lp = np.concatenate([m.log_probs(x[at : at + BATCH]) for at in range(0, len(x), BATCH)])
