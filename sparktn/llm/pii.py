@@ -135,7 +135,9 @@ def found(docs: DataFrame, column: str = "text", keep: tuple[str, ...] = ("doc_i
     def spans(k: str) -> Column:
         sure = F.col("__s_iban") if k == "iban" else F.filter(F.col(f"__s_{k}"), lambda s: valid(k, s["h"]))
         base, words, *against = BASE_SCORES[k] if k in BASE else EXTRA[k][1:]
-        near = lambda s: F.lower(F.substr(t, F.greatest(s["start"] + 1 - NEARBY, F.lit(1)).cast("int"), (s["stop"] - s["start"] + 2 * NEARBY).cast("int")))
+        before = lambda s: F.substr(t, F.greatest(s["start"] + 1 - NEARBY, F.lit(1)).cast("int"), F.least(s["start"], F.lit(NEARBY)).cast("int"))
+        after = lambda s: F.substr(t, (s["stop"] + 1).cast("int"), F.lit(NEARBY))
+        near = lambda s: F.lower(F.concat(before(s), F.lit("\n"), after(s)))  # noqa: E731  without the span itself
 
         def score(s: Column) -> Column:
             worth = F.when(F.rlike(s["h"], F.lit(f"^(?:{ISSUED})$")), 0.8).otherwise(base) if k == "secret" else F.lit(base)
