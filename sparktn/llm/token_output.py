@@ -30,6 +30,8 @@ SLOT = np.dtype([("print", "<u4"), ("start", "<u8"), ("n", "<u8")])
 ENTRY = struct.Struct("<IQQ")
 #: Bytes of text of a shard on average, if that makes no fewer shards than tasks and at most MOST_SHARDS.
 SHARD_BYTES, MOST_SHARDS = 256 << 20, 20_000
+#: What a row weighs beside its text, so that no shard has more keys than a task indexes in a minute (a quarter of a million).
+ROW_BYTES = 1024
 #: Bytes that a reader asks for at a time.
 BLOCK = 4 << 20
 KEYS_A_BUCKET = 4
@@ -164,7 +166,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     spark = docs.sparkSession
     if not shards:
-        size = docs.agg(F.sum(F.octet_length(column).cast("bigint"))).first()[0] or 0
+        size = docs.agg(F.sum(F.coalesce(F.octet_length(column), F.lit(0)).cast("bigint") + ROW_BYTES)).first()[0] or 0
         shards = max(n_partitions(spark), min(MOST_SHARDS, size // SHARD_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
