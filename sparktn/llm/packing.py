@@ -31,17 +31,20 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         from zlib import crc32
 
         import xxhash
+        from pyspark import TaskContext
 
         from .tokens import encoder
 
         own, end = encoder(tokenizer), end_id.to_bytes(4, "little")
+        task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1))):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(piece) // 4, crc32(piece), xxhash.xxh32_intdigest(f"{doc} {k}") >> 1))
+                    rows.append((doc, k, at // 4, len(piece) // 4, crc32(piece), xxhash.xxh32_intdigest(f"{task} {row}") >> 1))
+                    row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     return docs.select("doc_id", F.col(column).alias("text")).mapInArrow(run, PIECES)
