@@ -15,3 +15,7 @@ class BlockError(TensorError):
 
 class FactorizationError(TensorError):
     """A split, truncation or operand of a factorization isn't allowed."""
+
+
+class ContainerError(TensorError):
+    """A stored object's manifest, columns or elements aren't what they should be."""

@@ -24,6 +24,9 @@ OPERATORS: dict[str, dict[str, list[list[complex]]]] = {
         "z": [[1, 0], [0, -1]],
         "h": [[ROOT, ROOT], [ROOT, -ROOT]],
         "s": [[1, 0], [0, 1j]],
+        "t": [[1, 0], [0, ROOT + 1j * ROOT]],
+        "proj0": [[1, 0], [0, 0]],
+        "proj1": [[0, 0], [0, 1]],
     },
 }
 

@@ -51,12 +51,16 @@ def diagonal_scale(t: Tensor, axis: int, weights: Tensor) -> Tensor:
     return Tensor(t.df.join(w, f"i{axis}").select(*t.axes, (F.col("v") * F.col("w")).alias("v")), t.shape)
 
 
-def normalize(t: Tensor) -> Tensor:
-    """Divided by the norm, element by element; a zero tensor is an error."""
+def normalized(t: Tensor) -> tuple[Tensor, float]:
+    """Divided by the norm, element by element, and the norm it had; a zero tensor is an error."""
     n = norm(t)
     if n == 0:
         raise TensorError("a zero tensor has no direction")
-    return t.with_values(F.col("v") / F.lit(n))
+    return t.with_values(F.col("v") / F.lit(n)), n
+
+
+def normalize(t: Tensor) -> Tensor:
+    return normalized(t)[0]
 
 
 def flat_order(t: Tensor, order: str = "C") -> Tensor:
