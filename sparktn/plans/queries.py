@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.site_ops import applied, site_operator
 from ..operators import blocks, chains, complexes, contract, elementwise, factorize, krylov, sketch, structural, tall, tiles
+from ..sources import container
 from ..sources.storage import stored
 from ..sources.tables import load, load_blocks, quantities, read, save, save_blocks, shared_path
 from ..streaming.running import windowed_sums
@@ -189,17 +190,84 @@ def bsp_trace(spark: SparkSession, d: str) -> DataFrame:
     return blocks.trace(square_, 0, 1).df.select("v")
 
 
-def flux_blocks(spark: SparkSession, kind: str) -> DataFrame:
-    legs = tuple(blocks.Leg(s, Q[kind], tuple(range(1, len(Q[kind]) + 1))) for s in (1, 1, -1))
-    df = blocks.allowed_blocks(spark, legs, 0, kind)
-    return df.select(*(F.col(c).cast("bigint").alias(c) for c in ("b0", "b1", "b2", "size", "offset")))
+def flux_blocks(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """The blocks of three legs whose sizes are numbers of nations by region, and the quantities of lines in those whose numbers they share."""
+    sizes = read(spark, d, "nation").groupBy("n_regionkey").count().orderBy("n_regionkey").limit(len(Q[kind])).collect()  # a row for each sector
+    dims = tuple(r["count"] for r in sizes)
+    df = blocks.allowed_blocks(spark, tuple(blocks.Leg(s, Q[kind], dims) for s in (1, 1, -1)), 0, kind)
+    own = read(spark, d, "lineitem").select(*(((F.col(c) % len(dims)).cast("int")).alias(f"b{k}") for k, c in enumerate(("l_suppkey", "l_partkey", "l_orderkey"))), F.col("l_quantity").cast("bigint").alias("q")).groupBy("b0", "b1", "b2").agg(F.sum("q").alias("v"))
+    return df.join(own, ["b0", "b1", "b2"], "left").select(*(F.col(c).cast("bigint").alias(c) for c in ("b0", "b1", "b2", "size", "offset")), F.coalesce("v", F.lit(0)).alias("v"))
 
 
 def flux_sql(kind: str) -> str:
-    n, q = len(Q[kind]), (lambda c: f"({c}.range - 1)") if kind == "u1" else (lambda c: f"{c}.range")
+    n, q = len(Q[kind]), (lambda c: f"({c}.k - 1)") if kind == "u1" else (lambda c: f"{c}.k")
     rule = f"{q('a')} + {q('b')} - {q('c')} = 0" if kind == "u1" else f"xor(xor({q('a')}, {q('b')}), {q('c')}) = 0"
-    return f"""with b as (select a.range as b0, b.range as b1, c.range as b2, (a.range + 1) * (b.range + 1) * (c.range + 1) as size from range({n}) a, range({n}) b, range({n}) c where {rule})
-        select b0, b1, b2, size::bigint as size, (sum(size) over (order by b0, b1, b2) - size)::bigint as "offset" from b"""
+    return f"""with r as (select row_number() over (order by n_regionkey) - 1 as k, count(*) as n from nation group by n_regionkey qualify k < {n}),
+        b as (select a.k as b0, b.k as b1, c.k as b2, a.n * b.n * c.n as size from r a, r b, r c where {rule}),
+        l as (select l_suppkey % {n} as b0, l_partkey % {n} as b1, l_orderkey % {n} as b2, sum(l_quantity)::bigint as v from lineitem group by all),
+        o as (select *, (sum(size) over (order by b0, b1, b2) - size)::bigint as "offset" from b)
+        select b0::bigint as b0, b1::bigint as b1, b2::bigint as b2, size::bigint as size, "offset", coalesce(v, 0)::bigint as v from o left join l using (b0, b1, b2)"""
+
+
+def bsp_zeros(spark: SparkSession, d: str) -> DataFrame:
+    """Zeros on the legs of `charged` with its elements added, block by block: how many elements, how many that aren't zero, and their sum."""
+    t = charged(spark, d)
+    both = blocks.zeros(spark, t.legs).df.select(*t.coords, F.col("v").cast("bigint").alias("v")).unionByName(t.df.select(*t.coords, F.col("v").cast("bigint").alias("v")))
+    summed = both.groupBy(*t.coords).agg(F.sum("v").alias("v"))
+    return summed.groupBy(*(F.col(f"b{k}").cast("bigint").alias(f"b{k}") for k in range(3))).agg(F.count("*").alias("n"), F.sum((F.col("v") != 0).cast("bigint")).alias("full"), F.sum("v").alias("v"))
+
+
+def filled_sum(spark: SparkSession, d: str) -> DataFrame:
+    """The tensor of `t3` plus one of fours of its shape."""
+    t = t3(spark, d)
+    return out(elementwise.linear_combine([t, elementwise.fill(t, 4)], [1, 1]))
+
+
+PAIR = ("u1", "z2")
+
+
+def paired(spark: SparkSession, d: str) -> blocks.BlockTensor:
+    """Quantities by flag and status together, a pair of charges on both legs, line and supplier."""
+    pair = ((F.expr(FLAG)) * 2 + F.expr(STATUS)).cast("int")
+    df = read(spark, d, "lineitem").select(pair.alias("b0"), pair.alias("b1"), (F.col("l_linenumber") - 1).cast("bigint").alias("i0"), (F.col("l_suppkey") % 4).alias("i1"), F.col("l_quantity").cast("bigint").alias("v"))
+    both = tuple((q, z) for q in Q["u1"] for z in Q["z2"])
+    summed = df.groupBy("b0", "b1", "i0", "i1").agg(F.sum("v").alias("v"))
+    return blocks.from_elements(summed, (blocks.Leg(1, both, (7,) * 6), blocks.Leg(-1, both, (4,) * 6)), 0, PAIR)
+
+
+def bsp_pair_contract(spark: SparkSession, d: str) -> DataFrame:
+    """The tensor of pairs, saved and loaded, with its adjoint."""
+    path = shared_path(spark, "pairs")
+    container.save(paired(spark, d), path)
+    a = container.load(spark, path)
+    t = blocks.contract(a, blocks.dagger(blocks.permute(a, [1, 0])), [1], [0])
+    return t.df.select(*(F.col(c).cast("bigint").alias(c) for c in t.coords), "v")
+
+
+PAIRED = f"f as (select {FLAG} * 2 + {STATUS} as b, l_linenumber - 1 as i0, l_suppkey % 4 as i1, sum(cast(l_quantity as bigint))::bigint as v from lineitem group by all)"
+
+
+def complex_adjoint(spark: SparkSession, d: str) -> DataFrame:
+    """A block tensor times 2 + 3i with its adjoint, over both legs: one number, 13 times the sum of squares."""
+    a = blocks.scale(flagged(spark, d), 2, 3)
+    return blocks.contract(a, blocks.dagger(a), [0, 1], [0, 1]).df.select(F.col("re").cast("bigint").alias("re"), F.col("im").cast("bigint").alias("im"))
+
+
+def container_chains(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "chains")
+    container.save(container.Chains(states(spark, d), SITES, bonds=(1, *[2] * (SITES - 1), 1)), path)
+    return container.load(spark, path).df
+
+
+def container_complex(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "complex")
+    container.save(complex_square(spark, d), path)
+    return container.load(spark, path).df
+
+
+def mps_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Norms of the suppliers' chains, estimated by 64 random columns."""
+    return chains.estimated_norms(states(spark, d), SITES, 64)
 
 
 SITES = 7
@@ -405,22 +473,29 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "expm_nilpotent": (expm_nilpotent, f"with {NILPOTENT} select id::bigint as id, i::bigint as i, j::bigint as j, sum(v)::bigint as v from (select distinct id, range as i, range as j, 2 as v from n, range(7) union all select id, i, j, 2 * v from n union all select a.id, a.i, b.j, a.v * b.v from n a join n b on a.id = b.id and a.j = b.i) group by all"),
     "truncated_spectrum": (lambda s, d: factorize.truncated(spectrum(s, d), chi_max=50, kept_only=True).select("sector", "k", "s", F.col("rank").cast("bigint").alias("rank")), "select (p_size % 5)::int as sector, p_partkey as k, p_size::bigint as s, row_number() over (order by p_size desc, p_size % 5, p_partkey) as rank from part qualify rank <= 50"),
     "spectrum_map": (lambda s, d: factorize.map_values(spectrum(s, d), lambda v: v * v + 1).select("sector", "k", "s"), "select (p_size % 5)::int as sector, p_partkey as k, (p_size * p_size + 1)::bigint as s from part"),
-    "flux_blocks_u1": (lambda s, d: flux_blocks(s, "u1"), flux_sql("u1")),
-    "flux_blocks_z2": (lambda s, d: flux_blocks(s, "z2"), flux_sql("z2")),
+    "flux_blocks_u1": (lambda s, d: flux_blocks(s, d, "u1"), flux_sql("u1")),
+    "flux_blocks_z2": (lambda s, d: flux_blocks(s, d, "z2"), flux_sql("z2")),
     "bsp_contract": (lambda s, d: bsp_contract(s, d).select(*(F.col(c).cast("bigint").alias(c) for c in ("b0", "b1", "i0", "i1", "v"))), f"with {FLAGGED} select a.b0::bigint as b0, b.b0::bigint as b1, a.i0::bigint as i0, b.i0::bigint as i1, sum(a.v * b.v)::bigint as v from f a join f b on a.b1 = b.b1 and a.i1 = b.i1 group by all"),
     "bsp_trace": (bsp_trace, f"with {FLAGGED} select sum(v * v)::bigint as v from f"),
     "bsp_scale": (lambda s, d: blocks.scale(flagged(s, d), 2).df.select(*(F.col(c).cast("bigint").alias(c) for c in ("b0", "b1", "i0", "i1", "v"))), f"with {FLAGGED} select b0::bigint as b0, b1::bigint as b1, i0::bigint as i0, i1::bigint as i1, 2 * v as v from f"),
     "bsp_fuse": (lambda s, d: blocks.fuse_legs(charged(s, d), 0, 2).df.select(*(F.col(c).cast("bigint").alias(c) for c in ("b0", "b1", "i0", "i1", "v"))), f"with {CHARGED} select b2::bigint as b0, b2::bigint as b1, (case b2 when 1 then case b0 when 0 then 0 else 21 end when 2 then case b0 when 1 then 0 else 21 end else 0 end + i0 * 3 + i1)::bigint as i0, i2::bigint as i1, v from c"),
     "bsp_svd_reconstruct": (bsp_svd, f"with {CHARGED} select b0::bigint as b0, b1::bigint as b1, b2::bigint as b2, i0::bigint as i0, i1::bigint as i1, i2::bigint as i2, v from c"),
     "bsp_roundtrip": (bsp_roundtrip, f"with {CHARGED} select b0::bigint as b0, b1::bigint as b1, b2::bigint as b2, i0::bigint as i0, i1::bigint as i1, i2::bigint as i2, v from c"),
-    "bsp_zeros": (lambda s, d: blocks.zeros(s, charged(s, d).legs).df.groupBy(*(F.col(f"b{k}").cast("bigint").alias(f"b{k}") for k in range(3))).agg(F.count("*").alias("n"), F.sum("v").cast("bigint").alias("v")), "select a.range as b0, b.range as b1, a.range + b.range as b2, (21 * (a.range + b.range + 2))::bigint as n, 0::bigint as v from range(3) a, range(2) b"),
+    "bsp_zeros": (bsp_zeros, f"""with {CHARGED}, x as (select b0, b1, b2, count(*) filter (v <> 0) as n_full, sum(v)::bigint as v from c group by all)
+        select a.range as b0, b.range as b1, a.range + b.range as b2, (21 * (a.range + b.range + 2))::bigint as n, coalesce(n_full, 0)::bigint as full, coalesce(v, 0)::bigint as v
+        from range(3) a, range(2) b left join x on x.b0 = a.range and x.b1 = b.range"""),
+    "bsp_pair_contract": (bsp_pair_contract, f"with {PAIRED} select a.b::bigint as b0, b.b::bigint as b1, a.i0::bigint as i0, b.i0::bigint as i1, sum(a.v * b.v)::bigint as v from f a join f b using (b, i1) group by all"),
+    "bsp_complex_adjoint": (complex_adjoint, f"with {FLAGGED} select (13 * sum(v * v))::bigint as re, 0::bigint as im from f"),
+    "container_chains": (container_chains, f"with {STATES} select chain, site::bigint as site, l::bigint as l, p::bigint as p, r::bigint as r, v from m"),
+    "container_complex": (container_complex, f"with {CSQ} select i0::bigint as i0, i1::bigint as i1, re, im from q"),
+    "mps_sketch": (mps_sketch, None),
     "bsp_diagonal_scale": (lambda s, d: blocks.diagonal_scale(charged(s, d), 1, s.range(6).select(F.floor(F.col("id") / 3).cast("int").alias("sector"), (F.col("id") % 3).alias("i"), (F.col("id") + 1).alias("w"))).df.groupBy(F.col("b1").cast("bigint").alias("b1"), "i1").agg(F.sum("v").cast("bigint").alias("v")), f"with {CHARGED} select b1::bigint as b1, i1, sum(v * (3 * b1 + i1 + 1))::bigint as v from c group by all"),
     "complex_contract": (lambda s, d: complexes.contract(complex_square(s, d), complexes.conj(complex_square(s, d)), "ij,kj->ik").df, f"with {CSQ} select a.i0::bigint as i0, b.i0::bigint as i1, sum(a.re * b.re + a.im * b.im)::bigint as re, sum(a.im * b.re - a.re * b.im)::bigint as im from q a join q b using (i1) group by all"),
     "conjugate_transpose": (lambda s, d: complexes.conjugate_transpose(complex_square(s, d)).df, f"with {CSQ} select i1::bigint as i0, i0::bigint as i1, re, -im as im from q"),
     "complex_inner": (lambda s, d: complexes.inner(complex_square(s, d), complexes.conjugate_transpose(complex_square(s, d))), f"with {CSQ} select sum(a.re * b.re - a.im * b.im)::bigint as re, sum(-a.re * b.im - a.im * b.re)::bigint as im from q a join q b on a.i0 = b.i1 and a.i1 = b.i0"),
     "complex_parts": (lambda s, d: complexes.real(complexes.scale(complex_square(s, d), 2, 3)).df.join(complexes.imag(complexes.scale(complex_square(s, d), 2, 3)).df.withColumnRenamed("v", "w"), ["i0", "i1"]), f"with {CSQ} select i0::bigint as i0, i1::bigint as i1, 2 * re - 3 * im as v, 3 * re + 2 * im as w from q"),
     "map_values": (lambda s, d: out(E.map_values(square(s, d), lambda v: v * v)), f"with {SQ} select i0::bigint as i0, i1::bigint as i1, v * v as v from s"),
-    "fill": (lambda s, d: out(E.fill(t3(s, d), 4)), "select a.range as i0, b.range as i1, c.range as i2, 4::bigint as v from range(7) a, range(3) b, range(2) c"),
+    "fill": (filled_sum, f"with {T3}, g as (select a.range as i0, b.range as i1, c.range as i2 from range(7) a, range(3) b, range(2) c) select g.i0, g.i1, g.i2, (coalesce(t.v, 0) + 4)::bigint as v from g left join t using (i0, i1, i2)"),
     "flat_order": (lambda s, d: out(E.flat_order(t3(s, d), "F")), f"with {T3} select (i0 + 7 * (i1 + 3 * i2))::bigint as i0, v from t"),
     "mps_inner": (lambda s, d: chains.inner(states(s, d), states(s, d), SITES).select("chain", F.col("overlap").cast("bigint").alias("v")), f"with {AMPLITUDES} select chain, coalesce(sum(v * v), 0)::bigint as v from (select distinct chain from m) left join z using (chain) group by all"),
     "mps_norm": (lambda s, d: chains.norm(states(s, d), SITES).select("chain", F.round("norm", 6).alias("v")), f"with {AMPLITUDES} select chain, round(sqrt(coalesce(sum(v * v), 0)::double), 6) as v from (select distinct chain from m) left join z using (chain) group by all"),
