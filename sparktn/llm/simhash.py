@@ -303,9 +303,9 @@ LIKELY, PARTNERS = 0.69, 3
 #: Members of a band's group that one task compares. Of a larger group, members with TIGHT equal minima are searched through
 #: one of them, in parts of this size, for as long as it shrinks; then any two of its members meet in a block of this size.
 DENSE, TIGHT = 2_000, 0.9
-#: Members of a group whose shingles a task holds at once on either side, and pairs for each member that the first round of
-#: `settled` checks (each later round checks four times as many).
-TILE, CROSSING = 64, 16
+#: Members of a group whose shingles a task holds at once on either side, where pairs are checked; and shingles that a member
+#: has on average in the blocks of large groups or long texts that are gone through whole.
+TILE, MEMBER = 64, 2_000
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + U1
 
 
@@ -541,99 +541,98 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition(parts, "home", "tile").sortWithinPartitions("home", "tile", F.col("shingles").isNull()).mapInArrow(run, "a bigint, b bigint")
 
 
-def crossing(members: DataFrame, partitions: int, share: int) -> DataFrame:
-    """a, b, home, tile: in each group, pairs of likely members of different components; and the groups (gid) that aren't through, with how far they are (at).
+def apart(sets: list[np.ndarray], root: np.ndarray) -> list[tuple[int, int]]:
+    """Of a group, links that join all components that any link between two of them joins.
 
-    A group's likely pairs come in one order, most equal minima first, which no round changes, and `at` says how many
-    of them are settled. From gid (of DENSE members or so), raw, root, at and sketch; at most `share` pairs a member.
+    Every member outside the largest component meets all members of other components, exactly: of each of its shingles the
+    members that have it are counted, which takes time by the shingles that are shared and memory by the group's own.
     """
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    members, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(shingle))])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    label = np.unique(root, return_inverse=True)[1]
+    links = []
+    largest = np.bincount(label).argmax()
+    for i in np.flatnonzero(label != largest):
+        if (label == label[i]).all():
+            break
+        own = shingle[ends[i] : ends[i + 1]]
+        met = np.zeros(n, np.int64)
+        for part in np.split(own, range(512, len(own), 512)):  # what a part is met by is held at once
+            at, counts = first[part], first[part + 1] - first[part]
+            places = np.repeat(at - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+            met += np.bincount(members[places], minlength=n)
+        for j in np.flatnonzero((met >= SIMILAR * (sizes + sizes[i] - met)) & (label != label[i])):
+            if label[j] != label[i]:
+                links.append((int(i), int(j)))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def joined_groups(members: DataFrame, partitions: int) -> DataFrame:
+    """a, b: links between members of different components, group by group; from gid, raw, root and shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * 4 + [np.empty((0, BANDS * ROWS), np.uint8)]
-
-        def of_group(gid, raw, root, settled_, sketch) -> Iterator[pa.RecordBatch]:
-            n, floor, i, j, equal = len(raw), LIKELY * sketch.shape[1], [], [], []
-            for k in range(n - 1):
-                same = (sketch[k + 1 :] == sketch[k]).sum(axis=1)
-                hit = np.flatnonzero(same >= floor)
-                i.append(np.full(len(hit), k, np.int32))
-                j.append((hit + k + 1).astype(np.int32))
-                equal.append(same[hit].astype(np.int16))
-            i, j, equal = (np.concatenate(x) if x else np.empty(0, int) for x in (i, j, equal))
-            order = np.argsort(-equal, kind="stable")[settled_[0] :]
-            i, j = i[order], j[order]
-            apart = np.flatnonzero(root[i] != root[j])
-            now, later = apart[: share * n], apart[share * n :]
-            if len(now):
-                edges = pair_columns(i[now].astype(int), j[now].astype(int), raw, gid, np.zeros(n, int))
-                none = pa.nulls(len(edges[0]), pa.int64())
-                yield pa.RecordBatch.from_arrays([*edges, none, none], ["a", "b", "home", "tile", "gid", "at"])
-            if len(later):
-                none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(gid[:1]), pa.array([int(settled_[0] + later[0])])], ["a", "b", "home", "tile", "gid", "at"])
+        now, raw, root, sets = None, [], [], []
 
-        def groups(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            gid = columns[0]
-            starts = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]])) if len(gid) else []
-            for start, end in zip(starts, [*starts[1:], len(gid)]):
-                yield from of_group(*(x[start:end] for x in columns))
+        def links() -> Iterator[pa.RecordBatch]:
+            if len(raw) > 1:
+                found = [(raw[i], raw[j]) for i, j in apart(sets, np.array(root, np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-            now = [np.concatenate([r, x]) for r, x in zip(rest, (*(batch.column(k).to_numpy() for k in range(4)), sketch))]
-            gid = now[0]
-            whole = int(np.flatnonzero(gid != gid[-1])[-1]) + 1 if len(gid) and gid[0] != gid[-1] else 0
-            yield from groups([x[:whole] for x in now])
-            rest = [x[whole:] for x in now]
-        yield from groups(rest)
+            for gid, own, top, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), range(batch.num_rows)):
+                if gid != now:
+                    yield from links()
+                    now, raw, root, sets = gid, [], [], []
+                raw.append(own)
+                root.append(top)
+                sets.append(batch.column(3).slice(k, 1).flatten().to_numpy(zero_copy_only=False).copy())
+        yield from links()
 
-    rows = members.select("gid", "raw", "root", "at", "sketch").repartition(partitions, "gid").sortWithinPartitions("gid", "raw")
-    return rows.mapInArrow(run, "a bigint, b bigint, home bigint, tile bigint, gid bigint, at bigint")
+    rows = members.select("gid", "raw", "root", "shingles").repartition(partitions, "gid").sortWithinPartitions("gid")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def settled(docs: DataFrame, prints: DataFrame, pairs: DataFrame, column: str = "text") -> DataFrame:
-    """node, root: the components of all likely pairs that the exact check confirms.
+    """node, root: the components of all pairs that share a band and that the exact check confirms.
 
-    First the pairs given are checked. Then, while a band's group has likely members of different components, more of its
-    pairs that join two of them are checked, so that in the end every likely pair is confirmed, refuted, or within one
-    component. Groups of one component, and groups so small that all their pairs are among those given, are left out.
-    Large groups are gone through in blocks in which any two members meet.
+    First the pairs given are checked. Then every band's group that still has different components is gone through whole, with
+    all shingles of its members, and what links two components joins them. Groups of one component, and groups so small
+    that all their pairs are among those given, are left out. Large groups, and groups of long texts, are gone through in
+    blocks in which any two members meet. No pair that isn't a link leaves a task.
     """
     parts = n_partitions(prints.sparkSession)
     sets = shingle_sets(docs, asked_of(pairs), column)
     found = stored(alike(pairs, sets), "alike")
     root = components(found)
-    one = prints.select("raw", "keys", "sketch").dropDuplicates(["raw"])
+    one = prints.select("raw", "keys").dropDuplicates(["raw"])
     rows = one.select("raw", F.explode("keys").alias("gid"))
     counts = stored(rows.groupBy("gid").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS + 1), "groups")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    members = stored(joined_by_key(rows, counts, ["gid"], "n", total), "members")
+    members = joined_by_key(rows, counts, ["gid"], "n", total)
 
     def rooted(df: DataFrame) -> DataFrame:
         return df.join(root.withColumnRenamed("node", "raw"), "raw", "left").withColumn("root", F.coalesce("root", "raw"))
 
-    ends = rooted(members).groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("n"), F.bit_xor(F.xxhash64("raw")).alias("same"))
-    apart = ends.where("low <> high").groupBy("n", "low", "high", "same").agg(F.min("gid").alias("gid"))  # groups of the same members are one
-    again = joined_by_key(members.drop("n"), stored(apart.select("gid", "n"), "groups"), ["gid"], "n", total)
-    blocks = stored(dealt(again.withColumn("band", F.lit(0)).withColumn("final", F.lit(True)), 0).select("gid", "raw", F.lit(0).cast("bigint").alias("at")), "blocks")
-    share = CROSSING
-    while True:
-        own = stored(rooted(blocks), "rooted")
-        live = own.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gid")
-        out = stored(crossing(own.join(live, "gid", "left_semi").join(one.select("raw", "sketch"), "raw"), parts, share), "crossing")
-        more = stored(once(out.where("a is not null").select("a", "b", "home", "tile")), "candidates")
-        if more.isEmpty():
-            return root
-        new = stored(asked_of(more).join(sets.select("raw"), "raw", "left_anti"), "asked")
-        if not new.isEmpty():
-            sets = sets.unionByName(shingle_sets(docs, new, column))
-        links = stored(alike(more, sets), "alike")
-        if not links.isEmpty():
-            found = found.unionByName(links)
-            root = components(found)
-        left = out.where("gid is not null").select("gid", F.col("at").alias("to"))
-        blocks = stored(blocks.join(left, "gid").select("gid", "raw", F.col("to").alias("at")), "blocks")
-        share *= 4
+    known = stored(rooted(members).join(sets.select("raw", F.size("shingles").alias("size")), "raw", "left"), "members")
+    ends = known.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("n"), F.bit_xor(F.xxhash64("raw")).alias("same"), F.sum(F.coalesce("size", F.lit(MEMBER))).alias("size"))
+    live = ends.where("low <> high").groupBy("n", "low", "high", "same", "size").agg(F.min("gid").alias("gid"))  # groups of the same members are one
+    live = stored(live.select("gid", F.greatest(F.col("n"), F.ceil(F.col("size") / MEMBER)).alias("n"), F.col("n").alias("count")), "groups")
+    if live.isEmpty():
+        return root
+    again = joined_by_key(known.select("gid", "raw", "root"), live, ["gid"], "count", total)
+    blocks = dealt(again.withColumn("band", F.lit(0)).withColumn("final", F.lit(True)), 0).select("gid", "raw", "root")
+    blocks = stored(blocks, "blocks")
+    new = stored(blocks.select("raw").distinct().join(sets.select("raw"), "raw", "left_anti"), "asked")
+    if not new.isEmpty():
+        sets = sets.unionByName(shingle_sets(docs, new, column))
+    links = stored(joined_groups(blocks.join(sets, "raw"), parts), "links")
+    return root if links.isEmpty() else components(found.unionByName(links))
 
 
 def keep_one(docs: DataFrame, column: str = "text") -> DataFrame:

@@ -138,7 +138,27 @@ def components_of(rows):
 def test_families_near_the_threshold_lose_no_link(spark, monkeypatch, texts, changed, dense):
     """Families in which estimates crowd out true links: as many stay as there are true components, also of groups in blocks."""
     monkeypatch.setattr(simhash, "DENSE", dense)
-    monkeypatch.setattr(simhash, "CROSSING", 2)  # so that several rounds are needed
     rows = families(texts, 300, changed, 21)
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id bigint, text string").repartition(3)
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == components_of(rows)
+
+
+def test_groups_are_gone_through_exactly():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 60, 900)
+    sets = [np.unique(np.concatenate([rng.choice(base[:300], 300 - k, replace=False), rng.integers(0, 1 << 60, k)])) for k in rng.integers(0, 60, 80)]
+    sets += [np.unique(x) for x in (base[300:900], base[300:880], base[:1], np.array([7]))]
+    root = np.arange(len(sets))
+    root[:20] = 0  # of one component already
+    links = simhash.apart(sets, root)
+    assert all(len(np.intersect1d(sets[i], sets[j])) >= simhash.SIMILAR * len(np.union1d(sets[i], sets[j])) for i, j in links)
+
+    def merged(pairs):
+        up = root.copy()
+        for i, j in pairs:
+            up[up == up[j]] = up[i]
+        return {tuple(np.flatnonzero(up == x)) for x in set(up.tolist())}
+
+    n = len(sets)
+    assert merged(links) == merged([(i, j) for i in range(n) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= simhash.SIMILAR * len(np.union1d(sets[i], sets[j]))])
+    assert len(links) < n
