@@ -52,12 +52,20 @@ def not_finite(chains: DataFrame) -> DataFrame:
     return chains.where(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).groupBy("chain", "site").agg(F.count("*").alias("n"))
 
 
+def by_site(*tables: DataFrame) -> list[DataFrame]:
+    """The tables, each written once by site, so that a fold computes them once and reads each site's rows alone."""
+    made = {id(t): t for t in tables}  # a state that is both bra and ket is written once
+    made = {k: stored(t, "sites", "site") for k, t in made.items()}
+    return [made[id(t)] for t in tables]
+
+
 def short(env: DataFrame, k: int) -> DataFrame:
     return stored(env, "environment") if k % STORED == STORED - 1 else env
 
 
 def inner(bra: DataFrame, ket: DataFrame, n: int) -> DataFrame:
     """chain and overlap of real states with n sites; chains whose overlap has no term are 0."""
+    bra, ket = by_site(bra, ket)
     env = bra.select("chain").distinct().select("chain", F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(1).alias("v"))
     for k in range(n):
         left = bra.where(F.col("site") == k).select("chain", F.col("l").alias("a"), "p", F.col("r").alias("c"), F.col("v").alias("x"))
@@ -94,6 +102,7 @@ def step(env: DataFrame, bra: DataFrame, op: DataFrame, ket: DataFrame, k: int,
 
 def braket(bra: DataFrame, op: DataFrame, ket: DataFrame, n: int) -> DataFrame:
     """chain and value of the operator between two states."""
+    bra, ket = by_site(bra, ket)
     env = edge(bra)
     for k in range(n):
         env = short(step(env, bra, op, ket, k), k)
@@ -107,6 +116,7 @@ def environments(bra: DataFrame, op: DataFrame, ket: DataFrame, n: int) -> DataF
     """
     if n < 1:
         raise TensorError("an empty chain has no environments")
+    bra, ket = by_site(bra, ket)
     out = None
     for side, sites, near, far in (("left", range(n), "l", "r"), ("right", range(n - 1, -1, -1), "r", "l")):
         env = edge(bra)
@@ -150,6 +160,7 @@ def total_number(spark, n: int, d: int) -> DataFrame:
 
 def amplitudes(state: DataFrame, n: int) -> DataFrame:
     """chain, p0, .., v: the state written out, for short chains."""
+    (state,) = by_site(state)
     env = state.where("site = 0").select("chain", F.col("p").alias("p0"), F.col("r").alias("b"), "v")
     for k in range(1, n):
         s = state.where(F.col("site") == k).select("chain", F.col("l").alias("b"), F.col("p").alias(f"p{k}"), "r", F.col("v").alias("w"))
@@ -194,7 +205,7 @@ def sketches(state: DataFrame, n: int, columns: int, seed: int = 0) -> DataFrame
     """
     if n < 1 or columns < 1:
         raise TensorError("a sketch takes sites and columns")
-    spark = state.sparkSession
+    (state,) = by_site(state)
     zero = F.lit(0).cast("bigint")
     each = F.explode(F.sequence(zero, F.lit(columns - 1).cast("bigint"))).alias("c")
     env = state.select("chain").distinct().select("chain", zero.alias("r"), each, F.lit(1.0).alias("x"))

@@ -15,7 +15,7 @@ from ..errors import ContractionError
 from ..tensor import Tensor, axes
 
 
-def labels_of(notation: str, tensors: list[Tensor]) -> tuple[list[str], str]:
+def labels_of(notation: str, tensors: list) -> tuple[list[str], str]:
     """The operands' labels and the output's; without an arrow, labels that occur once, sorted."""
     left, arrow, out = notation.replace(" ", "").partition("->")
     parts = left.split(",")

@@ -41,9 +41,13 @@ class TiledTensor:
         if self.df.columns != [*self.axes, "x"]:
             raise TensorError(f"columns {self.df.columns} aren't those of tiles of rank {len(self.shape)}")
 
+    @property
+    def rank(self) -> int:
+        return len(self.shape)
+
     @property
     def axes(self) -> list[str]:
-        return tile_axes(len(self.shape))
+        return tile_axes(self.rank)
 
 
 def schema_of(rank: int) -> str:
@@ -181,7 +185,7 @@ def einsum(notation: str, *tensors: TiledTensor) -> TiledTensor:
 
     An index has tiles of one size in all operands. Absent tiles are zero; tensors without tiles give none.
     """
-    parts, out = labels_of(notation, [Tensor(t.df, t.shape) for t in tensors])
+    parts, out = labels_of(notation, list(tensors))
     if len(parts) < 2 or any(len(set(p)) != len(p) for p in parts):
         raise ContractionError("two operands or more, none of which repeats an index")
     sizes = {c: n for p, t in zip(parts, tensors) for c, n in zip(p, t.shape)}

@@ -17,7 +17,7 @@ from ..sources import container
 from ..sources.storage import stored
 from ..sources.tables import load, load_blocks, quantities, read, save, save_blocks, shared_path
 from ..streaming.running import windowed_sums
-from ..tensor import Tensor, from_table, from_values
+from ..tensor import Tensor, eye, from_table, from_values, ones, zeros
 
 FLAG = "case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end"
 STATUS = "case l_linestatus when 'F' then 0 else 1 end"
@@ -265,6 +265,79 @@ def container_complex(spark: SparkSession, d: str) -> DataFrame:
     return container.load(spark, path).df
 
 
+def value_at(spark: SparkSession, d: str) -> DataFrame:
+    """The element at (3, 5) of the square, by itself."""
+    return spark.createDataFrame([(int(structural.get(square(spark, d), (3, 5))),)], "v bigint")
+
+
+def plus(spark: SparkSession, d: str, other: Callable) -> DataFrame:
+    """The tensor of `t3` plus one made for its shape."""
+    return out(elementwise.add_all([t3(spark, d), other(spark, (7, 3, 2))]))
+
+
+def block_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Every element of every allowed block as its coordinates' number, plus the quantities of `flagged` there."""
+    t = flagged(spark, d)
+    made = blocks.from_block_fn(spark, t.legs, lambda b0, b1, i0, i1: (b0 * 1000 + b1 * 100 + i0 * 10 + i1).cast("bigint"))
+    both = made.df.select(*t.coords, "v").unionByName(t.df.select(*t.coords, F.col("v").cast("bigint").alias("v")))
+    summed = both.groupBy(*t.coords).agg(F.sum("v").alias("v"))
+    return summed.select(*(F.col(c).cast("bigint").alias(c) for c in t.coords), "v")
+
+
+def block_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many elements of `charged` each of its blocks stores, and how many it has."""
+    t = charged(spark, d)
+    sizes = blocks.allowed_blocks(spark, t.legs, t.flux, t.kind)
+    stored_ = t.df.groupBy("b0", "b1", "b2").agg(F.count("*").alias("n"))
+    return sizes.join(stored_, ["b0", "b1", "b2"], "left").select(*(F.col(c).cast("bigint").alias(c) for c in ("b0", "b1", "b2", "size")), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def one_block(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.block(charged(spark, d), (1, 1, 2)).select(*(F.col(c).cast("bigint").alias(c) for c in ("i0", "i1", "i2", "v")))
+
+
+def chains_from_sites(spark: SparkSession, d: str) -> DataFrame:
+    """The suppliers' chains, made of a table for each site, with bonds that are checked."""
+    m = states(spark, d)
+    sites = [m.where(F.col("site") == k).select("chain", "l", "p", "r", "v") for k in range(SITES)]
+    return chains.from_sites(sites, [1, *[2] * (SITES - 1), 1])
+
+
+def operator_from_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Operators of suppliers, made site by site of their chains: diagonal, with the chains' elements."""
+    m = states(spark, d)
+    sites = [m.where(F.col("site") == k).select("chain", "l", F.col("p").alias("ket"), F.col("p").alias("bra"), "r", "v") for k in range(SITES)]
+    return chains.from_sites(sites, [1, *[2] * (SITES - 1), 1], "operator")
+
+
+def combined_norms(spark: SparkSession, d: str) -> DataFrame:
+    """The norm of the square and its transpose together, from their norms."""
+    s = square(spark, d)
+    return spark.createDataFrame([(round(C.combine_norms(C.norm(s), C.norm(structural.permute(s, [1, 0]))), 3),)], "v double")
+
+
+def spins(spark: SparkSession, d: str) -> DataFrame:
+    """Every site of every chain by the spin operator z, twice its values."""
+    m = states(spark, d).select("chain", "site", "l", "p", "r", F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    return applied(m, site_operator(spark, "spin_half", "sz")).select("chain", "site", "l", "p", "r", (F.col("re") * 2).cast("bigint").alias("v"))
+
+
+def square_matrices(spark: SparkSession, d: str) -> DataFrame:
+    """The trace of `flagged` times its adjoint, whose row and column sectors are checked to be alike first."""
+    a = flagged(spark, d)
+    t = blocks.contract(a, blocks.dagger(blocks.permute(a, [1, 0])), [1], [0])
+    blocks.square_sectors(t, 1)
+    return blocks.trace(t, 0, 1).df.select(F.col("v").cast("bigint").alias("v"))
+
+
+def finite_values(spark: SparkSession, d: str) -> DataFrame:
+    """Prices of events as text, of which every tenth is made no number: how many are left of each type, and their cents."""
+    text = F.when(F.col("event_id") % 10 == 0, F.when(F.col("event_id") % 20 == 0, "nan").otherwise("inf")).otherwise(F.col("value").cast("string"))
+    v = complexes.real_from(text)
+    cents = F.sum(F.round(v * 100).cast("bigint"))
+    return read(spark, d, "events").groupBy("event_type").agg(F.count(v).alias("n"), cents.alias("v"))
+
+
 def mps_sketch(spark: SparkSession, d: str) -> DataFrame:
     """Norms of the suppliers' chains, estimated by 64 random columns."""
     return chains.estimated_norms(states(spark, d), SITES, 64)
@@ -489,6 +562,19 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "container_chains": (container_chains, f"with {STATES} select chain, site::bigint as site, l::bigint as l, p::bigint as p, r::bigint as r, v from m"),
     "container_complex": (container_complex, f"with {CSQ} select i0::bigint as i0, i1::bigint as i1, re, im from q"),
     "mps_sketch": (mps_sketch, None),
+    "get_value": (value_at, f"with {SQ} select coalesce(sum(v), 0)::bigint as v from s where i0 = 3 and i1 = 5"),
+    "ones_sum": (lambda s, d: plus(s, d, ones), f"with {T3}, g as (select a.range as i0, b.range as i1, c.range as i2 from range(7) a, range(3) b, range(2) c) select g.i0, g.i1, g.i2, (coalesce(t.v, 0) + 1)::bigint as v from g left join t using (i0, i1, i2)"),
+    "zeros_sum": (lambda s, d: plus(s, d, zeros), f"with {T3}, g as (select a.range as i0, b.range as i1, c.range as i2 from range(7) a, range(3) b, range(2) c) select g.i0, g.i1, g.i2, coalesce(t.v, 0)::bigint as v from g left join t using (i0, i1, i2)"),
+    "eye_product": (lambda s, d: out(C.einsum("ij,jk->ik", square(s, d), eye(s, 8))), f"with {SQ} select i0::bigint as i0, i1::bigint as i1, v from s"),
+    "bsp_from_function": (block_numbers, f"with {FLAGGED} select a.range as b0, a.range as b1, b.range as i0, c.range as i1, (a.range * 1100 + b.range * 10 + c.range + coalesce(f.v, 0))::bigint as v from range(3) a cross join range(7) b cross join range(4) c left join f on f.b0 = a.range and f.i0 = b.range and f.i1 = c.range"),
+    "bsp_block_sizes": (block_sizes, f"with {CHARGED}, x as (select b0, b1, count(*) as n from c group by all) select a.range as b0, b.range as b1, a.range + b.range as b2, (21 * (a.range + b.range + 2))::bigint as size, coalesce(n, 0)::bigint as n from range(3) a cross join range(2) b left join x on b0 = a.range and b1 = b.range"),
+    "bsp_block": (one_block, f"with {CHARGED} select i0::bigint as i0, i1::bigint as i1, i2::bigint as i2, v from c where b0 = 1 and b1 = 1"),
+    "mps_from_sites": (chains_from_sites, f"with {STATES} select chain, site::bigint as site, l::bigint as l, p::bigint as p, r::bigint as r, v from m"),
+    "mpo_from_sites": (operator_from_sites, f"with {STATES} select chain, site::bigint as site, l::bigint as l, p::bigint as ket, p::bigint as bra, r::bigint as r, v from m"),
+    "combined_norms": (combined_norms, f"with {SQ} select round(sqrt(2 * sum(v * v)::double), 3) as v from s"),
+    "site_operator_sz": (spins, f"with {STATES} select chain, site::bigint as site, l::bigint as l, p::bigint as p, r::bigint as r, (case p when 0 then v else -v end)::bigint as v from m"),
+    "bsp_square_sectors": (square_matrices, f"with {FLAGGED} select sum(v * v)::bigint as v from f"),
+    "finite_values": (finite_values, "select event_type, count(*) filter (event_id % 10 <> 0) as n, sum(round(value * 100)::bigint) filter (event_id % 10 <> 0)::bigint as v from events group by event_type"),
     "bsp_diagonal_scale": (lambda s, d: blocks.diagonal_scale(charged(s, d), 1, s.range(6).select(F.floor(F.col("id") / 3).cast("int").alias("sector"), (F.col("id") % 3).alias("i"), (F.col("id") + 1).alias("w"))).df.groupBy(F.col("b1").cast("bigint").alias("b1"), "i1").agg(F.sum("v").cast("bigint").alias("v")), f"with {CHARGED} select b1::bigint as b1, i1, sum(v * (3 * b1 + i1 + 1))::bigint as v from c group by all"),
     "complex_contract": (lambda s, d: complexes.contract(complex_square(s, d), complexes.conj(complex_square(s, d)), "ij,kj->ik").df, f"with {CSQ} select a.i0::bigint as i0, b.i0::bigint as i1, sum(a.re * b.re + a.im * b.im)::bigint as re, sum(a.im * b.re - a.re * b.im)::bigint as im from q a join q b using (i1) group by all"),
     "conjugate_transpose": (lambda s, d: complexes.conjugate_transpose(complex_square(s, d)).df, f"with {CSQ} select i1::bigint as i0, i0::bigint as i1, re, -im as im from q"),

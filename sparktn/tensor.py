@@ -40,6 +40,12 @@ class Tensor:
     df: DataFrame
     shape: tuple[int, ...]
 
+    def __post_init__(self) -> None:
+        if any(isinstance(n, bool) or n < 0 for n in self.shape):
+            raise TensorError(f"no shape {self.shape}")
+        if set(self.df.columns) != {*self.axes, "v"} or len(self.df.columns) != self.rank + 1:
+            raise TensorError(f"columns {self.df.columns} don't fit the shape {self.shape}")
+
     @property
     def rank(self) -> int:
         return len(self.shape)
