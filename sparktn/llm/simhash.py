@@ -240,18 +240,17 @@ def group_edges(rows: DataFrame, partitions: int, limit: int = LIMIT, apart: int
 
 def edges(nodes: DataFrame, limit: int = LIMIT, group_rows: int = GROUP_ROWS, apart: int = 64) -> DataFrame:
     """a, b: edges, by node number, that connect all nodes at most `limit` bits apart, and `apart` in the other fingerprint."""
-    spark, parts = nodes.sparkSession, n_partitions(nodes.sparkSession)
+    parts = n_partitions(nodes.sparkSession)
     rows, found = grouped(nodes, limit), None
     for level in range(SPLITS + 1):
-        over = rows.groupBy("gid").agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("gid")
-        hot = spark.createDataFrame(over.limit(100_000).collect(), "gid bigint")  # groups over the cap, a tenth of a million at a time
+        hot = small(stored(rows.groupBy("gid").agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("gid"), "hot"), 200_000)
         some = level < SPLITS and not hot.isEmpty()
-        calm = rows.join(F.broadcast(hot), "gid", "left_anti") if some else rows
+        calm = rows.join(hot, "gid", "left_anti") if some else rows
         new = group_edges(calm, parts, limit, apart)
         found = new if found is None else found.unionByName(new)
         if not some:
             return found.select(node_of("a", "a2").alias("a"), node_of("b", "b2").alias("b")).distinct()
-        rows = stored(split(rows.join(F.broadcast(hot), "gid", "left_semi").select("gid", "fixed", "fp", "other"), limit), "groups")
+        rows = stored(split(rows.join(hot, "gid", "left_semi").select("gid", "fixed", "fp", "other"), limit), "groups")
 
 
 def components(pairs: DataFrame) -> DataFrame:
