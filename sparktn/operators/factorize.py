@@ -43,20 +43,75 @@ def dense(pdf: pd.DataFrame, m: int, n: int) -> np.ndarray:
     return a
 
 
-def rows(number: int, **parts: np.ndarray) -> pd.DataFrame:
+#: Elements of the matrices that a task factors at once.
+STACK = 1 << 20
+
+
+def entries(ids: np.ndarray, **parts: np.ndarray):
+    """A batch of ENTRY from stacks of matrices (or vectors, which are columns), one for each id."""
+    import pyarrow as pa
+
     out = []
     for name, x in parts.items():
-        x = x if x.ndim == 2 else x[:, None]
-        i, j = np.indices(x.shape).reshape(2, -1)
-        out.append(pd.DataFrame({"id": number, "part": name, "i": i, "j": j, "v": x.ravel().astype(float)}))
-    return pd.concat(out)
+        x = x if x.ndim == 3 else x[:, :, None]
+        k, i, j = np.indices(x.shape).reshape(3, -1)
+        out.append((ids[k], np.full(len(k), name, object), i, j, x.ravel().astype(float)))
+    columns = [np.concatenate(c) for c in zip(*out)]
+    kinds = pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["id", "part", "i", "j", "v"])
+
+
+def stacks(batches, m: int, n: int):
+    """ids and stacks of whole matrices from batches of (id, i, j, v) in the order of ids; no more than STACK elements, or a matrix, at once."""
+    most = max(1, STACK // max(1, m * n))
+    rest = [np.empty(0, np.int64)] * 3 + [np.empty(0)]
+
+    def filled(columns):
+        ids, at = np.unique(columns[0], return_inverse=True)
+        for start in range(0, len(ids), most):
+            own = (at >= start) & (at < start + most)
+            x = np.zeros((min(most, len(ids) - start), m, n))
+            np.add.at(x, (at[own] - start, columns[1][own], columns[2][own]), columns[3][own])
+            yield ids[start : start + most], x
+
+    for batch in batches:
+        now = [np.concatenate([r, batch.column(k).to_numpy(zero_copy_only=False)]) for k, r in enumerate(rest)]
+        whole = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+        if whole >= STACK or whole and len(now[0]) >= most * 4:
+            yield from filled([x[:whole] for x in now])
+            now = [x[whole:] for x in now]
+        rest = now
+    if len(rest[0]):
+        yield from filled(rest)
+
+
+def by_id(df: DataFrame) -> DataFrame:
+    own = df.select(F.col("id").cast("bigint").alias("id"), F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v"))
+    return own.repartition("id").sortWithinPartitions("id")
 
 
 def per_matrix(df: DataFrame, m: int | DataFrame, n: int | None, f: Callable[[np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
-    """f's parts for each matrix, as ENTRY, of m rows and n columns; matrices of different sizes come with a table (id, m, n)."""
+    """f's parts for each matrix, as ENTRY, of m rows and n columns; matrices of different sizes come with a table (id, m, n).
+
+    f takes stacks of matrices. Matrices of one size are dealt by id and factored many at once; of different sizes, one by one.
+    """
     if isinstance(m, DataFrame):
-        return df.join(m, "id").groupBy("id").applyInPandas(lambda key, pdf: rows(key[0], **f(dense(pdf, int(pdf["m"].iloc[0]), int(pdf["n"].iloc[0])))), ENTRY)
-    return df.groupBy("id").applyInPandas(lambda key, pdf: rows(key[0], **f(dense(pdf, m, n))), ENTRY)
+
+        def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            own = f(dense(pdf, int(pdf["m"].iloc[0]), int(pdf["n"].iloc[0]))[None])
+            return entries(np.array([key[0]], np.int64), **own).to_pandas()
+
+        return df.join(m, "id").groupBy("id").applyInPandas(each, ENTRY)
+
+    def run(batches):
+        for ids, x in stacks(batches, m, n):
+            yield entries(ids, **f(x))
+
+    return by_id(df).mapInArrow(run, ENTRY)
+
+
+def turned(x: np.ndarray) -> np.ndarray:
+    return np.swapaxes(x, -1, -2)
 
 
 def square(m: int | DataFrame, n: int | None) -> None:
@@ -76,8 +131,8 @@ def qr(df: DataFrame, m: int, n: int) -> DataFrame:
 
 def lq(df: DataFrame, m: int, n: int) -> DataFrame:
     def f(a: np.ndarray) -> dict[str, np.ndarray]:
-        q, r = np.linalg.qr(a.T)
-        return {"l": r.T, "q": q.T}
+        q, r = np.linalg.qr(turned(a))
+        return {"l": turned(r), "q": turned(q)}
 
     return per_matrix(df, m, n, f)
 
@@ -101,24 +156,26 @@ def eigvals(df: DataFrame, m: int, n: int) -> DataFrame:
 
 def tridiagonal_eigh(df: DataFrame, n: int) -> DataFrame:
     """Of the symmetric tridiagonal matrices whose diagonal is in column 0 of the rows and whose subdiagonal is in column 1."""
-    return per_matrix(df, n, 2, lambda a: dict(zip("wv", np.linalg.eigh(np.diag(a[:, 0]) + np.diag(a[1:, 1], -1) + np.diag(a[1:, 1], 1)))))
 
+    def f(a: np.ndarray) -> dict[str, np.ndarray]:
+        x, k = np.zeros((len(a), n, n)), np.arange(n)
+        x[:, k, k] = a[:, :, 0]
+        x[:, k[1:], k[:-1]] = x[:, k[:-1], k[1:]] = a[:, 1:, 1]
+        return dict(zip("wv", np.linalg.eigh(x)))
 
-def solve(a: DataFrame, b: DataFrame, n: int, k: int) -> DataFrame:
-    """Part x of a x = b for matrices with equal ids; b has k columns."""
+    return per_matrix(df, n, 2, f)
 
-    def f(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        return rows(key[0], x=np.linalg.solve(dense(left, n, n), dense(right, n, k)) if len(left) else np.zeros((0, k)))
 
-    # a union and not a cogroup, whose sides get mixed up where they share columns of one table
-    both = a.select("id", F.lit(0).alias("side"), "i", "j", "v").unionByName(b.select("id", F.lit(1).alias("side"), "i", "j", "v"))
-    return both.groupBy("id").applyInPandas(f, ENTRY)
+def solve(a: DataFrame, b: DataFrame, n: int, k: int) -> DataFrame:
+    """Part x of a x = b for matrices with equal ids; b has k columns, which stand beside those of a where they are solved."""
+    own = a.select("id", "i", "j", "v").unionByName(b.select("id", "i", (F.col("j") + n).alias("j"), "v"))
+    both = own.join(a.select("id").distinct(), "id", "left_semi")
+    return per_matrix(both, n, n + k, lambda x: {"x": np.linalg.solve(x[:, :, :n], x[:, :, n:])})
 
 
 def inverse(df: DataFrame, m: int, n: int) -> DataFrame:
     square(m, n)
-    return per_matrix(df, m, n, lambda a: {"x": np.linalg.solve(a, np.eye(m))})
+    return per_matrix(df, m, n, lambda a: {"x": np.linalg.inv(a)})
 
 
 def exponential(a: np.ndarray) -> np.ndarray:
@@ -140,15 +197,16 @@ def exponential(a: np.ndarray) -> np.ndarray:
 
 def expm(df: DataFrame, m: int, n: int) -> DataFrame:
     square(m, n)
-    return per_matrix(df, m, n, lambda a: {"x": exponential(a)})
+    return per_matrix(df, m, n, lambda a: {"x": np.stack([exponential(x) for x in a])})
 
 
 def expm_symmetric(df: DataFrame, m: int, n: int) -> DataFrame:
+    """Part x, the exponential of symmetric matrices by their eigenvalues."""
     square(m, n)
 
     def f(a: np.ndarray) -> dict[str, np.ndarray]:
         w, v = np.linalg.eigh(a)
-        return {"x": v * np.exp(w) @ v.T}
+        return {"x": v * np.exp(w)[:, None, :] @ turned(v)}
 
     return per_matrix(df, m, n, f)
 

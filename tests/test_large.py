@@ -177,6 +177,30 @@ def test_leading_values_of_a_table(spark):
     assert np.allclose(got, want, rtol=1e-3)
 
 
+def test_matrices_many_at_once(spark, monkeypatch):
+    """Stacks that end within a batch, matrices in several parts, and none."""
+    monkeypatch.setattr(factorize, "STACK", 50)
+    rng = np.random.default_rng(16)
+    a = rng.normal(size=(40, 4, 4))
+    rows = [(k, i, j, float(a[k, i, j])) for k in range(40) for i in range(4) for j in range(4)]
+    df = spark.createDataFrame(rows, "id bigint, i bigint, j bigint, v double").repartition(3)
+
+    def of(parts, name):
+        out = np.zeros((40, 4, 4))
+        for r in parts.where(F.col("part") == name).collect():
+            out[r["id"], r["i"], r["j"]] = r["v"]
+        return out
+
+    u, s, vt = (of(factorize.svd(df, 4, 4), p) for p in ("u", "s", "vt"))
+    assert np.allclose(u * s[:, :, 0][:, None, :] @ vt, a)
+    left, q = (of(factorize.lq(df, 4, 4), p) for p in "lq")
+    assert np.allclose(left @ q, a) and np.allclose(of(factorize.inverse(df, 4, 4), "x") @ a, np.eye(4))
+    assert np.allclose(a @ of(factorize.solve(df, df, 4, 4), "x"), a) and np.allclose(of(factorize.expm(df, 4, 4), "x")[3], factorize.exponential(a[3]))
+    both = df.unionByName(df.select("id", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    assert np.allclose(of(factorize.expm_symmetric(both, 4, 4), "x"), np.stack([factorize.exponential(x + x.T) for x in a]))
+    assert factorize.svd(df.where("id < 0"), 4, 4).count() == 0
+
+
 # Krylov methods
 
 
