@@ -263,9 +263,10 @@ def components(pairs: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = (got["n"], got["h"])
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = joined_by_key(both, least, ["a"], "n", 2 * got["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        # each step is written, as joined_by_key reads its tables several times and plans of plans would grow
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
+        large = stored(joined_by_key(both, least, ["a"], "n", 2 * got["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
         small = joined_by_key(large, low, ["a"], "n", got["n"])
         now = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
 
@@ -631,7 +632,14 @@ def settled(docs: DataFrame, prints: DataFrame, pairs: DataFrame, column: str =
     if not new.isEmpty():
         sets = sets.unionByName(shingle_sets(docs, new, column))
     links = stored(joined_groups(blocks.join(sets, "raw"), parts), "links")
-    return root if links.isEmpty() else components(found.unionByName(links))
+    if links.isEmpty():
+        return root
+    # few links join components that are known: only their roots meet anew
+    ends = links.select(F.posexplode(F.array("a", "b")).alias("side", "raw"), F.xxhash64("a", "b").alias("link"))
+    tops = rooted(ends).groupBy("link").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    top = components(tops).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = root.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(top.select(F.col("root").alias("node"), F.col("top").alias("root")))
 
 
 def keep_one(docs: DataFrame, column: str = "text") -> DataFrame:
