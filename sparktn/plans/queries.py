@@ -51,6 +51,24 @@ def out(t: Tensor) -> DataFrame:
     return whole(t.df)
 
 
+def exact(t: Tensor) -> Tensor:
+    """Whole numbers as decimals of 38 digits, so that products of several don't overflow."""
+    return t.with_values(F.col("v").cast("decimal(38,0)"))
+
+
+def narrowed(t: Tensor) -> DataFrame:
+    """Whole numbers as bigint where all of them fit, as they are (decimals of 38 digits) otherwise; for results of few rows."""
+    df = stored(t.df, "wide")
+    most = df.agg(F.max(F.abs("v"))).first()[0]
+    return df.withColumn("v", F.col("v").cast("bigint")) if most is None or most < 1 << 63 else df
+
+
+def einsum_chain3(spark: SparkSession, d: str) -> DataFrame:
+    """Three factors of sums over all lines, exact also beyond 2^63, where the SQL's own cast fails."""
+    t = exact(t3(spark, d))
+    return narrowed(contract.einsum("aij,bij,bkl->akl", t, t, t))
+
+
 def einsum_matmul(spark: SparkSession, d: str) -> DataFrame:
     a, b = quantities(spark, d, ("l_suppkey", "l_partkey")), quantities(spark, d, ("l_partkey", "l_linenumber"))
     n = 1 << 40  # keys bound the extents; nothing of a shape is materialised
@@ -506,7 +524,7 @@ S = structural
 #: name: (query, SQL or None)
 CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "einsum_matmul": (einsum_matmul, "with a as (select l_suppkey i, l_partkey j, sum(cast(l_quantity as bigint)) v from lineitem group by all), b as (select l_partkey j, l_linenumber k, sum(cast(l_quantity as bigint)) v from lineitem group by all) select i::bigint as i0, k::bigint as i1, sum(a.v * b.v)::bigint as v from a join b using (j) group by all"),
-    "einsum_chain3": (lambda s, d: out(C.einsum("aij,bij,bkl->akl", t3(s, d), t3(s, d), t3(s, d))), f"with {T3}, x as (select a.i0 a, b.i0 b, sum(a.v * b.v) v from t a join t b using (i1, i2) group by all) select x.a::bigint as i0, c.i1::bigint as i1, c.i2::bigint as i2, sum(x.v * c.v)::bigint as v from x join t c on c.i0 = x.b group by all"),
+    "einsum_chain3": (einsum_chain3, f"with {T3}, x as (select a.i0 a, b.i0 b, sum(a.v * b.v) v from t a join t b using (i1, i2) group by all) select x.a::bigint as i0, c.i1::bigint as i1, c.i2::bigint as i2, sum(x.v * c.v)::bigint as v from x join t c on c.i0 = x.b group by all"),
     "einsum_batched": (lambda s, d: out(C.einsum("bij,bkj->bik", t3(s, d), t3(s, d))), f"with {T3} select a.i0::bigint as i0, a.i1::bigint as i1, b.i1::bigint as i2, sum(a.v * b.v)::bigint as v from t a join t b on a.i0 = b.i0 and a.i2 = b.i2 group by all"),
     "einsum_hadamard": (lambda s, d: out(C.einsum("ij,ij->ij", square(s, d), S.permute(square(s, d), [1, 0]))), f"with {SQ} select a.i0::bigint as i0, a.i1::bigint as i1, a.v * b.v as v from s a join s b on a.i0 = b.i1 and a.i1 = b.i0"),
     "contract": (lambda s, d: out(C.contract(t3(s, d), t3(s, d), "abc,dbc->da")), f"with {T3} select b.i0::bigint as i0, a.i0::bigint as i1, sum(a.v * b.v)::bigint as v from t a join t b on a.i1 = b.i1 and a.i2 = b.i2 group by all"),
