@@ -87,7 +87,9 @@ def stacks(batches, m: int, n: int):
 
 def by_id(df: DataFrame) -> DataFrame:
     own = df.select(F.col("id").cast("bigint").alias("id"), F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v"))
-    return own.repartition("id").sortWithinPartitions("id")
+    # by a hash of id, as rows that a join on id has dealt already wouldn't be dealt again, and adaptive execution may turn such a
+    # join into a broadcast whose local reads split matrices
+    return own.repartition(F.xxhash64("id")).sortWithinPartitions("id")
 
 
 def per_matrix(df: DataFrame, m: int | DataFrame, n: int | None, f: Callable[[np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
