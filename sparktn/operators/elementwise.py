@@ -40,7 +40,8 @@ def linear_combine(parts: list[Tensor], coefficients: list[float]) -> Tensor:
 
 
 def add_all(parts: list[Tensor]) -> Tensor:
-    return linear_combine(parts, [1.0] * len(parts))
+    """The sum; of whole numbers it is one, exact beyond 2^53."""
+    return linear_combine(parts, [1] * len(parts))
 
 
 def diagonal_scale(t: Tensor, axis: int, weights: Tensor) -> Tensor:
