@@ -87,10 +87,11 @@ def random(spark: SparkSession, shape: tuple[int, ...], seed: int) -> Tensor:
 
 
 def from_values(spark: SparkSession, values: list[float], shape: tuple[int, ...]) -> Tensor:
-    """A small tensor of a flat list in C order."""
+    """A small tensor of a flat list in C order; of whole numbers as bigint, so that its products with others are exact, else of doubles."""
     if len(values) != prod(shape):
         raise TensorError(f"{len(values)} values don't fill the shape {shape}")
-    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "at bigint, v double")
+    kind = int if values and all(isinstance(v, int) and abs(v) < 1 << 63 for v in values) else float
+    df = spark.createDataFrame([(i, kind(v)) for i, v in enumerate(values)], f"at bigint, v {'bigint' if kind is int else 'double'}")
     return Tensor(df.select(*unflatten(F.col("at"), shape), "v"), shape)
 
 
