@@ -124,9 +124,13 @@ def inverse_identity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expm_nilpotent(spark: SparkSession, d: str) -> DataFrame:
-    """Of a matrix from lines to classes for each supplier, which has no square: one plus the matrix."""
-    n = batch(spark, d).withColumn("j", F.col("j") + 7)
-    return stated(factorize.expm(n, 14, 14)).select("id", "i", "j", "v")
+    """Of a matrix that leads from lines to classes, and from those on, for each supplier: 1 + n + n n / 2, doubled to be whole.
+
+    Three factors are zero, and every line is in the matrix twice, so both terms have all lines.
+    """
+    b = batch(spark, d)
+    n = b.select("id", F.explode(F.array(F.lit(0), F.lit(7))).alias("k"), "i", "j", "v").select("id", (F.col("i") + F.col("k")).alias("i"), (F.col("j") + F.col("k") + 7).alias("j"), "v")
+    return stated(factorize.expm(n, 21, 21).withColumn("v", F.col("v") * 2)).select("id", "i", "j", "v")
 
 
 def tridiagonal(spark: SparkSession, d: str) -> DataFrame:
@@ -563,7 +567,7 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "eig_trace": (lambda s, d: factorize.eigvals(batch(s, d), 7, 7).where("part = 're'").groupBy("id").agg(F.round(F.sum("v")).cast("bigint").alias("v")), f"with {BATCH} select id::bigint as id, coalesce(sum(v) filter (where i = j), 0)::bigint as v from b group by id"),
     "solve_planted": (solve_planted, f"with {BATCH} select distinct id::bigint as id, range::bigint as i, (range + 1)::bigint as v from b, range(7)"),
     "inverse_identity": (inverse_identity, f"with {BATCH} select distinct id::bigint as id, range::bigint as i, range::bigint as j, 1::bigint as v from b, range(7)"),
-    "expm_nilpotent": (expm_nilpotent, f"with {BATCH} select id::bigint as id, i::bigint as i, (j + 7)::bigint as j, v from b union all select distinct id::bigint, range, range, 1 from b, range(14)"),
+    "expm_nilpotent": (expm_nilpotent, f"with {BATCH}, n as (select id, i, j + 7 as j, v from b union all select id, i + 7, j + 14, v from b) select id::bigint as id, i::bigint as i, j::bigint as j, sum(v)::bigint as v from (select distinct id, range as i, range as j, 2 as v from n, range(21) union all select id, i, j, 2 * v from n union all select a.id, a.i, b.j, a.v * b.v from n a join n b on a.id = b.id and a.j = b.i) group by all"),
     "tridiagonal_reconstruct": (tridiagonal, f"with {BATCH}, t as (select id, i, (j > 2)::int as j, sum(v)::bigint as v from b group by all) select id::bigint as id, i::bigint as i, i::bigint as j, v from t where j = 0 union all select id, i, i - 1, v from t where j = 1 and i > 0 union all select id, i - 1, i, v from t where j = 1 and i > 0"),
     "truncated_spectrum": (lambda s, d: factorize.truncated(spectrum(s, d), chi_max=50, kept_only=True).select("sector", "k", "s", F.col("rank").cast("bigint").alias("rank")), "select (p_size % 5)::int as sector, p_partkey as k, p_size::bigint as s, row_number() over (order by p_size desc, p_size % 5, p_partkey) as rank from part qualify rank <= 50"),
     "spectrum_map": (lambda s, d: factorize.map_values(spectrum(s, d), lambda v: v * v + 1).select("sector", "k", "s"), "select (p_size % 5)::int as sector, p_partkey as k, (p_size * p_size + 1)::bigint as s from part"),
