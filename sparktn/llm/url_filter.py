@@ -17,8 +17,8 @@ from .common import small, stored
 SUPPORT, CONFIDENCE, LONGEST, DEFAULT = 0.002, 0.8, 3, "allow"
 #: Labelled URLs that a rule must fit at least, however few there are in all.
 LEAST = 3
-#: Tokens that can be in rules (those that tell most about the verdict), and how many of them a labelled URL is mined by,
-#: so that it has at most 2^(BASKET + 1) combinations. Every token counts where rules are matched.
+#: Tokens that FP-growth takes (those that tell most about the verdict), and how many of them a labelled URL is mined by, so
+#: that it has at most 2^(BASKET + 1) combinations. Combinations of URLs with more frequent tokens are found by `beyond`.
 VOCABULARY, BASKET = 1000, 10
 BLOCK, ALLOW = "=block", "=allow"
 
@@ -73,9 +73,9 @@ def telling(labelled: DataFrame, least: float, most: int = VOCABULARY) -> list[s
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """rule_id, tokens, verdict, confidence and support of the rules kept, from the table (tokens, known).
 
-    Mining finds the combinations: a basket holds a labelled URL's most telling tokens, a bounded number, and its verdict,
-    so it takes time in proportion to the number of URLs, however many words they have. What a combination is worth is
-    then counted over all tokens of all labelled URLs, by an inverted index, so support and confidence are true ones. A rule is
+    Mining finds the combinations: a basket holds a labelled URL's most telling tokens, a bounded number, and its verdict.
+    Combinations that URLs with more frequent tokens hold are found level by level, so that none is missed. What a combination
+    is worth is then counted over all tokens of all labelled URLs, by an inverted index, so support and confidence are true ones. A rule is
     pruned below the support (LEAST rows at least) or the confidence, with more than LONGEST tokens, or if a part of it has
     the same verdict with no less confidence.
     """
@@ -88,13 +88,42 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     tokens = F.slice(F.array_intersect(F.lit(words), "tokens"), 1, BASKET)  # in the order of the words
     basket = labelled.select(F.concat(tokens, F.array(F.when(F.col("known") == "block", BLOCK).otherwise(ALLOW))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=confidence).fit(basket)
-    rules = stored(counted(model.freqItemsets.select(F.sort_array(F.array_except("items", F.array(F.lit(BLOCK), F.lit(ALLOW)))).alias("tokens")), labelled, n, least, confidence), "rules")
+    sets = model.freqItemsets.select(F.sort_array(F.array_except("items", F.array(F.lit(BLOCK), F.lit(ALLOW)))).alias("tokens"))
+    long = longer(labelled, tokens, least)
+    sets = sets if long.isEmpty() else sets.unionByName(beyond(long, labelled, n, least))
+    rules = stored(counted(sets, labelled, n, least, confidence), "rules")
     part = rules.select(F.explode("tokens").alias("t"), F.col("tokens").alias("small"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
     larger = rules.select(F.explode("tokens").alias("t"), "tokens", "verdict", "confidence")
     beaten = larger.join(part, "t").where((F.col("v") == F.col("verdict")) & (F.col("c") >= F.col("confidence")) & (F.size("small") < F.size("tokens")) & (F.size(F.array_except("small", "tokens")) == 0)).select("tokens", "verdict").distinct()
     return rules.join(beaten, ["tokens", "verdict"], "left_anti").select(F.xxhash64("tokens").alias("rule_id"), "tokens", "verdict", "confidence", "support")
 
 
+def longer(labelled: DataFrame, held: Column, least: float) -> DataFrame:
+    """url and t: the frequent tokens of the labelled URLs that have more of them than their basket `held`; URLs of equal tokens are one."""
+    frequent = labelled.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("t")
+    urls = labelled.groupBy("tokens").agg(F.lit(0)).select(F.xxhash64("tokens").alias("url"), "tokens", F.size(held).alias("held"))
+    rows = urls.select("url", "held", F.explode("tokens").alias("t")).join(frequent, "t")
+    more = rows.groupBy("url").agg(F.count("*").alias("n"), F.min("held").alias("held")).where("n > held").select("url")
+    return stored(rows.select("url", "t").join(more, "url"), "longer")
+
+
+def beyond(long: DataFrame, labelled: DataFrame, n: int, least: float) -> DataFrame:
+    """tokens: all sets of LONGEST tokens at most that URLs of `longer` hold and that imply a verdict in enough labelled URLs.
+
+    Sets grow by one token a level, from those that all labelled URLs show to be frequent, so none is missed. A set that no
+    such URL holds is in baskets alone, where FP-growth finds it.
+    """
+    level, found = long.select("url", F.array("t").alias("tokens")), None
+    for size in range(1, LONGEST + 1):
+        if size > 1:
+            level = level.join(long, "url").where(F.col("t") > F.element_at("tokens", -1)).select("url", F.concat("tokens", F.array("t")).alias("tokens"))
+        level = stored(level, "level")
+        frequent = stored(counted(level.select("tokens").distinct(), labelled, n, least, 0.0).select("tokens").distinct(), "frequent")
+        found = frequent if found is None else found.unionByName(frequent)
+        level = level.join(frequent, "tokens", "left_semi").select("url", "tokens")
+    return found
+
+
 def counted(sets: DataFrame, labelled: DataFrame, n: int, least: float, confidence: float) -> DataFrame:
     """tokens, verdict, confidence and support of the sets of tokens that are rules, counted in all labelled URLs that hold them.
 
