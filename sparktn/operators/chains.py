@@ -19,6 +19,8 @@ from .sketch import uniform
 
 #: Sites after which a fold's environment is written, so that plans stay short however long a chain is.
 STORED = 8
+#: Random columns of a sketch that one row holds.
+WIDE = 16
 
 
 def from_sites(sites: list[DataFrame], bonds: list[int] | None = None, kind: str = "state") -> DataFrame:
@@ -207,15 +209,23 @@ def sketches(state: DataFrame, n: int, columns: int, seed: int = 0) -> DataFrame
         raise TensorError("a sketch takes sites and columns")
     (state,) = by_site(state)
     zero = F.lit(0).cast("bigint")
-    each = F.explode(F.sequence(zero, F.lit(columns - 1).cast("bigint"))).alias("c")
-    env = state.select("chain").distinct().select("chain", zero.alias("r"), each, F.lit(1.0).alias("x"))
+    wide = min(WIDE, columns)  # columns of a row; those beyond the last are dropped at the end
+    each = F.explode(F.sequence(zero, F.lit((columns - 1) // wide).cast("bigint"))).alias("block")
+    env = state.select("chain").distinct().select("chain", zero.alias("r"), each, F.array_repeat(F.lit(1.0), wide).alias("x"))
     out = None
     for k in reversed(range(n)):
         own = state.where(F.col("site") == k).select("chain", "l", "p", "r", "v")
-        drawn = F.sqrt(-2.0 * F.log(uniform(seed, k, 0, F.col("p"), F.col("c")))) * F.cos(2 * math.pi * uniform(seed, k, 1, F.col("p"), F.col("c")))
-        env = own.join(env, ["chain", "r"]).groupBy("chain", "l", "c").agg(F.sum(F.col("v") * F.col("x") * drawn).alias("x"))
+
+        def drawn(c: int) -> Column:
+            at = F.col("block") * wide + c
+            return F.sqrt(-2.0 * F.log(uniform(seed, k, 0, F.col("p"), at))) * F.cos(2 * math.pi * uniform(seed, k, 1, F.col("p"), at))
+
+        met = own.join(env, ["chain", "r"])
+        summed = met.groupBy("chain", "l", "block").agg(*(F.sum(F.col("v") * F.col("x")[c] * drawn(c)).alias(f"x{c}") for c in range(wide)))
+        env = summed.select("chain", "l", "block", F.array(*(f"x{c}" for c in range(wide))).alias("x"))
         env = stored(env, "sketch") if k else env
-        rows = env.select("chain", F.lit(k).cast("bigint").alias("site"), "l", "c", F.col("x").alias("v"))
+        rows = env.select("chain", "l", "block", F.posexplode("x").alias("c", "v"))
+        rows = rows.select("chain", F.lit(k).cast("bigint").alias("site"), "l", (F.col("block") * wide + F.col("c")).alias("c"), "v").where(F.col("c") < columns)
         out = rows if out is None else out.unionByName(rows)
         env = env.withColumnRenamed("l", "r")
     return out
