@@ -30,6 +30,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more), the one with the smallest doc_id.
 
+    Candidates come from the hierarchical index of SimHash fingerprints, and from bands of minima for what 64 bits can't tell.
     Null, empty and wordless texts are equal; null keys stay only where a group has no other; long texts are compared
     whole. An empty table stays empty. Other columns are kept whatever their names.
     """

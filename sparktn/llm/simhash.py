@@ -296,7 +296,8 @@ def near_groups(docs: DataFrame, shingle: int = 4, limit: int = LIMIT, column: s
 
 
 #: Near copies of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more.
-#: Candidates agree in all ROWS minima of one of BANDS bands: of pairs at 0.8, 1 - (1 - 0.8^5)^24 = 99.99 %, whatever the edit.
+#: Candidates are in one component of fingerprints, by the hierarchical index, or agree in all ROWS minima of one of BANDS
+#: bands: of pairs at 0.8, 1 - (1 - 0.8^5)^24 = 99.99 %, whatever the edit. The exact check follows for both.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 24, 5
 #: Share of equal minima from which a candidate is checked (0.8 less three deviations), and partners checked for each member of a band's group.
 LIKELY, PARTNERS = 0.69, 3
@@ -325,7 +326,7 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, column: str = "text") -> DataFrame:
-    """doc_id, raw (XXH64 of the text), keys (a hash of each band) and sketch (the low byte of each minimum) for every row."""
+    """doc_id, raw (XXH64 of the text), fp (the fingerprint of four-word shingles), keys (a hash of each band) and sketch (the low byte of each minimum) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -334,14 +335,24 @@ def sketches(docs: DataFrame, column: str = "text") -> DataFrame:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             raw = np.array([xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(words_of(t), 4) for t in texts], np.uint64).view(np.int64)
             least = np.array([minima(shingle_set(t)) for t in texts], np.uint64).reshape(-1, BANDS, ROWS)
             keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(texts), 1))
             for r in range(ROWS):
                 keys = mixed(keys, least[:, :, r])
             sketch = [x.tobytes() for x in least.reshape(len(texts), -1).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "raw", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw), pa.array(fps), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "raw", "fp", "keys", "sketch"])
 
-    return docs.select("doc_id", F.coalesce(F.col(column), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, raw bigint, keys array<bigint>, sketch binary")
+    return docs.select("doc_id", F.coalesce(F.col(column), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, raw bigint, fp bigint, keys array<bigint>, sketch binary")
+
+
+def indexed(prints: DataFrame) -> DataFrame:
+    """prints with one more key, the first: that of the component of fingerprints at most LIMIT bits apart, by the hierarchical index."""
+    nodes = stored(prints.groupBy("fp").agg(F.count("*").alias("n")), "nodes")
+    root = components(edges(nodes.select("fp", F.lit(0).cast("bigint").alias("other"))))
+    keyed = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "n", F.xxhash64(F.coalesce("root", "fp"), F.lit(LIMIT)).alias("key"))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    return joined_by_key(prints, keyed, ["fp"], "n", total).select("doc_id", "raw", F.concat(F.array("key"), "keys").alias("keys"), "sketch")
 
 
 def heads(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -463,7 +474,7 @@ def dealt(members: DataFrame, level: int) -> DataFrame:
 def candidates(prints: DataFrame) -> DataFrame:
     """a, b, home, tile: pairs of raw, a < b, whose shingles are to be compared first.
 
-    Texts that share a band's key are a group. A task compares DENSE members at most: larger groups are dealt in
+    Texts that share a key, of the fingerprints' component or of a band, are a group. A task compares DENSE members at most: larger groups are dealt in
     parts, of which those that stand for others are dealt again. A group that this doesn't halve is dealt by a
     further band the first time; after that all its members are compared, in blocks. Whatever this leaves apart within
     a group is for `settled`.
@@ -599,9 +610,9 @@ def joined_groups(members: DataFrame, partitions: int) -> DataFrame:
 
 
 def settled(docs: DataFrame, prints: DataFrame, pairs: DataFrame, column: str = "text") -> DataFrame:
-    """node, root: the components of all pairs that share a band and that the exact check confirms.
+    """node, root: the components of all pairs that share a component of fingerprints or a band and that the exact check confirms.
 
-    First the pairs given are checked. Then every band's group that still has different components is gone through whole, with
+    First the pairs given are checked. Then every such group that still has different components is gone through whole, with
     all shingles of its members, and what links two components joins them. Groups of one component, and groups so small
     that all their pairs are among those given, are left out. Large groups, and groups of long texts, are gone through in
     blocks in which any two members meet. No pair that isn't a link leaves a task.
@@ -649,7 +660,7 @@ def keep_one(docs: DataFrame, column: str = "text") -> DataFrame:
     doc_id stay only where a component has no other; of rows with one key and text any one stays. Long texts are
     compared whole. An empty table stays empty.
     """
-    prints = stored(sketches(docs, column), "sketches")
+    prints = stored(indexed(stored(sketches(docs, column), "sketches")), "indexed")
     pairs = stored(candidates(prints), "candidates")
     root = settled(docs, prints, pairs, column).withColumnRenamed("node", "raw")
     least = prints.groupBy("raw").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("s"))
