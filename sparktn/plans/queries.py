@@ -414,7 +414,7 @@ def lanczos_min(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "customer").join(F.broadcast(nation), "c_nationkey").select((F.col("c_custkey") + 5).cast("bigint").alias("x"), "y")
     n = c.agg(F.max("x")).first()[0] + 1
     links = c.select(F.col("x").alias("i"), F.col("y").alias("j")).unionByName(c.select(F.col("y").alias("i"), F.col("x").alias("j")))
-    value, _ = krylov.lanczos_smallest(links.withColumn("v", F.lit(1.0)), n, steps=12, tol=1e-8)
+    value, _ = krylov.lanczos_smallest(stored(links.withColumn("v", F.lit(1.0)), "links"), n, steps=12, tol=1e-8)
     return spark.createDataFrame([(round(value, 6),)], "v double")
 
 
