@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ def kept(key: object = None, make=lambda: None):
     """The worker's helper of this key, made anew if it last had another; without a key, the last one is freed."""
     if key not in KEPT:
         KEPT.clear()
+        pa.default_memory_pool().release_unused()
         KEPT[key] = make()
     return KEPT[key]
 

@@ -22,24 +22,21 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 PLAN = "length bigint, lo bigint, hi bigint, uses bigint, first bigint, base bigint"
 #: Pieces that one rank group (a length and a salt) has on average.
 GROUP_ROWS = 2_000
+#: Texts that a worker encodes together, and entries of a generation of its cache; both bound its memory.
+TEXTS, CACHE = 256, 100_000
 
 
-def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, column: str = "text") -> DataFrame:
-    """A row for each piece of each document: its ids and the end id, in cuts of the capacity."""
+def pieces_of(batches: Iterator[pa.RecordBatch], own, capacity: int, end_id: int, task: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of batches of doc_id and text, TEXTS texts at a time, so that a worker holds the ids of so many only."""
+    from zlib import crc32
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from zlib import crc32
-
-        import xxhash
-        from pyspark import TaskContext
+    import xxhash
 
-        from .tokens import encoder
-
-        own, end = encoder(tokenizer), end_id.to_bytes(4, "little")
-        task, row = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1))):
+    end, row = end_id.to_bytes(4, "little"), 0
+    for batch in batches:
+        for first in range(0, batch.num_rows, TEXTS):
+            some, rows = batch.slice(first, TEXTS), []
+            for doc, ids in zip(some.column(0).to_pylist(), own.encode(some.column(1))):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
@@ -47,6 +44,17 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
                     row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
+
+def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, column: str = "text") -> DataFrame:
+    """A row for each piece of each document: its ids and the end id, in cuts of the capacity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        from .tokens import encoder
+
+        yield from pieces_of(batches, encoder(tokenizer, CACHE), capacity, end_id, TaskContext.get().partitionId())
+
     return docs.select("doc_id", F.col(column).alias("text")).mapInArrow(run, PIECES)
 
 
