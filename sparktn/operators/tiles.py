@@ -1,15 +1,15 @@
-"""Dense tensors in tiles: a row holds a block of neighbouring elements as one packed array.
+"""Tensors in tiles: a row holds the places and values of a block's elements as two packed arrays.
 
-A contraction joins tiles by the tile coordinates of their shared indices and multiplies each pair of tiles in its task,
-so what is shuffled follows the number of tiles, not the number of products of elements. Tiles without an element
-that isn't zero have no row.
+A contraction deals tiles by the tile coordinates of their shared indices and multiplies each pair of tiles in its task,
+so what is shuffled follows the number of elements, not the number of products of elements or the size of tiles. Tiles
+without an element have no row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import isqrt, prod
+from math import prod
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,8 +19,8 @@ from ..errors import ContractionError, TensorError
 from ..tensor import Tensor, axes, unflatten
 from .contract import labels_of, order_by_cost
 
-#: Sums of output tiles that a task holds before it hands them on.
-HELD = 32
+#: Elements of output tiles that a task holds before it hands them on, and of tiles that it meets with one another at once.
+HELD, MET = 1 << 21, 1 << 22
 
 
 def tile_axes(rank: int) -> list[str]:
@@ -29,7 +29,7 @@ def tile_axes(rank: int) -> list[str]:
 
 @dataclass(frozen=True)
 class TiledTensor:
-    """df has a tile coordinate t0, t1, ... for each axis and x, the tile's elements in C order; tiles at the far edges are filled up with zeros."""
+    """df has a tile coordinate t0, t1, ... for each axis, and at and x: the places in C order and the values of the tile's elements."""
 
     df: DataFrame
     shape: tuple[int, ...]
@@ -38,7 +38,7 @@ class TiledTensor:
     def __post_init__(self) -> None:
         if len(self.tile) != len(self.shape) or any(n < 1 for n in self.tile):
             raise TensorError(f"tiles {self.tile} don't fit the shape {self.shape}")
-        if self.df.columns != [*self.axes, "x"]:
+        if self.df.columns != [*self.axes, "at", "x"]:
             raise TensorError(f"columns {self.df.columns} aren't those of tiles of rank {len(self.shape)}")
 
     @property
@@ -50,134 +50,157 @@ class TiledTensor:
         return tile_axes(self.rank)
 
 
-def schema_of(rank: int) -> str:
-    return ", ".join([*(f"{a} bigint" for a in tile_axes(rank)), "x array<double>"])
-
-
-def batch_of(keys: list[tuple], tiles: list[np.ndarray], rank: int):
-    import pyarrow as pa
-
-    flat = np.concatenate([t.ravel() for t in tiles]) if tiles else np.zeros(0)
-    ends = np.cumsum([0, *(t.size for t in tiles)], dtype=np.int32)
-    coordinates = [pa.array([k[a] for k in keys], pa.int64()) for a in range(rank)]
-    return pa.RecordBatch.from_arrays([*coordinates, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*tile_axes(rank), "x"])
-
-
-def tile_at(column, row: int) -> np.ndarray:
-    """One row of a column of lists, without a copy."""
-    return column.slice(row, 1).flatten().to_numpy()
-
-
-def streamed_sums(batches: Iterator, rank: int, add) -> Iterator:
-    """The sums of rows with equal keys that come one after the other; no more than one tile is held."""
-    key, total = None, None
-    for batch in batches:
-        names = list(zip(*(batch.column(a).to_pylist() for a in range(rank)))) if rank else [()] * batch.num_rows
-        for row, own in enumerate(names):
-            if own != key:
-                if key is not None:
-                    yield batch_of([key], [total], rank)
-                key, total = own, None
-            total = add(total, batch, row)
-    if key is not None:
-        yield batch_of([key], [total], rank)
-
-
 def tiled(t: Tensor, tile: tuple[int, ...]) -> TiledTensor:
-    """The tensor in tiles; elements that repeat a coordinate are added up.
-
-    One shuffle of the elements by tile; a task goes through its elements tile by tile and holds one.
-    """
+    """The tensor in tiles; elements that repeat a coordinate are added up. One shuffle of the elements by tile."""
     if len(tile) != t.rank or any(n < 1 for n in tile):
         raise TensorError(f"tiles {tile} don't fit the shape {t.shape}")
     inside = F.lit(0).cast("bigint")
     for a, n in zip(t.axes, tile):
         inside = inside * n + F.col(a) % n
-    size, rank = prod(tile), t.rank
-    keys = [F.floor(F.col(a) / n).cast("bigint").alias(k) for a, n, k in zip(t.axes, tile, tile_axes(rank))]
-    rows = gathered(t.df.select(*keys, inside.alias("at"), F.col("v").cast("double").alias("v")), rank)
+    keys = [F.floor(F.col(a) / n).cast("bigint").alias(k) for a, n, k in zip(t.axes, tile, tile_axes(t.rank))]
+    return TiledTensor(gathered(t.df.select(*keys, inside.cast("int").alias("at"), F.col("v").cast("double").alias("v")), t.rank), t.shape, tuple(tile))
 
-    def run(batches):
-        key, total = None, None
-        for batch in batches:
-            names = np.stack([batch.column(a).to_numpy() for a in range(rank)], axis=1) if rank else np.zeros((batch.num_rows, 0), np.int64)
-            at, v = batch.column(rank).to_numpy(), batch.column(rank + 1).to_numpy()
-            starts = np.r_[0, 1 + np.flatnonzero((names[1:] != names[:-1]).any(axis=1))] if len(names) else []
-            for start, end in zip(starts, [*starts[1:], len(names)]):
-                own = tuple(names[start].tolist())
-                if own != key:
-                    if key is not None:
-                        yield batch_of([key], [total], rank)
-                    key, total = own, np.zeros(size)
-                np.add.at(total, at[start:end], v[start:end])
-        if key is not None:
-            yield batch_of([key], [total], rank)
-
-    return TiledTensor(rows.mapInArrow(run, schema_of(rank)), t.shape, tuple(tile))
-
-
-def gathered(df: DataFrame, rank: int) -> DataFrame:
-    """Rows of a tile one after the other."""
+
+def gathered(elements: DataFrame, rank: int) -> DataFrame:
+    """Tiles of elements (t0, t1, .., at, v), which are added up where they repeat a place; zeros are left out.
+
+    A task goes through its elements tile by tile and holds one tile and a batch.
+    """
     names = tile_axes(rank)
-    return df.repartition(*names).sortWithinPartitions(*names) if rank else df.coalesce(1)
+    rows = (elements.repartition(*names) if rank else elements.coalesce(1)).sortWithinPartitions(*names, "at")
+
+    def starts(columns: list[np.ndarray]) -> np.ndarray:
+        """Where a run of equal rows begins."""
+        new = np.zeros(max(0, len(columns[0]) - 1), bool)
+        for c in columns:
+            new |= c[1:] != c[:-1]
+        return np.r_[0, 1 + np.flatnonzero(new)] if len(columns[0]) else np.zeros(0, np.int64)
+
+    def packed(keys: list[np.ndarray], at: np.ndarray, v: np.ndarray):
+        import pyarrow as pa
+
+        some = v != 0
+        keys, at, v = [k[some] for k in keys], at[some], v[some]
+        first = starts(keys or [np.zeros(len(at))])
+        ends = pa.array(np.r_[first, len(at)].astype(np.int32))
+        return pa.RecordBatch.from_arrays([*(pa.array(k[first]) for k in keys), *(pa.ListArray.from_arrays(ends, pa.array(c)) for c in (at, v))], [*names, "at", "x"])
+
+    def run(batches: Iterator) -> Iterator:
+        rest = [*(np.zeros(0, np.int64) for _ in names), np.zeros(0, np.int32), np.zeros(0)]
+        for batch in batches:
+            *own, v = (np.concatenate([r, batch.column(k).to_numpy()]) for k, r in enumerate(rest))
+            first = starts(own)
+            if len(first):
+                own, v = [c[first] for c in own], np.add.reduceat(v, first)
+                last = starts(own[:-1])[-1] if rank else 0  # the last tile may go on
+                if last:
+                    yield packed([k[:last] for k in own[:-1]], own[-1][:last], v[:last])
+                rest = [*(c[last:] for c in own), v[last:]]
+        if (rest[-1] != 0).any():
+            yield packed(rest[:rank], rest[rank], rest[-1])
+
+    return rows.mapInArrow(run, ", ".join([*(f"{k} bigint" for k in names), "at array<int>", "x array<double>"]))
 
 
 def untiled(t: TiledTensor) -> Tensor:
     """The elements that aren't zero."""
-    rank = len(t.shape)
-    rows = t.df.select(*t.axes, F.posexplode("x").alias("at", "v")).where("v <> 0")
+    rows = t.df.select(*t.axes, F.explode(F.arrays_zip("at", "x")).alias("e")).select(*t.axes, F.col("e.at").alias("at"), F.col("e.x").alias("v"))
     inside = unflatten(F.col("at"), t.tile)
-    return Tensor(rows.select(*((F.col(k) * n + c).cast("bigint").alias(a) for k, n, c, a in zip(t.axes, t.tile, inside, axes(rank))), "v"), t.shape)
+    return Tensor(rows.select(*((F.col(k) * n + c).cast("bigint").alias(a) for k, n, c, a in zip(t.axes, t.tile, inside, axes(t.rank))), "v"), t.shape)
+
+
+def places(index: str, of: str, tile: dict[str, int], only: list[str]) -> np.ndarray:
+    """For each place in a tile of the indices `of`, what its coordinates along `only` add to a place in C order of `index`."""
+    total = np.zeros([tile[c] for c in of], np.int64)
+    for k, c in enumerate(index):
+        if c in of and c in only:
+            shape = [1] * len(of)
+            shape[of.index(c)] = tile[c]
+            total += (np.arange(tile[c]) * prod(tile[d] for d in index[k + 1 :])).reshape(shape)
+    return total.ravel()
 
 
 def pair(notation: tuple[str, str, str], a: TiledTensor, b: TiledTensor) -> TiledTensor:
-    """Two operands; an index of both is summed, or kept where the output has it."""
+    """Two operands; an index of both is summed, or kept where the output has it.
+
+    A task gets the right tiles of a group of shared tile coordinates first, at most MET places of them, and goes through the
+    left ones; right tiles beyond that, and left ones of few groups, are dealt over more groups. Sums of a task are elements.
+    """
     p, q, out = notation
     sizes = {c: n for x, t in ((p, a), (q, b)) for c, n in zip(x, t.shape)}
     tiles = dict(zip(p, a.tile))
     if any(tiles.setdefault(c, n) != n for c, n in zip(q, b.tile)):
         raise ContractionError("shared indices must be cut into tiles of one size")
-    left = a.df.select(*(F.col(k).alias(f"k_{c}") for k, c in zip(a.axes, p)), F.col("x"))
-    right = b.df.select(*(F.col(k).alias(f"k_{c}") for k, c in zip(b.axes, q)), F.col("x").alias("y"))
-    shared = [f"k_{c}" for c in p if c in q]
-    joined = left.join(right, shared) if shared else left.crossJoin(right)  # an outer product is all pairs by its meaning
-    summed = [c for c in p if c not in out]
-    ways = prod(-(-sizes[c] // tiles[c]) for c in summed)
-    salts = min(isqrt(ways), 64) if ways > 64 else 1  # of sums of many tiles, parts first
-    salt = F.pmod(F.xxhash64(*(f"k_{c}" for c in summed)), F.lit(salts)) if salts > 1 else F.lit(0)
-    rows = joined.select(*(F.col(f"k_{c}").alias(k) for c, k in zip(out, tile_axes(len(out)))), salt.cast("bigint").alias("salt"), "x", "y")
-    rank, shape_a, shape_b = len(out), a.tile, b.tile
-    rule, to = f"{p},{q}->{out}", tuple(tiles[c] for c in out)
-    keyed = rank + 1  # the salt is a last coordinate of what the tasks hand on
-
-    def multiply(batches):
+    shared, new = [c for c in p if c in q], [c for c in q if c not in p]
+    ways = {c: -(-sizes[c] // tiles[c]) for c in sizes}
+    parts = int(a.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lefts = max(1, parts // prod(ways[c] for c in shared))
+    rights = max(1, -(-prod(ways[c] for c in new) * prod(b.tile) // MET))
+    some = lambda names, n: F.pmod(F.xxhash64(*names), F.lit(n)).cast("int") if names else F.lit(0)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = F.lit(None).cast("bigint")
+    left = a.df.select(*a.axes, "at", "x", some(a.axes, lefts).alias("l"), every(rights).alias("r"))
+    right = b.df.select(*b.axes, "at", "x", every(lefts).alias("l"), some([k for k, c in zip(b.axes, q) if c in new], rights).alias("r"))
+    group = [f"s_{c}" for c in shared] + ["l", "r"]
+
+    def rows(df: DataFrame, names: list[str], letters: str, side: int) -> DataFrame:
+        own = dict(zip(letters, names))
+        return df.select(*(F.col(own[c]).alias(f"s_{c}") for c in shared), "l", "r", F.lit(side).alias("side"), *((F.col(own[c]) if c in own else none).alias(f"o_{c}") for c in out), "at", "x")
+
+    both = rows(right, b.axes, q, 0).unionByName(rows(left, a.axes, p, 1)).repartition(*group).sortWithinPartitions(*group, "side")
+    width, rank, size = len(group), len(out), prod(tiles[c] for c in out)
+    ours = [k for k, c in enumerate(out) if c in p]
+    meets = "".join(shared)
+    to_p, to_q = places(out, p, tiles, list(p)), places(out, q, tiles, new)
+    meet_p, meet_q = (places("".join(shared), x, tiles, shared) for x in (p, q))
+
+    def multiply(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         held: dict[tuple, np.ndarray] = {}
+
+        def handed() -> Iterator:
+            at = [np.flatnonzero(total) for total in held.values()]
+            keys = [np.repeat(np.array([key[k] for key in held], np.int64), list(map(len, at))) for k in range(rank)]
+            if held:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate([t[i] for t, i in zip(held.values(), at)]))], [*tile_axes(rank), "at", "v"])
+            held.clear()
+
+        now, found = None, []
         for batch in batches:
-            names = list(zip(*(batch.column(k).to_pylist() for k in range(keyed))))
-            for row, key in enumerate(names):
-                z = np.einsum(rule, tile_at(batch.column(keyed), row).reshape(shape_a), tile_at(batch.column(keyed + 1), row).reshape(shape_b), optimize=True)
-                held[key] = held[key] + z if key in held else z
-                if len(held) > HELD:
-                    yield batch_of(list(held), list(held.values()), keyed)
-                    held = {}
-        if held:
-            yield batch_of(list(held), list(held.values()), keyed)
-
-    def adder(width: int):
-        def run(batches):
-            def add(total, batch, row):
-                x = tile_at(batch.column(batch.num_columns - 1), row)
-                return x.copy() if total is None else total + x
-
-            yield from streamed_sums(batches, width, add)
-
-        return run
-
-    done = rows.mapInArrow(multiply, schema_of(keyed))
-    if salts > 1:
-        done = gathered(done, keyed).mapInArrow(adder(keyed), schema_of(keyed))
-    done = gathered(done.drop(f"t{rank}"), rank).mapInArrow(adder(rank), schema_of(rank))
-    return TiledTensor(done, tuple(sizes[c] for c in out), to)
+            names = [batch.column(k).to_pylist() for k in range(width + 1 + rank)]
+            ats, xs = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            for row in range(batch.num_rows):
+                key = tuple(n[row] for n in names[:width])
+                if key != now:
+                    now, found = key, []
+                at, x = (c.slice(row, 1).flatten().to_numpy() for c in (ats, xs))
+                at_out = [n[row] for n in names[width + 1 :]]
+                if names[width][row] == 0:  # sorted by what meets, and the runs of it
+                    order = np.argsort(meet_q[at], kind="stable")
+                    found.append((at_out, meet_q[at][order], to_q[at][order], x[order]))
+                    continue
+                where, base = meet_p[at], to_p[at]
+                for other, meet, to, y in found:
+                    lo, hi = np.searchsorted(meet, where, "left"), np.searchsorted(meet, where, "right")
+                    n = hi - lo
+                    if not n.any():
+                        continue
+                    own = tuple(at_out[k] if k in ours else other[k] for k in range(rank))
+                    total = held.get(own)
+                    if total is None:
+                        if held and (len(held) + 1) * size > HELD:
+                            yield from handed()
+                        total = held[own] = np.zeros(size)
+                    ends = np.cumsum(n)
+                    for part in np.split(np.arange(len(n)), np.searchsorted(ends, np.arange(MET, ends[-1], MET))):
+                        few = n[part]
+                        met = np.repeat(lo[part] - np.cumsum(few) + few, few) + np.arange(few.sum())
+                        np.add.at(total, np.repeat(base[part], few) + to[met], np.repeat(x[part], few) * y[met])
+        yield from handed()
+
+    schema = ", ".join([*(f"{k} bigint" for k in tile_axes(rank)), "at int", "v double"])
+    return TiledTensor(gathered(both.mapInArrow(multiply, schema), rank), tuple(sizes[c] for c in out), tuple(tiles[c] for c in out))
 
 
 def einsum(notation: str, *tensors: TiledTensor) -> TiledTensor:
