@@ -27,3 +27,14 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def bucketed(df: DataFrame, name: str, by: str, n: int, sort: list[str]) -> tuple[DataFrame, str]:
+    """df written to the shared folder in n buckets of a column, and the name of its table: grouping by the column moves no rows.
+
+    Dropping the table leaves the files.
+    """
+    path = shared_path(df.sparkSession, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(n, by).sortBy(*sort).option("path", path).format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table), table
