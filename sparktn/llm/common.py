@@ -16,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTER = re.compile(r"[^\W\d_]")
 
 
+#: Bytes of the rows that a worker gets at once.
+BATCH_BYTES = 4 << 20
 #: What a worker process keeps from task to task: one helper at a time, so that stages don't add up.
 KEPT: dict[object, object] = {}
 
@@ -29,6 +31,23 @@ def kept(key: object = None, make=lambda: None):
     return KEPT[key]
 
 
+def in_batches(rows: DataFrame, run, schema) -> DataFrame:
+    """rows.mapInArrow(run, schema) with batches of BATCH_BYTES, or 10,000 narrow rows, unless the session has a bound of its own.
+
+    Spark's is 64 MB: of whole texts that is held for each task by Java's Arrow buffers, by Python's, and as strings.
+    Spark reads it when the plan is made, so the session keeps it.
+    """
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, BATCH_BYTES)
+    return rows.mapInArrow(run, schema)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
+    """A table of a few rows from the driver, as a local relation: of a list Spark makes an RDD, for which each executor starts Python workers of another kind."""
+    return spark.createDataFrame(pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(types.items())}))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, UPPER, joined_by_key, kept, n_partitions, rows_of, stored
+from .common import LOWER, UPPER, in_batches, joined_by_key, kept, local_table, n_partitions, rows_of, stored
 
 #: Bytes of different text from which a bucket is split, unless that would make more than MOST_BUCKETS.
 BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 8192
@@ -56,7 +56,7 @@ def digest(docs: DataFrame, column: str = "text") -> DataFrame:
                 rows.append((doc, signed(xxh64_intdigest(norm, 42)), sha256(norm).hexdigest(), signed(xxh64_intdigest(text, 42)), len(norm)))
             yield batch_of(rows, ROW)
 
-    return texts_of(docs, column).mapInArrow(run, "doc_id bigint, key bigint, sha string, raw bigint, bytes bigint")
+    return in_batches(texts_of(docs, column), run, "doc_id bigint, key bigint, sha string, raw bigint, bytes bigint")
 
 
 def merge(entry: list, doc: int | None, at_keep: int, n: int) -> None:
@@ -95,7 +95,7 @@ def preaggregated(docs: DataFrame, column: str, starts: np.ndarray) -> DataFrame
                     merge(entry, doc, 1, 1)
         yield from flush()
 
-    return texts_of(docs, column).mapInArrow(run, "bucket bigint, key bigint, sha string, norm binary, keep_id bigint, at_keep bigint, n bigint")
+    return in_batches(texts_of(docs, column), run, "bucket bigint, key bigint, sha string, norm binary, keep_id bigint, at_keep bigint, n bigint")
 
 
 def prefix(key: Column, bits: int) -> Column:
@@ -116,7 +116,7 @@ def directory(sizes: DataFrame, capacity: int = BUCKET_BYTES) -> dict[tuple[int,
         deeper = min(60, depth + step)
         counts = sizes
         if depth:
-            hot = spark.createDataFrame([(p,) for p in over], "up bigint")
+            hot = local_table(spark, [(p,) for p in over], up=pa.int64())
             counts = sizes.join(F.broadcast(hot), prefix(F.col("key"), depth) == F.col("up"), "left_semi")
         below = defaultdict(list)
         for r in counts.groupBy(prefix(F.col("key"), deeper).alias("p")).agg(F.sum("bytes").alias("b"), (F.min("key") == F.max("key")).alias("one")).collect():
@@ -168,7 +168,7 @@ def index_pages(docs: DataFrame, rows: DataFrame, column: str = "text", capacity
             yield batch_of(out, PAGE)
         yield batch_of([(*at, k, x[1], *x[2]) for k, x in enumerate(chain)], PAGE)
 
-    return stored(owned.mapInArrow(own, "bucket bigint, key bigint, chain int, sha string, keep_id bigint, at_keep bigint, group_size bigint"), "pages")
+    return stored(in_batches(owned, own, "bucket bigint, key bigint, chain int, sha string, keep_id bigint, at_keep bigint, group_size bigint"), "pages")
 
 
 def decided(docs: DataFrame, column: str = "text") -> DataFrame:

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_batches, local_table, stored
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt int"
-PLAN = "length bigint, lo bigint, hi bigint, uses bigint, first bigint, base bigint"
+PLAN = dict.fromkeys(("length", "lo", "hi", "uses", "first", "base"), pa.int64())
 #: Pieces that one rank group (a length and a salt) has on average.
 GROUP_ROWS = 2_000
 #: Texts that a worker encodes together, and entries of a generation of its cache; both bound its memory.
@@ -55,7 +55,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
         yield from pieces_of(batches, encoder(tokenizer, CACHE), capacity, end_id, TaskContext.get().partitionId())
 
-    return docs.select("doc_id", F.col(column).alias("text")).mapInArrow(run, PIECES)
+    return in_batches(docs.select("doc_id", F.col(column).alias("text")), run, PIECES)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     spark = docs.sparkSession
     pieces = stored(cut(docs, tokenizer, capacity, end_id, column), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    plan = spark.createDataFrame(plan_rows(best_two_fit(counts, capacity)), PLAN)
+    plan = local_table(spark, plan_rows(best_two_fit(counts, capacity)), **PLAN)
     salts = max(1, sum(counts.values()) // GROUP_ROWS)
     group = ["length", "salt"]
     pieces = pieces.withColumn("salt", F.pmod("salt", F.lit(salts)).cast("int"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, joined_by_key, kept, n_partitions, rows_of, small, stored
+from .common import LOWER, UPPER, in_batches, joined_by_key, kept, n_partitions, rows_of, small, stored
 
 LIMIT, FANOUT = 4, 8
 #: Nodes of a group from which it is split by further blocks.
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, column: str = "text", also:
             raw = np.array([xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy())], ["doc_id", "raw", "fp", "other"])
 
-    return docs.select("doc_id", F.coalesce(F.col(column), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, raw bigint, fp bigint, other bigint")
+    return in_batches(docs.select("doc_id", F.coalesce(F.col(column), F.lit("")).alias("text")), run, "doc_id bigint, raw bigint, fp bigint, other bigint")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -130,7 +130,7 @@ def split(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*out)], ["gid", "fixed", "fp", "other"])
 
-    return rows.mapInArrow(run, "gid bigint, fixed bigint, fp bigint, other bigint")
+    return in_batches(rows, run, "gid bigint, fixed bigint, fp bigint, other bigint")
 
 
 class Forest:
@@ -235,7 +235,7 @@ def group_edges(rows: DataFrame, partitions: int, limit: int = LIMIT, apart: int
             rest = [x[whole:] for x in now]
         yield from edges(*rest)
 
-    return rows.select("gid", "fp", "other").repartition(partitions, "gid").sortWithinPartitions("gid").mapInArrow(run, "a bigint, a2 bigint, b bigint, b2 bigint")
+    return in_batches(rows.select("gid", "fp", "other").repartition(partitions, "gid").sortWithinPartitions("gid"), run, "a bigint, a2 bigint, b bigint, b2 bigint")
 
 
 def edges(nodes: DataFrame, limit: int = LIMIT, group_rows: int = GROUP_ROWS, apart: int = 64) -> DataFrame:
@@ -343,7 +343,7 @@ def sketches(docs: DataFrame, column: str = "text") -> DataFrame:
             sketch = [x.tobytes() for x in least.reshape(len(texts), -1).astype(np.uint8)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw), pa.array(fps), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "raw", "fp", "keys", "sketch"])
 
-    return docs.select("doc_id", F.coalesce(F.col(column), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, raw bigint, fp bigint, keys array<bigint>, sketch binary")
+    return in_batches(docs.select("doc_id", F.coalesce(F.col(column), F.lit("")).alias("text")), run, "doc_id bigint, raw bigint, fp bigint, keys array<bigint>, sketch binary")
 
 
 def indexed(prints: DataFrame) -> DataFrame:
@@ -458,7 +458,7 @@ def compared(members: DataFrame, partitions: int) -> DataFrame:
         yield from pairs(*rest)
 
     rows = members.select("gid", "part", "band", "raw", "sketch").repartition(partitions, "gid", "part")
-    return rows.sortWithinPartitions("gid", "part", F.xxhash64("gid", "raw")).mapInArrow(run, "a bigint, b bigint, gid bigint, band bigint, home bigint, tile bigint")
+    return in_batches(rows.sortWithinPartitions("gid", "part", F.xxhash64("gid", "raw")), run, "a bigint, b bigint, gid bigint, band bigint, home bigint, tile bigint")
 
 
 def dealt(members: DataFrame, level: int) -> DataFrame:
@@ -512,7 +512,7 @@ def shingle_sets(docs: DataFrame, asked: DataFrame, column: str = "text") -> Dat
 
     text = F.coalesce(F.col(column), F.lit(""))
     own = docs.select(F.xxhash64(text).alias("raw"), text.alias("text")).join(small(asked, 500_000), "raw", "left_semi")
-    return stored(own.mapInArrow(run, "raw bigint, shingles array<bigint>").dropDuplicates(["raw"]), "shingles")
+    return stored(in_batches(own, run, "raw bigint, shingles array<bigint>").dropDuplicates(["raw"]), "shingles")
 
 
 def asked_of(pairs: DataFrame) -> DataFrame:
@@ -549,7 +549,7 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     wanted = pairs.select("home", "tile", F.explode(F.array("a", "b")).alias("raw")).distinct()
     texts = wanted.join(sets, "raw").select("home", "tile", F.col("raw").alias("a"), F.lit(0).cast("bigint").alias("b"), "shingles")
     rows = texts.unionByName(pairs.select("home", "tile", "a", "b", F.lit(None).cast("array<bigint>").alias("shingles")))
-    return rows.repartition(parts, "home", "tile").sortWithinPartitions("home", "tile", F.col("shingles").isNull()).mapInArrow(run, "a bigint, b bigint")
+    return in_batches(rows.repartition(parts, "home", "tile").sortWithinPartitions("home", "tile", F.col("shingles").isNull()), run, "a bigint, b bigint")
 
 
 def apart(sets: list[np.ndarray], root: np.ndarray) -> list[tuple[int, int]]:
@@ -606,7 +606,7 @@ def joined_groups(members: DataFrame, partitions: int) -> DataFrame:
         yield from links()
 
     rows = members.select("gid", "raw", "root", "shingles").repartition(partitions, "gid").sortWithinPartitions("gid")
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return in_batches(rows, run, "a bigint, b bigint")
 
 
 def settled(docs: DataFrame, prints: DataFrame, pairs: DataFrame, column: str = "text") -> DataFrame:

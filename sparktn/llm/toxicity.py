@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, kept, labelled_sample, sigmoid, spare
+from .common import fold, in_batches, kept, labelled_sample, sigmoid, spare
 
 #: The kernel's subsequences have three letters that span at most SPAN places, each place with this decay.
 SPAN, DECAY = 6, 0.5
@@ -35,7 +35,8 @@ WORST = 5
 SAMPLE, CHARS = 2000, 6000
 #: Characters of a piece of a long token; pieces overlap by half.
 PIECE = 24
-CACHE = 200_000
+#: Tokens of a generation of a worker's cache, which has two.
+CACHE = 100_000
 SENTENCE = re.compile(r"[.!?]\s|\n")
 SINGLES = re.compile(r"(?:(?<=\s)|^)(?:\S[ \t]){3,}\S(?=\s|$)")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -311,7 +312,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, n_folds: int = 4, held_out: int
 
     score_name, predicted_name = spare(docs.columns if keep else [], "score", "predicted")
     schema = (docs if keep else rows.select("doc_id", "held_out")).select("*", F.lit(0.0).alias(score_name), F.lit(0).alias(predicted_name)).schema
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
